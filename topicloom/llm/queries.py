@@ -19,9 +19,41 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(_table(spark, sf_dir, "documents"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from topicloom.llm.substring_dedup import dedup_digests
+
+    return dedup_digests(_table(spark, sf_dir, "documents"))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path
+
+    from topicloom.llm.token_counts import token_counts
+
+    return token_counts(_table(spark, sf_dir, "documents"), path("piece_bpe_32k.model"))
+
+
+def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from topicloom.llm.warc import round_trip
+
+    return round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path
+
+    from topicloom.llm.bpe import encode_digests
+
+    return encode_digests(_table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_substring_dedup": op2_substring_dedup,
+        "op3_token_counts": op3_token_counts,
         "op6_minhash_near_dedup": op6_minhash_near_dedup,
+        "op9_warc_round_trip": op9_warc_round_trip,
+        "op10_bpe_encode_decode": op10_bpe_encode_decode,
     }
 
 
@@ -38,7 +70,32 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.v = d.doc_i
 """
 
 
+_OP2_SQL = f"""
+WITH w AS MATERIALIZED (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS a FROM documents),
+g AS MATERIALIZED (SELECT doc_id, unnest(range(1, len(a) - 11)) AS p, unnest(list_transform(range(1, len(a) - 11), lambda i: array_to_string(a[i : i + 12], ' '))) AS g FROM w WHERE len(a) >= 13),
+m AS MATERIALIZED (SELECT g, min(doc_id) AS m FROM g GROUP BY 1),
+x AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS p FROM g JOIN m USING (g) WHERE m.m < doc_id),
+k AS (SELECT doc_id, unnest(range(1, len(a) + 1)) AS p, unnest(a) AS t FROM w),
+s AS (SELECT k.doc_id, count(*) - count(x.p) AS n, count(x.p) AS r, string_agg(k.t, ' ' ORDER BY k.p) FILTER (WHERE x.p IS NULL) AS t FROM k LEFT JOIN x ON x.doc_id = k.doc_id AND x.p = k.p GROUP BY 1)
+SELECT d.doc_id, coalesce(s.n + s.r, 0)::BIGINT AS n_words, coalesce(s.r, 0)::BIGINT AS n_removed, sha256(coalesce(s.t, '')) AS kept_sha256 FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id
+"""
+
+# DuckDB's sha1 is hexadecimal; five bits at a time make base 32.
+_OP9_SQL = """
+WITH p AS MATERIALIZED (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+m AS (SELECT h, max(page_id) AS m FROM p GROUP BY 1),
+b AS (SELECT h, m, array_to_string(list_transform(range(0, 40), lambda i: (strpos('0123456789abcdef', h[i + 1 : i + 1]) - 1)::UTINYINT::BIT::VARCHAR[5:8]), '') AS bits FROM m)
+SELECT page_id, n::BIGINT AS payload_bytes,
+array_to_string(list_transform(range(0, 32), lambda i: chr((CASE WHEN v(bits, i) < 26 THEN 65 + v(bits, i) ELSE 24 + v(bits, i) END)::INTEGER)), '') AS payload_digest,
+CASE WHEN page_id = m THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> m THEN m END AS refers_to FROM p JOIN b USING (h)
+"""
+_FIVE = "list_sum(list_transform(range(0, 5), lambda j: (bits[5 * i + j + 1 : 5 * i + j + 1])::INTEGER * (16 >> j::INTEGER)))"
+_OP9_SQL = _OP9_SQL.replace("v(bits, i)", _FIVE)
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_substring_dedup": _OP2_SQL,
         "op6_minhash_near_dedup": _OP6_SQL,
+        "op9_warc_round_trip": _OP9_SQL,
     }
