@@ -68,3 +68,15 @@ def text_key(doc_id: str = "doc_id", text: str = "text") -> list:
         F.coalesce(F.col(doc_id), F.lit(2**63 - 1)).cast("long").alias("_id"),
         F.xxhash64(F.col(text)).alias("_th"),
     ]
+
+
+#: Ids up to this many are sent to all tasks to thin a table before its shuffle (8 bytes each); more are joined without.
+THIN_IDS = 500_000
+
+
+def thinned(rows: DataFrame, key: str, ids: DataFrame, id_column: str) -> DataFrame:
+    """rows with the ids only; the join that follows does the same, so this saves shuffled text and nothing else."""
+    ids = cut(ids.select(F.col(id_column).alias("_want")).distinct())
+    if ids.count() > THIN_IDS:
+        return rows
+    return rows.join(F.broadcast(ids), F.col(key) == F.col("_want"), "left_semi")

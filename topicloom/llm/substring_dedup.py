@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.llm._spark import Scratch, cut, partitions, release, small_batches, text_key
+from topicloom.llm._spark import Scratch, cut, partitions, release, small_batches, text_key, thinned
 from topicloom.llm._words import U, as_bytes, hash_words, roll, split_points
 
 K = 13
@@ -256,18 +256,6 @@ def _source_digests(k: int):
     return run
 
 
-#: Ids up to this many are sent to all tasks to thin a table before its shuffle (8 bytes each); more are joined without.
-THIN_IDS = 500_000
-
-
-def _thinned(texts: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """texts with the ids only; the join that follows does the same, so this saves shuffled text and nothing else."""
-    ids = cut(ids.distinct())
-    if ids.count() > THIN_IDS:
-        return texts
-    return texts.join(F.broadcast(ids.select(F.col(key).alias("_want"))), F.col("_id") == F.col("_want"), "left_semi")
-
-
 def repeated_spans(docs: DataFrame, k: int = K) -> DataFrame:
     """Verified paths: id, th (the row, see text_key), start and n (in edges), src, src_start."""
     spark = docs.sparkSession
@@ -280,12 +268,12 @@ def repeated_spans(docs: DataFrame, k: int = K) -> DataFrame:
     losers = scratch.save(found, "losers")
     release(spark)
     mine = losers.groupBy("id", "th").agg(F.collect_list("payload").alias("payloads"))
-    rows = _thinned(texts, losers.select("id"), "id").dropDuplicates(["_id", "_th"])
+    rows = thinned(texts, "_id", losers, "id").dropDuplicates(["_id", "_th"])
     joined = rows.join(mine, (F.col("_id") == F.col("id")) & (F.col("_th") == F.col("th"))).select("id", "th", "text", "payloads")
     paths = cut(joined.mapInArrow(_paths(k), "id long, th long, start long, n long, src long, src_start long, digest binary"))
     scratch.drop()
     ask = paths.select("src", "src_start", "n").distinct().groupBy("src", F.expr(f"src_start div {STARTS}").alias("_g")).agg(F.collect_list(F.struct("src_start", "n")).alias("asked"))
-    sources = _thinned(texts, paths.select("src"), "src")
+    sources = thinned(texts, "_id", paths, "src")
     told = cut(sources.join(ask, F.col("_id") == F.col("src")).select("src", "text", "asked").mapInArrow(_source_digests(k), "src long, src_start long, n long, digest binary").distinct())
     checked = cut(paths.join(told, ["src", "src_start", "n", "digest"], "left_semi").select("id", "th", "start", "n", "src", "src_start"))
     release(spark)
