@@ -13,12 +13,31 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from topicloom.llm.decontamination import leak_pairs
+
+    return leak_pairs(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from topicloom.llm.quality import score, train
+
+    docs = _table(spark, sf_dir, "documents")
+    return score(docs, train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from topicloom.llm.near_dedup import near_components
 
     return near_components(_table(spark, sf_dir, "documents"))
 
 
+def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from topicloom.llm.fingerprints import fingerprint_report
+
+    return fingerprint_report(_table(spark, sf_dir, "documents"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from topicloom.llm.substring_dedup import dedup_digests
 
@@ -33,6 +52,18 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), path("piece_bpe_32k.model"))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from topicloom.llm.sharding import shard_rows
+
+    return shard_rows(_table(spark, sf_dir, "documents"))
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from topicloom.llm.html_text import extract
+
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from topicloom.llm.warc import round_trip
 
@@ -49,9 +80,14 @@ def op10_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_document_fingerprints": op1_document_fingerprints,
         "op2_substring_dedup": op2_substring_dedup,
         "op3_token_counts": op3_token_counts,
+        "op4_benchmark_decontamination": op4_benchmark_decontamination,
+        "op5_quality_classifier": op5_quality_classifier,
         "op6_minhash_near_dedup": op6_minhash_near_dedup,
+        "op7_sharding": op7_sharding,
+        "op8_html_extraction": op8_html_extraction,
         "op9_warc_round_trip": op9_warc_round_trip,
         "op10_bpe_encode_decode": op10_bpe_encode_decode,
     }
@@ -84,7 +120,7 @@ SELECT d.doc_id, coalesce(s.n + s.r, 0)::BIGINT AS n_words, coalesce(s.r, 0)::BI
 _OP9_SQL = """
 WITH p AS MATERIALIZED (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages),
 m AS (SELECT h, max(page_id) AS m FROM p GROUP BY 1),
-b AS (SELECT h, m, array_to_string(list_transform(range(0, 40), lambda i: (strpos('0123456789abcdef', h[i + 1 : i + 1]) - 1)::UTINYINT::BIT::VARCHAR[5:8]), '') AS bits FROM m)
+b AS (SELECT h, m, array_to_string(list_transform(range(0, 40), lambda i: ((strpos('0123456789abcdef', h[i + 1 : i + 1]) - 1)::UTINYINT::BIT::VARCHAR)[5:8]), '') AS bits FROM m)
 SELECT page_id, n::BIGINT AS payload_bytes,
 array_to_string(list_transform(range(0, 32), lambda i: chr((CASE WHEN v(bits, i) < 26 THEN 65 + v(bits, i) ELSE 24 + v(bits, i) END)::INTEGER)), '') AS payload_digest,
 CASE WHEN page_id = m THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> m THEN m END AS refers_to FROM p JOIN b USING (h)
