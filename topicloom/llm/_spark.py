@@ -80,3 +80,12 @@ def thinned(rows: DataFrame, key: str, ids: DataFrame, id_column: str) -> DataFr
     if ids.count() > THIN_IDS:
         return rows
     return rows.join(F.broadcast(ids), F.col(key) == F.col("_want"), "left_semi")
+
+
+def without(docs: DataFrame, keys: list, gone: DataFrame) -> DataFrame:
+    """docs without the rows whose keys (columns of docs) are a row of gone; all columns stay, whatever their names."""
+    gone = cut(gone.toDF(*[f"_g{i}" for i in range(len(keys))]).distinct())
+    hint = F.broadcast(gone) if gone.count() <= THIN_IDS else gone
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[k.alias(f"_k{i}") for i, k in enumerate(keys)])
+    same = [F.col(f"_k{i}") == F.col(f"_g{i}") for i in range(len(keys))]
+    return packed.join(hint, same, "left_anti").select("row.*")

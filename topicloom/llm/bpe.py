@@ -175,14 +175,6 @@ class ByteBpe:
         if rest:
             self.young.update(self._words(rest))
 
-    def learn_texts(self, texts: list[str]) -> None:
-        """Encodes the new words of many short texts together."""
-        words: set[str] = set()
-        for t in texts:
-            for part in (self.split_special.split(t)[::2] if self.split_special else [t]):
-                words.update(self.pieces.findall(part))
-        self._learn(list(words))
-
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.texts.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
@@ -201,20 +193,25 @@ def _texts(batch: pa.RecordBatch) -> list[str]:
     return [t or "" for t in batch.column("text").to_pylist()]
 
 
-def encode_column(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """docs' doc_id with ids (array of token ids) and decoded (text of the decoded ids)."""
+def encode_documents(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, n_tokens, ids (array of token ids), and the two digests of encode_digests."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:
-            ids = [bpe.encode(t) for t in _texts(batch)]
-            arrays = [np.frombuffer(x, "<u4").astype(np.int32) for x in ids]
-            offsets = np.concatenate(([0], np.cumsum([len(a) for a in arrays]))).astype(np.int32)
-            flat = np.concatenate(arrays) if arrays else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array([bpe.decode(x).decode("utf-8", "replace") for x in ids])], ["doc_id", "ids", "decoded"])
+            coded = [bpe.encode(t) for t in _texts(batch)]
+            sizes = [len(x) // 4 for x in coded]
+            flat = pa.array(np.frombuffer(b"".join(coded), "<u4").astype(np.int32))
+            offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, flat), *_digests(bpe, coded)], ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
+
+    return docs.select("doc_id", docs[text].alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
+
 
-    return docs.select("doc_id", docs[text].alias("text")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+def _digests(bpe: ByteBpe, coded: list[bytes]) -> list[pa.Array]:
+    decoded = (bpe.decode(x).decode("utf-8", "replace").encode() for x in coded)
+    return [pa.array([hashlib.sha256(x).hexdigest() for x in coded], pa.string()), pa.array([hashlib.sha256(x).hexdigest() for x in decoded], pa.string())]
 
 
 def encode_digests(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
@@ -224,12 +221,7 @@ def encode_digests(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:
-            n, ids_sha, text_sha = [], [], []
-            for t in _texts(batch):
-                ids = bpe.encode(t)
-                n.append(len(ids) // 4)
-                ids_sha.append(hashlib.sha256(ids).hexdigest())
-                text_sha.append(hashlib.sha256(bpe.decode(ids).decode("utf-8", "replace").encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            coded = [bpe.encode(t) for t in _texts(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // 4 for x in coded], pa.int64()), *_digests(bpe, coded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", docs[text].alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.llm._spark import cut, text_key
+from topicloom.llm._spark import cut, text_key, without
 
 WINDOW, COVER = 8, 13
 BROADCAST_ROWS = 200_000
@@ -103,8 +103,4 @@ def leak_pairs(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cove
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cover: int = COVER) -> DataFrame:
     """docs without the rows that hold a benchmark item; all columns stay."""
-    gone = cut(leaks(docs, benchmark, window, cover).select(F.col("id").alias("_gone_id"), F.col("th").alias("_gone_th")).distinct())
-    if gone.count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    key = text_key()
-    return docs.join(gone, (key[0] == F.col("_gone_id")) & (key[1] == F.col("_gone_th")), "left_anti")
+    return without(docs, text_key(), leaks(docs, benchmark, window, cover).select("id", "th"))
