@@ -11,6 +11,7 @@
 4. A hub's leaves are compared on full sets: hub with leaf, and every leaf that
    the hub doesn't confirm with all the hub's leaves. No link between two members
    of a bucket is lost; leaves that are linked through the hub need no more tests.
+   Of a task's links those are kept that join what was apart (a spanning forest).
    A hub with over CHUNK leaves is dealt out in chunks, and its unconfirmed leaves
    meet the other chunks block by block.
 5. Links become components by min-label propagation with pointer jumping.
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.llm._spark import cut, partitions, small_batches, text_key
+from topicloom.llm._spark import cut, partitions, small_batches, text_key, thinned, without
 from topicloom.llm._words import U, as_bytes, hash_words, mix, roll, split_points
 
 SHINGLE = 5
@@ -140,6 +141,25 @@ def linked(inter: np.ndarray, left: list[np.ndarray], right: list[np.ndarray], p
     return 100 * inter >= percent * (na + nb - inter)
 
 
+def _forest(pairs: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Of the pairs, those that join what earlier ones left apart: one less than the vertices of a component."""
+    root: dict[int, int] = {}
+
+    def find(v: int) -> int:
+        while (up := root.setdefault(v, v)) != v:
+            root[v] = root[up]
+            v = root[v]
+        return v
+
+    out = []
+    for a, b in pairs:
+        x, y = find(a), find(b)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out.append((a, b))
+    return out
+
+
 def _grouped(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[tuple, list]]:
     """Groups of consecutive rows with equal keys."""
     key, rows = None, []
@@ -173,14 +193,13 @@ def _confirm(percent: int):
                 continue
             ids, sets = list(leaves), list(leaves.values())
             ok = linked(_overlaps(centre, sets), centre, sets, percent)[0]
-            for d, yes in zip(ids, ok.tolist(), strict=True):
-                a.append(hub if yes else d), b.append(d if yes else None), hubs.append(hub), chunks.append(chunk)
             rest = np.flatnonzero(~ok)
+            pairs = [(hub, d) for d, yes in zip(ids, ok.tolist(), strict=True) if yes]
             if len(rest) and len(ids) > 1:
                 odd = [sets[i] for i in rest]
-                for x, y in zip(*np.nonzero(linked(_overlaps(odd, sets), odd, sets, percent)), strict=True):
-                    if rest[x] != y:
-                        a.append(ids[rest[x]]), b.append(ids[y]), hubs.append(hub), chunks.append(chunk)
+                pairs += [(ids[rest[x]], ids[y]) for x, y in zip(*np.nonzero(linked(_overlaps(odd, sets), odd, sets, percent)), strict=True)]
+            for x, y in [*_forest(pairs), *((ids[i], None) for i in rest)]:
+                a.append(x), b.append(y), hubs.append(hub), chunks.append(chunk)
             if len(a) > 5000:
                 yield flush()
                 for x in (a, b, hubs, chunks):
@@ -198,7 +217,7 @@ def _confirm_blocks(percent: int):
             odd, rest = ({d: s for side, d, s in rows if side == k} for k in (0, 1))
             if odd and rest:
                 i, j, left, right = list(odd), list(rest), list(odd.values()), list(rest.values())
-                hits = [(i[x], j[y]) for x, y in zip(*np.nonzero(linked(_overlaps(left, right), left, right, percent)), strict=True) if i[x] != j[y]]
+                hits = _forest((i[x], j[y]) for x, y in zip(*np.nonzero(linked(_overlaps(left, right), left, right, percent)), strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array([h[k] for h in hits], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return run
@@ -224,7 +243,7 @@ def components(links: DataFrame) -> DataFrame:
 def _blocks(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """Shingle sets of the wanted (hub, chunk, side, doc), dealt out by hub and chunk."""
     spark = texts.sparkSession
-    rows = wanted.join(texts, wanted.doc == texts.vertex).select("hub", "chunk", "side", "doc", "text")
+    rows = wanted.join(thinned(texts, "vertex", wanted, "doc"), F.col("doc") == F.col("vertex")).select("hub", "chunk", "side", "doc", "text")
     sets = rows.mapInArrow(_to_sets, "hub long, chunk long, side int, doc long, shingles binary")
     return sets.repartition(partitions(spark), "hub", "chunk").sortWithinPartitions("hub", "chunk", "side")
 
@@ -245,7 +264,7 @@ def near_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     chunk = F.when(F.col("n_chunks") > 1, F.pmod(F.xxhash64("doc"), F.col("n_chunks"))).otherwise(F.lit(0).cast("long"))
     leaves = stars.join(sizes, "hub").select("hub", chunk.alias("chunk"), F.lit(1).alias("side"), "doc", "n_chunks")
     centres = sizes.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_chunks") - 1)).alias("chunk"), F.lit(0).alias("side"), F.col("hub").alias("doc"))
-    texts = rows.select(F.col("_id").alias("vertex"), "text")
+    texts = docs.select(text_key()[0].alias("vertex"), "text")
     found = cut(_blocks(texts, leaves.drop("n_chunks").unionByName(centres)).mapInArrow(_confirm(percent), "a long, b long, hub long, chunk long"))
     links = found.filter("b is not null").select("a", "b")
 
@@ -271,5 +290,5 @@ def near_components(docs: DataFrame, percent: int = 75) -> DataFrame:
 
 def keep_one(docs: DataFrame, percent: int = 75) -> DataFrame:
     """docs without all but the smallest document of each component; all columns stay."""
-    gone = near_components(docs, percent).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    gone = near_components(docs, percent).filter("not kept")
+    return without(docs, [F.col("doc_id")], gone.select("doc_id"))
