@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,11 +43,12 @@ from topicloom.llm._words import U, as_bytes, hash_words, roll, split_points
 
 K = 13
 #: Bytes of text hashed together. Edges of one such block are pre-aggregated.
-BLOCK = 12 << 20
+BLOCK = 4 << 20
 #: Requests to a source are grouped by this many starts, so that a group is bounded by the source's length.
 STARTS = 64
 LOSER = np.dtype([("pos", "<u4"), ("src", "<i8"), ("src_pos", "<u4")])
-_PACKED = "part int, id long, th long, payload binary"
+_PACKED = "part int, kind int, payload binary"
+EDGES, LOST = 0, 1
 
 
 def _pack(rec: np.ndarray) -> bytes:
@@ -63,6 +65,31 @@ def _unpack(blob: bytes) -> np.ndarray:
     return rec
 
 
+def _pack_docs(ids: np.ndarray, ths: np.ndarray, rec: np.ndarray) -> bytes:
+    """Loser records of several documents."""
+    by = np.lexsort((rec["pos"], ths, ids))
+    ids, ths, rec = ids[by], ths[by], rec[by]
+    first = np.flatnonzero(np.concatenate(([True], (np.diff(ids) != 0) | (np.diff(ths) != 0))))
+    counts = np.diff(np.concatenate((first, [len(ids)])))
+    return np.array([len(first)], "<i8").tobytes() + ids[first].astype("<i8").tobytes() + ths[first].astype("<i8").tobytes() + counts.astype("<i8").tobytes() + _pack(rec)
+
+
+def _unpack_docs(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    (d,) = np.frombuffer(blob, "<i8", 1)
+    ids, ths, counts = (np.frombuffer(blob, "<i8", d, 8 + 8 * d * k) for k in range(3))
+    return np.repeat(ids, counts), np.repeat(ths, counts), _unpack(blob[8 + 24 * int(d) :])
+
+
+def _dealt(ids: np.ndarray, ths: np.ndarray, rec: np.ndarray, n_parts: int) -> Iterator[tuple[int, bytes]]:
+    """Loser records packed by the part of their document."""
+    part = (ths % n_parts).astype(np.int64)
+    by = np.argsort(part, kind="stable")
+    ends = np.searchsorted(part[by], np.arange(n_parts + 1))
+    for p in np.flatnonzero(np.diff(ends)).tolist():
+        at = by[ends[p] : ends[p + 1]]
+        yield p, _pack_docs(ids[at], ths[at], rec[at])
+
+
 def _gaps(pos: np.ndarray, first: np.ndarray) -> tuple[bytes, bytes]:
     """Places as steps within a document: a byte each, and 255 with a long of its own for wider steps."""
     step = np.diff(pos, prepend=0)
@@ -81,7 +108,7 @@ def _places(small: np.ndarray, wide: np.ndarray, counts: np.ndarray) -> np.ndarr
 
 
 def _edges(n_parts: int, k: int):
-    """Packed edges for each bucket (id null), and the occurrences that already have a smaller document (id set)."""
+    """Packed edges for each bucket, and the occurrences that already have a smaller document, by part."""
 
     def block(ids, ths, texts) -> Iterator[tuple]:
         words, counts = hash_words(texts)
@@ -106,13 +133,8 @@ def _edges(n_parts: int, k: int):
         if len(lost):
             rec = np.zeros(len(lost), LOSER)
             rec["pos"], rec["src"], rec["src_pos"] = ps[lost], ids[ds[lead]][of][lost], ps[lead][of][lost]
-            who = ds[lost]
-            by_doc = np.lexsort((rec["pos"], who))
-            rec, who = rec[by_doc], who[by_doc]
-            cuts = np.flatnonzero(np.diff(who)) + 1
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(who)], strict=True):
-                d = who[a]
-                yield int(ths[d] % n_parts), int(ids[d]), int(ths[d]), _pack(rec[a:b])
+            for p, blob in _dealt(ids[ds[lost]], ths[ds[lost]], rec, n_parts):
+                yield p, LOST, blob
         keep = np.zeros(len(h), bool)
         keep[by[own]] = True
         h, doc, pos = h[keep], doc[keep], pos[keep]
@@ -130,7 +152,7 @@ def _edges(n_parts: int, k: int):
             runs = np.diff(np.concatenate((np.flatnonzero(first), [b - a])))
             small, wide = _gaps(pos[a:b], first)
             head = np.array([b - a, len(which), len(wide)], "<i8").tobytes()
-            yield p, None, None, head + h[a:b].tobytes() + ids[which].astype("<i8").tobytes() + ths[which].astype("<i8").tobytes() + runs.astype("<u4").tobytes() + wide + small
+            yield p, EDGES, head + h[a:b].tobytes() + ids[which].astype("<i8").tobytes() + ths[which].astype("<i8").tobytes() + runs.astype("<u4").tobytes() + wide + small
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(held):
@@ -140,7 +162,7 @@ def _edges(n_parts: int, k: int):
             for a, b in split_points(np.array([len(t) for t in texts]), BLOCK):
                 rows = list(block(ids[a:b], ths[a:b], texts[a:b]))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["part", "id", "th", "payload"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], ["part", "kind", "payload"])
 
         held, size = [], 0
         for batch in batches:
@@ -155,9 +177,8 @@ def _edges(n_parts: int, k: int):
     return run
 
 
-def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a bucket: the occurrences whose edge starts in a smaller document too. Known ones pass through."""
-    schema = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("payload", pa.binary())])
+def _repeats(n_parts: int):
+    """Of a bucket: the occurrences whose edge starts in a smaller document too, by part. Known ones pass through."""
 
     def solve(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         hs, ids, ths, pos = [], [], [], []
@@ -191,21 +212,47 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return
         rec = np.zeros(len(lost), LOSER)
         rec["pos"], rec["src"], rec["src_pos"] = p[lost], i[lead][lost], p[lead][lost]
-        i, t = i[lost], t[lost]
-        order = np.lexsort((rec["pos"], t, i))
-        rec, i, t = rec[order], i[order], t[order]
+        rows = list(_dealt(i[lost], t[lost], rec, n_parts))
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], ["part", "payload"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, blobs = None, []
+        for batch in batches:
+            known = batch.filter(pc.equal(batch.column("kind"), LOST))
+            if known.num_rows:
+                yield known.select(["part", "payload"])
+            edges = batch.filter(pc.equal(batch.column("kind"), EDGES))
+            for p, blob in zip(edges.column("part").to_pylist(), edges.column("payload").to_pylist(), strict=True):
+                if p != part and blobs:
+                    yield from solve(blobs)
+                    blobs = []
+                part = p
+                blobs.append(blob)
+        if blobs:
+            yield from solve(blobs)
+
+    return run
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a part: a row per document with all its loser records."""
+
+    def solve(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        i, t, rec = (np.concatenate(x) for x in zip(*map(_unpack_docs, blobs), strict=True))
+        by = np.lexsort((rec["src_pos"], rec["src"], rec["pos"], t, i))
+        i, t, rec = i[by], t[by], rec[by]
+        new = (np.diff(i) != 0) | (np.diff(t) != 0)
+        # a place may be known to several tasks: the smallest source counts
+        keep = np.concatenate(([True], new | (np.diff(rec["pos"].astype(np.int64)) != 0)))
+        i, t, rec = i[keep], t[keep], rec[keep]
         cuts = np.concatenate(([0], np.flatnonzero((np.diff(i) != 0) | (np.diff(t) != 0)) + 1, [len(i)])).tolist()
-        for lo in range(0, len(cuts) - 1, 20_000):
-            ab = list(zip(cuts[lo : lo + 20_001], cuts[lo + 1 : lo + 20_001], strict=False))
-            yield pa.RecordBatch.from_arrays([pa.array(i[[a for a, _ in ab]]), pa.array(t[[a for a, _ in ab]]), pa.array([_pack(rec[a:b]) for a, b in ab], pa.binary())], schema=schema)
+        for lo in range(0, len(cuts) - 1, 1000):
+            ab = list(zip(cuts[lo : lo + 1000], cuts[lo + 1 : lo + 1001], strict=False))
+            yield pa.RecordBatch.from_arrays([pa.array(i[[a for a, _ in ab]]), pa.array(t[[a for a, _ in ab]]), pa.array([_pack(rec[a:b]) for a, b in ab], pa.binary())], ["id", "th", "payload"])
 
     part, blobs = None, []
     for batch in batches:
-        known = batch.filter(batch.column("id").is_valid())
-        if known.num_rows:
-            yield pa.RecordBatch.from_arrays([known.column(c) for c in ("id", "th", "payload")], schema=schema)
-        edges = batch.filter(batch.column("id").is_null())
-        for p, blob in zip(edges.column("part").to_pylist(), edges.column("payload").to_pylist(), strict=True):
+        for p, blob in zip(batch.column("part").to_pylist(), batch.column("payload").to_pylist(), strict=True):
             if p != part and blobs:
                 yield from solve(blobs)
                 blobs = []
@@ -225,10 +272,8 @@ def _paths(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols: list[list] = [[] for _ in range(7)]
-            for i, t, text, blobs in zip(batch.column("id").to_pylist(), batch.column("th").to_pylist(), as_bytes(batch.column("text")), batch.column("payloads").to_pylist(), strict=True):
-                rec = np.concatenate([_unpack(b) for b in blobs])
-                rec = rec[np.lexsort((rec["src_pos"], rec["src"], rec["pos"]))]
-                rec = rec[np.concatenate(([True], rec["pos"][1:] != rec["pos"][:-1]))]  # the smallest source of an edge
+            for i, t, text, blob in zip(batch.column("id").to_pylist(), batch.column("th").to_pylist(), as_bytes(batch.column("text")), batch.column("payload").to_pylist(), strict=True):
+                rec = _unpack(blob)
                 words = text.split()
                 step = (np.diff(rec["pos"].astype(np.int64)) != 1) | (np.diff(rec["src"]) != 0) | (np.diff(rec["src_pos"].astype(np.int64)) != 1)
                 cuts = [0, *(np.flatnonzero(step) + 1).tolist(), len(rec)]
@@ -264,12 +309,12 @@ def repeated_spans(docs: DataFrame, k: int = K) -> DataFrame:
     texts = docs.select(*text_key(), "text")
     scratch = Scratch(spark)
     packed = texts.mapInArrow(_edges(n_parts, k), _PACKED)
-    found = packed.repartition(n_parts, "part").sortWithinPartitions("part").mapInArrow(_repeats, "id long, th long, payload binary")
-    losers = scratch.save(found, "losers")
+    found = packed.repartition(n_parts, "part").sortWithinPartitions("part").mapInArrow(_repeats(n_parts), "part int, payload binary")
+    gathered = found.repartition(n_parts, "part").sortWithinPartitions("part").mapInArrow(_gather, "id long, th long, payload binary")
+    losers = scratch.save(gathered, "losers")
     release(spark)
-    mine = losers.groupBy("id", "th").agg(F.collect_list("payload").alias("payloads"))
     rows = thinned(texts, "_id", losers, "id").dropDuplicates(["_id", "_th"])
-    joined = rows.join(mine, (F.col("_id") == F.col("id")) & (F.col("_th") == F.col("th"))).select("id", "th", "text", "payloads")
+    joined = rows.join(losers, (F.col("_id") == F.col("id")) & (F.col("_th") == F.col("th"))).select("id", "th", "text", "payload")
     paths = cut(joined.mapInArrow(_paths(k), "id long, th long, start long, n long, src long, src_start long, digest binary"))
     scratch.drop()
     ask = paths.select("src", "src_start", "n").distinct().groupBy("src", F.expr(f"src_start div {STARTS}").alias("_g")).agg(F.collect_list(F.struct("src_start", "n")).alias("asked"))
