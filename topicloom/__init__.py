@@ -1,0 +1 @@
+"""Topic modelling and text analytics as PySpark dataflow."""
