@@ -8,8 +8,8 @@ and are not used. Windows of one document and item that lie on one diagonal belo
 to one occurrence. It is a leak if it covers COVER tokens (all of a shorter item)
 and its slots are consistent: one value of the item stands for one value of the
 document throughout, and the other way round. So an item with new numbers or names
-is caught, a text that shares its phrases with changing values is not, unless it
-has COVER tokens of the item word for word.
+is caught, a text that shares its phrases with changing values is not, unless
+windows that agree word for word cover COVER tokens of the item.
 
 Everything is DataFrame operations. The benchmark's windows are broadcast up to
 BROADCAST_ROWS of them (about 40 bytes each); beyond that they are joined by a
@@ -83,9 +83,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cover: in
     matches = cut(matches.withColumn("diagonal", F.col("pos") - F.col("ipos")).dropDuplicates(["_id", "_th", "item_id", "n_tokens", "pos", "ipos"]))
 
     where = ["_id", "_th", "item_id", "n_tokens", "diagonal"]
-    cells = matches.select(*where, "pos", F.posexplode(F.arrays_zip("dw", "iw", "tw")).alias("k", "c")).select(*where, (F.col("pos") + F.col("k")).alias("at"), F.col("c.dw").alias("dw"), F.col("c.iw").alias("iw"), F.col("c.tw").alias("tw")).distinct()
-    cells = cut(cells)
-    covered = cells.groupBy(*where).agg(F.count("*").alias("covered"), F.sum(F.when(F.col("dw") == F.col("iw"), 1).otherwise(0)).alias("exact"))
+    cells = matches.select(*where, "pos", (F.col("dw") == F.col("iw")).alias("same"), F.posexplode(F.arrays_zip("dw", "iw", "tw")).alias("k", "c")).select(*where, "same", (F.col("pos") + F.col("k")).alias("at"), F.col("c.dw").alias("dw"), F.col("c.iw").alias("iw"), F.col("c.tw").alias("tw"))
+    cells = cut(cells.groupBy(*where, "at", "dw", "iw", "tw").agg(F.max("same").alias("same")))
+    covered = cells.groupBy(*where).agg(F.count("*").alias("covered"), F.count_if("same").alias("exact"))
     slots = cells.filter(F.col("tw").isin(_NAME, _NUMBER, _UNIT)).select(*where, "tw", "dw", "iw").distinct()
     twice = slots.groupBy(*where, "tw", "iw").count().select(*where, "count").unionByName(slots.groupBy(*where, "tw", "dw").count().select(*where, "count"))
     odd = twice.groupBy(*where).agg((F.max("count") > 1).alias("odd"))
