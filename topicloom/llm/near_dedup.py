@@ -20,10 +20,9 @@ A pair at the threshold misses all buckets with probability
 (1 - 0.75**ROWS)**BANDS = 5e-6, a pair at 0.8 with 5e-8.
 
 Defined results: a null or blank text has an empty set (n_shingles 0), is linked
-with nothing and is kept; rows with one doc_id are one vertex each by (doc_id,
-text) and repeated rows give repeated rows; a null doc_id counts as the largest
-and has a null component_id where it is alone. Other columns are not read, so
-their names cannot clash.
+with nothing and is kept; repeated rows give repeated rows; a row with a null
+doc_id counts as the largest, stands for its own text and has a null component_id
+where it is alone. Other columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -255,7 +254,6 @@ def near_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     rows = docs.select(*text_key(), "text")
     told = cut(rows.mapInArrow(_describe, "_id long, _th long, n_shingles long, digest binary, keys array<long>"))
     least = cut(told.filter("digest is not null").groupBy("digest").agg(F.min("_id").alias("rep")))
-    # A vertex is a document's id; of equal ids with different texts, each text has its own set and all share the vertex.
     reps = told.join(least, "digest").filter(F.col("_id") == F.col("rep"))
     buckets = reps.select("rep", F.explode("keys").alias("key"))
     hubs = cut(buckets.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).filter("hub < last").select("key", "hub"))
@@ -283,7 +281,6 @@ def near_components(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     member = told.join(least, "digest", "left").select("_id", "n_shingles", F.coalesce("rep", "_id").alias("v"))
     own = member.join(comp, "v", "left").select("_id", "n_shingles", F.coalesce("l", "v").alias("c"))
-    # rows of one doc_id with different texts reach each other's components
     none = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
     return own.select(none("_id").alias("doc_id"), "n_shingles", none("c").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
