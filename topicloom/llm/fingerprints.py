@@ -100,18 +100,17 @@ def _with_next(docs: DataFrame) -> DataFrame:
     places = F.array(F.struct(F.col("_r").alias("r"), F.lit(0).alias("ghost")), F.when(last, F.struct(F.lit(0).alias("r"), F.lit(2).alias("ghost"))).when(at_bound, F.struct((F.col("_r") + 1).alias("r"), F.lit(1).alias("ghost"))))
     dealt = own.withColumn("_p", F.explode(F.filter(places, lambda p: p.isNotNull()))).select("doc_id", "_id", "_th", "text", F.col("_p.r").alias("_r"), F.col("_p.ghost").alias("_ghost"))
     order = Window.partitionBy("_r").orderBy("_ghost", F.desc("_id"), "_th")
-    told = dealt.select("*", F.lead(F.struct(F.col("_id").alias("id"), F.col("_th").alias("th"), F.col("text").alias("text"))).over(order).alias("_next"))
-    return told.filter("_ghost = 0").select("doc_id", "_id", "_th", "text", F.col("_next.id").alias("next_id"), F.col("_next.th").alias("next_th"), F.col("_next.text").alias("next_text"))
+    after = [F.lead(c).over(order).alias(name) for c, name in (("_id", "next_id"), ("_th", "next_th"), ("text", "next_text"))]
+    return dealt.select("*", *after).filter("_ghost = 0").drop("_r", "_ghost")
 
 
 def fingerprint_report(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One row per row of docs: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next,
     and n_near: for rows whose doc_id is divisible by EVERY, how many other rows have a fingerprint within the radius."""
     n = F.char_length("text")
-    tail = F.floor(n / 3).cast("int")
     edited = F.concat(F.expr("substring(text, 1, char_length(text) - cast(floor(char_length(text) / 3) as int))"), F.expr("substring(next_text, 1, cast(floor(char_length(text) / 3) as int))"))
-    del tail
-    rows = _with_next(docs).withColumn("edited", edited).withColumn("key", F.xxhash64("_id", "_th", "next_id", "next_th"))
+    rows = _with_next(docs).withColumn("edited", edited).withColumn("key", F.xxhash64("doc_id", "_id", "_th", "next_id", "next_th"))
+    # both branches read the same columns of rows, so Spark shuffles the texts once and reuses that
     texts = rows.select("key", F.posexplode(F.array("text", "edited")).alias("edit", "t"))
     marks = votes(texts, ["key", "edit"], "t").groupBy("key").agg(F.max(F.when(F.col("edit") == 0, F.col("fp"))).alias("a"), F.max(F.when(F.col("edit") == 1, F.col("fp"))).alias("b"))
     meta = rows.select("doc_id", "_id", "_th", "next_id", "next_th", "key", n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
