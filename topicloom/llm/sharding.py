@@ -1,12 +1,13 @@
 """Sharding by balanced label propagation.
 
 Rows with equal texts are linked. Each row starts in a shard by hash; in each round
-a join tells every linked row in which open shard most of its links are, and the
-row moves there as far as that shard's quota lasts: a destination takes linked rows
-up to its share of all rows, and where more want in, the hash of row and round says
-who goes. Shards that are full are closed and keep what they have, so a group
-larger than a shard fills one after the other. Counts for each group and shard are
-pre-aggregated; only an 8 by 8 table of wishes and counts reaches the driver.
+a join tells every linked row which open shard holds most of its links, and rows in
+shards that hold fewer move there as far as that shard's quota lasts: a destination
+takes linked rows up to its share of all rows, and where more want in, the hash of
+row and round says who goes. Shards that are nearly full are closed and keep what
+they have, so a group larger than a shard fills one after the other. Counts for each
+group and shard are pre-aggregated; only a table of a row per shard reaches the
+driver.
 
 Last, the law "rows" is made exact: rows get their slot from counts of (shard,
 linked or not, bucket), the rows beyond a shard's share (the unlinked come last, so
@@ -24,7 +25,11 @@ from pyspark.sql import functions as F
 
 from topicloom.llm._spark import cut, partitions
 
-SHARDS, ROUNDS = 8, 6
+SHARDS, ROUNDS = 8, 12
+#: A shard with less than this part of its share left is closed; quotas are kept on average, so the last places wait for the end.
+LEAST_ROOM = 0.05
+#: Groups of at most this part of a share come together in an open shard even if a closed one has more of them.
+SMALL, FEW = 0.005, 8
 UNIT = 1_000_000
 #: A large group's rows are ranked in so many pieces.
 SALTS = 64
@@ -40,15 +45,18 @@ def propagate(linked: DataFrame, shares: dict[int, int], rounds: int = ROUNDS) -
     linked = cut(linked)
     held = {r["shard"]: r["n"] for r in linked.groupBy("shard").agg(F.count("*").alias("n")).collect()}
     for number in range(rounds):
-        open_shards = [s for s in shards if shares[s] - held.get(s, 0) > 0]
+        open_shards = [s for s in shards if shares[s] - held.get(s, 0) > LEAST_ROOM * shares[s]]
         if not open_shards:
             break
         parts = cut(linked.groupBy("group", "shard").agg(F.count("*").alias("n")))
-        # a group's best open shard: most of its rows, ties by hash; a row in a closed shard stays where that holds most of its group
-        best = F.max_by("shard", F.struct(F.when(F.col("shard").isin(open_shards), F.col("n")).otherwise(-1), F.xxhash64("group", "shard")))
-        most = F.max("n")
-        wish = cut(parts.groupBy("group").agg(best.alias("best"), most.alias("most")).filter(F.col("best").isin(open_shards)))
-        wants = parts.join(wish, "group").filter("shard <> best").filter(F.col("shard").isin(open_shards) | (F.col("n") < F.col("most")))
+        # a group's best open shard has most of its rows, ties by hash; rows leave the shards that have fewer, and small groups come together there
+        tie = F.xxhash64("group", "shard")
+        rank = F.struct(F.when(F.col("shard").isin(open_shards), F.col("n")).otherwise(-1), tie)
+        best = F.max_by(F.struct("shard", "n", tie.alias("tie")), rank)
+        wish = cut(parts.groupBy("group").agg(best.alias("top"), F.sum("n").alias("total")).filter(F.col("top.shard").isin(open_shards)).select("group", F.col("top.shard").alias("best"), F.col("top.n").alias("most"), F.col("top.tie").alias("tie"), "total"))
+        fewer = (F.col("n") < F.col("most")) | (F.col("n") == F.col("most")) & (tie < F.col("tie"))
+        small = F.col("total") <= max(FEW, SMALL * min(shares.values()))
+        wants = parts.join(wish, "group").filter((F.col("shard") != F.col("best")) & (fewer | small))
         flows = {r["best"]: r["n"] for r in wants.groupBy("best").agg(F.sum("n").alias("n")).collect()}
         if not flows:
             break
