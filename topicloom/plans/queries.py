@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,12 +36,25 @@ def _docs(spark, d) -> DataFrame:
     return _read(spark, d, "documents").select("doc_id", "text")
 
 
+_kept: dict[tuple, DataFrame] = {}
+
+
+def _keep(name: str, spark, d, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table that several steps of a query read is built once for a session and folder."""
+    key = (name, spark.sparkContext.applicationId, d)
+    if key not in _kept:
+        for old in [k for k in _kept if k[1:] != key[1:]]:
+            del _kept[old]
+        _kept[key] = build()
+    return _kept[key].persist()
+
+
 def _vocab(spark, d) -> DataFrame:
-    return V.build_vocabulary(_docs(spark, d))
+    return _keep("vocabulary", spark, d, lambda: V.build_vocabulary(_docs(spark, d)))
 
 
 def _bow(spark, d) -> DataFrame:
-    return B.bag_of_words(_docs(spark, d), _vocab(spark, d))
+    return _keep("bow", spark, d, lambda: B.bag_of_words(_docs(spark, d), _vocab(spark, d)))
 
 
 def _lambda(spark, d) -> DataFrame:
@@ -330,7 +344,7 @@ def stream_train(s, d):
     from topicloom.streaming.trainer import latest, train_stream
 
     root = s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="topicloom-")
-    folder = f"{root.rstrip('/')}/stream-{abs(hash((d, id(s))))}"
+    folder = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
     words = [r["word"] for r in _vocab(s, d).orderBy("word_id").collect()]
     table = f"{folder}/in"
     _docs(s, d).repartition(2, "doc_id").write.mode("overwrite").parquet(table)
