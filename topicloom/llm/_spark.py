@@ -27,8 +27,17 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: Bytes of a stored table to a task where an operator deals rows out itself, if the session's number of partitions gives larger tasks.
+TASK_BYTES = 32 << 20
+
+
+def partitions(spark: SparkSession, table: DataFrame | None = None) -> int:
+    """The session's number of shuffle partitions, or more where table's size asks for it (files: their size; unknown: ignored)."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if table is None:
+        return n
+    size = float(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(n, int(size // TASK_BYTES) + 1) if size < 2**60 else n
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -85,7 +85,7 @@ def _with_next(docs: DataFrame) -> DataFrame:
     above too, where they end it. So a range's last row finds its next without any task seeing more than its range.
     """
     rows = docs.select("doc_id", *text_key(), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    n = partitions(docs.sparkSession)
+    n = partitions(docs.sparkSession, docs)
     found = rows.agg(F.percentile_approx("_id", [(i + 1) / n for i in range(n)], 100 * n).alias("b"), F.max("_id").alias("m")).first()
     bounds = sorted({*(found["b"] or []), found["m"]} - {None})
     if not bounds:

@@ -244,7 +244,7 @@ def _blocks(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     spark = texts.sparkSession
     rows = wanted.join(thinned(texts, "vertex", wanted, "doc"), F.col("doc") == F.col("vertex")).select("hub", "chunk", "side", "doc", "text")
     sets = rows.mapInArrow(_to_sets, "hub long, chunk long, side int, doc long, shingles binary")
-    return sets.repartition(partitions(spark), "hub", "chunk").sortWithinPartitions("hub", "chunk", "side")
+    return sets.repartition(partitions(spark, texts), "hub", "chunk").sortWithinPartitions("hub", "chunk", "side")
 
 
 def near_components(docs: DataFrame, percent: int = 75) -> DataFrame:

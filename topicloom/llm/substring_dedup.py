@@ -305,7 +305,7 @@ def repeated_spans(docs: DataFrame, k: int = K) -> DataFrame:
     """Verified paths: id, th (the row, see text_key), start and n (in edges), src, src_start."""
     spark = docs.sparkSession
     small_batches(spark)
-    n_parts = partitions(spark)
+    n_parts = partitions(spark, docs)
     texts = docs.select(*text_key(), "text")
     scratch = Scratch(spark)
     packed = texts.mapInArrow(_edges(n_parts, k), _PACKED)
