@@ -358,3 +358,23 @@ def test_sharding_splits_few_groups_and_a_hot_one_evenly(spark):
     split = sum(len(s) > 1 for t, s in groups.items() if t.startswith("pair"))
     pairs = sum(t.startswith("pair") for t in groups)
     assert sum(n > 30 for n in hot.values()) <= 4 and split <= 0.06 * pairs
+
+
+def test_a_false_source_is_not_believed(docs, monkeypatch):
+    """Where a source's words are not those of the path, the path stays in the text."""
+    assert sum(r["n_removed"] for r in substring_dedup.dedup_digests(docs).collect()) > 0
+    real = substring_dedup._source_digests
+
+    def wrong(k):
+        inner = real(k)
+
+        def run(batches):
+            import pyarrow as pa
+
+            for b in inner(batches):
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([b"other"] * b.num_rows, pa.binary())], ["src", "src_start", "n", "digest"])
+
+        return run
+
+    monkeypatch.setattr(substring_dedup, "_source_digests", wrong)
+    assert sum(r["n_removed"] for r in substring_dedup.dedup_digests(docs).collect()) == 0

@@ -320,9 +320,12 @@ def repeated_spans(docs: DataFrame, k: int = K) -> DataFrame:
     ask = paths.select("src", "src_start", "n").distinct().groupBy("src", F.expr(f"src_start div {STARTS}").alias("_g")).agg(F.collect_list(F.struct("src_start", "n")).alias("asked"))
     sources = thinned(texts, "_id", paths, "src")
     told = cut(sources.join(ask, F.col("_id") == F.col("src")).select("src", "text", "asked").mapInArrow(_source_digests(k), "src long, src_start long, n long, digest binary").distinct())
-    checked = cut(paths.join(told, ["src", "src_start", "n", "digest"], "left_semi").select("id", "th", "start", "n", "src", "src_start"))
+    # each distinct claim about a source is checked once; paths are joined again only if one of them is false
+    claim = ["src", "src_start", "n", "digest"]
+    false = cut(paths.select(*claim).distinct().join(told, claim, "left_anti"))
     release(spark)
-    return checked
+    true = paths if false.isEmpty() else paths.join(false, claim, "left_anti")
+    return true.select("id", "th", "start", "n", "src", "src_start")
 
 
 def _with_spans(docs: DataFrame, k: int, *columns: Column) -> DataFrame:
