@@ -74,6 +74,13 @@ def test_against_brute_force(spark):
     assert leaked(spark, texts, items) == want and len(want) > 10
 
 
+def test_copies_dense_in_placeholders(spark):
+    """Word for word copies are leaks however many of their tokens are placeholders; other values in them are none."""
+    items = ["What is 12 * 7 + 3", "add 11 12 13 14 15 16 17 18 19 20 21 22 23", "the guests were Anna Boris Clara David Emma Frank Greta Hans Irene Jonas"]
+    texts = [f"{FILL}. {i} {FILL}" for i in items]
+    assert leaked(spark, [*texts, f"{FILL}. What is 12 * 8 + 4 {FILL}", f"{FILL} add 31 32 33 34 35 36 37 38 39 40 41 42 43"], items) == {(0, 0), (1, 1), (2, 2)}
+
+
 def test_keep_clean_keeps_columns_and_rows(spark, clashing, nothing):
     bench = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
     out = D.keep_clean(clashing, bench)

@@ -3,13 +3,14 @@
 Texts become tokens without punctuation and in lower case, and templates in which
 numbers, the units after them and names (capitalised words inside a sentence) are
 placeholders of their type. Windows of WINDOW template tokens of the benchmark meet
-those of all documents by hash; windows that are mostly placeholders say nothing
-and are not used. Windows of one document and item that lie on one diagonal belong
-to one occurrence. It is a leak if it covers COVER tokens (all of a shorter item)
+those of all documents by hash; windows that are mostly placeholders say nothing as
+templates. Besides, all windows of plain words meet those of the documents, whatever
+they hold. Windows of one document and item that lie on one diagonal belong to one
+occurrence. It is a leak if it covers COVER tokens (all of a shorter item)
 and its slots are consistent: one value of the item stands for one value of the
 document throughout, and the other way round. So an item with new numbers or names
 is caught, a text that shares its phrases with changing values is not, unless
-windows that agree word for word cover COVER tokens of the item.
+windows of plain words cover COVER tokens of the item.
 
 Everything is DataFrame operations. The benchmark's windows are broadcast up to
 BROADCAST_ROWS of them (about 40 bytes each); beyond that they are joined by a
@@ -44,12 +45,16 @@ def tokens_of(text: Column) -> tuple[Column, Column]:
     """Plain tokens and template tokens of a text, place by place."""
     text = F.coalesce(text, F.lit(""))
     named = F.regexp_replace(text, r"(?<=[\p{Ll}\p{Nd},;] )(?=\p{Lu}\p{Ll})", _NAME)
-    plain = F.regexp_replace(F.lower(named), r"[^\p{L}\p{N}\x01\x20\x09-\x0D]+", "")
-    plain = F.trim(F.regexp_replace(plain, r"[\x20\x09-\x0D]+", " "))
-    template = F.regexp_replace(plain, r"\x01[^ ]*", _NAME)
+    marked = F.regexp_replace(F.lower(named), r"[^\p{L}\p{N}\x01\x20\x09-\x0D]+", "")
+    marked = F.trim(F.regexp_replace(marked, r"[\x20\x09-\x0D]+", " "))
+    template = F.regexp_replace(marked, r"\x01[^ ]*", _NAME)
     template = F.regexp_replace(template, r"(?<![^ ])\p{Nd}[^ ]*", _NUMBER)
     template = F.regexp_replace(template, rf"(?<=\x02 )(?:{'|'.join(UNITS.split())})(?![^ ])", _UNIT)
-    return F.split(plain, " "), F.split(template, " ")
+    return F.split(F.translate(marked, _NAME, ""), " "), F.split(template, " ")
+
+
+def _is_slot(token: Column) -> Column:
+    return token.isin(_NAME, _NUMBER, _UNIT)
 
 
 def _windows(tokens: str, size) -> Column:
@@ -59,38 +64,50 @@ def _windows(tokens: str, size) -> Column:
     return F.when((F.size(tokens) >= size) & (F.element_at(tokens, 1) != ""), hashes)
 
 
+def _wanted(items: DataFrame, window: int) -> DataFrame:
+    """The windows of the items: hash, typed, size, item_id, ipos, n_tokens, and for typed ones their words iw and tokens tw.
+
+    All windows of plain words, and the typed ones (with placeholders, but not mostly placeholders).
+    """
+    n = F.size("ip")
+    size = F.least(F.lit(window), n)
+    plain = items.select("item_id", n.alias("n_tokens"), size.alias("size"), F.posexplode(_windows("ip", size)).alias("ipos", "hash"))
+    plain = plain.select("hash", F.lit(False).alias("typed"), "size", "item_id", "ipos", "n_tokens", *[F.lit(None).cast("array<string>").alias(c) for c in ("iw", "tw")])
+    typed = items.select("item_id", "ip", "it", n.alias("n_tokens"), size.alias("size"), F.posexplode(_windows("it", size)).alias("ipos", "hash"))
+    typed = typed.select("hash", F.lit(True).alias("typed"), "size", "item_id", "ipos", "n_tokens", *[F.slice(c, F.col("ipos") + 1, F.col("size")).alias(o) for c, o in (("ip", "iw"), ("it", "tw"))])
+    slots = F.size(F.filter("tw", _is_slot))
+    return plain.unionByName(typed.filter((slots > 0) & (2 * slots <= F.col("size"))))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cover: int = COVER) -> DataFrame:
     """id, th (the row of docs, see text_key), item_id, covered (tokens), n_tokens of the item: one row per leaked item."""
     plain, template = tokens_of(F.col("text"))
-    items = cut(benchmark.select("item_id", plain.alias("ip"), template.alias("it")).filter(F.element_at("it", 1) != "").dropDuplicates(["item_id", "ip"]).withColumn("size", F.least(F.lit(window), F.size("it"))))
-    sizes = [r["size"] for r in items.select("size").distinct().collect()]  # at most window of them
-    if not sizes:
+    items = cut(benchmark.select("item_id", plain.alias("ip"), template.alias("it")).filter(F.element_at("ip", 1) != "").dropDuplicates(["item_id", "ip", "it"]))
+    wanted = cut(_wanted(items, window))
+    kinds = [(r["typed"], r["size"]) for r in wanted.select("typed", "size").distinct().collect()]  # at most 2 * window of them
+    if not kinds:
         return docs.select(*text_key()).select(F.col("_id").alias("id"), F.col("_th").alias("th"), F.lit(None).cast("long").alias("item_id"), F.lit(0).alias("covered"), F.lit(0).alias("n_tokens")).limit(0)
-    told = items.select("item_id", "ip", "it", "size", F.posexplode(_windows("it", F.col("size"))).alias("ipos", "hash"))
-    literal = F.size(F.filter(F.slice("it", F.col("ipos") + 1, F.col("size")), lambda x: ~x.isin(_NAME, _NUMBER, _UNIT)))
-    wanted = cut(told.filter(2 * literal >= F.col("size")).select("hash", "size", "item_id", "ipos", F.size("it").alias("n_tokens"), F.slice("ip", F.col("ipos") + 1, F.col("size")).alias("iw"), F.slice("it", F.col("ipos") + 1, F.col("size")).alias("tw")))
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     base = docs.select(*text_key(), plain.alias("p"), template.alias("t"))
-    found = []
-    for size in sizes:
-        places = base.select("_id", "_th", "p", F.posexplode(_windows("t", F.lit(size))).alias("pos", "hash"))
-        met = places.join(wanted.filter(F.col("size") == size).drop("size"), "hash")
-        found.append(met.select("_id", "_th", "item_id", "pos", "ipos", "n_tokens", F.lit(size).alias("size"), F.slice("p", F.col("pos") + 1, size).alias("dw"), "iw", "tw"))
-    matches = found[0]
-    for more in found[1:]:
-        matches = matches.unionByName(more)
-    matches = cut(matches.withColumn("diagonal", F.col("pos") - F.col("ipos")).dropDuplicates(["_id", "_th", "item_id", "n_tokens", "pos", "ipos"]))
+    # a text without placeholders has plain windows only
+    hashes = F.array(*[F.when(F.col("p") != F.col("t"), _windows("t", F.lit(size))) if typed else _windows("p", F.lit(size)) for typed, size in sorted(kinds)])
+    places = base.select("_id", "_th", "p", F.explode(hashes).alias("hashes")).select("_id", "_th", "p", F.posexplode("hashes").alias("pos", "hash"))
+    met = places.join(wanted, "hash")
+    dw = F.when(F.col("typed"), F.slice("p", F.col("pos") + 1, F.col("size"))).alias("dw")
+    matches = cut(met.select("_id", "_th", "item_id", "n_tokens", "typed", "pos", "ipos", "size", dw, "iw", "tw").dropDuplicates(["_id", "_th", "item_id", "n_tokens", "typed", "pos", "ipos"]))
 
     where = ["_id", "_th", "item_id", "n_tokens", "diagonal"]
-    cells = matches.select(*where, "pos", (F.col("dw") == F.col("iw")).alias("same"), F.posexplode(F.arrays_zip("dw", "iw", "tw")).alias("k", "c")).select(*where, "same", (F.col("pos") + F.col("k")).alias("at"), F.col("c.dw").alias("dw"), F.col("c.iw").alias("iw"), F.col("c.tw").alias("tw"))
-    cells = cut(cells.groupBy(*where, "at", "dw", "iw", "tw").agg(F.max("same").alias("same")))
-    covered = cells.groupBy(*where).agg(F.count("*").alias("covered"), F.count_if("same").alias("exact"))
-    slots = cells.filter(F.col("tw").isin(_NAME, _NUMBER, _UNIT)).select(*where, "tw", "dw", "iw").distinct()
+    matches = matches.withColumn("diagonal", F.col("pos") - F.col("ipos"))
+    spans = matches.select(*where, "typed", F.explode(F.sequence(F.col("ipos"), F.col("ipos") + F.col("size") - 1)).alias("at"))
+    spans = spans.groupBy(*where, "at").agg(F.bool_or(~F.col("typed")).alias("same"))
+    covered = spans.groupBy(*where).agg(F.count("*").alias("covered"), F.count_if("same").alias("exact"))
+    slots = matches.filter("typed").select(*where, F.explode(F.arrays_zip("dw", "iw", "tw")).alias("c")).select(*where, "c.*").filter(_is_slot(F.col("tw"))).distinct()
+    slots = cut(slots)
     twice = slots.groupBy(*where, "tw", "iw").count().select(*where, "count").unionByName(slots.groupBy(*where, "tw", "dw").count().select(*where, "count"))
     odd = twice.groupBy(*where).agg((F.max("count") > 1).alias("odd"))
     need = F.least(F.lit(cover), F.col("n_tokens"))
-    hits = covered.join(odd, where, "left").filter((F.col("covered") >= need) & (~F.coalesce("odd", F.lit(False)) | (F.col("exact") >= need)))
+    hits = covered.join(odd, where, "left").filter((F.col("exact") >= need) | (F.col("covered") >= need) & ~F.coalesce("odd", F.lit(False)))
     return hits.groupBy("_id", "_th", "item_id").agg(F.max("covered").alias("covered"), F.max("n_tokens").alias("n_tokens")).withColumnsRenamed({"_id": "id", "_th": "th"})
 
 
