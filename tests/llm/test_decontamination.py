@@ -81,6 +81,17 @@ def test_copies_dense_in_placeholders(spark):
     assert leaked(spark, [*texts, f"{FILL}. What is 12 * 8 + 4 {FILL}", f"{FILL} add 31 32 33 34 35 36 37 38 39 40 41 42 43"], items) == {(0, 0), (1, 1), (2, 2)}
 
 
+def test_copies_in_other_contexts(spark):
+    """A capitalised first word inside a sentence, other line breaks and another case; other first words are no copy."""
+    items = ["What is the capital of the moon", "What is the capital of France", ITEM]
+    wrapped = ITEM.replace(" meets ", " meets\n").replace(" on ", "  on ").replace("40 miles", "65 miles").replace("after", "after\u00a0")
+    texts = [
+        f"he asked {items[0]} and left", f"we said, {items[0]} then", f"in 1990 {items[0]}", f"he asked What is the capital of Spain", "so Madrid is the capital of Spain",
+        wrapped, ITEM.replace("40 miles", "65 miles").upper(), f"{FILL}\n{items[0]}", "so\nWhat is\nthe capital  of the moon",
+    ]
+    assert leaked(spark, texts, items) == {(0, 0), (1, 0), (2, 0), (3, 1), (5, 2), (6, 2), (7, 0), (8, 0)}
+
+
 def test_keep_clean_keeps_columns_and_rows(spark, clashing, nothing):
     bench = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
     out = D.keep_clean(clashing, bench)

@@ -2,7 +2,9 @@
 
 Texts become tokens without punctuation and in lower case, and templates in which
 numbers, the units after them and names (capitalised words inside a sentence) are
-placeholders of their type. Windows of WINDOW template tokens of the benchmark meet
+placeholders of their type. White space is made one blank first. A second template has
+no names, for copies in another case; an item's first word, which may stand inside a
+sentence of the document, is taken both as a word and as a name that must be the same. Windows of WINDOW template tokens of the benchmark meet
 those of all documents by hash; windows that are mostly placeholders say nothing as
 templates. Besides, all windows of plain words meet those of the documents, whatever
 they hold. Windows of one document and item that lie on one diagonal belong to one
@@ -41,16 +43,16 @@ UNITS = (
 )
 
 
-def tokens_of(text: Column) -> tuple[Column, Column]:
-    """Plain tokens and template tokens of a text, place by place."""
-    text = F.coalesce(text, F.lit(""))
+def tokens_of(text: Column) -> tuple[Column, Column, Column]:
+    """Plain tokens of a text and its two templates, place by place: numbers and units, and names besides."""
+    text = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x01-\x20\x85\p{Z}]+", " ")
     named = F.regexp_replace(text, r"(?<=[\p{Ll}\p{Nd},;] )(?=\p{Lu}\p{Ll})", _NAME)
-    marked = F.regexp_replace(F.lower(named), r"[^\p{L}\p{N}\x01\x20\x09-\x0D]+", "")
-    marked = F.trim(F.regexp_replace(marked, r"[\x20\x09-\x0D]+", " "))
-    template = F.regexp_replace(marked, r"\x01[^ ]*", _NAME)
-    template = F.regexp_replace(template, r"(?<![^ ])\p{Nd}[^ ]*", _NUMBER)
-    template = F.regexp_replace(template, rf"(?<=\x02 )(?:{'|'.join(UNITS.split())})(?![^ ])", _UNIT)
-    return F.split(F.translate(marked, _NAME, ""), " "), F.split(template, " ")
+    marked = F.regexp_replace(F.lower(named), r"[^\p{L}\p{N}\x01 ]+", "")
+    marked = F.trim(F.regexp_replace(marked, "  +", " "))
+    numbers = F.regexp_replace(marked, r"(?<![^ ])\p{Nd}[^ ]*", _NUMBER)
+    numbers = F.regexp_replace(numbers, rf"(?<=\x02 )\x01?(?:{'|'.join(UNITS.split())})(?![^ ])", _UNIT)
+    names = F.regexp_replace(numbers, r"\x01[^ ]*", _NAME)
+    return F.split(F.translate(marked, _NAME, ""), " "), F.split(F.translate(numbers, _NAME, ""), " "), F.split(names, " ")
 
 
 def _is_slot(token: Column) -> Column:
@@ -65,44 +67,54 @@ def _windows(tokens: str, size) -> Column:
 
 
 def _wanted(items: DataFrame, window: int) -> DataFrame:
-    """The windows of the items: hash, typed, size, item_id, ipos, n_tokens, and for typed ones their words iw and tokens tw.
+    """The windows of the items: hash, kind, size, item_id, ipos, n_tokens, and for templates fixed, the words iw and tokens tw.
 
-    All windows of plain words, and the typed ones (with placeholders, but not mostly placeholders).
+    All windows of plain words (kind 0), and those with numbers (1) or names (2) that are not mostly placeholders. An
+    item's first word is a name or not by what stands before it: in a fixed window it is one, but must be the same.
     """
-    n = F.size("ip")
+    n = F.size("p")
     size = F.least(F.lit(window), n)
-    plain = items.select("item_id", n.alias("n_tokens"), size.alias("size"), F.posexplode(_windows("ip", size)).alias("ipos", "hash"))
-    plain = plain.select("hash", F.lit(False).alias("typed"), "size", "item_id", "ipos", "n_tokens", *[F.lit(None).cast("array<string>").alias(c) for c in ("iw", "tw")])
-    typed = items.select("item_id", "ip", "it", n.alias("n_tokens"), size.alias("size"), F.posexplode(_windows("it", size)).alias("ipos", "hash"))
-    typed = typed.select("hash", F.lit(True).alias("typed"), "size", "item_id", "ipos", "n_tokens", *[F.slice(c, F.col("ipos") + 1, F.col("size")).alias(o) for c, o in (("ip", "iw"), ("it", "tw"))])
-    slots = F.size(F.filter("tw", _is_slot))
-    return plain.unionByName(typed.filter((slots > 0) & (2 * slots <= F.col("size"))))
+    plain = items.select("item_id", n.alias("n_tokens"), size.alias("size"), F.posexplode(_windows("p", size)).alias("ipos", "hash"))
+    out = plain.select("hash", F.lit(0).alias("kind"), "size", "item_id", "ipos", "n_tokens", F.lit(False).alias("fixed"), *[F.lit(None).cast("array<string>").alias(c) for c in ("iw", "tw")])
+    for kind, column, fixed in ((1, "t1", False), (2, "t2", False), (2, "b2", True)):
+        rows = items.filter((F.element_at("b2", 1) == _NAME) & (F.element_at("t2", 1) != _NAME)) if fixed else items
+        rows = rows.select("item_id", "p", column, n.alias("n_tokens"), size.alias("size"), F.posexplode(_windows(column, size)).alias("ipos", "hash"))
+        rows = rows.select("*", *[F.slice(c, F.col("ipos") + 1, F.col("size")).alias(o) for c, o in (("p", "iw"), (column, "tw"))])
+        if fixed:
+            rows = rows.filter("ipos = 0").withColumn("tw", F.concat(F.slice("iw", 1, 1), F.slice("tw", 2, window)))
+        slots = F.filter("tw", _is_slot)
+        rows = rows.filter((F.array_contains(slots, _NAME) if kind == 2 else F.size(slots) > 0) & (2 * F.size(slots) <= F.col("size")))
+        out = out.unionByName(rows.select("hash", F.lit(kind).alias("kind"), "size", "item_id", "ipos", "n_tokens", F.lit(fixed).alias("fixed"), "iw", "tw"))
+    return out
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cover: int = COVER) -> DataFrame:
     """id, th (the row of docs, see text_key), item_id, covered (tokens), n_tokens of the item: one row per leaked item."""
-    plain, template = tokens_of(F.col("text"))
-    items = cut(benchmark.select("item_id", plain.alias("ip"), template.alias("it")).filter(F.element_at("ip", 1) != "").dropDuplicates(["item_id", "ip", "it"]))
+    plain, numbers, names = tokens_of(F.col("text"))
+    within = tokens_of(F.concat(F.lit("x "), "text"))[2]
+    items = benchmark.select("item_id", plain.alias("p"), numbers.alias("t1"), names.alias("t2"), F.slice(within, 2, F.size(within)).alias("b2"))
+    items = cut(items.filter(F.element_at("p", 1) != "").dropDuplicates(["item_id", "p", "t2"]))
     wanted = cut(_wanted(items, window))
-    kinds = [(r["typed"], r["size"]) for r in wanted.select("typed", "size").distinct().collect()]  # at most 2 * window of them
+    kinds = [(r["kind"], r["size"]) for r in wanted.select("kind", "size").distinct().collect()]  # at most 3 * window of them
     if not kinds:
         return docs.select(*text_key()).select(F.col("_id").alias("id"), F.col("_th").alias("th"), F.lit(None).cast("long").alias("item_id"), F.lit(0).alias("covered"), F.lit(0).alias("n_tokens")).limit(0)
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    base = docs.select(*text_key(), plain.alias("p"), template.alias("t"))
-    # a text without placeholders has plain windows only
-    hashes = F.array(*[F.when(F.col("p") != F.col("t"), _windows("t", F.lit(size))) if typed else _windows("p", F.lit(size)) for typed, size in sorted(kinds)])
+    base = docs.select(*text_key(), plain.alias("p"), numbers.alias("t1"), names.alias("t2"))
+    # a template that equals the one before has no windows of its own
+    windows = {0: lambda size: _windows("p", size), 1: lambda size: F.when(F.col("t1") != F.col("p"), _windows("t1", size)), 2: lambda size: F.when(F.col("t2") != F.col("t1"), _windows("t2", size))}
+    hashes = F.array(*[windows[kind](F.lit(size)) for kind, size in sorted(kinds)])
     places = base.select("_id", "_th", "p", F.explode(hashes).alias("hashes")).select("_id", "_th", "p", F.posexplode("hashes").alias("pos", "hash"))
-    met = places.join(wanted, "hash")
-    dw = F.when(F.col("typed"), F.slice("p", F.col("pos") + 1, F.col("size"))).alias("dw")
-    matches = cut(met.select("_id", "_th", "item_id", "n_tokens", "typed", "pos", "ipos", "size", dw, "iw", "tw").dropDuplicates(["_id", "_th", "item_id", "n_tokens", "typed", "pos", "ipos"]))
+    met = places.join(wanted, "hash").withColumn("dw", F.when(F.col("kind") > 0, F.slice("p", F.col("pos") + 1, F.col("size"))))
+    met = met.filter(~F.col("fixed") | (F.col("dw")[0] == F.col("iw")[0]))
+    matches = cut(met.select("_id", "_th", "item_id", "n_tokens", "kind", "fixed", "pos", "ipos", "size", "dw", "iw", "tw").dropDuplicates(["_id", "_th", "item_id", "n_tokens", "kind", "fixed", "pos", "ipos"]))
 
     where = ["_id", "_th", "item_id", "n_tokens", "diagonal"]
     matches = matches.withColumn("diagonal", F.col("pos") - F.col("ipos"))
-    spans = matches.select(*where, "typed", F.explode(F.sequence(F.col("ipos"), F.col("ipos") + F.col("size") - 1)).alias("at"))
-    spans = spans.groupBy(*where, "at").agg(F.bool_or(~F.col("typed")).alias("same"))
+    spans = matches.select(*where, "kind", F.explode(F.sequence(F.col("ipos"), F.col("ipos") + F.col("size") - 1)).alias("at"))
+    spans = spans.groupBy(*where, "at").agg(F.bool_or(F.col("kind") == 0).alias("same"))
     covered = spans.groupBy(*where).agg(F.count("*").alias("covered"), F.count_if("same").alias("exact"))
-    slots = matches.filter("typed").select(*where, F.explode(F.arrays_zip("dw", "iw", "tw")).alias("c")).select(*where, "c.*").filter(_is_slot(F.col("tw"))).distinct()
+    slots = matches.filter("kind > 0").select(*where, F.explode(F.arrays_zip("dw", "iw", "tw")).alias("c")).select(*where, "c.*").filter(_is_slot(F.col("tw"))).distinct()
     slots = cut(slots)
     twice = slots.groupBy(*where, "tw", "iw").count().select(*where, "count").unionByName(slots.groupBy(*where, "tw", "dw").count().select(*where, "count"))
     odd = twice.groupBy(*where).agg((F.max("count") > 1).alias("odd"))
