@@ -92,6 +92,18 @@ def test_copies_in_other_contexts(spark):
     assert leaked(spark, texts, items) == {(0, 0), (1, 0), (2, 0), (3, 1), (5, 2), (6, 2), (7, 0), (8, 0)}
 
 
+def test_values_of_other_lengths_and_inserted_words(spark):
+    """Values of another number of words and a word more are leaks; repeats in a document do not fill an item."""
+    item = "each of the children gave Anna a total of 1000 coins for the trip to the sea"
+    short = "then Anna paid 1000 coins for all of the tickets"
+    plain = "every morning the old keeper climbs the long stairs and lights a lamp for ships passing in the night"
+    beat = " ".join(["left right"] * 15)
+    longer = [t.replace("Anna", "Mary Ann").replace("1000", "1 000") for t in (item, short)]
+    inserted = plain.replace("stairs and", "stairs slowly and")
+    texts = [*longer, inserted, " ".join(["left right"] * 5), beat, longer[0].replace("a total of", "in all some"), item]
+    assert leaked(spark, [f"{FILL}. {t} {FILL}" for t in texts], [item, short, plain, beat]) == {(0, 0), (1, 1), (2, 2), (4, 3), (6, 0)}
+
+
 def test_keep_clean_keeps_columns_and_rows(spark, clashing, nothing):
     bench = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
     out = D.keep_clean(clashing, bench)

@@ -2,14 +2,14 @@
 
 Texts become tokens without punctuation and in lower case, and templates in which
 numbers, the units after them and names (capitalised words inside a sentence) are
-placeholders of their type. White space is made one blank first. A second template has
+placeholders of their type; a run of numbers or of names is one placeholder. White space is made one blank first. A second template has
 no names, for copies in another case; an item's first word, which may stand inside a
 sentence of the document, is taken both as a word and as a name that must be the same. Windows of WINDOW template tokens of the benchmark meet
 those of all documents by hash; windows that are mostly placeholders say nothing as
 templates. Besides, all windows of plain words meet those of the documents, whatever
-they hold. Windows of one document and item that lie on one diagonal belong to one
-occurrence. It is a leak if it covers COVER tokens (all of a shorter item)
-and its slots are consistent: one value of the item stands for one value of the
+they hold. Windows of one document and item that lie on one diagonal, or on diagonals
+at most SHIFT words apart (a word more or less), belong to one occurrence. It is a leak if it covers COVER tokens (all of a shorter item),
+half as many of them outside placeholders, and its slots are consistent: one value of the item stands for one value of the
 document throughout, and the other way round. So an item with new numbers or names
 is caught, a text that shares its phrases with changing values is not, unless
 windows of plain words cover COVER tokens of the item.
@@ -26,16 +26,18 @@ Other columns are not read; `keep_clean` keeps them as they are.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicloom.llm._spark import cut, text_key, without
 
 WINDOW, COVER = 8, 13
+#: Occurrences whose diagonals are at most so many words apart are added up.
+SHIFT = 4
 BROADCAST_ROWS = 200_000
 NULL_ID = 2**63 - 1
 
-_NAME, _NUMBER, _UNIT = "\x01", "\x02", "\x03"
+_NAME, _NUMBER, _UNIT, _JOINED = "\x01", "\x02", "\x03", "\x04"
 #: Words that are units when a number stands before them.
 UNITS = (
     "mm cm m km inch inches ft foot feet yard yards mile miles mg g kg t ton tons tonne tonnes oz lb lbs pound pounds ml cl l liter liters litre litres gallon gallons ms s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years "
@@ -44,17 +46,40 @@ UNITS = (
 
 
 def tokens_of(text: Column) -> tuple[Column, Column, Column]:
-    """Plain tokens of a text and its two templates, place by place: numbers and units, and names besides."""
+    """Plain tokens of a text and its two templates, place by place: numbers and units, and names besides.
+
+    A run of numbers or of names is one placeholder; its later places hold _JOINED.
+    """
     text = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x01-\x20\x85\p{Z}]+", " ")
     named = F.regexp_replace(text, r"(?<=[\p{Ll}\p{Nd},;] )(?=\p{Lu}\p{Ll})", _NAME)
     marked = F.regexp_replace(F.lower(named), r"[^\p{L}\p{N}\x01 ]+", "")
     marked = F.trim(F.regexp_replace(marked, "  +", " "))
     numbers = F.regexp_replace(marked, r"(?<![^ ])\p{Nd}[^ ]*", _NUMBER)
     numbers = F.regexp_replace(numbers, rf"(?<=\x02 )\x01?(?:{'|'.join(UNITS.split())})(?![^ ])", _UNIT)
+    numbers = F.regexp_replace(numbers, r"(?<=[\x02\x04] )\x02", _JOINED)
     names = F.regexp_replace(numbers, r"\x01[^ ]*", _NAME)
+    names = F.regexp_replace(names, r"(?<=\x01 )\x01", _JOINED)
     return F.split(F.translate(marked, _NAME, ""), " "), F.split(F.translate(numbers, _NAME, ""), " "), F.split(names, " ")
 
 
+def _joined(column: str) -> list[Column]:
+    """c and s of a template: its tokens, and where they start among the plain ones (null: each at its own place)."""
+    some = F.array_contains(column, _JOINED)
+    starts = F.filter(F.sequence(F.lit(0), F.size(column) - 1), lambda i: F.get(column, i) != _JOINED)
+    return [F.when(some, F.filter(column, lambda x: x != _JOINED)).otherwise(F.col(column)).alias(f"c{column}"), F.when(some, starts).alias(f"s{column}")]
+
+
+def _starts(at: str, places: str) -> Column:
+    """Places of the tokens of a window among the plain ones (p), and of the token after it."""
+    span = F.sequence(F.col(at), F.col(at) + F.col("size"))
+    return F.when(F.col(places).isNull(), span).otherwise(F.transform(span, lambda i: F.coalesce(F.get(places, i), F.size("p"))))
+
+
+def _values(starts: str) -> Column:
+    """The words of each token of a window."""
+    return F.transform(F.sequence(F.lit(1), F.size(starts) - 1), lambda i: F.array_join(F.slice("p", F.element_at(starts, i) + 1, F.element_at(starts, i + 1) - F.element_at(starts, i)), " "))
+
+
 def _is_slot(token: Column) -> Column:
     return token.isin(_NAME, _NUMBER, _UNIT)
 
@@ -67,24 +92,27 @@ def _windows(tokens: str, size) -> Column:
 
 
 def _wanted(items: DataFrame, window: int) -> DataFrame:
-    """The windows of the items: hash, kind, size, item_id, ipos, n_tokens, and for templates fixed, the words iw and tokens tw.
+    """The windows of the items: hash, kind, size, item_id, ipos, n_tokens, fixed, iat (see _starts), for templates the words iw and tokens tw.
 
     All windows of plain words (kind 0), and those with numbers (1) or names (2) that are not mostly placeholders. An
     item's first word is a name or not by what stands before it: in a fixed window it is one, but must be the same.
     """
-    n = F.size("p")
-    size = F.least(F.lit(window), n)
-    plain = items.select("item_id", n.alias("n_tokens"), size.alias("size"), F.posexplode(_windows("p", size)).alias("ipos", "hash"))
-    out = plain.select("hash", F.lit(0).alias("kind"), "size", "item_id", "ipos", "n_tokens", F.lit(False).alias("fixed"), *[F.lit(None).cast("array<string>").alias(c) for c in ("iw", "tw")])
-    for kind, column, fixed in ((1, "t1", False), (2, "t2", False), (2, "b2", True)):
+    n, no_words = F.size("p"), F.lit(None).cast("array<string>")
+    out = None
+    for kind, column, fixed in ((0, "p", False), (1, "t1", False), (2, "t2", False), (2, "b2", True)):
         rows = items.filter((F.element_at("b2", 1) == _NAME) & (F.element_at("t2", 1) != _NAME)) if fixed else items
-        rows = rows.select("item_id", "p", column, n.alias("n_tokens"), size.alias("size"), F.posexplode(_windows(column, size)).alias("ipos", "hash"))
-        rows = rows.select("*", *[F.slice(c, F.col("ipos") + 1, F.col("size")).alias(o) for c, o in (("p", "iw"), (column, "tw"))])
-        if fixed:
-            rows = rows.filter("ipos = 0").withColumn("tw", F.concat(F.slice("iw", 1, 1), F.slice("tw", 2, window)))
-        slots = F.filter("tw", _is_slot)
-        rows = rows.filter((F.array_contains(slots, _NAME) if kind == 2 else F.size(slots) > 0) & (2 * F.size(slots) <= F.col("size")))
-        out = out.unionByName(rows.select("hash", F.lit(kind).alias("kind"), "size", "item_id", "ipos", "n_tokens", F.lit(fixed).alias("fixed"), "iw", "tw"))
+        rows = rows.select("item_id", "p", n.alias("n_tokens"), *_joined(column)).withColumnsRenamed({f"c{column}": "c", f"s{column}": "s"}).withColumn("size", F.least(F.lit(window), F.size("c")))
+        rows = rows.select("*", F.posexplode(_windows("c", F.col("size"))).alias("k", "hash")).withColumn("iat", _starts("k", "s"))
+        if kind:
+            rows = rows.withColumns({"iw": _values("iat"), "tw": F.slice("c", F.col("k") + 1, F.col("size"))})
+            if fixed:
+                rows = rows.filter("k = 0").withColumn("tw", F.concat(F.slice("iw", 1, 1), F.slice("tw", 2, window)))
+            slots = F.filter("tw", _is_slot)
+            rows = rows.filter((F.array_contains(slots, _NAME) if kind == 2 else F.size(slots) > 0) & (2 * F.size(slots) <= F.col("size")))
+        else:
+            rows = rows.withColumns({"iw": no_words, "tw": no_words})
+        rows = rows.select("hash", F.lit(kind).alias("kind"), "size", "item_id", F.col("iat")[0].alias("ipos"), "n_tokens", F.lit(fixed).alias("fixed"), "iat", "iw", "tw")
+        out = rows if out is None else out.unionByName(rows)
     return out
 
 
@@ -101,25 +129,37 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cover: in
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     base = docs.select(*text_key(), plain.alias("p"), numbers.alias("t1"), names.alias("t2"))
-    # a template that equals the one before has no windows of its own
-    windows = {0: lambda size: _windows("p", size), 1: lambda size: F.when(F.col("t1") != F.col("p"), _windows("t1", size)), 2: lambda size: F.when(F.col("t2") != F.col("t1"), _windows("t2", size))}
-    hashes = F.array(*[windows[kind](F.lit(size)) for kind, size in sorted(kinds)])
-    places = base.select("_id", "_th", "p", F.explode(hashes).alias("hashes")).select("_id", "_th", "p", F.posexplode("hashes").alias("pos", "hash"))
-    met = places.join(wanted, "hash").withColumn("dw", F.when(F.col("kind") > 0, F.slice("p", F.col("pos") + 1, F.col("size"))))
-    met = met.filter(~F.col("fixed") | (F.col("dw")[0] == F.col("iw")[0]))
-    matches = cut(met.select("_id", "_th", "item_id", "n_tokens", "kind", "fixed", "pos", "ipos", "size", "dw", "iw", "tw").dropDuplicates(["_id", "_th", "item_id", "n_tokens", "kind", "fixed", "pos", "ipos"]))
-
-    where = ["_id", "_th", "item_id", "n_tokens", "diagonal"]
-    matches = matches.withColumn("diagonal", F.col("pos") - F.col("ipos"))
-    spans = matches.select(*where, "kind", F.explode(F.sequence(F.col("ipos"), F.col("ipos") + F.col("size") - 1)).alias("at"))
-    spans = spans.groupBy(*where, "at").agg(F.bool_or(F.col("kind") == 0).alias("same"))
-    covered = spans.groupBy(*where).agg(F.count("*").alias("covered"), F.count_if("same").alias("exact"))
-    slots = matches.filter("kind > 0").select(*where, F.explode(F.arrays_zip("dw", "iw", "tw")).alias("c")).select(*where, "c.*").filter(_is_slot(F.col("tw"))).distinct()
-    slots = cut(slots)
+    # a template that equals the one before has no windows of its own; plain windows take no words along
+    base = base.select("_id", "_th", "p", (F.col("t1") != F.col("p")).alias("d1"), (F.col("t2") != F.col("t1")).alias("d2"), *_joined("t1"), *_joined("t2"))
+    tokens = {0: F.col("p"), 1: F.when(F.col("d1"), F.col("ct1")), 2: F.when(F.col("d2"), F.col("ct2"))}
+    starts = {0: F.lit(None).cast("array<int>"), 1: F.col("st1"), 2: F.col("st2")}
+    words = {0: F.lit(None).cast("array<string>"), 1: F.col("p"), 2: F.col("p")}
+    branches = [F.struct(F.lit(size).alias("z"), tokens[kind].alias("c"), starts[kind].alias("s"), words[kind].alias("p")) for kind, size in sorted(kinds)]
+    places = base.select("_id", "_th", F.explode(F.array(*branches)).alias("b")).select("_id", "_th", "b.*").filter(F.size("c") >= F.col("z"))
+    # the generator is lazy: a long text's windows are never held together
+    places = places.select("_id", "_th", "p", "s", F.posexplode(_windows("c", F.col("z"))).alias("k", "hash"))
+    met = places.join(wanted, "hash").withColumn("dat", _starts("k", "s")).withColumn("dw", F.when(F.col("kind") > 0, _values("dat"))).withColumn("diagonal", F.col("dat")[0] - F.col("ipos"))
+    pair = ["_id", "_th", "item_id", "n_tokens"]
+    matches = cut(met.select(*pair, "kind", "fixed", "diagonal", "ipos", "dat", "iat", "dw", "iw", "tw").dropDuplicates([*pair, "kind", "fixed", "diagonal", "ipos"]))
+    matches = matches.filter(~F.col("fixed") | (F.col("dw")[0] == F.col("iw")[0]))
+
+    # occurrences: each diagonal alone, and neighbouring ones together
+    order = Window.partitionBy(*pair).orderBy("diagonal")
+    apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > SHIFT, F.lit(False))
+    chains = matches.select(*pair, "diagonal").distinct().withColumn("apart", apart.cast("int")).select(*pair, "diagonal", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("chain"))
+    both = F.array(F.struct(F.lit(True).alias("alone"), F.col("diagonal").cast("long").alias("n")), F.struct(F.lit(False).alias("alone"), F.col("chain").alias("n")))
+    matches = cut(matches.join(chains, [*pair, "diagonal"]).withColumn("part", F.explode(both)))
+    where = [*pair, "part"]
+    # a place of the item and one of the document count once, so that repeats in one do not fill the other
+    cell = F.flatten(F.transform(F.sequence(F.lit(0), F.size("iat") - 2), lambda j: F.transform(F.sequence(F.get("iat", j), F.get("iat", j + 1) - 1), lambda i: F.struct(i.alias("at"), (F.get("dat", j).cast("long") * 2**20 + i - F.get("iat", j)).alias("there"), F.coalesce(~_is_slot(F.get("tw", j)), F.lit(True)).alias("word")))))
+    cells = matches.select(*where, (F.col("kind") == 0).alias("same"), F.explode(cell).alias("c"))
+    sides = [cells.groupBy(*where, F.col(f"c.{c}").alias("at")).agg(F.bool_or("same").alias("same"), F.bool_or("c.word").alias("word")).groupBy(*where).agg(F.count("*").alias("n"), F.count_if("same").alias("e"), F.count_if("word").alias("w")) for c in ("at", "there")]
+    covered = sides[0].unionByName(sides[1]).groupBy(*where).agg(F.min("n").alias("covered"), F.min("e").alias("exact"), F.min("w").alias("words"))
+    slots = cut(matches.filter("kind > 0").select(*where, F.explode(F.arrays_zip("dw", "iw", "tw")).alias("c")).select(*where, "c.*").filter(_is_slot(F.col("tw"))).distinct())
     twice = slots.groupBy(*where, "tw", "iw").count().select(*where, "count").unionByName(slots.groupBy(*where, "tw", "dw").count().select(*where, "count"))
     odd = twice.groupBy(*where).agg((F.max("count") > 1).alias("odd"))
     need = F.least(F.lit(cover), F.col("n_tokens"))
-    hits = covered.join(odd, where, "left").filter((F.col("exact") >= need) | (F.col("covered") >= need) & ~F.coalesce("odd", F.lit(False)))
+    hits = covered.join(odd, where, "left").filter((F.col("exact") >= need) | (F.col("covered") >= need) & (2 * F.col("words") >= need) & ~F.coalesce("odd", F.lit(False)))
     return hits.groupBy("_id", "_th", "item_id").agg(F.max("covered").alias("covered"), F.max("n_tokens").alias("n_tokens")).withColumnsRenamed({"_id": "id", "_th": "th"})
 
 
