@@ -345,6 +345,16 @@ def test_sharding(spark, rows, docs, clashing, nothing):
     assert sharding.shard_rows(nothing).count() == 0
 
 
+def test_sharding_where_every_text_is_repeated(spark):
+    rows = [(i, f"text {i // 2}") for i in range(6000)]
+    got = sharding.shard_rows(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    check_law(got, rows)
+    pairs = defaultdict(set)
+    for r in got:
+        pairs[r["doc_id"] // 2].add(r["shard"])
+    assert sum(len(x) > 1 for x in pairs.values()) < 0.05 * len(pairs)
+
+
 def test_sharding_splits_few_groups_and_a_hot_one_evenly(spark):
     rows = [(i, "hot" if i % 3 == 0 else f"pair {i // 7}" if i % 3 == 1 else f"lone {i}") for i in range(3000)]
     got = sharding.shard_rows(spark.createDataFrame(rows, "doc_id long, text string")).collect()

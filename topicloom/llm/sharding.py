@@ -6,8 +6,9 @@ shards that hold fewer move there as far as that shard's quota lasts: a destinat
 takes linked rows up to its share of all rows, and where more want in, the hash of
 row and round says who goes. Shards that are nearly full are closed and keep what
 they have, so a group larger than a shard fills one after the other. Counts for each
-group and shard are pre-aggregated; only a table of a row per shard reaches the
-driver.
+group and shard are pre-aggregated; only a table of a row per pair of shards reaches
+the driver. Then rows of full shards trade places: as many go from one shard to another
+as come back, or as it has room for.
 
 Last, the law "rows" is made exact: rows get their slot from counts of (shard,
 linked or not, bucket), the rows beyond a shard's share (the unlinked come last, so
@@ -66,6 +67,31 @@ def propagate(linked: DataFrame, shares: dict[int, int], rounds: int = ROUNDS) -
         moved = F.when(F.col("best").isNotNull() & (_chance("key", F.lit(number)) < F.col("rate")), F.col("best")).otherwise(F.col("shard"))
         linked = cut(linked.join(cut(go), ["group", "shard"], "left").select("key", "group", moved.alias("shard")))
         held = {r["shard"]: r["n"] for r in linked.groupBy("shard").agg(F.count("*").alias("n")).collect()}
+    return _swap(linked, shares, rounds)
+
+
+def _swap(linked: DataFrame, shares: dict[int, int], rounds: int) -> DataFrame:
+    """Rows of full shards trade places: what goes from one shard to another is matched by what comes back, or by free places."""
+    for number in range(rounds):
+        parts = cut(linked.groupBy("group", "shard").agg(F.count("*").alias("n")))
+        held = {r["shard"]: r["n"] for r in parts.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
+        # a tie is cast anew each time, so that flows of one direction only find a match
+        rank = F.struct("n", F.xxhash64("group", "shard", F.lit(number)))
+        top = parts.groupBy("group").agg(F.max_by("shard", rank).alias("best"), F.count("*").alias("k")).filter("k > 1").select("group", "best")
+        wants = cut(parts.join(top, "group").filter(F.col("shard") != F.col("best")))
+        flows = {(r["shard"], r["best"]): r["n"] for r in wants.groupBy("shard", "best").agg(F.sum("n").alias("n")).collect()}
+        if not flows:
+            break
+        matched = {(a, b): min(n, flows.get((b, a), 0)) for (a, b), n in flows.items()}
+        left = {b: sum(n - matched[k] for k, n in flows.items() if k[1] == b) for b in shares}
+        room = {b: max(0, shares[b] - held.get(b, 0)) for b in shares}
+        rates = [(a, b, UNIT * (matched[a, b] * left[b] + (n - matched[a, b]) * min(room[b], left[b])) // (n * left[b]) if left[b] else UNIT) for (a, b), n in flows.items()]
+        if not any(r[2] for r in rates):
+            break
+        table = linked.sparkSession.createDataFrame(rates, "shard int, best int, rate long")
+        go = cut(wants.join(F.broadcast(table), ["shard", "best"]).select("group", "shard", "best", "rate"))
+        moved = F.when(F.col("best").isNotNull() & (_chance("key", F.lit(-1 - number)) < F.col("rate")), F.col("best")).otherwise(F.col("shard"))
+        linked = cut(linked.join(go, ["group", "shard"], "left").select("key", "group", moved.alias("shard")))
     return linked
 
 
