@@ -85,3 +85,17 @@ def test_defined_results(page, text):
 def test_extract_table(spark):
     got = {r["page_id"]: r for r in html_text.extract(spark.createDataFrame([(*r, "x") for r in ROWS], f"{SCHEMA}, text string")).collect()}
     assert got[7]["text"] == "é✓" and got[7]["n_chars"] == 2 and got[3]["text"] == "" and got[5]["n_chars"] == 100_000
+
+
+def test_noisy_names_need_noisy_text():
+    """Wrappers and states that only mention a noisy part keep the article; parts that are noise go."""
+    text = "<p>" + "The story of the day has many plain words in it and goes on. " * 8 + "</p>"
+    want = " ".join(("The story of the day has many plain words in it and goes on. " * 8).split())
+    nav = '<div class="sidebar"><a href="/a">one link</a> <a href="/b">two links</a></div>'
+    notes = '<div id="comments"><article class="comment"><p>First!</p></article><div class="comment-body"><p>Second!</p></div></div>'
+    for wrapper in ('<div class="page has-sidebar">', '<div class="no-sidebar">', '<div class="with-banner">', '<div class="sidebar-layout">', '<article class="post comments-closed">', '<div id="promo"><article>'):
+        for body in ("<body>", '<body class="single comments-open">'):
+            page = f"<html>{body}{wrapper}{text * 2}{'</article>' * ('<article' in wrapper)}{nav}{notes}</div></body></html>"
+            assert html_text.main_text(page) == f"{want}\n{want}", (body, wrapper)
+    assert html_text.main_text(f'<body><article><div class="entry-header"><h1>A title</h1></div>{text}</article>{notes}</body>') == f"A title\n{want}"
+    assert html_text.main_text('<body><div class="ad">Buy two of these and get one more for nothing.</div><article><h1>A short title</h1></article></body>') == "A short title"

@@ -10,7 +10,9 @@ is the threshold: walking down from the body, subtrees that reach it are searche
 for their own largest sums, and the one with the largest text is the article. It is
 widened to the <article> or <main> that it lies in. Parts that are never main text
 (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles,
-comments) take no part in the densities and are left out of the result.
+comments) take no part in the densities and are left out of the result. Where only a
+class, id or role names such a part, its share of the page's text, its links or its
+density must agree, and it must not hold an <article> or <main>.
 
 Defined results: null or empty html, and pages without text, give an empty text;
 unclosed and stray tags are tolerated as browsers do in the common cases (p, li,
@@ -44,6 +46,13 @@ DROP = frozenset("script style noscript template iframe object embed svg math ca
 NOISE = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe sidebar side aside rail widget widgets nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager header masthead footer foot copyright comment comments reply replies respond disqus discussion social share sharing related recommended recommendations toolbar skip search login signup complementary contentinfo alert".split()
 )
+#: Classes that begin or end so say how a page looks, not what an element is.
+BEFORE, AFTER = frozenset("has with without no".split()), frozenset("open closed".split())
+#: A "header" of these, or inside an article, is its heading.
+OF_TEXT = frozenset("entry post article story".split())
+COMMENTS = frozenset("comment comments".split())
+#: An element of a noisy name is noise if it holds at most this part of the page's text, or this part of its own text is links, or its density is under the rest's; besides the page's article it always is.
+SMALL_PART, LINK_PART = 0.25, 0.5
 #: A start tag of the key ends these open elements, up to the given ancestors.
 CLOSES = {
     **dict.fromkeys(BLOCK - {"body", "html", "option", "optgroup", "tr", "td", "th", "tbody", "thead", "tfoot", "caption"}, (("p",), ("table", "td", "th", "button", "object"))),
@@ -59,32 +68,64 @@ CLOSES = {
 
 
 class Node:
-    __slots__ = ("chars", "density", "density_sum", "drop", "items", "link_chars", "link_tags", "parent", "tag", "tags")
+    __slots__ = ("chars", "density", "density_sum", "drop", "items", "link_chars", "link_tags", "parent", "soft", "tag", "tags")
 
-    def __init__(self, tag: str, parent: Node | None, drop: bool):
-        self.tag, self.parent, self.drop, self.items = tag, parent, drop, []
+    def __init__(self, tag: str, parent: Node | None, drop: bool, soft: bool = False):
+        self.tag, self.parent, self.drop, self.soft, self.items = tag, parent, drop, soft, []
         self.chars = self.link_chars = self.tags = self.link_tags = 0
         self.density = self.density_sum = 0.0
 
 
-def _noise(tag: str, attrs: str, inside_article: bool) -> bool:
-    if tag in DROP:
-        return True
-    if tag == "header":
-        return not inside_article
-    if not attrs or tag in ("html", "body", "article", "main") and "comment" not in attrs:
+def _noise(tag: str, inside_article: bool) -> bool:
+    return tag in DROP or tag == "header" and not inside_article
+
+
+def _noisy_name(tag: str, attrs: str, inside_article: bool) -> bool:
+    """Whether class, id or role name a part that is seldom main text; an article is one only as a comment."""
+    if not attrs or tag in ("html", "body", "main", "#root") or tag == "article" and "comment" not in attrs.lower():
         return False
     for m in _ATTR.finditer(attrs):
-        if NOISE.intersection(re.split(r"[^a-z]+", (m[2] or m[3] or m[4] or "").lower())):
-            return True
+        for name in (m[2] or m[3] or m[4] or "").lower().split():
+            words = re.findall("[a-z]+", name)
+            if not words or len(words) > 1 and (words[0] in BEFORE or words[-1] in AFTER):
+                continue
+            noisy = (COMMENTS if tag == "article" else NOISE).intersection(words)
+            if noisy and not (noisy == {"header"} and (inside_article or OF_TEXT.intersection(words))):
+                return True
     return False
 
 
+def _settle(root: Node) -> None:
+    """Elements of a noisy name become noise where their text agrees, the outer ones first; what holds an article never does."""
+    order, stack = [], [(root, False)]
+    while stack:
+        node, link = stack.pop()
+        order.append((node, link))
+        stack.extend((x, link or x.tag == "a") for x in node.items if isinstance(x, Node) and not x.drop)
+    told: dict[int, list] = {}  # characters, characters of links, tags, whether an article lies in it
+    for node, link in reversed(order):
+        own = sum(len(x) - x.count(" ") - x.count("\n") for x in node.items if isinstance(x, str))
+        inner = [told[id(x)] for x in node.items if isinstance(x, Node) and not x.drop]
+        told[id(node)] = [own + sum(x[0] for x in inner), (own if link else 0) + sum(x[1] for x in inner), len(inner) + sum(x[2] for x in inner), False]
+        told[id(node)][3] = any(x[3] for x in inner) or node.tag in ("article", "main") and not node.soft and told[id(node)][0] > 0
+    chars, _, tags, article = told[id(root)]
+    stack = [(root, False)]
+    while stack:
+        node, inside = stack.pop()
+        if node.soft:
+            c, lc, t, holds = told[id(node)]
+            rest = (chars - c) / max(tags - t, 1)
+            node.drop = not holds and (article and not inside or c <= SMALL_PART * chars or lc >= LINK_PART * c or c / max(t, 1) < rest)
+        if not node.drop:
+            inside = inside or node.tag in ("article", "main") and not node.soft
+            stack.extend((x, inside) for x in node.items if isinstance(x, Node))
+
+
 def parse(page: str) -> Node:
     """The tree of a page; strings and nodes in order in items."""
     root = Node("#root", None, False)
     at, here, n = 0, root, len(page)
-    articles = 0
+    articles, soft = 0, False
     while at < n:
         m = _TOKEN.search(page, at)
         if not m:
@@ -120,7 +161,9 @@ def parse(page: str) -> Node:
                 up = up.parent
             if found is not None:
                 here = found.parent
-        node = Node(tag, here, _noise(tag, m[3], articles > 0))
+        drop = _noise(tag, articles > 0)
+        node = Node(tag, here, drop, not drop and _noisy_name(tag, m[3], articles > 0))
+        soft = soft or node.soft
         here.items.append(node)
         if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
             continue
@@ -133,6 +176,8 @@ def parse(page: str) -> Node:
             continue
         here = node
         articles += tag in ("article", "main")
+    if soft:
+        _settle(root)
     return root
 
 
