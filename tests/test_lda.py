@@ -168,3 +168,12 @@ def test_streaming_counts_each_batch_once(spark, tmp_path):
     # a replayed stream (its checkpoint lost) finds its versions and adds nothing
     train_stream(text_stream(spark, str(folder), 2), lda, WORDS, str(tmp_path / "models"), str(tmp_path / "other")).awaitTermination()
     assert latest(spark, str(tmp_path / "models")).num_updates == 3
+
+
+def test_lambda_over_the_bound_is_joined(docs, params, model, monkeypatch):
+    """Training and transform give the same beyond BROADCAST_BYTES."""
+    want = {(r["doc_id"], r["topic"]): r["proportion"] for r in L.OnlineLda(params).transform(docs, model).collect()}
+    monkeypatch.setattr(L, "BROADCAST_BYTES", 0)
+    np.testing.assert_allclose(L.OnlineLda(params).fit(docs, WORDS, 8).lam, model.lam, rtol=1e-9)
+    got = {(r["doc_id"], r["topic"]): r["proportion"] for r in L.OnlineLda(params).transform(docs, model).collect()}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)

@@ -4,8 +4,10 @@ A minibatch is one job: packed bags go to Arrow batches, each task infers its
 documents in numpy against a broadcast exp(E[log beta]) and adds up the sufficient
 statistics of its own documents, so that one row per word and task is shuffled, not
 one per document. Lambda (K by V doubles) lives on the driver; its size is checked
-against BROADCAST_BYTES. Above it, strategy "join" brings each document the topic
-vectors of its own words by a shuffle join and lambda stays a table.
+against BROADCAST_BYTES. Above it, `infer` brings each document the topic vectors of
+its own words by a shuffle join, in training and in transform. Training with a lambda
+that the driver cannot hold is not there: only `infer_by_join` and `m_step_table` take
+lambda as a table.
 
 Draws depend on (seed, doc_id) only, so results depend neither on the order of
 documents nor on partitions, up to the last bits of sums.
@@ -114,7 +116,9 @@ def infer(bags: DataFrame, lam: np.ndarray, params: LdaParams, gamma0: DataFrame
     """
     spark = bags.sparkSession
     if lam.nbytes > BROADCAST_BYTES:
-        raise ValueError(f"lambda has {lam.nbytes} bytes, over BROADCAST_BYTES: use infer_by_join")
+        bow = bags.select("doc_id", F.explode(F.arrays_zip(F.col("word_ids").alias("word_id"), F.col("counts").alias("n"))).alias("w")).select("doc_id", "w.*")
+        rows = LdaModel(lam, [], params).lambda_rows(spark)
+        return infer_by_join(bags, bow, rows, replace(params, num_topics=lam.shape[0]), gamma0)
     shared = spark.sparkContext.broadcast((lam, _beta(lam)))
     k, p, own = lam.shape[0], params, params.compat == "distributed"
     if gamma0 is not None:
@@ -153,7 +157,7 @@ def sum_statistics(rows: DataFrame, k: int) -> DataFrame:
     return rows.groupBy("word_id").agg(*sums).select("word_id", F.array(*[F.col(f"s{i}") for i in range(k)]).alias("ss"))
 
 
-def infer_by_join(docs: DataFrame, bow: DataFrame, lambda_rows: DataFrame, params: LdaParams) -> DataFrame:
+def infer_by_join(docs: DataFrame, bow: DataFrame, lambda_rows: DataFrame, params: LdaParams, gamma0: DataFrame | None = None) -> DataFrame:
     """The E-step for a lambda that fits nowhere: rows as of infer, from bow (doc_id, word_id, n) and (word_id, weights).
 
     Each document meets the topic vectors of its own words; the normalisers are K sums.
@@ -162,11 +166,14 @@ def infer_by_join(docs: DataFrame, bow: DataFrame, lambda_rows: DataFrame, param
     totals = np.array(lambda_rows.agg(*[F.sum(F.col("weights")[i]) for i in range(k)]).first(), float)
     words = bow.join(lambda_rows, "word_id").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("word_id", "n", "weights"))).alias("bag"))
     all_docs = docs.select("doc_id").join(words, "doc_id", "left").select("doc_id", F.col("bag.word_id").alias("word_ids"), F.col("bag.n").alias("counts"), F.col("bag.weights").alias("weights"))
+    if gamma0 is not None:
+        all_docs = all_docs.join(gamma0.select("doc_id", F.col("gamma").alias("gamma0")), "doc_id", "left")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             out: list[tuple] = []
-            for doc, words, counts, weights in zip(part["doc_id"], part["word_ids"], part["counts"], part["weights"], strict=True):
+            starts = part["gamma0"] if "gamma0" in part else [None] * len(part)
+            for doc, words, counts, weights, start in zip(part["doc_id"], part["word_ids"], part["counts"], part["weights"], starts, strict=True):
                 empty = words is None
                 ids = np.zeros(0, int) if empty else np.asarray(words, int)
                 lam = np.zeros((k, 0)) if empty else np.stack(weights, axis=1)
@@ -176,7 +183,8 @@ def infer_by_join(docs: DataFrame, bow: DataFrame, lambda_rows: DataFrame, param
                     from topicloom.functions.special import digamma
 
                     b = np.exp(digamma(lam) - digamma(totals)[:, None]) if not empty else lam
-                gamma, ss, _ = kernel.vb_document(np.zeros(0) if empty else np.asarray(counts, float), b, kernel.start_gamma(p.seed, 0 if own else int(doc), k), p.alpha, p.max_iter, p.convergence_threshold)
+                g0 = np.asarray(start, float) if start is not None and np.ndim(start) else kernel.start_gamma(p.seed, 0 if own else int(doc), k)
+                gamma, ss, _ = kernel.vb_document(np.zeros(0) if empty else np.asarray(counts, float), b, g0, p.alpha, p.max_iter, p.convergence_threshold)
                 out.append((doc, gamma.tolist(), None, None))
                 out += [(None, None, w, s.tolist()) for w, s in zip(ids.tolist(), (ss * b).T, strict=True)]
             frame = pd.DataFrame(out, columns=["doc_id", "gamma", "word_id", "ss"])
