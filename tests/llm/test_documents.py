@@ -370,21 +370,44 @@ def test_sharding_splits_few_groups_and_a_hot_one_evenly(spark):
     assert sum(n > 30 for n in hot.values()) <= 4 and split <= 0.06 * pairs
 
 
-def test_a_false_source_is_not_believed(docs, monkeypatch):
-    """Where a source's words are not those of the path, the path stays in the text."""
-    assert sum(r["n_removed"] for r in substring_dedup.dedup_digests(docs).collect()) > 0
-    real = substring_dedup._source_digests
+@pytest.mark.parametrize("modulus", [1, 40])
+def test_equal_hashes_of_different_windows_change_nothing(rows, docs, nothing, monkeypatch, modulus):
+    """Windows share their first hash with others, so claims are false and the words decide."""
+    real = substring_dedup.roll
+    monkeypatch.setattr(substring_dedup, "roll", lambda h, k: real(h, k) % np.uint64(modulus))
+    assert table(substring_dedup.dedup_digests(docs)) == brute_dedup(rows)
+    assert substring_dedup.dedup_digests(nothing).count() == 0
+
 
-    def wrong(k):
-        inner = real(k)
+def test_buckets_in_two_steps(rows, docs, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "FAN", 3)
+    monkeypatch.setattr(substring_dedup, "BLOCK", 2000)
+    assert table(substring_dedup.dedup_digests(docs)) == brute_dedup(rows)
 
-        def run(batches):
-            import pyarrow as pa
 
-            for b in inner(batches):
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([b"other"] * b.num_rows, pa.binary())], ["src", "src_start", "n", "digest"])
+def test_repeated_spans_are_paths_of_the_source(rows, docs):
+    text = {(LAST if i is None else i): t or "" for i, t, *_ in rows}
+    spans = substring_dedup.repeated_spans(docs).collect()
+    assert spans
+    for r in spans:
+        n = r["n"] + substring_dedup.K - 1
+        assert r["src"] < r["id"]
+        if r["id"] != LAST:
+            assert words(text[r["id"]])[r["start"] : r["start"] + n] == words(text[r["src"]])[r["src_start"] : r["src_start"] + n]
 
-        return run
 
-    monkeypatch.setattr(substring_dedup, "_source_digests", wrong)
-    assert sum(r["n_removed"] for r in substring_dedup.dedup_digests(docs).collect()) == 0
+def test_copies_of_one_text_lie_in_all_parts_and_give_a_row_each(spark, monkeypatch):
+    """A text copied 5,000 times: what is known of the copies is spread over the parts, and a copy's paths are one row."""
+    rng = np.random.default_rng(0)
+    text = " ".join(f"w{x}" for x in rng.integers(0, 5000, 300))
+    th = np.full(5000, xxhash.xxh64(text.encode(), seed=42).intdigest() % 2**63, np.int64)
+    rec = np.zeros(5000, substring_dedup.LOSER)
+    parts = Counter()
+    for p, blob in substring_dedup._dealt(np.arange(1, 5001), th, rec, 64):
+        parts[p] += len(substring_dedup._unpack_docs(blob)[0])
+    assert len(parts) == 64 and max(parts.values()) < 3 * 5000 / 64
+    monkeypatch.setattr(substring_dedup, "BLOCK", 1 << 16)
+    df = spark.range(0, 5000).selectExpr("id as doc_id").crossJoin(spark.createDataFrame([(text,)], "text string"))
+    assert substring_dedup.packed_paths(df).count() == 4999
+    got = substring_dedup.dedup_digests(df).groupBy("n_removed").count().collect()
+    assert sorted((r["n_removed"], r["count"]) for r in got) == [(0, 1), (300, 4999)]

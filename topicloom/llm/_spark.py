@@ -9,17 +9,20 @@ from pyspark.sql import functions as F
 
 #: Rows a task hands to Python at once; texts are long, so fewer than Spark's default.
 ARROW_ROWS = 1000
-#: Used only where the session names no spark.checkpoint.dir (tests on one machine).
+#: Used only where the session names no spark.checkpoint.dir and runs in one process (tests).
 LOCAL_DIR = "/tmp/topicloom-checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, set here only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that all executors share: spark.checkpoint.dir. A session in one process may leave it unset; a cluster may not."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = LOCAL_DIR
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(found)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(found)
     return found.rstrip("/")
 
 
@@ -41,8 +44,12 @@ def partitions(spark: SparkSession, table: DataFrame | None = None) -> int:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint: lineage ends in the shared folder, so a lost executor costs nothing."""
+    """A reliable checkpoint: lineage ends in the shared folder, so a lost executor costs nothing.
+
+    Its files go when nothing refers to the table any more, unless the session says otherwise.
+    """
     shared_dir(df.sparkSession)
+    df.sparkSession.sparkContext._jsc.sc().conf().setIfMissing("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     return df.checkpoint(eager=True)
 
 
@@ -56,10 +63,10 @@ class Scratch:
         df.write.mode("overwrite").parquet(f"{self.root}/{name}")
         return self.spark.read.parquet(f"{self.root}/{name}")
 
-    def drop(self) -> None:
-        """Deletes the tables and lets the cleaner remove shuffle files that nothing refers to any more."""
+    def drop(self, name: str | None = None) -> None:
+        """Deletes a table, or all, and lets the cleaner remove shuffle files that nothing refers to any more."""
         jvm, sc = self.spark._jvm, self.spark.sparkContext
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
         release(self.spark)
 

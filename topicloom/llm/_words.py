@@ -20,6 +20,8 @@ IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _TABLE = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
+#: Byte values for word hashes that are independent of the usual ones.
+SECOND = np.random.default_rng(20240608).integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -37,7 +39,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
-def _piece(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _piece(b: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Raw polynomial, start and end of each word of at most PIECE bytes."""
     n = len(b)
     space = np.ones(n + 2, np.int8)
@@ -45,12 +47,12 @@ def _piece(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     edges = np.flatnonzero(np.diff(space))
     starts, ends = edges[0::2], edges[1::2]
     sums = np.zeros(n + 1, U)
-    np.cumsum(_TABLE[b] * _POW[:n], out=sums[1:], dtype=U)
+    np.cumsum(table[b] * _POW[:n], out=sums[1:], dtype=U)
     return (sums[ends] - sums[starts]) * _INV[starts], starts, ends
 
 
-def hash_words(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts in order, and the number of words of each text."""
+def hash_words(texts: list[bytes], lower: bool = False, table: np.ndarray = _TABLE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts in order, and the number of words of each text; table: the values of bytes."""
     sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
     offsets = np.concatenate(([0], np.cumsum(sizes)))
     buf = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8) if texts else np.zeros(0, np.uint8)
@@ -71,7 +73,7 @@ def hash_words(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.
         else:
             cut = len(part)
         if cut:
-            raw, starts, ends = _piece(part[:cut])
+            raw, starts, ends = _piece(part[:cut], table)
             length, first = (ends - starts).astype(U), starts + at
             at += int(cut)
         else:  # one word of more than PIECE bytes: its polynomial is carried from piece to piece
@@ -81,7 +83,7 @@ def hash_words(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.
                 part = LOWER[part] if lower else part
                 ends = np.flatnonzero(IS_SPACE[part])
                 k = int(ends[0]) if len(ends) else len(part)
-                s = int(np.sum(_TABLE[part[:k]] * _POW[:k], dtype=U)) if k else 0
+                s = int(np.sum(table[part[:k]] * _POW[:k], dtype=U)) if k else 0
                 value = (value + s * pow(_BASE, size, 2**64)) % 2**64
                 size, at = size + k, at + k
                 if len(ends) or at >= total:
