@@ -2,6 +2,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
+import random
+import re
 import zlib
 from collections import Counter
 
@@ -99,3 +102,92 @@ def test_noisy_names_need_noisy_text():
             assert html_text.main_text(page) == f"{want}\n{want}", (body, wrapper)
     assert html_text.main_text(f'<body><article><div class="entry-header"><h1>A title</h1></div>{text}</article>{notes}</body>') == f"A title\n{want}"
     assert html_text.main_text('<body><div class="ad">Buy two of these and get one more for nothing.</div><article><h1>A short title</h1></article></body>') == "A short title"
+
+
+def _density_by_hand(node, body, link=False):
+    """Characters, tags, the same of links, density and density sum of a node, by recursion over its own subtree."""
+    own = sum(len("".join(x.split(" ")).replace("\n", "")) for x in node.items if isinstance(x, str))
+    inner = [_density_by_hand(x, body, link or x.tag == "a") for x in node.items if not isinstance(x, str) and not x.drop]
+    c, t = own + sum(i[0] for i in inner), len(inner) + sum(i[1] for i in inner)
+    lc = (own if link else 0) + sum(i[2] for i in inner)
+    lt = sum(i[3] + (link or x.tag == "a") for i, x in zip(inner, [x for x in node.items if not isinstance(x, str) and not x.drop], strict=True))
+
+    def formula(c, t, lc, lt):
+        if not c:
+            return 0.0
+        t, nlc, lt, one = t or 1, c - lc or 1, lt or 1, lc or 1
+        return c / t * math.log(max(1.0, (c / one) * (t / lt)), math.log((c / nlc) * one + body * c + math.e))
+
+    d = formula(c, t, lc, lt)
+    return c, t, lc, lt, d, sum(i[4] for i in inner) + formula(own, 0, own if link else 0, 0)
+
+
+def test_densities_against_the_formula():
+    rng = random.Random(6)
+
+    def tree(depth):
+        tag = rng.choice(["div", "p", "a", "span", "section"])
+        inner = "".join(rng.choice(["some words ", "x", ""]) + (tree(depth - 1) if depth and rng.random() < 0.7 else "") for _ in range(3))
+        return f"<{tag}>{inner}</{tag}>"
+
+    for _ in range(60):
+        root = html_text.parse(tree(4))
+        nodes = html_text._measure(root)
+        body = root.link_chars / max(root.chars, 1)
+        for n in nodes:
+            inside_link = any(x.tag == "a" for x in html_text._path(n)[0:])
+            want = _density_by_hand(n, body, inside_link)
+            assert (n.chars, n.tags, n.link_chars, n.link_tags) == want[:4]
+            assert n.density == pytest.approx(want[4]) and n.density_sum == pytest.approx(want[5])
+
+
+def _paragraphs(n, seed=1):
+    rng = random.Random(seed)
+    return ["The story of day " + " ".join(rng.choice(["river", "stone", "walk", "evening", "bread"]) for _ in range(40)) + f" {seed} {i}." for i in range(n)]
+
+
+def _p(texts):
+    return "".join(f"<p>{t}</p>" for t in texts)
+
+
+MENU = "".join(f'<li><a href="/{i}">Menu entry {i}</a></li>' for i in range(12))
+
+
+def test_density_decides_without_any_name():
+    """Plain divs only: menus and link lists go because of their density, and the body as a whole would be wrong."""
+    a = _paragraphs(6)
+    page = f"<body><div><ul>{MENU}</ul></div><div>{_p(a)}</div><div><ul>{MENU}</ul></div></body>"
+    assert html_text.main_text(page) == "\n".join(a)
+    assert "\n".join(html_text.block_texts(html_text.parse(page))) != "\n".join(a)
+
+
+def test_several_containers_are_one_article():
+    a, b, c = _paragraphs(3, 1), _paragraphs(4, 2), _paragraphs(3, 3)
+    assert html_text.main_text(f"<body><div><ul>{MENU}</ul></div><div>{_p(a)}</div><div>{_p(b)}</div></body>") == "\n".join(a + b)
+    assert html_text.main_text(f"<body><div><ul>{MENU}</ul></div><section>{_p(a)}</section><section>{_p(b)}</section><section>{_p(c)}</section></body>") == "\n".join(a + b + c)
+    assert html_text.main_text(f"<body><h1>Title of it</h1><div><ul>{MENU}</ul></div></body>").startswith("Title of it")
+    assert html_text.main_text(f"<body><div><ul>{MENU}</ul></div><div><h1>Title of it</h1><div>{_p(a)}</div></div></body>") == "\n".join(["Title of it", *a])
+
+
+def test_wrappers_with_names_keep_the_article():
+    a = _paragraphs(5)
+    for page in (
+        f'<body><div class="wrapper no-sidebar"><article>{_p(a)}</article></div></body>', f'<body><div class="sidebar">{_p(a)}</div></body>', f"<body><form><div><ul>{MENU}</ul></div><div>{_p(a)}</div></form></body>", f"<body><form><article>{_p(a)}</article><footer>end</footer></form></body>",
+        f'<body><div data-id="ad">{_p(a)}</div><div data-class="menu">{_p([])}</div></body>', f'<body><div class="promo">{_p(a)}</div><footer>&copy; here</footer></body>', f"<body><aside>{_p(a)}</aside><nav><ul>{MENU}</ul></nav></body>",
+        f'<body><div id="content">{_p(a)}</div><div class="comments">{_p(_paragraphs(9, 5))}</div></body>', f'<body><article>{_p(a)}</article><aside>{_p(_paragraphs(20, 5))}</aside></body>',
+    ):
+        assert html_text.main_text(page) == "\n".join(a), page[:80]
+
+
+def test_tags_of_articles_are_only_a_hint(spark):
+    """The same texts where article and main are plain divs, on the tables' own pages."""
+    pages = [r["html"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    plain = [re.sub(r"<(/?)(article|main)\b", r"<\1div", p) for p in pages]
+    same = sum(html_text.main_text(a) == html_text.main_text(b) for a, b in zip(pages, plain, strict=True))
+    assert same >= 0.99 * len(pages)
+
+
+def test_repeated_and_clashing_rows(spark):
+    rows = [(1, "u", "<p>a", "t"), (1, "u", "<p>a", "t"), (None, None, None, None)]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
+    assert sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in got) == [(0, "", 0), (1, "a", 1), (1, "a", 1)]
