@@ -4,25 +4,31 @@
    permutation of it: the hash space is cut into BINS bins, the smallest hash of a
    bin is its value, an empty bin borrows from the first full bin of its own fixed
    random probe order (optimal densification).
-2. Equal sets fall together first: the smallest doc_id stands for all of them.
-3. BANDS bands of ROWS bins make buckets; a bucket's smallest document is its hub
-   and every other member a leaf. Only these star-shaped edges leave the buckets,
-   so a bucket of n members gives n - 1 candidates.
+2. Rows of equal sets fall together first. What is linked from here on are distinct
+   sets (vertices, with numbers of their own), whatever ids their rows have; the row
+   with the smallest doc_id lends its text.
+3. BANDS bands of ROWS bins make buckets; a bucket's smallest vertex is its hub and
+   every other member a leaf. Only these star-shaped edges leave the buckets, so a
+   bucket of n members gives n - 1 candidates.
 4. A hub's leaves are compared on full sets: hub with leaf, and every leaf that
    the hub doesn't confirm with all the hub's leaves. No link between two members
    of a bucket is lost; leaves that are linked through the hub need no more tests.
    Of a task's links those are kept that join what was apart (a spanning forest).
-   A hub with over CHUNK leaves is dealt out in chunks, and its unconfirmed leaves
-   meet the other chunks block by block.
+   A hub with over CHUNK leaves is dealt out in chunks. There its leaves are sorted
+   into cells by their distance from the hub and their size: Jaccard distance is a
+   metric, so an unconfirmed leaf meets only the cells that the triangle inequality
+   and the ratio of sizes leave possible, block by block.
 5. Links become components by min-label propagation with pointer jumping.
 
 A pair at the threshold misses all buckets with probability
 (1 - 0.75**ROWS)**BANDS = 5e-6, a pair at 0.8 with 5e-8.
 
 Defined results: a null or blank text has an empty set (n_shingles 0), is linked
-with nothing and is kept; repeated rows give repeated rows; a row with a null
-doc_id counts as the largest, stands for its own text and has a null component_id
-where it is alone. Other columns are not read, so their names cannot clash.
+with nothing and is kept; repeated rows give repeated rows of `near_components` and
+one row of `keep_one`; rows that share a doc_id are linked by their own texts; a null
+doc_id counts as the largest, so a component of such rows only has a null
+component_id, and `keep_one` keeps one of its rows. An empty table gives no rows. Other
+columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -35,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.llm._spark import cut, partitions, small_batches, text_key, thinned, without
+from topicloom.llm._spark import THIN_IDS, cut, partitions, small_batches, text_key, without
 from topicloom.llm._words import U, as_bytes, hash_words, mix, roll, split_points
 
 SHINGLE = 5
@@ -176,32 +182,51 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterat
         yield key, rows
 
 
+#: Cells of a large hub's leaves: so many to the largest distance, and to the largest ratio of sizes, that a link spans. Cells at most one more apart may hold linked leaves.
+DISTANCES, SIZES = 4, 2
+HUB, LARGE_HUB, LEAF = 0, 2, 1
+
+
+def _cells(inter: np.ndarray, centre: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cells of leaves by distance from the hub and by size."""
+    n = np.array([len(s) for s in sets])
+    distance = 1 - inter / (len(centre) + n - inter)
+    far, ratio = max(1 - percent / 100, 1e-9), max(-np.log(percent / 100), 1e-9)
+    return np.floor(distance / far * DISTANCES).astype(np.int64), np.floor(np.log(n) / ratio * SIZES).astype(np.int64)
+
+
 def _confirm(percent: int):
-    """Of a hub's chunk: its links, and the leaves that the hub doesn't confirm (as rows linked with nothing)."""
+    """Of a hub's chunk: its links, and of a large hub all leaves with their cells and whether the hub confirms them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b, hubs, chunks = [], [], [], []
+        out: list[list] = [[] for _ in range(6)]
 
         def flush():
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, hubs, chunks)], ["a", "b", "hub", "chunk"])
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.bool_() if i == 5 else pa.int64()) for i, x in enumerate(out)], ["a", "b", "hub", "distance", "size", "odd"])
 
-        for (hub, chunk), rows in _grouped(batches, ("hub", "chunk")):
-            centre = [s for side, _, s in rows if side == 0][:1]
-            leaves = {d: s for side, d, s in rows if side == 1}
+        for (hub, _), rows in _grouped(batches, ("hub", "chunk")):
+            centre = [s for side, _, s in rows if side != LEAF][:1]
+            leaves = {d: s for side, d, s in rows if side == LEAF}
             if not centre or not leaves:
                 continue
             ids, sets = list(leaves), list(leaves.values())
-            ok = linked(_overlaps(centre, sets), centre, sets, percent)[0]
+            inter = _overlaps(centre, sets)
+            ok = linked(inter, centre, sets, percent)[0]
             rest = np.flatnonzero(~ok)
             pairs = [(hub, d) for d, yes in zip(ids, ok.tolist(), strict=True) if yes]
             if len(rest) and len(ids) > 1:
                 odd = [sets[i] for i in rest]
                 pairs += [(ids[rest[x]], ids[y]) for x, y in zip(*np.nonzero(linked(_overlaps(odd, sets), odd, sets, percent)), strict=True)]
-            for x, y in [*_forest(pairs), *((ids[i], None) for i in rest)]:
-                a.append(x), b.append(y), hubs.append(hub), chunks.append(chunk)
-            if len(a) > 5000:
+            told = [(x, y, None, None, None, None) for x, y in _forest(pairs)]
+            if any(side == LARGE_HUB for side, _, _ in rows):
+                distance, size = _cells(inter[0], centre[0], sets, percent)
+                told += zip(ids, [None] * len(ids), [hub] * len(ids), distance.tolist(), size.tolist(), (~ok).tolist(), strict=True)
+            for row in told:
+                for column, x in zip(out, row, strict=True):
+                    column.append(x)
+            if len(out[0]) > 5000:
                 yield flush()
-                for x in (a, b, hubs, chunks):
+                for x in out:
                     x.clear()
         yield flush()
 
@@ -239,53 +264,90 @@ def components(links: DataFrame) -> DataFrame:
         now = cut(low.join(up, "l", "left").select("v", F.least("l", F.coalesce("top", "l")).alias("l")))
 
 
+def _bounded(rows: DataFrame) -> DataFrame:
+    """rows, to be broadcast if their number allows it."""
+    return F.broadcast(rows) if rows.count() <= THIN_IDS else rows
+
+
 def _blocks(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Shingle sets of the wanted (hub, chunk, side, doc), dealt out by hub and chunk."""
+    """Shingle sets of the wanted (hub, chunk, side, doc), dealt out by hub and chunk. texts: vertex, text."""
     spark = texts.sparkSession
-    rows = wanted.join(thinned(texts, "vertex", wanted, "doc"), F.col("doc") == F.col("vertex")).select("hub", "chunk", "side", "doc", "text")
+    rows = wanted.join(texts, F.col("doc") == F.col("vertex")).select("hub", "chunk", "side", "doc", "text")
     sets = rows.mapInArrow(_to_sets, "hub long, chunk long, side int, doc long, shingles binary")
     return sets.repartition(partitions(spark, texts), "hub", "chunk").sortWithinPartitions("hub", "chunk", "side")
 
 
-def near_components(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, kept (doc_id = component_id)."""
+def _far_leaves(texts: DataFrame, met: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of the unconfirmed leaves of large hubs with all leaves of theirs. met: hub, doc, distance, size, odd."""
+    cell = ["hub", "distance", "size"]
+    span = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    counts = cut(met.groupBy(*cell).agg(F.count("*").alias("n"), F.count_if("odd").alias("n_odd")))
+    chunks = counts.select(*cell, F.ceil(F.col("n") / CHUNK).alias("n_chunks"), F.ceil(F.col("n_odd") / CHUNK).alias("n_blocks"))
+    right = chunks.select("hub", F.col("distance").alias("d"), F.col("size").alias("s"), F.col("n_chunks").alias("many"))
+    near = (F.abs(F.col("distance") - F.col("d")) <= DISTANCES + 1) & (F.abs(F.col("size") - F.col("s")) <= SIZES + 1)
+    pairs = chunks.filter("n_blocks > 0").join(right, "hub").filter(near)
+    pairs = pairs.select(*cell, "d", "s", F.explode(span(F.col("n_blocks"))).alias("block"), "many").select(*cell, "d", "s", "block", F.explode(span(F.col("many"))).alias("part"))
+    pairs = cut(pairs.withColumn("chunk", F.xxhash64("distance", "size", "d", "s", "block", "part")))
+    placed = met.join(_bounded(chunks), cell)
+    place = lambda n: F.pmod(F.xxhash64("doc", F.lit(7)), F.col(n))
+    odd = placed.filter("odd").withColumn("block", place("n_blocks")).join(_bounded(pairs.select(*cell, "block", "chunk")), [*cell, "block"]).select("hub", "chunk", F.lit(0).alias("side"), "doc")
+    all_of = placed.withColumn("part", place("n_chunks")).join(_bounded(pairs.select("hub", F.col("d").alias("distance"), F.col("s").alias("size"), "part", "chunk")), [*cell, "part"]).select("hub", "chunk", F.lit(1).alias("side"), "doc")
+    return _blocks(texts, odd.unionByName(all_of)).mapInArrow(_confirm_blocks(percent), "a long, b long")
+
+
+def _grouped_rows(docs: DataFrame, percent: int) -> DataFrame:
+    """A row per row of docs: _id, _th, n_shingles, and its component's smallest row (top_id, top_th)."""
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
     rows = docs.select(*text_key(), "text")
     told = cut(rows.mapInArrow(_describe, "_id long, _th long, n_shingles long, digest binary, keys array<long>"))
-    least = cut(told.filter("digest is not null").groupBy("digest").agg(F.min("_id").alias("rep")))
-    reps = told.join(least, "digest").filter(F.col("_id") == F.col("rep"))
-    buckets = reps.select("rep", F.explode("keys").alias("key"))
-    hubs = cut(buckets.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).filter("hub < last").select("key", "hub"))
-    stars = cut(buckets.join(hubs, "key").filter("rep <> hub").select("hub", F.col("rep").alias("doc")).distinct())
+    sets = told.filter("digest is not null").groupBy("digest").agg(F.min(F.struct("_id", "_th")).alias("row"), F.first("keys").alias("keys"))
+    # numbers of vertices are read from the checkpoint only, so they stay as they are
+    sets = cut(sets.select("digest", F.col("row._id").alias("id"), F.col("row._th").alias("th"), "keys", F.monotonically_increasing_id().alias("vertex")))
+    buckets = sets.select("vertex", F.explode("keys").alias("key"))
+    hubs = cut(buckets.groupBy("key").agg(F.min("vertex").alias("hub"), F.max("vertex").alias("last")).filter("hub < last").select("key", "hub"))
+    stars = cut(buckets.join(hubs, "key").filter("vertex <> hub").select("hub", F.col("vertex").alias("doc")).distinct())
     sizes = cut(stars.groupBy("hub").count().select("hub", F.ceil(F.col("count") / CHUNK).alias("n_chunks")))
-    chunk = F.when(F.col("n_chunks") > 1, F.pmod(F.xxhash64("doc"), F.col("n_chunks"))).otherwise(F.lit(0).cast("long"))
-    leaves = stars.join(sizes, "hub").select("hub", chunk.alias("chunk"), F.lit(1).alias("side"), "doc", "n_chunks")
-    centres = sizes.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_chunks") - 1)).alias("chunk"), F.lit(0).alias("side"), F.col("hub").alias("doc"))
-    texts = docs.select(text_key()[0].alias("vertex"), "text")
-    found = cut(_blocks(texts, leaves.drop("n_chunks").unionByName(centres)).mapInArrow(_confirm(percent), "a long, b long, hub long, chunk long"))
-    links = found.filter("b is not null").select("a", "b")
-
     large = sizes.filter("n_chunks > 1")
-    odd = found.filter("b is null").select("hub", F.col("a").alias("doc"), F.col("chunk").alias("home")).join(large, "hub")
-    if not large.isEmpty():
-        n_odd = cut(odd.groupBy("hub", "n_chunks").count().select("hub", F.ceil(F.col("count") / CHUNK).alias("n_blocks"), "n_chunks"))
-        block = F.pmod(F.xxhash64("doc", F.lit(7)), F.col("n_blocks"))
-        span = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
-        pair = (F.col("block") * F.col("n_chunks") + F.col("chunk")).alias("chunk")
-        left = odd.drop("n_chunks").join(n_odd, "hub").select("hub", "doc", "n_chunks", block.alias("block"), F.explode(span(F.col("n_chunks"))).alias("chunk"))
-        right = leaves.drop("n_chunks").join(n_odd, "hub").select("hub", "doc", "n_chunks", "chunk", F.explode(span(F.col("n_blocks"))).alias("block"))
-        wanted = left.select("hub", pair, F.lit(0).alias("side"), "doc").unionByName(right.select("hub", pair, F.lit(1).alias("side"), "doc"))
-        links = links.unionByName(_blocks(texts, wanted).mapInArrow(_confirm_blocks(percent), "a long, b long"))
+    # a hub of over CHUNK leaves is one of at most (leaves / CHUNK); its leaves are not brought together by hub
+    chunk = F.when(F.col("n_chunks").isNotNull(), F.pmod(F.xxhash64("doc"), F.col("n_chunks"))).otherwise(F.lit(0).cast("long"))
+    leaves = stars.join(_bounded(large), "hub", "left").select("hub", chunk.alias("chunk"), F.lit(LEAF).alias("side"), "doc")
+    centres = sizes.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_chunks") - 1)).alias("chunk"), F.when(F.col("n_chunks") > 1, LARGE_HUB).otherwise(HUB).alias("side"), F.col("hub").alias("doc"))
+    wanted = leaves.unionByName(centres)
+    lent = cut(sets.join(wanted.select("doc").distinct(), F.col("vertex") == F.col("doc"), "left_semi").select("vertex", "id", "th"))
+    texts = rows.join(_bounded(lent), (F.col("_id") == F.col("id")) & (F.col("_th") == F.col("th"))).select("vertex", "text")
+    if not told.groupBy("_id", "_th").count().filter("count > 1").isEmpty():
+        texts = texts.dropDuplicates(["vertex"])
+    found = cut(_blocks(texts, wanted).mapInArrow(_confirm(percent), "a long, b long, hub long, distance long, size long, odd boolean"))
+    links = found.filter("b is not null").select("a", "b")
+    met = found.filter("b is null").select("hub", F.col("a").alias("doc"), "distance", "size", "odd")
+    if not met.filter("odd").isEmpty():
+        links = links.unionByName(_far_leaves(texts, met, percent))
     comp = components(links.distinct())
 
-    member = told.join(least, "digest", "left").select("_id", "n_shingles", F.coalesce("rep", "_id").alias("v"))
-    own = member.join(comp, "v", "left").select("_id", "n_shingles", F.coalesce("l", "v").alias("c"))
+    # of a component the smallest row, and of every set the component's
+    own = sets.select("digest", "vertex", F.struct("id", "th").alias("row")).join(comp, F.col("vertex") == F.col("v"), "left")
+    tops = cut(own.filter("l is not null").groupBy("l").agg(F.min("row").alias("top")))
+    placed = own.join(tops, "l", "left").select("digest", F.coalesce("top", "row").alias("top"))
+    member = told.select("_id", "_th", "n_shingles", "digest").join(placed, "digest", "left")
+    return member.select("_id", "_th", "n_shingles", F.coalesce(F.col("top.id"), F.col("_id")).alias("top_id"), F.coalesce(F.col("top.th"), F.col("_th")).alias("top_th"))
+
+
+def near_components(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id, kept (doc_id = component_id)."""
     none = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
-    return own.select(none("_id").alias("doc_id"), "n_shingles", none("c").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    rows = _grouped_rows(docs, percent).select(none("_id").alias("doc_id"), "n_shingles", none("top_id").alias("component_id"))
+    return rows.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """docs without all but the smallest document of each component; all columns stay."""
-    gone = near_components(docs, percent).filter("not kept")
-    return without(docs, [F.col("doc_id")], gone.select("doc_id"))
+    """docs with one row of each component, the smallest by doc_id and a hash of the text; all columns stay."""
+    rows = cut(_grouped_rows(docs, percent))
+    out = without(docs, text_key(), rows.filter("_id <> top_id or _th <> top_th").select("_id", "_th"))
+    twice = cut(rows.filter("n_shingles > 0 and _id = top_id and _th = top_th").groupBy("_id", "_th").count().filter("count > 1").select(F.col("_id").alias("_i"), F.col("_th").alias("_t")))
+    if twice.isEmpty():
+        return out
+    packed = out.select(F.struct(*[F.col(f"`{c}`") for c in out.columns]).alias("row"), *text_key())
+    same = [F.col("_id") == F.col("_i"), F.col("_th") == F.col("_t")]
+    once = packed.join(_bounded(twice), same, "left_semi").dropDuplicates(["_id", "_th"])
+    return packed.join(_bounded(twice), same, "left_anti").unionByName(once).select("row.*")
