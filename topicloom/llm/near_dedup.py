@@ -269,15 +269,14 @@ def _bounded(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= THIN_IDS else rows
 
 
-def _blocks(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+def _blocks(texts: DataFrame, wanted: DataFrame, n_parts: int) -> DataFrame:
     """Shingle sets of the wanted (hub, chunk, side, doc), dealt out by hub and chunk. texts: vertex, text."""
-    spark = texts.sparkSession
     rows = wanted.join(texts, F.col("doc") == F.col("vertex")).select("hub", "chunk", "side", "doc", "text")
     sets = rows.mapInArrow(_to_sets, "hub long, chunk long, side int, doc long, shingles binary")
-    return sets.repartition(partitions(spark, texts), "hub", "chunk").sortWithinPartitions("hub", "chunk", "side")
+    return sets.repartition(n_parts, "hub", "chunk").sortWithinPartitions("hub", "chunk", "side")
 
 
-def _far_leaves(texts: DataFrame, met: DataFrame, percent: int) -> DataFrame:
+def _far_leaves(texts: DataFrame, met: DataFrame, percent: int, n_parts: int) -> DataFrame:
     """Links (a, b) of the unconfirmed leaves of large hubs with all leaves of theirs. met: hub, doc, distance, size, odd."""
     cell = ["hub", "distance", "size"]
     span = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
@@ -292,13 +291,14 @@ def _far_leaves(texts: DataFrame, met: DataFrame, percent: int) -> DataFrame:
     place = lambda n: F.pmod(F.xxhash64("doc", F.lit(7)), F.col(n))
     odd = placed.filter("odd").withColumn("block", place("n_blocks")).join(_bounded(pairs.select(*cell, "block", "chunk")), [*cell, "block"]).select("hub", "chunk", F.lit(0).alias("side"), "doc")
     all_of = placed.withColumn("part", place("n_chunks")).join(_bounded(pairs.select("hub", F.col("d").alias("distance"), F.col("s").alias("size"), "part", "chunk")), [*cell, "part"]).select("hub", "chunk", F.lit(1).alias("side"), "doc")
-    return _blocks(texts, odd.unionByName(all_of)).mapInArrow(_confirm_blocks(percent), "a long, b long")
+    return _blocks(texts, odd.unionByName(all_of), n_parts).mapInArrow(_confirm_blocks(percent), "a long, b long")
 
 
 def _grouped_rows(docs: DataFrame, percent: int) -> DataFrame:
     """A row per row of docs: _id, _th, n_shingles, and its component's smallest row (top_id, top_th)."""
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
+    n_parts = partitions(spark, docs)
     rows = docs.select(*text_key(), "text")
     told = cut(rows.mapInArrow(_describe, "_id long, _th long, n_shingles long, digest binary, keys array<long>"))
     sets = told.filter("digest is not null").groupBy("digest").agg(F.min(F.struct("_id", "_th")).alias("row"), F.first("keys").alias("keys"))
@@ -318,11 +318,11 @@ def _grouped_rows(docs: DataFrame, percent: int) -> DataFrame:
     texts = rows.join(_bounded(lent), (F.col("_id") == F.col("id")) & (F.col("_th") == F.col("th"))).select("vertex", "text")
     if not told.groupBy("_id", "_th").count().filter("count > 1").isEmpty():
         texts = texts.dropDuplicates(["vertex"])
-    found = cut(_blocks(texts, wanted).mapInArrow(_confirm(percent), "a long, b long, hub long, distance long, size long, odd boolean"))
+    found = cut(_blocks(texts, wanted, n_parts).mapInArrow(_confirm(percent), "a long, b long, hub long, distance long, size long, odd boolean"))
     links = found.filter("b is not null").select("a", "b")
     met = found.filter("b is null").select("hub", F.col("a").alias("doc"), "distance", "size", "odd")
     if not met.filter("odd").isEmpty():
-        links = links.unionByName(_far_leaves(texts, met, percent))
+        links = links.unionByName(_far_leaves(texts, met, percent, n_parts))
     comp = components(links.distinct())
 
     # of a component the smallest row, and of every set the component's
