@@ -47,7 +47,7 @@ from topicloom.llm._words import U, as_bytes, hash_words, mix, roll, split_point
 SHINGLE = 5
 BANDS, ROWS = 32, 4
 BINS = BANDS * ROWS
-CHUNK = 512
+CHUNK = 256
 NULL_ID = 2**63 - 1
 _PROBES = np.stack([np.concatenate(([i], np.random.default_rng(i).permutation(BINS))) for i in range(BINS)])
 _BAND = mix(np.arange(1, BANDS + 1, dtype=U))
