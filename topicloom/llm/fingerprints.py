@@ -14,8 +14,12 @@ of the table. Equal fingerprints are counted first and searched once.
 
 Everything is DataFrame operations. Defined results: a null or blank text has no
 terms and the fingerprint 0; equal texts have equal fingerprints; a null doc_id
-counts as the largest; among equal doc_ids the order is by a hash of the text.
+counts as the largest; among equal doc_ids the order is by a hash of the text, and of
+equal rows each has an equal one next, but the last; an empty table gives no rows.
 Other columns are not read.
+
+The next document is found among keys alone (id, hash of the text), sorted by range;
+texts are shuffled once by key, and each lends the start that the row before needs.
 """
 
 from __future__ import annotations
@@ -30,6 +34,7 @@ from topicloom.llm._spark import cut, partitions, text_key
 BITS, LANE = 64, 32
 SPACES = r"[\x20\x09-\x0D]+"
 RADIUS = 3
+NULL_ID = 2**63 - 1
 #: Queries are the rows whose id is divisible by this.
 EVERY = 50
 
@@ -78,44 +83,57 @@ def within(queries: DataFrame, fingerprints: DataFrame, radius: int = RADIUS) ->
     return counted.join(asked, (F.col("_key") == F.col("_k")) & near).select("q", "fp", "rows").distinct()
 
 
-def _with_next(docs: DataFrame) -> DataFrame:
-    """Each row with the key and text of the next by descending doc_id (after the last: the first).
+def _next_rows(docs: DataFrame) -> DataFrame:
+    """id, th, copies (equal rows), n (code points), next_id, next_th: the distinct rows, each with the next by descending id, then hash (after the last: the first).
 
-    Rows are dealt out by ranges of ids whose bounds are ids of the table; the rows at a bound are sent to the range
-    above too, where they end it. So a range's last row finds its next without any task seeing more than its range.
+    Only keys are sorted: dealt out by range, ordered inside a range, and the last of a range meets the first of the
+    next by the range's number. Ranges are as many as tasks, whatever the plan.
     """
-    rows = docs.select("doc_id", *text_key(), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    n = partitions(docs.sparkSession, docs)
-    found = rows.agg(F.percentile_approx("_id", [(i + 1) / n for i in range(n)], 100 * n).alias("b"), F.max("_id").alias("m")).first()
-    bounds = sorted({*(found["b"] or []), found["m"]} - {None})
-    if not bounds:
-        bounds = [0]
-    step = max(1, round(len(bounds) ** 0.5))
-    longs = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
-    coarse = F.size(F.filter(longs(bounds[step - 1 :: step]), lambda b: b < F.col("_id")))
-    fine = F.size(F.filter(F.slice(longs(bounds), F.col("_c") * step + 1, step), lambda b: b < F.col("_id")))
-    own = rows.withColumn("_c", coarse).withColumn("_r", F.col("_c") * step + fine).drop("_c")
-    last = F.col("_id") == bounds[-1]
-    at_bound = F.element_at(longs(bounds), F.col("_r") + 1) == F.col("_id")
-    places = F.array(F.struct(F.col("_r").alias("r"), F.lit(0).alias("ghost")), F.when(last, F.struct(F.lit(0).alias("r"), F.lit(2).alias("ghost"))).when(at_bound, F.struct((F.col("_r") + 1).alias("r"), F.lit(1).alias("ghost"))))
-    dealt = own.withColumn("_p", F.explode(F.filter(places, lambda p: p.isNotNull()))).select("doc_id", "_id", "_th", "text", F.col("_p.r").alias("_r"), F.col("_p.ghost").alias("_ghost"))
-    order = Window.partitionBy("_r").orderBy("_ghost", F.desc("_id"), "_th")
-    after = [F.lead(c).over(order).alias(name) for c, name in (("_id", "next_id"), ("_th", "next_th"), ("text", "next_text"))]
-    return dealt.select("*", *after).filter("_ghost = 0").drop("_r", "_ghost")
+    n = F.max(F.coalesce(F.char_length("text"), F.lit(0))).alias("n")
+    keys = cut(docs.select(*text_key(), "text").groupBy("_id", "_th").agg(F.count("*").alias("copies"), n))
+    ranges = partitions(docs.sparkSession, keys)
+    dealt = cut(keys.repartitionByRange(ranges, F.desc("_id"), "_th").withColumn("_r", F.spark_partition_id()))
+    order = Window.partitionBy("_r").orderBy(F.desc("_id"), "_th")
+    key = F.struct("_id", "_th")
+    inside = dealt.withColumn("after", F.lead(key).over(order))
+    # descending ids: the first of a range has the largest id and, of that, the smallest hash
+    firsts = dealt.groupBy("_r").agg(F.min(F.struct(F.bitwise_not("_id").alias("down"), "_th")).alias("f")).select("_r", F.struct(F.bitwise_not("f.down").alias("_id"), F.col("f._th").alias("_th")).alias("first"))
+    along = Window.orderBy("_r")  # a row per task
+    both = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    firsts = cut(firsts.select("_r", F.coalesce(F.lead("first").over(along), F.first("first").over(both)).alias("first")))
+    full = inside.join(F.broadcast(firsts), "_r").withColumn("after", F.coalesce("after", "first"))
+    return full.select(F.col("_id").alias("id"), F.col("_th").alias("th"), "copies", "n", F.col("after._id").alias("next_id"), F.col("after._th").alias("next_th"))
+
+
+def _with_edits(docs: DataFrame) -> DataFrame:
+    """A row per distinct row and next: _id, _th, copies, n, next_id, next_th, text, edited. Of equal rows all but one have an equal one next."""
+    links = cut(_next_rows(docs))
+    texts = docs.select(*text_key(), F.coalesce("text", F.lit("")).alias("text"))
+    if not links.filter("copies > 1").isEmpty():
+        texts = texts.dropDuplicates(["_id", "_th"])
+    third = F.expr("cast(floor(n / 3) as int)")
+    start = lambda c: F.substring(c, F.lit(1), third)
+    lent = texts.join(links, (F.col("_id") == F.col("next_id")) & (F.col("_th") == F.col("next_th"))).select("id", "th", "copies", "n", "next_id", "next_th", start("text").alias("lent"))
+    rows = texts.join(lent, (F.col("_id") == F.col("id")) & (F.col("_th") == F.col("th")))
+    kept = F.substring("text", F.lit(1), F.col("n") - third)
+    real = F.struct(F.lit(1).cast("long").alias("copies"), "next_id", "next_th", F.concat(kept, "lent").alias("edited"))
+    twin = F.struct((F.col("copies") - 1).alias("copies"), F.col("_id").alias("next_id"), F.col("_th").alias("next_th"), F.concat(kept, start("text")).alias("edited"))
+    return rows.select("_id", "_th", "n", "text", F.explode(F.when(F.col("copies") > 1, F.array(real, twin)).otherwise(F.array(real))).alias("e")).select("_id", "_th", "n", "text", "e.*")
 
 
 def fingerprint_report(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One row per row of docs: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next,
     and n_near: for rows whose doc_id is divisible by EVERY, how many other rows have a fingerprint within the radius."""
-    n = F.char_length("text")
-    edited = F.concat(F.expr("substring(text, 1, char_length(text) - cast(floor(char_length(text) / 3) as int))"), F.expr("substring(next_text, 1, cast(floor(char_length(text) / 3) as int))"))
-    rows = _with_next(docs).withColumn("edited", edited).withColumn("key", F.xxhash64("doc_id", "_id", "_th", "next_id", "next_th"))
+    rows = _with_edits(docs)
+    key = ["_id", "_th", "next_id", "next_th"]
     # both branches read the same columns of rows, so Spark shuffles the texts once and reuses that
-    texts = rows.select("key", F.posexplode(F.array("text", "edited")).alias("edit", "t"))
-    marks = votes(texts, ["key", "edit"], "t").groupBy("key").agg(F.max(F.when(F.col("edit") == 0, F.col("fp"))).alias("a"), F.max(F.when(F.col("edit") == 1, F.col("fp"))).alias("b"))
-    meta = rows.select("doc_id", "_id", "_th", "next_id", "next_th", "key", n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
+    texts = rows.select(*key, F.posexplode(F.array("text", "edited")).alias("edit", "t"))
+    marks = votes(texts, [*key, "edit"], "t").groupBy(*key).agg(F.max(F.when(F.col("edit") == 0, F.col("fp"))).alias("a"), F.max(F.when(F.col("edit") == 1, F.col("fp"))).alias("b"))
+    meta = rows.select(*key, "copies", F.col("n").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
     zero = F.lit(0).cast("long")
-    done = cut(meta.join(marks, "key", "left").withColumn("a", F.coalesce("a", zero)).withColumn("b", F.coalesce("b", zero)))
+    doc = F.when(F.col("_id") != NULL_ID, F.col("_id")).alias("doc_id")
+    each = meta.join(marks, key, "left").select(doc, *key, "n_chars", "edited_sha256", F.coalesce("a", zero).alias("a"), F.coalesce("b", zero).alias("b"), F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
+    done = cut(each.drop("copy"))
     queries = done.filter(F.col("doc_id") % EVERY == 0).select(F.col("a").alias("fp"))
     counts = within(queries, done.select(F.col("a").alias("fp")), radius).groupBy("q").agg((F.sum("rows") - 1).alias("n_near"))
     after = done.select(F.col("_id").alias("next_id"), F.col("_th").alias("next_th"), F.col("a").alias("c")).dropDuplicates(["next_id", "next_th"])
