@@ -372,6 +372,84 @@ def test_forward_backward_equals_enumeration():
     assert log_z == pytest.approx(want_z)
 
 
+def _marginals_by_enumeration(u, trans):
+    from itertools import product
+
+    total, good = 0.0, np.zeros(len(u))
+    for labels in product((0, 1), repeat=len(u)):
+        weight = np.exp(sum(x for x, y in zip(u, labels, strict=True) if y) + sum(trans[a, b] for a, b in zip(labels, labels[1:], strict=False)))
+        total += weight
+        good += weight * np.array(labels)
+    return good / total
+
+
+def _corpus(seed, n=60):
+    import random
+
+    rng = random.Random(seed)
+    good = lambda: " ".join(rng.choice(["the", "of", "river", "stone", "walk", "evening"]) for _ in range(rng.randint(4, 14))).capitalize() + "."
+    bad = lambda: " ".join(rng.choice(["THE!!", "buy$$$", "|", "now***"]) for _ in range(rng.randint(4, 14)))
+    labels = np.array([i % 4 > 0 for i in range(n)]).astype(int)
+    return ["\n".join((good if y else bad)() for _ in range(rng.randint(1, 6))).encode() for y in labels], labels, good, bad
+
+
+def test_the_fit_follows_its_gradient():
+    texts, labels, *_ = _corpus(1, 12)
+    x, lengths, lines = quality.line_features(texts)
+    x = (x - x.mean(0)) / np.maximum(x.std(0), 0.1)
+    share = quality.line_weights(lengths, lines)
+    rng = np.random.default_rng(2)
+    w, t = rng.normal(0, 0.05, x.shape[1]), rng.normal(0, 0.5, (2, 2))
+    value, by_w, by_t = quality.document_loss(w, t, x, share, lines, labels)
+    at = np.cumsum(lines) - lines
+    scores = [quality.EDGE + (1 - 2 * quality.EDGE) * (share[a : a + n] @ _marginals_by_enumeration((x @ w)[a : a + n], t)) for a, n in zip(at, lines, strict=True)]
+    assert value == pytest.approx(-sum(np.log(s if y else 1 - s) for s, y in zip(scores, labels, strict=True)))
+    for i in range(0, len(w), 7):
+        e = np.eye(len(w))[i] * 1e-5
+        assert by_w[i] == pytest.approx((quality.document_loss(w + e, t, x, share, lines, labels)[0] - quality.document_loss(w - e, t, x, share, lines, labels)[0]) / 2e-5, rel=1e-3, abs=1e-4)
+    for i, j in ((0, 0), (0, 1), (1, 0), (1, 1)):
+        e = np.zeros((2, 2))
+        e[i, j] = 1e-5
+        assert by_t[i, j] == pytest.approx((quality.document_loss(w, t + e, x, share, lines, labels)[0] - quality.document_loss(w, t - e, x, share, lines, labels)[0]) / 2e-5, rel=1e-3, abs=1e-4)
+
+
+def test_scores_against_enumeration_and_lines_of_mixed_documents():
+    texts, labels, good, bad = _corpus(3, 120)
+    model = quality.fit(texts, labels)
+    others, truth, *_ = _corpus(4, 40)
+    got = model.scores(others)
+    for t, s in zip(others, got.tolist(), strict=True):
+        x, lengths, lines = quality.line_features([t])
+        p = _marginals_by_enumeration(((x - model.mean) / model.scale) @ model.weights, model.trans)
+        assert s == pytest.approx(float(p @ lengths / lengths.sum()))
+    assert ((got >= 0.5) == (truth == 1)).all()
+    right = total = 0
+    for _ in range(20):
+        p, lengths, _ = model.line_marginals(["\n".join([good() for _ in range(4)] + [bad() for _ in range(4)]).encode()])
+        right, total = right + (((p >= 0.5) == np.repeat([True, False], 4)) * lengths).sum(), total + lengths.sum()
+    assert right > 0.9 * total
+
+
+def test_held_out_documents_of_the_table(spark):
+    """Learnt from the others, the held-out documents' scores order them by their labels; lines of half-junk documents get different labels."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    got = quality.score(docs, quality.train(docs, labels)).filter("held_out").join(labels, "doc_id").select("score", "quality").collect()
+    a, b = (np.array([r["score"] for r in got if r["quality"] == q]) for q in (1, 0))
+    assert len(a) and len(b) and (a[:, None] > b[None]).mean() >= 0.99
+
+
+def test_quality_of_odd_tables(spark, rows, clashing, nothing):
+    model = quality.fit(*_corpus(5)[:2])
+    got = quality.score(clashing, model).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(i for i, *_ in rows) and all(0 <= r["score"] <= 1 for r in got)
+    assert len({r["score"] for r in got if r["doc_id"] in (5, 6)}) == 1 and len({r["score"] for r in got if r["doc_id"] in (1, 2)}) == 1
+    assert quality.score(nothing, model).count() == 0 and quality.keep_good(nothing, model).count() == 0
+    kept = quality.keep_good(clashing, model)
+    assert kept.columns == clashing.columns
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(r["doc_id"] for r in got if r["score"] >= 0.5)
+
+
 # op 7
 
 

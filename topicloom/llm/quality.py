@@ -1,25 +1,30 @@
 """Document quality by a linear-chain conditional random field over lines.
 
-Every line is described by its own letters, cases, symbols, words and repetitions,
-by those of the line before and after, and by the document's repetition of words
-and lines. A two-state chain (bad, good) with these features and learnt transitions
-gives each line the probability of good by forward-backward; a document's score is
-the mean over its lines, weighted by their length.
-
-Training takes the lines of a labelled document as labelled like it, on at most
-SAMPLE labelled documents, those whose ids hash lowest, whatever the table's size;
-it runs on the driver (a matrix of SAMPLE documents' lines) by L-BFGS. Scoring is a
-map over all rows and whole texts.
+Every line is described by its own letters, cases, symbols, words and repetitions (of
+words inside it, and of the line in its document), and by those of the line before and
+after. No feature is the same for all lines of a document. A two-state chain (bad,
+good) with these features and learnt transitions gives each line the probability of
+good by forward-backward; a document's score is the mean over its lines, weighted by
+their length.
+
+Only documents have labels, so the labels of their lines are latent: the fit makes the
+documents' scores likely under their labels (cross-entropy of the length-weighted
+marginals), and lines of one document may differ. It starts from lines labelled like
+their document, without transitions. It sees at most SAMPLE labelled documents, those
+whose ids hash lowest, whatever the table's size, and runs on the driver (a matrix of
+these documents' lines) by L-BFGS. Scoring is a map over all rows and whole texts.
 
 Defined results: null and blank texts are one empty line, weighted as one; lines
 without characters weigh nothing elsewhere; without labelled rows, or with one
 class only, all scores are the share of good labels (0.5 without any). A doc_id
-with several labels counts as good if most are, ties as bad. Other columns, and
+with several labels counts as good if most are, ties as bad. Repeated rows give
+repeated rows and are one example; an empty table gives no rows. Other columns, and
 labels, lang, source and doc_id, are no inputs of a score.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,8 +49,10 @@ _CLASS[[*b".,;:'\"-()?"]] = 5
 _CLASS[[c for c in range(33, 127) if not _CLASS[c]]] = 6
 _CLASS[128:] = 7
 _CLASS[128:192] = 8  # later bytes of a character
-OWN = 16
-N_FEATURES = 3 * OWN + 4
+OWN = 19
+N_FEATURES = 3 * OWN
+#: Scores are kept this far from 0 and 1 in the fit.
+EDGE = 1e-4
 
 
 def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -69,27 +76,28 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     x[:-1, 2 * OWN : 3 * OWN] = own[1:]
     x[~before, OWN : 2 * OWN] = own[~before]
     x[~after, 2 * OWN : 3 * OWN] = own[~after]
-    doc = np.repeat(np.arange(len(texts)), lines_of)
-    words = np.concatenate([_doc_repeats(texts[a:b]) for a, b in split_points(np.array([len(t) for t in texts]), BLOCK)]) if texts else np.zeros((0, 2))
-    x[:, 3 * OWN : 3 * OWN + 2] = words[doc]
-    x[:, 3 * OWN + 2] = np.log1p(lines_of)[doc]
-    x[:, 3 * OWN + 3] = np.log1p(np.add.reduceat(lengths, starts) if n else lengths)[doc]
     return x, lengths, lines_of
 
 
-def _doc_repeats(texts: list[bytes]) -> np.ndarray:
-    """Shares of distinct words and of distinct lines of each text."""
-    h, counts = hash_words(texts)
-    doc = np.repeat(np.arange(len(texts)), counts)
-    order = np.lexsort((h, doc))
-    h, d = h[order], doc[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-    out = np.ones((len(texts), 2))
-    out[:, 0] = np.where(counts > 0, np.bincount(d[new], minlength=len(texts)) / np.maximum(counts, 1), 1)
-    for i, t in enumerate(texts):
-        lines = t.split(b"\n")
-        out[i, 1] = len(set(lines)) / len(lines)
+def _repeats(texts: list[bytes]) -> np.ndarray:
+    """Of each line: the share of its words that it has already had, the share of words like the one before, and whether its document has it again."""
+    split = [t.split(b"\n") for t in texts]
+    lines = [x for d in split for x in d]
+    h, counts = hash_words(lines)
+    line = np.repeat(np.arange(len(lines)), counts)
+    order = np.lexsort((h, line))
+    again = (h[order][1:] == h[order][:-1]) & (line[order][1:] == line[order][:-1])
+    next_to = (h[1:] == h[:-1]) & (line[1:] == line[:-1])
+    many = np.maximum(counts, 1)
+    out = np.zeros((len(lines), 3))
+    out[:, 0] = np.bincount(line[order][1:][again], minlength=len(lines)) / many
+    out[:, 1] = np.bincount(line[1:][next_to], minlength=len(lines)) / many
+    at = 0
+    for d in split:
+        if len(d) > 1 and len(set(d)) < len(d):
+            seen = Counter(d)
+            out[at : at + len(d), 2] = [bool(x) and seen[x] > 1 for x in d]
+        at += len(d)
     return out
 
 
@@ -119,7 +127,7 @@ def _own(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     own = np.stack(
         [
             np.ones(n), np.log1p(chars), (chars == 0) * 1.0, count[1] / size, count[2] / size, count[3] / size, count[4] / size, count[5] / size, count[6] / size, count[7] / size,
-            (chars - count[4]) / many / 10, symbol_end / many, per_line(word_start & (kind == 2)) / many, count[2] / letters, per_line(same) / size, per_line(word_start & word_end & (kind == 6)) / many,
+            (chars - count[4]) / many / 10, symbol_end / many, per_line(word_start & (kind == 2)) / many, count[2] / letters, per_line(same) / size, per_line(word_start & word_end & (kind == 6)) / many, *_repeats(texts).T,
         ],
         axis=1,
     )
@@ -200,6 +208,7 @@ class Model:
         self.mean, self.scale, self.weights, self.trans, self.constant = mean, scale, weights, trans, constant
 
     def line_marginals(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Probability of good and length of all lines, and the number of lines of each text."""
         x, lengths, lines_of = line_features(texts)
         u = ((x - self.mean) / self.scale) @ self.weights
         return forward_backward(np.stack([np.zeros(len(u)), u], 1), self.trans, lines_of)[0][:, 1], lengths, lines_of
@@ -208,10 +217,32 @@ class Model:
         if self.constant is not None or not texts:
             return np.full(len(texts), self.constant if texts else 0.0)
         p, lengths, lines_of = self.line_marginals(texts)
-        starts = np.cumsum(lines_of) - lines_of
-        total = np.add.reduceat(lengths, starts)
-        weight = np.where(np.repeat(total, lines_of) > 0, lengths, 1.0)
-        return np.add.reduceat(p * weight, starts) / np.add.reduceat(weight, starts)
+        return np.add.reduceat(p * line_weights(lengths, lines_of), np.cumsum(lines_of) - lines_of)
+
+
+def line_weights(lengths: np.ndarray, lines_of: np.ndarray) -> np.ndarray:
+    """Each line's share of its document's length; of a document without characters all lines count alike."""
+    starts = np.cumsum(lines_of) - lines_of
+    total = np.repeat(np.add.reduceat(lengths, starts), lines_of)
+    return np.where(total > 0, lengths / np.maximum(total, 1), 1 / np.repeat(lines_of, lines_of))
+
+
+def document_loss(w: np.ndarray, trans: np.ndarray, x: np.ndarray, share: np.ndarray, lines_of: np.ndarray, labels: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Cross-entropy of the documents' scores, and its gradients by weights and transitions.
+
+    A score is linear in the marginals, which are derivatives of the log partition; their derivatives along the score's
+    gradient are the change of marginals and transitions when the lines' potentials are moved along it.
+    """
+    u = x @ w
+    starts = np.cumsum(lines_of) - lines_of
+    run = lambda v: forward_backward(np.stack([np.zeros(len(v)), v], 1), trans, lines_of)
+    p = run(u)[0][:, 1]
+    s = EDGE + (1 - 2 * EDGE) * np.add.reduceat(p * share, starts)
+    value = -float(np.log(np.where(labels == 1, s, 1 - s)).sum())
+    along = np.repeat((1 - 2 * EDGE) * np.where(labels == 1, -1 / s, 1 / (1 - s)), lines_of) * share
+    step = 1e-4 / max(float(np.abs(along).max()), 1e-12)
+    (up, up_pairs, _), (down, down_pairs, _) = run(u + step * along), run(u - step * along)
+    return value, x.T @ ((up - down)[:, 1] / (2 * step)), (up_pairs - down_pairs) / (2 * step)
 
 
 def fit(texts: list[bytes], labels: np.ndarray) -> Model:
@@ -223,18 +254,17 @@ def fit(texts: list[bytes], labels: np.ndarray) -> Model:
     scale[0] = 1.0
     x = (x - mean) / scale
     y = np.repeat(labels, lines_of).astype(int)
-    k = x.shape[1]
-    seen = np.zeros((2, 2))
-    seen[0, 0], seen[1, 1] = ((lines_of - 1) * (labels == 0)).sum(), ((lines_of - 1) * (labels == 1)).sum()
+    share, k, n = line_weights(lengths, lines_of), x.shape[1], len(lines_of)
+
+    def alone(w):  # each line by itself, labelled like its document
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        return -float((share * np.log(np.where(y == 1, p, 1 - p))).sum()) + L2 * float(w @ w) / 2, x.T @ (share * (p - y)) + L2 * w
 
     def loss(v):
-        w, trans = v[:k], v[k:].reshape(2, 2)
-        u = x @ w
-        p, pairs, log_z = forward_backward(np.stack([np.zeros(len(u)), u], 1), trans, lines_of)
-        value = log_z - float(u[y == 1].sum()) - float((seen * trans).sum()) + L2 * float(v @ v) / 2
-        return value, np.concatenate([x.T @ (p[:, 1] - y), (pairs - seen).ravel()]) + L2 * v
+        value, by_w, by_trans = document_loss(v[:k], v[k:].reshape(2, 2), x, share, lines_of, labels)
+        return value + L2 * float(v @ v) / 2, np.concatenate([by_w, by_trans.ravel()]) + L2 * v
 
-    v = _lbfgs(loss, np.zeros(k + 4))
+    v = _lbfgs(loss, np.concatenate([_lbfgs(alone, np.zeros(k), steps=20), np.zeros(4)]))
     return Model(mean, scale, v[:k], v[k:].reshape(2, 2))
 
 
