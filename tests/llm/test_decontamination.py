@@ -18,12 +18,7 @@ def leaked(spark, texts, items=(ITEM, OTHER), **kw):
 def test_exact_and_reparameterised(spark):
     new = ITEM.replace("40 miles", "65 miles").replace("3 hours", "7 hours").replace("Anna", "Boris")
     unit = ITEM.replace("40 miles per hour", "40 km per hour")
-    assert leaked(spark, [f"{FILL}. {ITEM} {FILL}", f"{FILL}\n{new}", f"{FILL} {unit.upper()}", FILL, None, "", OTHER]) == {(0, 0), (1, 0), (2, 0), (6, 1)} - ({(2, 0)} if not _upper(spark) else set())
-
-
-def _upper(spark):
-    """In capitals no word is a name, and the name of the item is one: the windows over it differ, the others tell."""
-    return (0, 0) in leaked(spark, [ITEM.upper()])
+    assert leaked(spark, [f"{FILL}. {ITEM} {FILL}", f"{FILL}\n{new}", f"{FILL} {unit.upper()}", FILL, None, "", OTHER]) == {(0, 0), (1, 0), (2, 0), (6, 1)}
 
 
 def test_inconsistent_slots_are_no_leak(spark):
@@ -45,6 +40,31 @@ def test_shuffled_benchmark_gives_the_same(spark, monkeypatch):
     want = leaked(spark, texts)
     monkeypatch.setattr(D, "BROADCAST_ROWS", 0)
     assert leaked(spark, texts) == want == {(0, 0), (2, 1)}
+    monkeypatch.setattr(D, "BROADCAST_HASHES", 0)
+    assert leaked(spark, texts) == want
+
+
+def test_numbers_only_and_items_of_few_words(spark):
+    """Sixteen numbers word for word; items of one to three words are leaks as a line only."""
+    numbers = " ".join(str(i) for i in range(101, 117))
+    items = [numbers, "yes", "new york city", "Paris"]
+    texts = [f"{FILL} {numbers} {FILL}", "oh yes, of course", f"{FILL}\nYes!\n{FILL}", "in new york city they said", "New York City.", "we saw Paris\nin spring", "\u2028 paris \r\n", numbers.replace("110", "910")]
+    assert leaked(spark, texts, items) == {(0, 0), (2, 1), (4, 2), (6, 3)}
+
+
+def test_items_of_all_lengths_at_once(spark):
+    """Eight lengths: each item is found where all its words are (13 of a longer one), and not in a text that lacks one."""
+    words = "alpha bravo charlie delta echo foxtrot golf hotel india juliet kilo lima mike november oscar papa".split()
+    items = [" ".join(words[:n]) for n in (4, 5, 6, 7, 8, 9, 12, 16)]
+    texts = [f"{FILL} {i} {FILL}" for i in items]
+    want = {(d, k) for d in range(8) for k in range(8) if len(items[k].split()) <= len(items[d].split())} | {(7, 7)}
+    assert leaked(spark, texts, items) == want
+
+
+def test_names_after_quotes_and_brackets(spark):
+    item = 'every day the teacher asked "Anna to bring (Boris the red book from the shelf near the window'
+    texts = [item.replace("Anna", "Clara").replace("Boris", "David"), item.replace('"Anna', "Clara\n").replace("(Boris", "David")]
+    assert leaked(spark, texts, [item]) == {(0, 0), (1, 0)}
 
 
 def test_against_brute_force(spark):
@@ -74,6 +94,82 @@ def test_against_brute_force(spark):
     assert leaked(spark, texts, items) == want and len(want) > 10
 
 
+def _by_hand(text, item, window=8, cover=13):
+    """Leaks of items without adjacent placeholders, by trying all pairs of windows."""
+    is_name, is_number = (lambda w: w[:1].isupper()), (lambda w: w[:1].isdigit())
+    t, i = text.split(), item.split()
+    as_name = lambda ws, p: p > 0 and is_name(ws[p]) and (ws[p - 1][-1].islower() or ws[p - 1][-1].isdigit())
+
+    def template(ws, kind):
+        return [chr(2) if kind and is_number(w) else chr(1) if kind == 2 and as_name(ws, p) else w.lower() for p, w in enumerate(ws)]
+
+    found = []
+    for kind in (0, 1, 2):
+        a, b = template(t, kind), template(i, kind)
+        for q in range(len(b) - window + 1):
+            slots = sum(x in (chr(1), chr(2)) for x in b[q : q + window])
+            if kind and (2 * slots > window or not slots or kind == 2 and chr(1) not in b[q : q + window]):
+                continue
+            found += [(p - q, q, kind, tuple(b[q : q + window])) for p in range(len(a) - window + 1) if a[p : p + window] == b[q : q + window]]
+    diagonals = sorted({d for d, *_ in found})
+    chains, now = [], []
+    for d in diagonals:
+        if now and d - now[-1] > 4:
+            chains.append(now)
+            now = []
+        now.append(d)
+    need = min(cover, len(i))
+    for part in [[d] for d in diagonals] + chains + [now]:
+        rows = [f for f in found if f[0] in part]
+        sides = []
+        for side in (0, 1):
+            cells = {}
+            for d, q, kind, w in rows:
+                for j, x in enumerate(w):
+                    same, word = cells.get(q + j + side * d, (False, False))
+                    cells[q + j + side * d] = (same or kind == 0, word or kind == 0 or x not in (chr(1), chr(2)))
+            sides.append((len(cells), sum(s for s, _ in cells.values()), sum(w for _, w in cells.values())))
+        covered, exact, words = (min(s[k] for s in sides) for k in range(3))
+        there, back = {}, {}
+        for d, q, kind, w in rows:
+            for j, x in enumerate(w):
+                if kind and x in (chr(1), chr(2)):
+                    there.setdefault((x, i[q + j].lower()), set()).add(t[q + d + j].lower())
+                    back.setdefault((x, t[q + d + j].lower()), set()).add(i[q + j].lower())
+        odd = any(len(v) > 1 for v in [*there.values(), *back.values()])
+        if exact >= need or covered >= need and 2 * words >= need and not odd:
+            return True
+    return False
+
+
+def test_against_brute_force_with_placeholders(spark):
+    """Items with numbers and names; texts hold pieces of them with other values, consistent or not."""
+    rng = random.Random(9)
+    low = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(60)]
+    low = [w for w in low if w not in D.UNITS.split()]
+    names, items = ["Anna", "Boris", "Clara", "David"], []
+    for _ in range(10):
+        ws = []
+        for k in range(24):
+            ws.append(rng.choice(low) if k % 3 else rng.choice([rng.choice(names), str(rng.randint(2, 9)), rng.choice(low), rng.choice(low)]) if k else rng.choice(low))
+        items.append(" ".join(ws))
+    texts = []
+    for _ in range(70):
+        ws = rng.choice(items).split()
+        a, n = rng.randrange(9), rng.choice([9, 12, 13, 14, 15, 15])
+        swap, how = {}, rng.random()
+        piece = []
+        for w in ws[a : a + n]:
+            if w[0].isdigit() or w[0].isupper():
+                pick = lambda w=w: str(rng.randint(10, 99)) if w[0].isdigit() else rng.choice(["Emma", "Frank", "Greta", "Hans"])
+                w = w if how < 0.2 else swap.setdefault(w, pick()) if how < 0.8 else pick()
+            piece.append(w)
+        before = [rng.choice(low) for _ in range(12)]
+        texts.append(" ".join([*before, *piece, *[rng.choice(low) for _ in range(12)]]))
+    want = {(d, k) for d, t in enumerate(texts) for k, i in enumerate(items) if _by_hand(t, i)}
+    assert leaked(spark, texts, items) == want and 15 < len(want) < 60
+
+
 def test_copies_dense_in_placeholders(spark):
     """Word for word copies are leaks however many of their tokens are placeholders; other values in them are none."""
     items = ["What is 12 * 7 + 3", "add 11 12 13 14 15 16 17 18 19 20 21 22 23", "the guests were Anna Boris Clara David Emma Frank Greta Hans Irene Jonas"]

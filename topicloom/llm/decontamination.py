@@ -1,27 +1,36 @@
 """Benchmark decontamination by templates: typed placeholders, window hashes, slot consistency.
 
 Texts become tokens without punctuation and in lower case, and templates in which
-numbers, the units after them and names (capitalised words inside a sentence) are
-placeholders of their type; a run of numbers or of names is one placeholder. White space is made one blank first. A second template has
-no names, for copies in another case; an item's first word, which may stand inside a
-sentence of the document, is taken both as a word and as a name that must be the same. Windows of WINDOW template tokens of the benchmark meet
-those of all documents by hash; windows that are mostly placeholders say nothing as
-templates. Besides, all windows of plain words meet those of the documents, whatever
-they hold. Windows of one document and item that lie on one diagonal, or on diagonals
-at most SHIFT words apart (a word more or less), belong to one occurrence. It is a leak if it covers COVER tokens (all of a shorter item),
-half as many of them outside placeholders, and its slots are consistent: one value of the item stands for one value of the
-document throughout, and the other way round. So an item with new numbers or names
-is caught, a text that shares its phrases with changing values is not, unless
-windows of plain words cover COVER tokens of the item.
-
-Everything is DataFrame operations. The benchmark's windows are broadcast up to
-BROADCAST_ROWS of them (about 40 bytes each); beyond that they are joined by a
-shuffle. Matches are pre-reduced to the pairs of windows; no text is shuffled.
-
-Defined results: null and blank texts have no windows; items with fewer tokens than
-a window are one shorter window of their own length and match documents' windows of
-that length; repeated rows count once; a null doc_id is reported as null.
-Other columns are not read; `keep_clean` keeps them as they are.
+numbers, the units after them and names (capitalised words inside a sentence, also
+after a line break, a quote or a bracket) are placeholders of their type; a run of
+numbers or of names is one placeholder. White space is made one blank first. A second
+template has no names, for copies in another case; an item's first word, which may stand
+inside a sentence of the document, is taken both as a word and as a name that must be
+the same. Windows of WINDOW template tokens of the benchmark (SHORT of items with
+fewer) meet those of all documents by hash; windows that are mostly placeholders say
+nothing as templates. Besides, all windows of plain words meet those of the documents,
+whatever they hold. Windows of one document and item that lie on one diagonal, or on
+diagonals at most SHIFT words apart (a word more or less), belong to one occurrence. It
+is a leak if it covers COVER tokens (all of a shorter item), half as many of them
+outside placeholders, and its slots are consistent: one value of the item stands for
+one value of the document throughout, and the other way round. So an item with new
+numbers or names is caught, a text that shares its phrases with changing values is not,
+unless windows of plain words cover COVER tokens of the item.
+
+Items with fewer tokens than SHORT ("yes", "paris") are in many sentences by chance:
+they leak where they are a whole line of a document.
+
+Everything is DataFrame operations. All sizes and templates of a document are made in
+one pass: each token is hashed once, and a window's hash is one of its tokens' hashes.
+The benchmark's windows are broadcast up to BROADCAST_ROWS of them (about 40 bytes
+each); beyond that their hashes alone thin the documents' windows, up to
+BROADCAST_HASHES (8 bytes each), and then a shuffle joins. Matches are pre-reduced to
+the pairs of windows; no text is shuffled.
+
+Defined results: null and blank texts have no windows; repeated rows count once; rows
+that share an id count by their texts; a null doc_id is reported as null; an empty
+table, or benchmark, gives no rows. Other columns are not read; `keep_clean` keeps them
+as they are.
 """
 
 from __future__ import annotations
@@ -32,9 +41,12 @@ from pyspark.sql import functions as F
 from topicloom.llm._spark import cut, text_key, without
 
 WINDOW, COVER = 8, 13
+#: Windows of items with fewer than WINDOW tokens; items with fewer than this must be a whole line.
+SHORT = 4
 #: Occurrences whose diagonals are at most so many words apart are added up.
 SHIFT = 4
 BROADCAST_ROWS = 200_000
+BROADCAST_HASHES = 4_000_000
 NULL_ID = 2**63 - 1
 
 _NAME, _NUMBER, _UNIT, _JOINED = "\x01", "\x02", "\x03", "\x04"
@@ -50,11 +62,11 @@ def tokens_of(text: Column) -> tuple[Column, Column, Column]:
 
     A run of numbers or of names is one placeholder; its later places hold _JOINED.
     """
-    text = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x01-\x20\x85\p{Z}]+", " ")
-    named = F.regexp_replace(text, r"(?<=[\p{Ll}\p{Nd},;] )(?=\p{Lu}\p{Ll})", _NAME)
-    marked = F.regexp_replace(F.lower(named), r"[^\p{L}\p{N}\x01 ]+", "")
+    text = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x01-\x20\x85\p{Z}]{2,}|[\x01-\x1F\x85\p{Z}&&[^ ]]", " ")
+    named = F.regexp_replace(text, r"(?=\p{Lu}\p{Ll})(?<=[\p{Ll}\p{Nd},;:)\]\"'\u2019\u201D\u00BB] [\"'(\[\u2018\u201C\u00AB]?)", _NAME)
+    marked = F.regexp_replace(F.lower(named), r"[^a-z0-9\x01 \p{L}\p{N}]+", "")
     marked = F.trim(F.regexp_replace(marked, "  +", " "))
-    numbers = F.regexp_replace(marked, r"(?<![^ ])\p{Nd}[^ ]*", _NUMBER)
+    numbers = F.regexp_replace(marked, r"(?=\p{Nd})(?<![^ ])\p{Nd}[^ ]*", _NUMBER)
     numbers = F.regexp_replace(numbers, rf"(?<=\x02 )\x01?(?:{'|'.join(UNITS.split())})(?![^ ])", _UNIT)
     numbers = F.regexp_replace(numbers, r"(?<=[\x02\x04] )\x02", _JOINED)
     names = F.regexp_replace(numbers, r"\x01[^ ]*", _NAME)
@@ -84,60 +96,87 @@ def _is_slot(token: Column) -> Column:
     return token.isin(_NAME, _NUMBER, _UNIT)
 
 
-def _windows(tokens: str, size) -> Column:
-    """Hashes of all windows of size tokens, in order."""
-    span = F.sequence(F.lit(1), F.size(tokens) - size + 1)
-    hashes = F.transform(span, lambda i: F.xxhash64(F.slice(tokens, i, size)))
-    return F.when((F.size(tokens) >= size) & (F.element_at(tokens, 1) != ""), hashes)
+def _hashes(tokens) -> Column:
+    return F.transform(tokens, lambda x: F.xxhash64(x))
 
 
-def _wanted(items: DataFrame, window: int) -> DataFrame:
+def _windows(hashes: str, size: int) -> Column:
+    """Hashes of all windows of size tokens, in order, from those of the tokens."""
+    one = lambda i: F.xxhash64(*[F.get(F.col(hashes), i + j) for j in range(size)])
+    return F.when(F.size(hashes) >= size, F.transform(F.sequence(F.lit(0), F.size(hashes) - size), one))
+
+
+def _wanted(items: DataFrame, window: int, short: int) -> DataFrame:
     """The windows of the items: hash, kind, size, item_id, ipos, n_tokens, fixed, iat (see _starts), for templates the words iw and tokens tw.
 
-    All windows of plain words (kind 0), and those with numbers (1) or names (2) that are not mostly placeholders. An
-    item's first word is a name or not by what stands before it: in a fixed window it is one, but must be the same.
+    All windows of plain words (kind 0), and those with numbers (1) or names (2) that are not mostly placeholders (of a
+    short item: windows of an item that is not). An item's first word is a name or not by what stands before it: in a
+    fixed window it is one, but must be the same.
     """
     n, no_words = F.size("p"), F.lit(None).cast("array<string>")
     out = None
     for kind, column, fixed in ((0, "p", False), (1, "t1", False), (2, "t2", False), (2, "b2", True)):
         rows = items.filter((F.element_at("b2", 1) == _NAME) & (F.element_at("t2", 1) != _NAME)) if fixed else items
-        rows = rows.select("item_id", "p", n.alias("n_tokens"), *_joined(column)).withColumnsRenamed({f"c{column}": "c", f"s{column}": "s"}).withColumn("size", F.least(F.lit(window), F.size("c")))
-        rows = rows.select("*", F.posexplode(_windows("c", F.col("size"))).alias("k", "hash")).withColumn("iat", _starts("k", "s"))
-        if kind:
-            rows = rows.withColumns({"iw": _values("iat"), "tw": F.slice("c", F.col("k") + 1, F.col("size"))})
-            if fixed:
-                rows = rows.filter("k = 0").withColumn("tw", F.concat(F.slice("iw", 1, 1), F.slice("tw", 2, window)))
-            slots = F.filter("tw", _is_slot)
-            rows = rows.filter((F.array_contains(slots, _NAME) if kind == 2 else F.size(slots) > 0) & (2 * F.size(slots) <= F.col("size")))
-        else:
-            rows = rows.withColumns({"iw": no_words, "tw": no_words})
-        rows = rows.select("hash", F.lit(kind).alias("kind"), "size", "item_id", F.col("iat")[0].alias("ipos"), "n_tokens", F.lit(fixed).alias("fixed"), "iat", "iw", "tw")
-        out = rows if out is None else out.unionByName(rows)
+        rows = rows.select("item_id", "p", n.alias("n_tokens"), *_joined(column)).withColumnsRenamed({f"c{column}": "c", f"s{column}": "s"}).withColumn("h", _hashes("c"))
+        for size in dict.fromkeys((window, short)):
+            some = rows.filter(F.size("c") >= size if size == window else F.size("c").between(size, window - 1)).withColumn("size", F.lit(size))
+            some = some.select("*", F.posexplode(_windows("h", size)).alias("k", "hash")).withColumn("iat", _starts("k", "s"))
+            if kind:
+                some = some.withColumns({"iw": _values("iat"), "tw": F.slice("c", F.col("k") + 1, F.col("size"))})
+                if fixed:
+                    some = some.filter("k = 0").withColumn("tw", F.concat(F.slice("iw", 1, 1), F.slice("tw", 2, size)))
+                slots = F.filter("tw", _is_slot)
+                whole = F.size(slots) if size == window else F.size(F.filter("c", _is_slot))
+                some = some.filter((F.array_contains(slots, _NAME) if kind == 2 else F.size(slots) > 0) & (F.size(slots) < F.col("size")) & (2 * whole <= (F.col("size") if size == window else F.size("c"))))
+            else:
+                some = some.withColumns({"iw": no_words, "tw": no_words})
+            some = some.select("hash", F.lit(kind).alias("kind"), "size", "item_id", F.col("iat")[0].alias("ipos"), "n_tokens", F.lit(fixed).alias("fixed"), "iat", "iw", "tw")
+            out = some if out is None else out.unionByName(some)
     return out
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cover: int = COVER) -> DataFrame:
+def _line_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """id, th, item_id, covered, n_tokens of items that are a whole line of a document. items: item_id, p."""
+    lines = docs.select(*text_key(), F.explode(F.split("text", r"[\n\r\x0B\x0C\x85\u2028\u2029]")).alias("line")).select("_id", "_th", F.array_join(tokens_of(F.col("line"))[0], " ").alias("line"))
+    short = items.select("item_id", F.size("p").alias("n_tokens"), F.array_join("p", " ").alias("words"))
+    if short.count() <= BROADCAST_ROWS:
+        short = F.broadcast(short)
+    return lines.join(short, F.col("line") == F.col("words")).select(F.col("_id").alias("id"), F.col("_th").alias("th"), "item_id", F.col("n_tokens").alias("covered"), "n_tokens").distinct()
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cover: int = COVER, short: int = SHORT) -> DataFrame:
     """id, th (the row of docs, see text_key), item_id, covered (tokens), n_tokens of the item: one row per leaked item."""
     plain, numbers, names = tokens_of(F.col("text"))
     within = tokens_of(F.concat(F.lit("x "), "text"))[2]
     items = benchmark.select("item_id", plain.alias("p"), numbers.alias("t1"), names.alias("t2"), F.slice(within, 2, F.size(within)).alias("b2"))
     items = cut(items.filter(F.element_at("p", 1) != "").dropDuplicates(["item_id", "p", "t2"]))
-    wanted = cut(_wanted(items, window))
-    kinds = [(r["kind"], r["size"]) for r in wanted.select("kind", "size").distinct().collect()]  # at most 3 * window of them
+    short = min(short, window)
+    lines = items.filter(F.size("p") < short).select("item_id", "p")
+    lines = _line_leaks(docs, lines) if not lines.isEmpty() else None
+    wanted = cut(_wanted(items, window, short))
+    kinds = [(r["kind"], r["size"]) for r in wanted.select("kind", "size").distinct().collect()]  # at most six
     if not kinds:
-        return docs.select(*text_key()).select(F.col("_id").alias("id"), F.col("_th").alias("th"), F.lit(None).cast("long").alias("item_id"), F.lit(0).alias("covered"), F.lit(0).alias("n_tokens")).limit(0)
-    if wanted.count() <= BROADCAST_ROWS:
+        none = docs.select(*text_key()).select(F.col("_id").alias("id"), F.col("_th").alias("th"), F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), F.lit(0).alias("covered"), F.lit(0).alias("n_tokens")).limit(0)
+        return lines if lines is not None else none
+    n_wanted, hashes = wanted.count(), None
+    if n_wanted <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
+    else:
+        found = cut(wanted.select("hash").distinct())
+        hashes = F.broadcast(found) if found.count() <= BROADCAST_HASHES else None
     base = docs.select(*text_key(), plain.alias("p"), numbers.alias("t1"), names.alias("t2"))
     # a template that equals the one before has no windows of its own; plain windows take no words along
     base = base.select("_id", "_th", "p", (F.col("t1") != F.col("p")).alias("d1"), (F.col("t2") != F.col("t1")).alias("d2"), *_joined("t1"), *_joined("t2"))
     tokens = {0: F.col("p"), 1: F.when(F.col("d1"), F.col("ct1")), 2: F.when(F.col("d2"), F.col("ct2"))}
     starts = {0: F.lit(None).cast("array<int>"), 1: F.col("st1"), 2: F.col("st2")}
     words = {0: F.lit(None).cast("array<string>"), 1: F.col("p"), 2: F.col("p")}
-    branches = [F.struct(F.lit(size).alias("z"), tokens[kind].alias("c"), starts[kind].alias("s"), words[kind].alias("p")) for kind, size in sorted(kinds)]
-    places = base.select("_id", "_th", F.explode(F.array(*branches)).alias("b")).select("_id", "_th", "b.*").filter(F.size("c") >= F.col("z"))
-    # the generator is lazy: a long text's windows are never held together
-    places = places.select("_id", "_th", "p", "s", F.posexplode(_windows("c", F.col("z"))).alias("k", "hash"))
+    branches = [F.struct(F.lit(size).alias("z"), _hashes(tokens[kind]).alias("h"), starts[kind].alias("s"), words[kind].alias("p")) for kind, size in sorted(kinds)]
+    places = base.select("_id", "_th", F.explode(F.array(*branches)).alias("b")).select("_id", "_th", "b.*").filter(F.size("h") >= F.col("z"))
+    sizes = {size for _, size in kinds}
+    of_size = _windows("h", window) if sizes == {window} else _windows("h", short) if sizes == {short} else F.when(F.col("z") == window, _windows("h", window)).otherwise(_windows("h", short))
+    places = places.select("_id", "_th", "p", "s", F.posexplode(of_size).alias("k", "hash"))
+    if hashes is not None:
+        places = places.join(hashes, "hash", "left_semi")
     met = places.join(wanted, "hash").withColumn("dat", _starts("k", "s")).withColumn("dw", F.when(F.col("kind") > 0, _values("dat"))).withColumn("diagonal", F.col("dat")[0] - F.col("ipos"))
     pair = ["_id", "_th", "item_id", "n_tokens"]
     matches = cut(met.select(*pair, "kind", "fixed", "diagonal", "ipos", "dat", "iat", "dw", "iw", "tw").dropDuplicates([*pair, "kind", "fixed", "diagonal", "ipos"]))
@@ -160,7 +199,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cover: in
     odd = twice.groupBy(*where).agg((F.max("count") > 1).alias("odd"))
     need = F.least(F.lit(cover), F.col("n_tokens"))
     hits = covered.join(odd, where, "left").filter((F.col("exact") >= need) | (F.col("covered") >= need) & (2 * F.col("words") >= need) & ~F.coalesce("odd", F.lit(False)))
-    return hits.groupBy("_id", "_th", "item_id").agg(F.max("covered").alias("covered"), F.max("n_tokens").alias("n_tokens")).withColumnsRenamed({"_id": "id", "_th": "th"})
+    hits = hits.groupBy("_id", "_th", "item_id").agg(F.max("covered").alias("covered"), F.max("n_tokens").alias("n_tokens")).withColumnsRenamed({"_id": "id", "_th": "th"})
+    if lines is None:
+        return hits
+    both = hits.unionByName(lines.withColumn("covered", F.col("covered").cast("long")))
+    return both.groupBy("id", "th", "item_id").agg(F.max("covered").alias("covered"), F.max("n_tokens").alias("n_tokens"))
 
 
 def leak_pairs(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cover: int = COVER) -> DataFrame:
