@@ -20,7 +20,8 @@ checked against their digests.
 Defined results: null html is an empty payload; rows that tie for the largest
 page_id are all responses; a null page_id counts as the smallest; a null url is
 written empty and read back null. Line breaks in a url are percent-encoded in the
-header; the index holds the url itself. Other columns are not read.
+header; the index holds the url itself. Repeated rows are records of their own, an
+empty table gives none. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -122,9 +123,15 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
     folder = folder if ":" in folder.split("/")[0] else f"file://{folder}"
     pages = pages.select("page_id", "url", "html", F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary")).alias("_sha"), F.octet_length(F.coalesce(F.col("html"), F.lit(""))).alias("_n"))
     twice = cut(pages.filter(F.col("_n") >= min_bytes).groupBy("_sha").agg(F.max("page_id").alias("_last"), F.count("*").alias("_rows")).filter("_rows > 1 and _last is not null").select("_sha", "_last"))
-    known = F.broadcast(twice) if twice.count() <= BROADCAST_ROWS else twice
-    to = F.when((F.col("_n") >= min_bytes) & (F.col("page_id").isNull() | (F.col("page_id") < F.col("_last"))), F.col("_last"))
-    rows = pages.join(known, "_sha", "left").select("page_id", "url", "html", to.alias("refers_to"))
+    earlier = F.col("page_id").isNull() | (F.col("page_id") < F.col("_last"))
+    if twice.count() <= BROADCAST_ROWS:
+        pages, last = pages.join(F.broadcast(twice), "_sha", "left"), F.col("_last")
+    else:  # pages are shuffled by their own id, so a digest that many share brings only ids together
+        page = F.coalesce(F.col("page_id"), F.lit(-(2**63)))
+        ids = pages.select("page_id", "_sha").distinct().join(twice, "_sha").filter(earlier).select(page.alias("_p"), F.col("_sha").alias("_s"), "_last")
+        pages, last = pages.join(cut(ids), (page == F.col("_p")) & (F.col("_sha") == F.col("_s")), "left"), F.col("_last")
+    to = F.when((F.col("_n") >= min_bytes) & earlier, last)
+    rows = pages.select("page_id", "url", "html", to.alias("refers_to"))
     return cut(rows.mapInArrow(_writer(folder), INDEX))
 
 
