@@ -14,9 +14,14 @@ Last, the law "rows" is made exact: rows get their slot from counts of (shard,
 linked or not, bucket), the rows beyond a shard's share (the unlinked come last, so
 they go first) fill the shards that have room.
 
-Laws: "rows" gives counts at most one apart. Defined results: a null text is an
-empty one (size 1); a null doc_id is a value of its own; equal rows are
-interchangeable; an empty table gives no rows. Other columns are not read.
+Laws: "rows" gives counts at most one apart, at any parameters. These say only where
+linked rows go: below `least_room` of its share a shard is closed to them, and groups of
+at most `small` of a share (`few` rows) come together in an open shard even where a
+closed one has more of them; such a group is split less often, a larger one moves less.
+
+Defined results: a null text is an empty one (size 1); a null doc_id is a value of its
+own; equal rows are interchangeable and placed each by itself; an empty table gives no
+rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,7 +37,7 @@ LEAST_ROOM = 0.05
 #: Groups of at most this part of a share come together in an open shard even if a closed one has more of them.
 SMALL, FEW = 0.005, 8
 UNIT = 1_000_000
-#: A large group's rows are ranked in so many pieces.
+#: A large group's rows are ranked in so many pieces at least.
 SALTS = 64
 
 
@@ -40,13 +45,13 @@ def _chance(*columns) -> F.Column:
     return F.pmod(F.xxhash64(*columns), F.lit(UNIT))
 
 
-def propagate(linked: DataFrame, shares: dict[int, int], rounds: int = ROUNDS) -> DataFrame:
+def propagate(linked: DataFrame, shares: dict[int, int], rounds: int = ROUNDS, least_room: float = LEAST_ROOM, small_part: float = SMALL, few: int = FEW) -> DataFrame:
     """linked: key, group, shard. Rows moved towards the shard with most of their group, under quotas."""
     shards = sorted(shares)
     linked = cut(linked)
     held = {r["shard"]: r["n"] for r in linked.groupBy("shard").agg(F.count("*").alias("n")).collect()}
     for number in range(rounds):
-        open_shards = [s for s in shards if shares[s] - held.get(s, 0) > LEAST_ROOM * shares[s]]
+        open_shards = [s for s in shards if shares[s] - held.get(s, 0) > least_room * shares[s]]
         if not open_shards:
             break
         parts = cut(linked.groupBy("group", "shard").agg(F.count("*").alias("n")))
@@ -56,7 +61,7 @@ def propagate(linked: DataFrame, shares: dict[int, int], rounds: int = ROUNDS) -
         best = F.max_by(F.struct("shard", "n", tie.alias("tie")), rank)
         wish = cut(parts.groupBy("group").agg(best.alias("top"), F.sum("n").alias("total")).filter(F.col("top.shard").isin(open_shards)).select("group", F.col("top.shard").alias("best"), F.col("top.n").alias("most"), F.col("top.tie").alias("tie"), "total"))
         fewer = (F.col("n") < F.col("most")) | (F.col("n") == F.col("most")) & (tie < F.col("tie"))
-        small = F.col("total") <= max(FEW, SMALL * min(shares.values()))
+        small = F.col("total") <= max(few, small_part * min(shares.values()))
         wants = parts.join(wish, "group").filter((F.col("shard") != F.col("best")) & (fewer | small))
         flows = {r["best"]: r["n"] for r in wants.groupBy("best").agg(F.sum("n").alias("n")).collect()}
         if not flows:
@@ -95,18 +100,21 @@ def _swap(linked: DataFrame, shares: dict[int, int], rounds: int) -> DataFrame:
     return linked
 
 
-def shard_rows(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+def shard_rows(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, least_room: float = LEAST_ROOM, small: float = SMALL, few: int = FEW) -> DataFrame:
     """One row per row of docs: doc_id, size, text_crc32, law, shard, slot, grown_shard; law "rows"."""
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = cut(docs.select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("group")).withColumn("key", F.xxhash64("doc_id", "group")))
+    rows = cut(docs.select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("group")).withColumn("key", F.xxhash64("doc_id", "group")).withColumn("row", F.monotonically_increasing_id()))
     total = rows.count()
+    equal = cut(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key", F.lit(True).alias("equal")))
+    if not equal.isEmpty():  # equal rows get keys of their own, by their place in the checkpoint
+        rows = cut(rows.join(equal, "key", "left").withColumn("key", F.when(F.col("equal"), F.xxhash64("key", "row")).otherwise(F.col("key"))).drop("equal"))
+    rows = rows.drop("row")
     shares = {s: total // shards + (s < total % shards) for s in range(shards)}
     twice = cut(rows.groupBy("group").agg(F.count("*").alias("n")).filter("n > 1").select("group", F.lit(True).alias("twice")))
     told = rows.join(twice, "group", "left")
     start = F.pmod(F.xxhash64("key", F.lit(11)), F.lit(shards)).cast("int")
-    linked = propagate(told.filter("twice").select("key", "group", start.alias("shard")), shares)
-    # equal rows share a key; they were moved together, so one row per key says where
+    linked = propagate(told.filter("twice").select("key", "group", start.alias("shard")), shares, rounds, least_room, small, few)
     where = cut(linked.dropDuplicates(["key"]).select("key", F.col("shard").alias("moved")))
     n_buckets = max(16, 4 * partitions(spark))
     placed = told.join(where, "key", "left").select(
@@ -114,7 +122,7 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         F.pmod(F.xxhash64("key", F.lit(5)), F.lit(n_buckets)).cast("int").alias("bucket"), "key", "group",
     )
     # linked rows of a group share a bucket range by group, so that a shard's excess splits few groups
-    placed = cut(placed.withColumn("bucket", F.when((F.col("loose") == 0), F.pmod(F.xxhash64("group", F.lit(5)), F.lit(n_buckets)).cast("int")).otherwise(F.col("bucket"))).withColumn("salt", F.when(F.col("loose") == 0, F.pmod(F.col("key"), F.lit(SALTS)).cast("int")).otherwise(0)))
+    placed = cut(placed.withColumn("bucket", F.when((F.col("loose") == 0), F.pmod(F.xxhash64("group", F.lit(5)), F.lit(n_buckets)).cast("int")).otherwise(F.col("bucket"))).withColumn("salt", F.when(F.col("loose") == 0, F.pmod(F.col("key"), F.lit(max(SALTS, n_buckets))).cast("int")).otherwise(0)))
     cells = placed.groupBy("home", "loose", "bucket", "salt").agg(F.count("*").alias("n"))
     # one row per shard, kind, bucket and salt: a number that follows the tasks, not the rows
     before = Window.partitionBy("home").orderBy("loose", "bucket", "salt").rowsBetween(Window.unboundedPreceding, -1)
