@@ -280,6 +280,22 @@ def test_token_counts_equal_the_library(odd_texts, monkeypatch):
     assert [token_counts.WordCounter(path).count(t) for t in odd_texts] == want
 
 
+def test_the_shortcut_rests_on_the_models_flags():
+    """A model with another normaliser, prefix, spaces or mark is counted text by text."""
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        model = f.read()
+    field = lambda n, kind, value: bytes([n << 3 & 127 | kind | (128 if n > 15 else 0)]) + (bytes([n >> 4]) if n > 15 else b"") + value
+    spec = lambda n, body: field(n, 2, bytes([len(body)]) + body)
+    assert token_counts.keeps_words(model)
+    right = (spec(2, field(3, 0, b"\x02")), spec(3, field(4, 0, b"\x00")))
+    assert token_counts.keeps_words(b"".join(right))
+    for trainer, normaliser in (
+        (field(3, 0, b"\x01"), field(4, 0, b"\x00")), (field(3, 0, b"\x02") + field(24, 0, b"\x01"), field(4, 0, b"\x00")), (field(3, 0, b"\x02"), b""), (field(3, 0, b"\x02"), field(4, 0, b"\x00") + field(3, 0, b"\x00")),
+        (field(3, 0, b"\x02"), field(4, 0, b"\x00") + field(5, 0, b"\x00")), (field(3, 0, b"\x02"), field(4, 0, b"\x00") + spec(2, b"rules")),
+    ):
+        assert not token_counts.keeps_words(spec(2, trainer) + spec(3, normaliser))
+
+
 def test_whole_tokens_are_proven(rows):
     counter = token_counts.WordCounter(public_tokenizers.path("piece_bpe_32k.model"))
     assert len(counter.whole) > 10_000 and all(len(counter.sp.encode(w)) == 1 for w in list(counter.whole)[:2000] if w)
@@ -314,6 +330,16 @@ def test_token_queries_on_tables(rows, docs, clashing, nothing):
     got = table(token_counts.token_counts(clashing, path))
     assert sum(got.values()) == len(rows) and (5, 0, 0, False) in got and (6, 0, 0, False) in got
     assert token_counts.token_counts(nothing, path).count() == 0
+    digests = bpe.encode_digests(clashing, public_tokenizers.path("byte_bpe_50k.json"))
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = Counter()
+    for i, t, *_ in rows:
+        ids = lib.encode(t or "", add_special_tokens=False).ids
+        want[i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()] += 1
+    assert table(digests) == want
+    assert bpe.encode_digests(nothing, public_tokenizers.path("byte_bpe_50k.json")).count() == 0
     coded = bpe.encode_documents(clashing, public_tokenizers.path("byte_bpe_50k.json")).collect()
     assert len(coded) == len(rows) and all(len(r["ids"]) == r["n_tokens"] for r in coded)
     text = {r[0]: r[1] or "" for r in rows}
@@ -475,6 +501,15 @@ def test_sharding(spark, rows, docs, clashing, nothing):
     assert sharding.shard_rows(nothing).count() == 0
 
 
+def test_sharding_of_equal_rows(spark):
+    """Equal rows, a third of the table, are placed each by itself."""
+    rows = [(None, "")] * 500 + [(i, f"text {i % 400}") for i in range(1000)]
+    for df in (spark.createDataFrame(rows, "doc_id long, text string").repartition(4), spark.createDataFrame(rows, "doc_id long, text string")):
+        got = sharding.shard_rows(df, least_room=0.1, few=4).collect()
+        check_law(got, rows)
+        assert Counter(r["doc_id"] for r in got) == Counter(i for i, _ in rows)
+
+
 def test_sharding_where_every_text_is_repeated(spark):
     rows = [(i, f"text {i // 2}") for i in range(6000)]
     got = sharding.shard_rows(spark.createDataFrame(rows, "doc_id long, text string")).collect()

@@ -54,3 +54,16 @@ def test_stages(tmp_path, spark):
     _, before, ids, df = kept[4]
     assert ids == set(before)
     assert {r["doc_id"] for r in cp.run(spark, d).collect()} == ids
+
+
+def test_empty_tables_and_rows_without_ids(tmp_path, spark):
+    """No documents give no rows; rows without an id or text pass through all stages."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rng = random.Random(1)
+    for name, rows in (("none", []), ("odd", [(None, None, None, None, None), (None, None, None, None, None), (None, " ".join(rng.choice(["plain", "words", "here", "and", "there"]) for _ in range(40)), "en", "s", 200), (4, "", "en", "s", 0), (4, "", "en", "s", 0)])):
+        d = f"{tmp_path}/{name}"
+        spark.createDataFrame(rows, schema).write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+        got = cp.run(spark, d).collect()
+        assert sorted(r["doc_id"] or 0 for r in got) == sorted(r[0] or 0 for r in rows)

@@ -9,7 +9,8 @@ the exact merge loop. Encodings of words are kept in a bounded cache.
 
 Defined results: a null text counts as empty (no ids); added special tokens inside
 a text get their own id, as the tokenizers library does by default; texts of any
-length are encoded in stretches cut where the pre-tokenizer always cuts.
+length are encoded in stretches cut where the pre-tokenizer always cuts. Repeated rows
+give repeated rows, an empty table gives none. Other columns are not read.
 """
 
 from __future__ import annotations
