@@ -22,6 +22,9 @@ def test_commands(spark, corpus, tmp_path):
     shares = run(spark, ["proportions", c, m]).collect()
     assert len(shares) == 24
     assert run(spark, ["similarity", c, m, "--metric", "cosine"]).count() == 11
+    pairs = run(spark, ["--quiet", "similarity", c, m, "--pair", "00.txt", "02.txt", "--pair", "00.txt", "03.txt"]).collect()
+    assert [(r["a"], r["b"]) for r in pairs] == [(0, 2), (0, 3)] and pairs[0]["distance"] < pairs[1]["distance"]
+    assert run(spark, ["train", c, m, "--topics", "2", "--batch-size", "6", "--decay", "1", "--strategy", "join"]).count() == 12
     assert run(spark, ["coherence", c, m, "--min-count", "1", "--vectors", str(tmp_path / "wv")]).count() == 2
 
 

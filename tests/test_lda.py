@@ -97,7 +97,7 @@ def test_distributed_variant_normalises_by_document():
     lam = np.array([[0.22, 0.7, 0.2, 0.3], [0.14, 0.29, 0.5, 0.2], [0.32, 0.43, 0.2, 0.45]])
     ids, n = np.array([0, 1]), np.array([5.0, 2.0])
     g, _, _ = kernel.vb_document(n, L._beta(lam)[:, ids], np.ones(3), 1 / 3, 100, 0.001)
-    d, _, _ = kernel.vb_document(n, L._local_beta(lam, ids), np.ones(3), 1 / 3, 100, 0.001)
+    d, _, _ = kernel.vb_document(n, L._local_beta(lam[:, ids].T, np.zeros(2, int), 1).T, np.ones(3), 1 / 3, 100, 0.001)
     np.testing.assert_allclose(g, [0.4329, 0.3391, 7.2280], atol=6e-4)
     np.testing.assert_allclose(d, [0.3834, 0.3499, 7.2667], atol=6e-4)
 
@@ -177,3 +177,51 @@ def test_lambda_over_the_bound_is_joined(docs, params, model, monkeypatch):
     np.testing.assert_allclose(L.OnlineLda(params).fit(docs, WORDS, 8).lam, model.lam, rtol=1e-9)
     got = {(r["doc_id"], r["topic"]): r["proportion"] for r in L.OnlineLda(params).transform(docs, model).collect()}
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+@pytest.mark.parametrize("compat", ["local", "distributed"])
+def test_training_with_lambda_as_a_table_equals_the_drivers(spark, docs, compat):
+    """Both strategies over three minibatches, and a start drawn word by word."""
+    start = np.random.default_rng(1).gamma(100, 0.01, (2, 6))
+    p = L.LdaParams(num_topics=2, decay=1.0, total_docs=22, seed=3, compat=compat)
+    a = L.OnlineLda(p).fit(docs, WORDS, 8, lam=start)
+    b = L.OnlineLda(L.replace(p, strategy="join")).fit(docs, WORDS, 8, lam=start)
+    assert a.num_updates == b.num_updates == 3
+    np.testing.assert_allclose(b.lam, a.lam, rtol=1e-9)
+    vocab = spark.createDataFrame(list(enumerate(WORDS)), "word_id int, word string")
+    table = L.OnlineLda(p).fit_table(docs, vocab, 8)
+    assert table.num_updates == 3 and table.lambda_long().count() == 12
+    if compat == "local":
+        tops = {frozenset(r["word"] for r in P.top_words(table.lambda_long(), vocab, 3).collect() if r["topic"] == k) for k in (0, 1)}
+        assert tops == {frozenset(WORDS[:3]), frozenset(WORDS[3:])}
+    shares = L.OnlineLda(p).transform(docs, table)
+    assert shares.groupBy("doc_id").agg(F.sum("proportion").alias("s")).filter("abs(s - 1) < 1e-9").count() == 22
+    table.close()
+
+
+def test_many_documents_at_once_equal_one_by_one():
+    rng = np.random.default_rng(4)
+    lam, sizes = rng.gamma(100, 0.01, (4, 50)), [3, 0, 1, 20, 0, 7]
+    doc = np.repeat(np.arange(6), sizes)
+    ids, counts = rng.integers(0, 50, len(doc)), rng.integers(1, 9, len(doc)).astype(float)
+    beta, gamma0 = kernel.exp_expectation(lam), rng.gamma(100, 0.01, (6, 4))
+    for max_iter in (0, 1, 100):
+        gamma, ss = kernel.vb_documents(counts, beta[:, ids].T, doc, gamma0, 0.25, max_iter, 0.001)
+        for d in range(6):
+            g, s, _ = kernel.vb_document(counts[doc == d], beta[:, ids[doc == d]], gamma0[d], 0.25, max_iter, 0.001)
+            np.testing.assert_allclose(gamma[d], g, rtol=1e-9)
+            np.testing.assert_allclose(ss[doc == d].T, s, rtol=1e-9)
+
+
+def test_progress_is_logged_and_can_be_switched_off(docs, caplog):
+    import logging
+
+    p = L.LdaParams(num_topics=2, total_docs=22, log_every=2)
+    with caplog.at_level(logging.INFO, logger="topicloom"):
+        L.OnlineLda(p).fit(docs, WORDS, 8)
+    said = [r.getMessage() for r in caplog.records if r.name == "topicloom"]
+    assert sum(m.startswith("minibatch") for m in said) == 3 and sum(m.startswith("topic") for m in said) == 2
+    caplog.clear()
+    with caplog.at_level(logging.WARNING, logger="topicloom"):
+        L.OnlineLda(p).fit(docs, WORDS, 8)
+    assert not caplog.records

@@ -6,6 +6,7 @@ import argparse
 import logging
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from topicloom.functions.text import DEFAULT_STOP_WORDS
 from topicloom.operators import lda as L
@@ -19,6 +20,7 @@ log = logging.getLogger("topicloom")
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="topicloom", description=__doc__)
+    top.add_argument("--quiet", action="store_true", help="log no progress")
     sub = top.add_subparsers(dest="command", required=True)
 
     def command(name: str, help: str) -> argparse.ArgumentParser:
@@ -37,11 +39,14 @@ def parser() -> argparse.ArgumentParser:
     for flag, kind, default in (("--batch-size", int, 100), ("--topics", int, 20), ("--total-docs", int, None), ("--decay", float, 1024.0), ("--learning-rate", float, 0.7), ("--max-iter", int, 100), ("--threshold", float, 0.001), ("--seed", int, 42)):
         p.add_argument(flag, type=kind, default=default)
     p.add_argument("--perplexity", action="store_true")
+    p.add_argument("--strategy", choices=("broadcast", "join"), default="broadcast", help="lambda on the driver, or as a table that is joined")
+    p.add_argument("--log-every", type=int, default=0, help="log the topics after so many minibatches")
     p = command("proportions", "topic proportions of each file")
     p.add_argument("model")
-    p = command("similarity", "distances of all pairs of neighbouring files, by path")
+    p = command("similarity", "distances of pairs of files: those given, or all neighbours by path")
     p.add_argument("model")
     p.add_argument("--metric", choices=("euclidean", "cosine"), default="euclidean")
+    p.add_argument("--pair", nargs=2, action="append", metavar="FILE", help="two files (names or path ends) to compare instead; may be given several times")
     p = command("coherence", "coherence of a model's topics under word vectors of the corpus")
     p.add_argument("model")
     p.add_argument("--vectors", help="where to write the word vectors")
@@ -52,6 +57,7 @@ def parser() -> argparse.ArgumentParser:
 def run(spark: SparkSession, argv: list[str] | None = None) -> DataFrame:
     """Does what the arguments say; returns the table that main prints."""
     a = parser().parse_args(argv)
+    log.setLevel(logging.WARNING if a.quiet else logging.INFO)
     docs = files.read_corpus(spark, a.corpus)
     if a.command == "vocabulary":
         stop = files.read_word_list(spark, a.stop_words) if a.stop_words else DEFAULT_STOP_WORDS
@@ -61,7 +67,7 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> DataFrame:
         return vocab
     if a.command == "train":
         words = files.read_vocabulary(spark, a.vocabulary) if a.vocabulary else [r["word"] for r in build_vocabulary(docs).orderBy("word_id").collect()]
-        params = L.LdaParams(num_topics=a.topics, total_docs=a.total_docs, decay=a.decay, learning_rate=a.learning_rate, max_iter=a.max_iter, convergence_threshold=a.threshold, seed=a.seed, perplexity=a.perplexity)
+        params = L.LdaParams(num_topics=a.topics, total_docs=a.total_docs, decay=a.decay, learning_rate=a.learning_rate, max_iter=a.max_iter, convergence_threshold=a.threshold, seed=a.seed, perplexity=a.perplexity, strategy=a.strategy, log_every=a.log_every)
         model = L.OnlineLda(params).fit(docs, words, a.batch_size)
         for i, figure in enumerate(model.perplexities):
             log.info("minibatch %d: per-word perplexity %.4f", i, figure)
@@ -78,6 +84,10 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> DataFrame:
     if a.command == "proportions":
         return docs.select("doc_id", "path").join(shares, "doc_id").orderBy("doc_id", shares["proportion"].desc())
     pairs = docs.selectExpr("doc_id as a", "doc_id + 1 as b")
+    if a.pair:
+        named = spark.createDataFrame([(n, x, y) for n, (x, y) in enumerate(a.pair)], "pair int, x string, y string")
+        side = lambda c, name: docs.join(F.broadcast(named), F.col("path").endswith(F.concat(F.lit("/"), F.ltrim(F.col(c), F.lit("/"))))).select("pair", F.col("doc_id").alias(name))
+        pairs = side("x", "a").join(side("y", "b"), "pair").select("a", "b")
     return S.document_distance(pairs, S.topic_vectors(shares), a.metric).orderBy("a")
 
 

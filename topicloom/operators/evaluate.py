@@ -70,6 +70,15 @@ def minibatch_perplexity(bags: DataFrame, gamma: DataFrame, lam: np.ndarray, par
     """Per-word perplexity of packed bags with their gamma under lambda (before its update)."""
     import pandas as pd
 
+    from topicloom.operators.lda import BROADCAST_BYTES, LdaModel
+    from topicloom.operators.relational_estep import beta_from
+
+    if lam.nbytes > BROADCAST_BYTES:  # lambda is joined
+        long = LdaModel(lam, [], params).lambda_long(bags.sparkSession)
+        bow = bags.select("doc_id", F.explode(F.arrays_zip(F.col("word_ids").alias("word_id"), F.col("counts").alias("n"))).alias("w")).select("doc_id", "w.*")
+        beta = beta_from(topic_expectation(long)).select("word_id", "e_beta")
+        row = bound(bow, gamma, long, beta, alpha=params.alpha, eta=params.eta, k=lam.shape[0], v=lam.shape[1], total_docs=params.total_docs or gamma.count()).first()
+        return row["per_word_perplexity"] if row["n_words"] else math.nan
     e_beta = bags.sparkSession.sparkContext.broadcast(dirichlet_expectation(lam))
     alpha, k, v = params.alpha, lam.shape[0], lam.shape[1]
 
@@ -86,7 +95,9 @@ def minibatch_perplexity(bags: DataFrame, gamma: DataFrame, lam: np.ndarray, par
             yield pd.DataFrame({"s": [s], "n": [n], "d": [len(part)]})
 
     got = bags.join(gamma, "doc_id").mapInPandas(run, "s double, n long, d long").agg(F.sum("s"), F.sum("n"), F.sum("d")).first()
+    e_lam = e_beta.value
+    e_beta.destroy()
     d = params.total_docs or got[2]
     score = got[0] * d / got[2]
-    score += float(((params.eta - lam) * e_beta.value).sum() + (lgamma(lam) - lgamma(params.eta)).sum() + (lgamma(params.eta * v) - lgamma(lam.sum(1))).sum())
+    score += float(((params.eta - lam) * e_lam).sum() + (lgamma(lam) - lgamma(params.eta)).sum() + (lgamma(params.eta * v) - lgamma(lam.sum(1))).sum())
     return math.exp(-score * got[2] / (d * got[1])) if got[1] else math.nan

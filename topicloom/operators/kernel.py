@@ -38,6 +38,35 @@ def vb_document(counts: np.ndarray, beta: np.ndarray, gamma: np.ndarray, alpha:
     return gamma, np.outer(theta, counts / phi), passes
 
 
+def vb_documents(counts: np.ndarray, beta: np.ndarray, doc: np.ndarray, gamma: np.ndarray, alpha: float, max_iter: int, tol: float) -> tuple[np.ndarray, np.ndarray]:
+    """Variational inference of many documents at once, each as by vb_document.
+
+    counts, beta (n by K) and doc of their n words, by document; gamma: D by K. Documents that have converged are left
+    alone. Returns gamma, and the words' statistics theta_k * n_w / phi_w (n by K, without beta).
+    """
+    gamma = gamma.copy()
+    sizes = np.bincount(doc, minlength=len(gamma))
+    gamma[sizes == 0] = alpha
+    expect = lambda g: np.exp(digamma(g) - digamma(g.sum(1))[:, None])
+    theta = expect(gamma)
+    live = np.flatnonzero(sizes)
+    at, n, b = np.searchsorted(live, doc), counts, beta
+    for _ in range(max_iter):
+        if not len(live):
+            break
+        starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+        phi = np.einsum("ij,ij->i", theta[live][at], b) + FLOOR
+        new = theta[live] * np.add.reduceat((n / phi)[:, None] * b, starts) + alpha
+        moved = np.abs(new - gamma[live]).mean(1) >= tol
+        gamma[live], theta[live] = new, expect(new)
+        if not moved.all():
+            words = moved[at]
+            live, n, b = live[moved], n[words], b[words]
+            at = (np.cumsum(moved) - 1)[at[words]]
+    weight = counts / (np.einsum("ij,ij->i", theta[doc], beta) + FLOOR)
+    return gamma, theta[doc] * weight[:, None]
+
+
 def start_gamma(seed: int, doc_id: int, k: int) -> np.ndarray:
     """A draw from Gamma(100, 1/100) that depends on the seed and the document alone."""
     return np.random.default_rng([seed, doc_id & (2**64 - 1)]).gamma(100.0, 0.01, k)

@@ -1,13 +1,16 @@
 """Online variational Bayes for LDA on DataFrames.
 
-A minibatch is one job: packed bags go to Arrow batches, each task infers its
-documents in numpy against a broadcast exp(E[log beta]) and adds up the sufficient
-statistics of its own documents, so that one row per word and task is shuffled, not
-one per document. Lambda (K by V doubles) lives on the driver; its size is checked
-against BROADCAST_BYTES. Above it, `infer` brings each document the topic vectors of
-its own words by a shuffle join, in training and in transform. Training with a lambda
-that the driver cannot hold is not there: only `infer_by_join` and `m_step_table` take
-lambda as a table.
+A minibatch is one job: packed bags go to Arrow batches, each task infers its documents
+together in numpy (their words as one sparse table, converged documents left alone)
+and adds up the sufficient statistics of its own documents, so that one row per word and
+task is shuffled, not one per document. Training writes the bags once, by minibatch, in
+the shared folder, and each step reads its own.
+
+Two strategies: "broadcast" keeps lambda (K by V doubles) on the driver and sends each
+minibatch exp(E[log beta]), checked against BROADCAST_BYTES (above it, each document is
+brought the topic vectors of its own words by a shuffle join); "join" keeps lambda as a
+table of a row per word that no machine holds whole: the E-step joins it, the M-step is
+a join with the statistics, and each step's table is written in the shared folder.
 
 Draws depend on (seed, doc_id) only, so results depend neither on the order of
 documents nor on partitions, up to the last bits of sums.
@@ -15,7 +18,9 @@ documents nor on partitions, up to the last bits of sums.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
@@ -25,16 +30,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicloom.functions import text as T
-from topicloom.functions.special import dirichlet_expectation
+from topicloom.functions.special import digamma, dirichlet_expectation
 from topicloom.operators import bow as B
 from topicloom.operators import kernel
+from topicloom.operators.shared import Scratch
 
 BROADCAST_BYTES = 256 << 20
+#: Progress, and topics every log_every minibatches; switched by its level.
+log = logging.getLogger("topicloom")
 
 
 @dataclass(frozen=True)
 class LdaParams:
-    """alpha, eta: priors of documents and topics; decay and learning_rate: tau and kappa of the step (tau + t)**-kappa;
+    """strategy: "broadcast" or "join" (where lambda lives, see above); log_every: topics are logged after so many
+    minibatches (0: never); alpha, eta: priors of documents and topics; decay and learning_rate: tau and kappa of the step (tau + t)**-kappa;
     total_docs: the corpus size assumed; compat: "local" (standard) or "distributed" (see fit)."""
 
     num_topics: int = 20
@@ -48,8 +57,12 @@ class LdaParams:
     seed: int = 42
     compat: str = "local"
     perplexity: bool = False
+    strategy: str = "broadcast"
+    log_every: int = 0
 
     def __post_init__(self):
+        if self.strategy not in ("broadcast", "join"):
+            raise ValueError("strategy is 'broadcast' or 'join'")
         if self.compat not in ("local", "distributed"):
             raise ValueError("compat is 'local' or 'distributed'")
         if self.num_topics < 1:
@@ -90,6 +103,61 @@ class LdaModel:
         return spark.createDataFrame(pd.DataFrame({"word_id": np.arange(len(self.vocab), dtype=np.int32), "word": self.vocab}), "word_id int, word string")
 
 
+@dataclass
+class TableModel:
+    """lambda as a table: rows (word_id, weights), vocab (word_id, word). close() removes its files."""
+
+    rows: DataFrame
+    vocab: DataFrame
+    params: LdaParams
+    num_updates: int
+    scratch: Scratch
+
+    def lambda_long(self) -> DataFrame:
+        """topic, word_id, value."""
+        return self.rows.select(F.posexplode("weights").alias("topic", "value"), "word_id").select("topic", "word_id", "value")
+
+    def close(self) -> None:
+        self.scratch.drop()
+
+
+def start_rows(vocab: DataFrame, p: LdaParams) -> DataFrame:
+    """(word_id, weights): draws from Gamma(100, 1/100) that depend on the seed and the word's id alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            draws = [np.random.default_rng([p.seed, p.num_topics, int(w)]).gamma(100.0, 0.01, p.num_topics) for w in batch.column("word_id").to_pylist()]
+            m = np.array(draws).reshape(len(draws), p.num_topics)
+            yield pa.RecordBatch.from_arrays([batch.column("word_id"), pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * p.num_topics), pa.array(m.ravel()))], ["word_id", "weights"])
+
+    return vocab.select(F.col("word_id").cast("int").alias("word_id")).mapInArrow(run, "word_id int, weights array<double>")
+
+
+def top_of(model: LdaModel, n: int = 10) -> list[list[str]]:
+    """The top words of each topic, ties to the lower id."""
+    return [[model.vocab[i] for i in np.lexsort((np.arange(len(row)), -row))[:n]] for row in model.lam]
+
+
+#: Documents of a minibatch that one file holds.
+FILE_DOCS = 500
+
+
+@contextmanager
+def _minibatches(docs: DataFrame, bags: DataFrame, batch_size: int):
+    """The minibatches' packed bags, written once by batch_id so that a step reads its own only."""
+    scratch = Scratch(docs.sparkSession)
+    try:
+        placed = bags.join(B.minibatches(docs.select("doc_id"), batch_size), "doc_id")
+        files = max(1, batch_size // FILE_DOCS)
+        rows = placed.repartition("batch_id", F.pmod(F.xxhash64("doc_id"), F.lit(files)))
+        scratch.save(rows, "bags", "batch_id")
+        n = scratch.read("bags").agg(F.max("batch_id")).first()[0]
+        kind = "doc_id long, word_ids array<int>, counts array<int>"
+        yield (docs.sparkSession.read.schema(kind).parquet(f"{scratch.root}/bags/batch_id={i}") for i in range(0 if n is None else n + 1))
+    finally:
+        scratch.drop()
+
+
 def rows_to_dense(rows: DataFrame, n_words: int | None = None) -> np.ndarray:
     """K by V from (word_id, weights)."""
     got = rows.orderBy("word_id").toPandas()
@@ -103,52 +171,99 @@ def _beta(lam: np.ndarray) -> np.ndarray:
     return np.exp(dirichlet_expectation(lam))
 
 
-def _local_beta(lam: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """The distributed variant's: normalised over the document's own words; one word alone counts as one Dirichlet over topics."""
-    part = lam[:, ids]
-    return np.exp(dirichlet_expectation(part.T)).T if len(ids) == 1 else np.exp(dirichlet_expectation(part))
+def _local_beta(rows: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
+    """The distributed variant's, for words (n by K) of documents: normalised over a document's own words; one word alone counts as one Dirichlet over topics."""
+    totals = np.zeros((n_docs, rows.shape[1]))
+    np.add.at(totals, doc, rows)
+    alone = (np.bincount(doc, minlength=n_docs) == 1)[doc]
+    total = np.where(alone[:, None], rows.sum(1, keepdims=True), totals[doc])
+    return np.exp(digamma(rows) - digamma(total))
+
+
+class _Statistics:
+    """Sums of word statistics of a task."""
+
+    #: Rows that are held before they are added up.
+    HELD = 1 << 20
+
+    def __init__(self, k: int):
+        self.words, self.sums, self.n = [np.zeros(0, np.int64)], [np.zeros((0, k))], 0
+
+    def add(self, words: np.ndarray, values: np.ndarray) -> None:
+        self.words.append(words), self.sums.append(values)
+        self.n += len(words)
+        if self.n > self.HELD:
+            self.total()
+            self.n = 0
+
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        words, values = np.concatenate(self.words), np.concatenate(self.sums)
+        words, at = np.unique(words, return_inverse=True)
+        sums = np.stack([np.bincount(at, values[:, j], len(words)) for j in range(values.shape[1])], axis=1) if len(words) else values
+        self.words, self.sums = [words], [sums]
+        return words, sums
+
+
+def _list(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list column, and their number in each row (0 for null)."""
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return column.flatten(), sizes
+
+
+def _rows(doc_ids=None, gamma=None, words=None, sums=None) -> pa.RecordBatch:
+    n = len(doc_ids) if doc_ids is not None else len(words)
+    lists = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.ravel()))
+    none = [pa.nulls(n, t) for t in (pa.int64(), pa.list_(pa.float64()), pa.int32(), pa.list_(pa.float64()))]
+    columns = [doc_ids, lists(gamma), *none[2:]] if doc_ids is not None else [*none[:2], pa.array(words.astype(np.int32)), lists(sums)]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "gamma", "word_id", "ss"])
+
+
+_ESTEP = "doc_id long, gamma array<double>, word_id int, ss array<double>"
+
+
+def _infer_batches(batches: Iterator[pa.RecordBatch], p: LdaParams, k: int, statistics: bool, vectors) -> Iterator[pa.RecordBatch]:
+    """The E-step of a task. vectors: from (batch, word ids, documents of the words, number of documents) to beta of the words, n by K."""
+    own, held = p.compat == "distributed", _Statistics(k)
+    for batch in batches:
+        values, sizes = _list(batch.column("word_ids"))
+        words, counts = values.to_numpy(zero_copy_only=False).astype(np.int64), _list(batch.column("counts"))[0].to_numpy(zero_copy_only=False).astype(float)
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        beta = vectors(batch, words, doc, len(sizes))
+        ids = batch.column("doc_id").to_pylist()
+        starts = batch.column("gamma0").to_pylist() if "gamma0" in batch.schema.names else [None] * len(ids)
+        gamma0 = np.stack([kernel.start_gamma(p.seed, 0 if own else int(d), k) if g is None else np.array(g, float) for d, g in zip(ids, starts, strict=True)]) if ids else np.zeros((0, k))
+        gamma, ss = kernel.vb_documents(counts, beta, doc, gamma0, p.alpha, p.max_iter, p.convergence_threshold)
+        if statistics:
+            held.add(words, ss * beta)
+        yield _rows(batch.column("doc_id"), gamma)
+    words, sums = held.total()
+    if len(words):
+        yield _rows(words=words, sums=sums)
 
 
 def infer(bags: DataFrame, lam: np.ndarray, params: LdaParams, gamma0: DataFrame | None = None, statistics: bool = True) -> DataFrame:
     """E-step of packed bags (doc_id, word_ids, counts): rows doc_id, gamma, and rows word_id, ss (per task; sum them by word).
 
-    gamma0 (doc_id, gamma) replaces the seeded draws. ss is already multiplied by beta.
+    gamma0 (doc_id, gamma) replaces the seeded draws. ss is already multiplied by beta. What was sent to the executors is
+    the result's attribute `sent`, to be destroyed after its last use.
     """
     spark = bags.sparkSession
     if lam.nbytes > BROADCAST_BYTES:
         bow = bags.select("doc_id", F.explode(F.arrays_zip(F.col("word_ids").alias("word_id"), F.col("counts").alias("n"))).alias("w")).select("doc_id", "w.*")
         rows = LdaModel(lam, [], params).lambda_rows(spark)
-        return infer_by_join(bags, bow, rows, replace(params, num_topics=lam.shape[0]), gamma0)
-    shared = spark.sparkContext.broadcast((lam, _beta(lam)))
+        return infer_by_join(bags, bow, rows, replace(params, num_topics=lam.shape[0]), gamma0, statistics)
     k, p, own = lam.shape[0], params, params.compat == "distributed"
+    shared = spark.sparkContext.broadcast(np.ascontiguousarray((lam if own else _beta(lam)).T))
     if gamma0 is not None:
         bags = bags.join(gamma0.select("doc_id", F.col("gamma").alias("gamma0")), "doc_id", "left")
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lam_, beta = shared.value
-        held: dict[int, np.ndarray] = {}
-        for part in parts:
-            ids_out, gammas = [], []
-            starts = part["gamma0"] if "gamma0" in part else [None] * len(part)
-            for doc, words, counts, start in zip(part["doc_id"], part["word_ids"], part["counts"], starts, strict=True):
-                words = np.asarray(words, int)
-                b = _local_beta(lam_, words) if own and len(words) else beta[:, words]
-                g0 = np.asarray(start, float) if start is not None and np.ndim(start) else kernel.start_gamma(p.seed, 0 if own else int(doc), k)
-                gamma, ss, _ = kernel.vb_document(np.asarray(counts, float), b, g0, p.alpha, p.max_iter, p.convergence_threshold)
-                ids_out.append(doc), gammas.append(gamma.tolist())
-                if statistics:
-                    ss = ss * b
-                    for j, w in enumerate(words.tolist()):
-                        at = held.get(w)
-                        if at is None:
-                            held[w] = ss[:, j].copy()
-                        else:
-                            at += ss[:, j]
-            yield pd.DataFrame({"doc_id": pd.array(ids_out, "Int64"), "gamma": gammas, "word_id": pd.array([None] * len(ids_out), "Int32"), "ss": [None] * len(ids_out)})
-        if held:
-            yield pd.DataFrame({"doc_id": pd.array([None] * len(held), "Int64"), "gamma": [None] * len(held), "word_id": pd.array(list(held), "Int32"), "ss": [x.tolist() for x in held.values()]})
-
-    return bags.mapInPandas(run, "doc_id long, gamma array<double>, word_id int, ss array<double>")
+    def vectors(_, words, doc, n_docs):
+        rows = shared.value[words]
+        return _local_beta(rows, doc, n_docs) if own else rows
+
+    out = bags.mapInArrow(lambda batches: _infer_batches(batches, p, k, statistics, vectors), _ESTEP)
+    out.sent = shared
+    return out
 
 
 def sum_statistics(rows: DataFrame, k: int) -> DataFrame:
@@ -157,40 +272,24 @@ def sum_statistics(rows: DataFrame, k: int) -> DataFrame:
     return rows.groupBy("word_id").agg(*sums).select("word_id", F.array(*[F.col(f"s{i}") for i in range(k)]).alias("ss"))
 
 
-def infer_by_join(docs: DataFrame, bow: DataFrame, lambda_rows: DataFrame, params: LdaParams, gamma0: DataFrame | None = None) -> DataFrame:
+def infer_by_join(docs: DataFrame, bow: DataFrame, lambda_rows: DataFrame, params: LdaParams, gamma0: DataFrame | None = None, statistics: bool = True) -> DataFrame:
     """The E-step for a lambda that fits nowhere: rows as of infer, from bow (doc_id, word_id, n) and (word_id, weights).
 
-    Each document meets the topic vectors of its own words; the normalisers are K sums.
+    Each document meets the topic vectors of its own words; the normalisers are K sums; statistics are added up in the task.
     """
     k, p, own = params.num_topics, params, params.compat == "distributed"
-    totals = np.array(lambda_rows.agg(*[F.sum(F.col("weights")[i]) for i in range(k)]).first(), float)
+    sums = lambda_rows.agg(*[F.sum(F.col("weights")[i]) for i in range(k)]).first()
+    totals = digamma(np.array([1.0 if x is None else x for x in sums], float))
     words = bow.join(lambda_rows, "word_id").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("word_id", "n", "weights"))).alias("bag"))
     all_docs = docs.select("doc_id").join(words, "doc_id", "left").select("doc_id", F.col("bag.word_id").alias("word_ids"), F.col("bag.n").alias("counts"), F.col("bag.weights").alias("weights"))
     if gamma0 is not None:
         all_docs = all_docs.join(gamma0.select("doc_id", F.col("gamma").alias("gamma0")), "doc_id", "left")
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            out: list[tuple] = []
-            starts = part["gamma0"] if "gamma0" in part else [None] * len(part)
-            for doc, words, counts, weights, start in zip(part["doc_id"], part["word_ids"], part["counts"], part["weights"], starts, strict=True):
-                empty = words is None
-                ids = np.zeros(0, int) if empty else np.asarray(words, int)
-                lam = np.zeros((k, 0)) if empty else np.stack(weights, axis=1)
-                if own and not empty:
-                    b = _local_beta(lam, np.arange(len(ids)))
-                else:
-                    from topicloom.functions.special import digamma
-
-                    b = np.exp(digamma(lam) - digamma(totals)[:, None]) if not empty else lam
-                g0 = np.asarray(start, float) if start is not None and np.ndim(start) else kernel.start_gamma(p.seed, 0 if own else int(doc), k)
-                gamma, ss, _ = kernel.vb_document(np.zeros(0) if empty else np.asarray(counts, float), b, g0, p.alpha, p.max_iter, p.convergence_threshold)
-                out.append((doc, gamma.tolist(), None, None))
-                out += [(None, None, w, s.tolist()) for w, s in zip(ids.tolist(), (ss * b).T, strict=True)]
-            frame = pd.DataFrame(out, columns=["doc_id", "gamma", "word_id", "ss"])
-            yield frame.astype({"doc_id": "Int64", "word_id": "Int32"})
-
-    return all_docs.mapInPandas(run, "doc_id long, gamma array<double>, word_id int, ss array<double>")
+    def vectors(batch, words, doc, n_docs):
+        rows = _list(_list(batch.column("weights"))[0])[0].to_numpy(zero_copy_only=False).reshape(len(words), k)
+        return _local_beta(rows, doc, n_docs) if own else np.exp(digamma(rows) - totals)
+
+    return all_docs.mapInArrow(lambda batches: _infer_batches(batches, p, k, statistics, vectors), _ESTEP)
 
 
 def m_step_table(lambda_rows: DataFrame, ss: DataFrame, params: LdaParams, batch_size: int, updates: int) -> DataFrame:
@@ -229,7 +328,7 @@ class OnlineLda:
             return model
         p = replace(self.params, total_docs=self.params.total_docs or size)
         rows = infer(bags, model.lam, p, gamma0)
-        figures = list(model.perplexities)
+        sent, figures = getattr(rows, "sent", None), list(model.perplexities)
         if p.perplexity:
             from topicloom.operators.evaluate import minibatch_perplexity
 
@@ -240,26 +339,55 @@ class OnlineLda:
         if len(got):
             ss[:, got["word_id"].to_numpy(int)] = np.stack(got["ss"].to_list(), axis=1)
         rows.unpersist()
+        if sent is not None:
+            sent.destroy()
         lam = kernel.m_step(model.lam, ss, size, eta=p.eta, tau=p.decay, kappa=p.learning_rate, total_docs=p.total_docs, updates=model.num_updates, compat=p.compat)
         return LdaModel(lam, model.vocab, self.params, model.num_updates + 1, figures)
 
-    def fit(self, docs: DataFrame, vocab: Iterable[str], batch_size: int = 100, lam: np.ndarray | None = None) -> LdaModel:
-        """Minibatches of batch_size documents by doc_id, one after the other."""
+    def fit(self, docs: DataFrame, vocab: Iterable[str], batch_size: int = 100, lam: np.ndarray | None = None, gamma0: DataFrame | None = None) -> LdaModel:
+        """Minibatches of batch_size documents by doc_id, one after the other; lambda on the driver (see fit_table for strategy "join")."""
         model = self.start(vocab, lam)
-        batches = B.minibatches(docs.select("doc_id"), batch_size)
-        bags = self.bags(docs, model).join(batches, "doc_id").persist()
-        try:
-            n = bags.agg(F.max("batch_id")).first()[0]
-            for i in range(0 if n is None else n + 1):
-                model = self.partial_fit(model, bags.filter(F.col("batch_id") == i).drop("batch_id"))
-        finally:
-            bags.unpersist()
+        if self.params.strategy == "join":
+            spark = docs.sparkSession
+            got = self.fit_table(docs, model.vocabulary(spark), batch_size, model.lambda_rows(spark), gamma0)
+            return LdaModel(rows_to_dense(got.rows, len(model.vocab)) if model.vocab else model.lam, model.vocab, self.params, got.num_updates)
+        with _minibatches(docs, self.bags(docs, model), batch_size) as batches:
+            for i, bags in enumerate(batches):
+                model = self.partial_fit(model, bags, gamma0)
+                log.info("minibatch %d: %d updates", i, model.num_updates)
+                if self.params.log_every and model.num_updates % self.params.log_every == 0:
+                    for topic, words in enumerate(top_of(model)):
+                        log.info("topic %d: %s", topic, " ".join(words))
         return model
 
-    def transform(self, docs: DataFrame, model: LdaModel, double: bool = False) -> DataFrame:
+    def fit_table(self, docs: DataFrame, vocab: DataFrame, batch_size: int = 100, lambda_rows: DataFrame | None = None, gamma0: DataFrame | None = None) -> TableModel:
+        """Strategy "join": lambda is a table (word_id, weights) from start to end. vocab: word_id, word.
+
+        It starts from lambda_rows, or from draws of (seed, word_id). Each step's table is written in the shared folder
+        and the one before removed, so a step never depends on more than the last.
+        """
+        p, spark = self.params, docs.sparkSession
+        scratch = Scratch(spark)
+        n_words = vocab.count()
+        rows = scratch.save(start_rows(vocab, p) if lambda_rows is None else lambda_rows.select("word_id", "weights"), "lambda-0")
+        updates = 0
+        with _minibatches(docs, B.packed_bags(docs, B.bag_of_words(docs, vocab, self.tokenizer, n_words)), batch_size) as batches:
+            for bags in batches:
+                size = bags.count()
+                step = replace(p, total_docs=p.total_docs or size)
+                bow = bags.select("doc_id", F.explode(F.arrays_zip(F.col("word_ids").alias("word_id"), F.col("counts").alias("n"))).alias("w")).select("doc_id", "w.*")
+                ss = sum_statistics(infer_by_join(bags, bow, rows, step, gamma0).filter("word_id is not null"), p.num_topics)
+                rows = scratch.save(m_step_table(rows, ss, step, size, updates), f"lambda-{updates + 1}")
+                scratch.drop(f"lambda-{updates}")
+                updates += 1
+        return TableModel(rows, vocab, p, updates, scratch)
+
+    def transform(self, docs: DataFrame, model: LdaModel | TableModel, double: bool = False, gamma0: DataFrame | None = None) -> DataFrame:
         """doc_id, topic, proportion. double=True takes the Dirichlet expectation of lambda twice, as a known variant does."""
+        if isinstance(model, TableModel):
+            return proportions(infer_by_join(docs, B.bag_of_words(docs, model.vocab, self.tokenizer), model.rows, self.params, gamma0, False).select("doc_id", "gamma"))
         lam = _beta(model.lam) if double else model.lam
-        return proportions(infer(self.bags(docs, model), lam, self.params, statistics=False).select("doc_id", "gamma"))
+        return proportions(infer(self.bags(docs, model), lam, self.params, gamma0, statistics=False).select("doc_id", "gamma"))
 
 
 def proportions(gamma: DataFrame) -> DataFrame:
@@ -271,9 +399,11 @@ def proportions(gamma: DataFrame) -> DataFrame:
 def mllib_lda(docs: DataFrame, bow: DataFrame, n_words: int, params: LdaParams, max_iter: int = 20):
     """Spark's own online LDA on the same bags, as a cross-check (its minibatches are samples)."""
     from pyspark.ml.clustering import LDA
-    from pyspark.ml.linalg import Vectors, VectorUDT
+    from pyspark.ml.functions import array_to_vector
 
-    as_vector = F.udf(lambda ids, n: Vectors.sparse(n_words, [int(i) for i in ids], [float(x) for x in n]), VectorUDT())
-    rows = B.packed_bags(docs, bow).select("doc_id", as_vector("word_ids", "counts").alias("features"))
+    # array_to_vector makes dense vectors: a cross-check is for vocabularies of a few thousand words
+    places = F.sequence(F.lit(0), F.lit(n_words - 1))
+    counted = F.map_from_arrays("word_ids", "counts")
+    rows = B.packed_bags(docs, bow).select("doc_id", array_to_vector(F.transform(places, lambda i: F.coalesce(F.try_element_at(counted, i), F.lit(0)).cast("double"))).alias("features"))
     lda = LDA(k=params.num_topics, maxIter=max_iter, seed=params.seed, optimizer="online", learningOffset=params.decay, learningDecay=params.learning_rate, docConcentration=[params.alpha] * params.num_topics, topicConcentration=params.eta)
     return lda.fit(rows)

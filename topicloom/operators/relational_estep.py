@@ -1,4 +1,4 @@
-"""One variational pass as joins and sums, all in generated code: for checks, and for a lambda that is a table."""
+"""One variational pass as joins and sums, without Python workers: for checks, and for a lambda that is a table."""
 
 from __future__ import annotations
 
@@ -9,23 +9,30 @@ from topicloom.functions.arrays import dot
 from topicloom.operators.evaluate import expectation_rows
 from topicloom.operators.kernel import FLOOR
 
+#: Words whose K-vectors are broadcast (8 * K bytes each and as much again for the table).
+BROADCAST_WORDS = 200_000
+
 
 def theta_rows(gamma: DataFrame) -> DataFrame:
     """doc_id, theta: exp of the expectation of each gamma."""
     return expectation_rows(gamma, "gamma", "e").select("doc_id", F.transform("e", lambda x: F.exp(x)).alias("theta"))
 
 
-def phi_norms(bow: DataFrame, gamma: DataFrame, beta_rows: DataFrame) -> DataFrame:
-    """doc_id, word_id, n, phi, theta, beta: the normaliser of each word of each document."""
-    met = bow.join(theta_rows(gamma), "doc_id").join(beta_rows, "word_id")
+def phi_norms(bow: DataFrame, gamma: DataFrame, beta_rows: DataFrame, n_words: int | None = None) -> DataFrame:
+    """doc_id, word_id, n, phi, theta, beta: the normaliser of each word of each document.
+
+    n_words, the rows of beta_rows where known: up to BROADCAST_WORDS they are broadcast, else joined by a shuffle.
+    """
+    known = F.broadcast(beta_rows) if n_words is not None and n_words <= BROADCAST_WORDS else beta_rows
+    met = bow.join(known, "word_id").join(theta_rows(gamma), "doc_id")
     return met.select("doc_id", "word_id", "n", (dot(F.col("theta"), F.col("beta")) + FLOOR).alias("phi"), "theta", "beta")
 
 
 def next_gamma(phi: DataFrame, gamma: DataFrame, alpha: float, k: int) -> DataFrame:
     """doc_id, gamma after one pass; alpha where a document has no words."""
-    sums = phi.groupBy("doc_id", "theta").agg(*[F.sum(F.col("n") / F.col("phi") * F.col("beta")[i]).alias(f"s{i}") for i in range(k)])
-    new = sums.select("doc_id", F.zip_with("theta", F.array(*[F.col(f"s{i}") for i in range(k)]), lambda t, s: t * s + alpha).alias("new"))
-    return gamma.select("doc_id").join(new, "doc_id", "left").select("doc_id", F.coalesce("new", F.array_repeat(F.lit(float(alpha)), k)).alias("gamma"))
+    sums = phi.groupBy("doc_id").agg(*[F.sum(F.col("n") / F.col("phi") * F.col("beta")[i]).alias(f"s{i}") for i in range(k)])
+    each = [F.coalesce(F.col("theta")[i] * F.col(f"s{i}"), F.lit(0.0)) + F.lit(float(alpha)) for i in range(k)]
+    return theta_rows(gamma).join(sums, "doc_id", "left").select("doc_id", F.array(*each).alias("gamma"))
 
 
 def statistics(phi: DataFrame, beta_rows: DataFrame, k: int) -> DataFrame:

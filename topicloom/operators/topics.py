@@ -37,11 +37,17 @@ def top_words(lambda_long: DataFrame, vocab: DataFrame, n: int = 10, normalise:
     return best.join(vocab.select("word_id", "word"), "word_id").select("topic", "rank", "word_id", "word", name).orderBy("topic", "rank")
 
 
-def learn_word_vectors(docs: DataFrame, size: int = 100, min_count: int = 5, seed: int = 42, partitions: int = 1, iterations: int = 1) -> DataFrame:
-    """word, vector from Word2Vec over Treebank tokens of the raw texts."""
+def learn_word_vectors(docs: DataFrame, size: int = 100, min_count: int = 5, seed: int = 42, partitions: int | None = None, iterations: int | None = None) -> DataFrame:
+    """word, vector from Word2Vec over Treebank tokens of the raw texts.
+
+    partitions train side by side, by default as many as the session's cores; their vectors are averaged after each
+    iteration, and an iteration sees each text once, so there are two of them where there are several partitions.
+    """
     from pyspark.ml.feature import Word2Vec
     from pyspark.ml.functions import vector_to_array
 
+    partitions = partitions or min(docs.sparkSession.sparkContext.defaultParallelism, docs.rdd.getNumPartitions())
+    iterations = iterations or (1 if partitions == 1 else 2)
     rows = docs.select(T.treebank_words(F.col("text")).alias("words"))
     model = Word2Vec(vectorSize=size, minCount=min_count, seed=seed, numPartitions=partitions, maxIter=iterations, inputCol="words", outputCol="out").fit(rows)
     return model.getVectors().select("word", vector_to_array("vector", "float32").alias("vector"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -20,10 +19,13 @@ from topicloom.operators import relational_estep as R
 from topicloom.operators import similarity as S
 from topicloom.operators import topics as P
 from topicloom.operators import vocabulary as V
+from topicloom.operators.shared import shared_dir
 
 K, BATCH, MODULUS = 5, 100, 9973
 ALPHA = ETA = 1.0 / K
-PARAMS = L.LdaParams(num_topics=K, total_docs=1000)
+PARAMS = L.LdaParams(num_topics=K)
+#: Documents of a training minibatch, at every table size.
+TRAIN_BATCH = 500
 RHO_LOCAL = (1024.0 + 0) ** -0.7
 RHO_DISTRIBUTED = (1024.0 + 1) ** -0.7
 
@@ -40,15 +42,24 @@ _kept: dict[tuple, DataFrame] = {}
 
 
 def _keep(name: str, spark, d, build: Callable[[], DataFrame]) -> DataFrame:
-    """A table that several steps of a query read is built once for a session and folder."""
+    """A table that several steps of a query read is built once for a session and folder.
+
+    It stays cached until another folder is read, `forget` is called or the session's cache is cleared.
+    """
     key = (name, spark.sparkContext.applicationId, d)
     if key not in _kept:
         for old in [k for k in _kept if k[1:] != key[1:]]:
-            del _kept[old]
+            _kept.pop(old).unpersist()
         _kept[key] = build()
     return _kept[key].persist()
 
 
+def forget() -> None:
+    """Releases the tables that queries have kept, as after the folder's files have changed."""
+    while _kept:
+        _kept.popitem()[1].unpersist()
+
+
 def _vocab(spark, d) -> DataFrame:
     return _keep("vocabulary", spark, d, lambda: V.build_vocabulary(_docs(spark, d)))
 
@@ -73,7 +84,7 @@ def _beta(spark, d) -> DataFrame:
 
 
 def _phi(spark, d) -> DataFrame:
-    return R.phi_norms(_bow(spark, d), _gamma(spark, d), _beta(spark, d).select("word_id", "beta"))
+    return R.phi_norms(_bow(spark, d), _gamma(spark, d), _beta(spark, d).select("word_id", "beta"), _vocab(spark, d).count())
 
 
 def _ss(spark, d, phi: DataFrame | None = None) -> DataFrame:
@@ -291,11 +302,16 @@ def digamma_lgamma(s, d):
     return _read(s, d, "embeddings").select("vec_id", (_r(digamma_col(x), 8) + 0.0).alias("digamma"), (_r(lgamma_col(x), 6) + 0.0).alias("lgamma"))
 
 
+def _params(s, d) -> L.LdaParams:
+    return L.replace(PARAMS, total_docs=_docs(s, d).count())
+
+
+def _words(s, d) -> list[str]:
+    return [r["word"] for r in _vocab(s, d).orderBy("word_id").collect()]
+
+
 def _trained(s, d):
-    docs = _docs(s, d)
-    words = [r["word"] for r in _vocab(s, d).orderBy("word_id").collect()]
-    size = max(100, docs.count() // 10)
-    return L.OnlineLda(PARAMS).fit(docs, words, size)
+    return L.OnlineLda(_params(s, d)).fit(_docs(s, d), _words(s, d), TRAIN_BATCH)
 
 
 def lda_train_topics(s, d):
@@ -314,42 +330,144 @@ def lda_document_similarity(s, d):
     return S.document_distance(_neighbours(_docs(s, d), "doc_id"), vectors)
 
 
+def _fixed(s, d) -> L.LdaModel:
+    """The model of the fixed lambda."""
+    return L.LdaModel(L.rows_to_dense(P.collect_rows(_lambda(s, d))), _words(s, d), PARAMS)
+
+
 def estep_converged(s, d):
-    lam = L.rows_to_dense(P.collect_rows(_lambda(s, d)))
-    rows = L.infer(B.packed_bags(_docs(s, d), _bow(s, d)), lam, PARAMS, _gamma(s, d), statistics=False)
+    rows = L.infer(B.packed_bags(_docs(s, d), _bow(s, d)), _fixed(s, d).lam, PARAMS, _gamma(s, d), statistics=False)
     return _cells(rows.select("doc_id", "gamma"), "doc_id", "gamma", "gamma")
 
 
 def estep_by_join(s, d):
-    rows = L.infer_by_join(_docs(s, d), _bow(s, d), P.collect_rows(_lambda(s, d)), PARAMS)
+    rows = L.infer_by_join(_docs(s, d), _bow(s, d), P.collect_rows(_lambda(s, d)), PARAMS, _gamma(s, d), statistics=False)
     return _cells(rows.filter("doc_id is not null"), "doc_id", "gamma", "gamma")
 
 
+def estep_statistics(s, d):
+    """The statistics of converged documents, added up in the tasks and then by word."""
+    rows = L.infer(B.packed_bags(_docs(s, d), _bow(s, d)), _fixed(s, d).lam, PARAMS, _gamma(s, d))
+    return _cells(L.sum_statistics(rows.filter("word_id is not null"), K), "word_id", "ss", "ss")
+
+
+def transform_fixed_model(s, d):
+    shares = L.OnlineLda(PARAMS).transform(_docs(s, d), _fixed(s, d), gamma0=_gamma(s, d))
+    return shares.select("doc_id", "topic", _r("proportion").alias("proportion"))
+
+
+def similarity_fixed_model(s, d):
+    shares = L.OnlineLda(PARAMS).transform(_docs(s, d), _fixed(s, d), gamma0=_gamma(s, d)).withColumn("proportion", _r("proportion"))
+    return S.document_distance(_neighbours(_docs(s, d), "doc_id"), S.topic_vectors(shares, 0.15)).select("a", "b", _r("distance").alias("distance"))
+
+
+def _one_batch(s, d, strategy: str) -> DataFrame:
+    n = _docs(s, d).count()
+    lda = L.OnlineLda(L.replace(PARAMS, total_docs=n, strategy=strategy))
+    if strategy == "join":
+        return lda.fit_table(_docs(s, d), _vocab(s, d).select("word_id", "word"), max(n, 1), P.collect_rows(_lambda(s, d)), _gamma(s, d)).lambda_long()
+    return lda.fit(_docs(s, d), _words(s, d), max(n, 1), _fixed(s, d).lam, _gamma(s, d)).lambda_long(s)
+
+
+def train_step(s, d):
+    """One whole training step from the fixed lambda and gammas: bags, minibatch, converged E-step, M-step."""
+    return _one_batch(s, d, "broadcast").select("topic", "word_id", _r("value", 5).alias("value"))
+
+
+def train_step_by_join(s, d):
+    return _one_batch(s, d, "join").select("topic", "word_id", _r("value", 5).alias("value"))
+
+
 def lemmatize_tokens(s, d):
-    return _docs(s, d).select("doc_id", F.size(lemmatizer()(F.col("text"))).alias("n_lemmas"))
+    return _docs(s, d).select("doc_id", F.array_join(lemmatizer()(F.col("text")), " ").alias("lemmas"))
 
 
 def treebank_tokens(s, d):
-    return _docs(s, d).select("doc_id", F.size(T.treebank_words(F.col("text"))).alias("n_tokens"))
+    return _docs(s, d).select("doc_id", F.array_join(T.treebank_words(F.col("text")), " ").alias("tokens"))
 
 
 def word2vec_coherence(s, d):
-    docs = _docs(s, d)
-    vectors = P.learn_word_vectors(docs, size=32)
+    vectors = P.learn_word_vectors(_docs(s, d))
     return P.coherence(P.top_words(_lambda(s, d), _vocab(s, d), normalise=False), vectors)
 
 
+def _folder(s) -> str:
+    return f"{shared_dir(s)}/query-{uuid.uuid4().hex}"
+
+
+def _as_files(s, d) -> str:
+    """The documents as text files: a folder for each, with one file of the whole text."""
+    folder = _folder(s)
+    named = _docs(s, d).filter("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("value"))
+    named.repartition("doc_id").write.partitionBy("doc_id").option("lineSep", "\n").text(folder)
+    return folder
+
+
+def _file_id():
+    return F.regexp_extract("path", "doc_id=(-?[0-9]+)", 1).cast("long").alias("doc_id")
+
+
+def source_texts(s, d):
+    """Whole files, line breaks as spaces."""
+    from topicloom.sources.files import read_texts
+
+    return read_texts(s, f"{_as_files(s, d)}/*").select(_file_id(), "text")
+
+
+def source_lines(s, d):
+    from topicloom.sources.files import read_lines
+
+    return read_lines(s, f"{_as_files(s, d)}/*").groupBy(_file_id()).agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).cast("long").alias("n_chars"))
+
+
+def source_corpus(s, d):
+    """A folder of files, numbered by path and dealt into minibatches."""
+    from topicloom.sources.files import read_corpus
+
+    return read_corpus(s, f"{_as_files(s, d)}/*", BATCH).select(F.col("doc_id").alias("place"), "batch_id", _file_id())
+
+
+def source_word_list(s, d):
+    """A word list written with blank lines and both kinds of line break, read as stop words."""
+    from topicloom.sources.files import read_word_list
+
+    folder = _folder(s)
+    _vocab(s, d).select(F.concat(F.upper("word"), F.when(F.col("word_id") % 2 == 0, F.lit("\r")).otherwise(F.lit("\n"))).alias("value")).write.text(folder)
+    return s.createDataFrame([(w,) for w in read_word_list(s, folder)], "word string")
+
+
+def model_round_trip(s, d):
+    from topicloom.sources.models import load_model, save_model
+
+    folder = _folder(s)
+    save_model(_fixed(s, d), s, folder)
+    got = load_model(s, folder)
+    return got.lambda_long(s).join(got.vocabulary(s), "word_id").select("topic", "word", _r("value", 9).alias("value"))
+
+
+def word_vectors_round_trip(s, d):
+    from topicloom.sources.models import load_word_vectors, save_word_vectors
+
+    folder = _folder(s)
+    save_word_vectors(_read(s, d, "embeddings").select(F.col("vec_id").cast("string").alias("word"), F.col("embedding").alias("vector")), folder)
+    return load_word_vectors(s, folder).select("word", F.size("vector").alias("size"), _r(A.row_sum(F.transform("vector", lambda x: x.cast("double")))).alias("total"))
+
+
+def parallel_collection(s, d):
+    """Rows of the driver as a table: the fixed lambda's dense form spread out."""
+    return _fixed(s, d).lambda_rows(s).select("word_id", *[_r(F.col("weights")[i], 9).alias(f"w{i}") for i in range(K)])
+
+
 def stream_train(s, d):
     """Training from a stream of document files' rows: the table itself, in micro-batches."""
     from topicloom.streaming.trainer import latest, train_stream
 
-    root = s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="topicloom-")
-    folder = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    words = [r["word"] for r in _vocab(s, d).orderBy("word_id").collect()]
+    folder = f"{shared_dir(s)}/stream-{uuid.uuid4().hex}"
+    words = _words(s, d)
     table = f"{folder}/in"
     _docs(s, d).repartition(2, "doc_id").write.mode("overwrite").parquet(table)
     stream = s.readStream.schema("doc_id long, text string").option("maxFilesPerTrigger", 1).parquet(table)
-    train_stream(stream, L.OnlineLda(PARAMS), words, f"{folder}/models", f"{folder}/checkpoint").awaitTermination()
+    train_stream(stream, L.OnlineLda(_params(s, d)), words, f"{folder}/models", f"{folder}/checkpoint").awaitTermination()
     model = latest(s, f"{folder}/models")
     return P.top_words(model.lambda_long(s), model.vocabulary(s)).select("topic", "rank", "word", "probability")
 
@@ -359,6 +477,7 @@ _FUNCTIONS = [
     dirichlet_expectation_lambda, exp_elog_beta, dirichlet_expectation_gamma, phi_norm, gamma_one_iter, sstats_one_iter, mstep_local, mstep_distributed, mstep_zero_fill, join_words_lambda, lambda_rows_to_long,
     lambda_long_to_rows, topic_normalised, top_words_per_topic, topic_proportions_one_iter, threshold_proportions, doc_distance_pairs, doc_cosine_pairs, vector_cosine_pairs, vector_sums, log_sum_exp, perplexity_terms,
     perplexity_topics, perplexity_bound, coherence, digamma_lgamma, lda_train_topics, lda_transform, lda_document_similarity, estep_converged, estep_by_join, lemmatize_tokens, treebank_tokens, word2vec_coherence, stream_train,
+    estep_statistics, transform_fixed_model, similarity_fixed_model, train_step, train_step_by_join, source_texts, source_lines, source_corpus, source_word_list, model_round_trip, word_vectors_round_trip, parallel_collection,
 ]
 
 
@@ -404,10 +523,33 @@ _CTES["dprior"] = _CTES["dprior"].replace("LAK", lgamma_sql(f"{ALPHA * K!r}::DOU
 _CTES["tprior"] = _CTES["tprior"].replace("LEV", lgamma_sql(f"({ETA!r}::DOUBLE * (SELECT count(*) FROM vocab))")).replace("LA", lgamma_sql(_A)).replace("LT", lgamma_sql("total"))
 
 
+def _passes() -> str:
+    """The table it: gammas pass after pass, until a document's mean change is under the threshold or there are 100."""
+    g, cols = [f"g{i}" for i in range(K)], range(K)
+    start = "SELECT 0 AS pass, doc_id, " + ", ".join(f"max(gamma) FILTER (WHERE topic = {i}) AS g{i}" for i in cols) + ", false AS done FROM gam GROUP BY doc_id"
+    theta = "SELECT pass, doc_id, " + ", ".join(g) + ", " + ", ".join(f"exp({digamma_sql(x)} - {digamma_sql('total')}) AS t{i}" for i, x in enumerate(g)) + f" FROM (SELECT *, {' + '.join(g)} AS total FROM it WHERE NOT done AND pass < 100)"
+    phi = "SELECT i.*, b.n / (" + " + ".join(f"t{i} * b{i}" for i in cols) + " + 1e-100) AS r, " + ", ".join(f"b{i}" for i in cols) + f" FROM ({theta}) i JOIN bow b ON b.doc_id = i.doc_id JOIN brow e ON e.word_id = b.word_id"
+    step = "SELECT pass + 1 AS pass, doc_id, " + ", ".join(f"any_value(t{i}) * sum(r * b{i}) + {ALPHA!r}::DOUBLE AS n{i}" for i in cols) + ", " + ", ".join(f"any_value({x}) AS {x}" for x in g) + f" FROM ({phi}) GROUP BY pass, doc_id"
+    new = "SELECT pass, doc_id, " + ", ".join(f"n{i}" for i in cols) + ", (" + " + ".join(f"abs(n{i} - g{i})" for i in cols) + f") / {K} < {PARAMS.convergence_threshold!r}::DOUBLE FROM ({step})"
+    return f"it(pass, doc_id, {', '.join(g)}, done) AS ({start} UNION ALL {new})"
+
+
+_G = ", ".join(f"g{i}" for i in range(K))
+_CTES["brow"] = "SELECT word_id, " + ", ".join(f"exp(max(e_log) FILTER (WHERE topic = {i})) AS b{i}" for i in range(K)) + " FROM elog GROUP BY 1"
+_CTES["last"] = "SELECT doc_id, " + ", ".join(f"arg_max(g{i}, pass) AS g{i}" for i in range(K)) + " FROM it WHERE pass > 0 GROUP BY 1"
+_CTES["conv"] = "SELECT d.doc_id, t.i::INTEGER AS topic, coalesce(CASE t.i " + " ".join(f"WHEN {i} THEN g{i}" for i in range(K)) + f" END, {ALPHA!r}::DOUBLE) AS gamma FROM documents d CROSS JOIN range({K}) t(i) LEFT JOIN last l ON l.doc_id = d.doc_id"
+_CTES["cshare"] = "SELECT doc_id, topic, round(gamma / sum(gamma) OVER (PARTITION BY doc_id), 6) AS proportion FROM conv"
+_CTES["cthr"] = "SELECT doc_id, topic, CASE WHEN proportion < 0.15::DOUBLE THEN 0 ELSE proportion END AS proportion FROM cshare"
+_CTES["ctheta"] = f"SELECT doc_id, topic, exp({digamma_sql('gamma')} - {digamma_sql('total')}) AS theta FROM (SELECT *, sum(gamma) OVER (PARTITION BY doc_id) AS total FROM conv)"
+_CTES["cphi"] = "SELECT b.doc_id, b.word_id, b.n, sum(t.theta * exp(e.e_log)) + 1e-100 AS phi FROM bow b JOIN ctheta t ON t.doc_id = b.doc_id JOIN elog e ON e.word_id = b.word_id AND e.topic = t.topic GROUP BY 1, 2, 3"
+_CTES["css"] = "SELECT p.word_id, t.topic, sum(p.n / p.phi * t.theta) * exp(any_value(e.e_log)) AS ss FROM cphi p JOIN ctheta t ON t.doc_id = p.doc_id JOIN elog e ON e.word_id = p.word_id AND e.topic = t.topic GROUP BY 1, 2"
+
+
 def _sql(body: str) -> str:
     """body with the tables that it names, and those that these name, in front."""
     import re
 
+    passes = _passes()
     need: list[str] = []
 
     def add(text: str) -> None:
@@ -417,13 +559,27 @@ def _sql(body: str) -> str:
                 need.append(name)
 
     add(body)
+    if "last" in need:  # the one table that is recursive
+        need.remove("last")
+        rest = need[:]
+        need.clear()
+        add(passes)
+        tables = [f"{n} AS MATERIALIZED ({_CTES[n]})" for n in need]
+        return "WITH RECURSIVE " + ", ".join([*tables, passes, *(f"{n} AS MATERIALIZED ({_CTES[n]})" for n in ["last", *(x for x in rest if x not in need)])]) + " " + body
     return "WITH " + ", ".join(f"{n} AS MATERIALIZED ({_CTES[n]})" for n in need) + " " + body if need else body
 
 
+# Apart from the tokenizer's look-ahead (a clitic before a letter), which these texts have not
+_TREEBANK = [("(?i)\\b(can)(not)\\b", "\\1 \\2"), *((f"(?i)\\b({a})({b})\\b", "\\1 \\2") for a, b in (("gon", "na"), ("got", "ta"), ("wan", "na"), ("gim", "me"), ("lem", "me"))), ("(?i)([a-z])(n't|'(?:s|m|d|ll|re|ve))\\b", "\\1 \\2"), ("\\bn('t)\\b", "n\\1")]
+_TEXT = "coalesce(text, '')"
+for _from, _to in _TREEBANK:
+    _TEXT = f"regexp_replace({_TEXT}, '{_from.replace(chr(39), chr(39) * 2)}', '{_to}', 'g')"
+_TOKENS = f"regexp_extract_all({_TEXT}, '(n''t|''(?:s|m|d|ll|re|ve)|[\\p{{L}}\\p{{N}}]+(?:[-./,][\\p{{L}}\\p{{N}}]+)*|\\.\\.\\.|--|[^\\s\\p{{L}}\\p{{N}}])')"
 _W = ", ".join(f"round(max(value) FILTER (WHERE topic = {i}), 9) AS w{i}" for i in range(K))
 _PAIR = "list_sum(list_transform(range(1, len(x) + 1), lambda i: x[i]::DOUBLE * y[i]::DOUBLE))"
 _NORM = lambda v: f"sqrt(list_sum(list_transform({v}, lambda e: e::DOUBLE * e::DOUBLE)))"
 _MSTEP = "SELECT lam.word_id, lam.topic, round({keep!r}::DOUBLE * value + {step!r}::DOUBLE * coalesce(ss, 0) + {floor!r}::DOUBLE, 6) AS value FROM lam LEFT JOIN {ss} s ON s.word_id = lam.word_id AND s.topic = lam.topic"
+_STEP = f"SELECT lam.topic, lam.word_id, round({1 - RHO_LOCAL!r}::DOUBLE * value + {RHO_LOCAL!r}::DOUBLE * (coalesce(ss, 0) + {ETA!r}::DOUBLE), 5) AS value FROM lam LEFT JOIN css s ON s.word_id = lam.word_id AND s.topic = lam.topic"
 _VEC = "(SELECT doc_id, list(proportion ORDER BY topic) AS v FROM thr GROUP BY 1)"
 
 _BODIES = {
@@ -465,6 +621,21 @@ _BODIES = {
     "perplexity_topics": "SELECT topic, round(prior, 4) AS prior FROM tprior",
     "perplexity_bound": "SELECT round(score, 2) AS score, batch_size, n_words, round(exp(-score * batch_size / (5000.0::DOUBLE * n_words)), 4) AS per_word_perplexity FROM (SELECT ((SELECT coalesce(sum(likelihood), 0) FROM lik) + (SELECT sum(prior) FROM dprior)) * 5000.0::DOUBLE / (SELECT count(*) FROM documents) + (SELECT sum(prior) FROM tprior) AS score, (SELECT count(*) FROM documents) AS batch_size, (SELECT sum(n) FROM bow)::BIGINT AS n_words)",
     "coherence": f"SELECT w.topic, w.words, c.coherence, coalesce(c.n_pairs, 0)::INTEGER AS n_pairs FROM (SELECT topic, string_agg(word_id::VARCHAR, ',' ORDER BY rank) AS words FROM top GROUP BY 1) w LEFT JOIN (SELECT topic, round(avg({_PAIR} / ({_NORM('x')} * {_NORM('y')})), 6) AS coherence, count(*) AS n_pairs FROM (SELECT a.topic, e.embedding AS x, f.embedding AS y FROM top a JOIN top b ON a.topic = b.topic AND a.rank < b.rank JOIN embeddings e ON e.vec_id = a.word_id JOIN embeddings f ON f.vec_id = b.word_id) GROUP BY 1) c ON c.topic = w.topic",
+    "treebank_tokens": f"SELECT doc_id, array_to_string(list_transform({_TOKENS}, lambda w: CASE w WHEN '(' THEN '-lrb-' WHEN ')' THEN '-rrb-' ELSE lower(w) END), ' ') AS tokens FROM documents",
+    "estep_converged": "SELECT doc_id, topic, round(gamma, 6) AS gamma FROM conv",
+    "estep_by_join": "SELECT doc_id, topic, round(gamma, 6) AS gamma FROM conv",
+    "estep_statistics": "SELECT word_id, topic, round(ss, 6) AS ss FROM css",
+    "transform_fixed_model": "SELECT * FROM cshare",
+    "similarity_fixed_model": f"SELECT a.doc_id AS a, b.doc_id AS b, round(sqrt(list_sum(list_transform(range(1, {K} + 1), lambda i: (a.v[i] - b.v[i]) * (a.v[i] - b.v[i])))), 6) AS distance FROM {_VEC.replace('thr', 'cthr')} a JOIN {_VEC.replace('thr', 'cthr')} b ON b.doc_id = a.doc_id + 1",
+    "train_step": _STEP,
+    "train_step_by_join": _STEP,
+    "source_texts": r"SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '(\r\n|\r|\n)\z', ''), '\r\n|\r|\n', ' ', 'g') AS text FROM documents",
+    "source_lines": "SELECT doc_id, count(*) AS n_lines, sum(length(l))::BIGINT AS n_chars FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS l FROM documents) GROUP BY 1",
+    "source_corpus": f"SELECT row_number() OVER (ORDER BY doc_id::VARCHAR) - 1 AS place, ((row_number() OVER (ORDER BY doc_id::VARCHAR) - 1) // {BATCH})::INTEGER AS batch_id, doc_id FROM documents",
+    "source_word_list": "SELECT word FROM vocab",
+    "model_round_trip": "SELECT topic, word, round(value, 9) AS value FROM lam JOIN vocab USING (word_id)",
+    "word_vectors_round_trip": "SELECT vec_id::VARCHAR AS word, len(embedding)::INTEGER AS size, round(list_sum(list_transform(embedding, lambda e: e::DOUBLE)), 6) AS total FROM embeddings",
+    "parallel_collection": f"SELECT word_id, {_W} FROM lam GROUP BY 1",
     "digamma_lgamma": f"SELECT vec_id, round({digamma_sql('x')}, 8) + 0.0::DOUBLE AS digamma, round({lgamma_sql('x')}, 6) + 0.0::DOUBLE AS lgamma FROM (SELECT vec_id, (vec_id + 1)::DOUBLE / 7.0::DOUBLE AS x FROM embeddings)",
 }
 

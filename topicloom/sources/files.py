@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicloom.functions.text import join_lines
-from topicloom.operators.ranking import row_numbers
+from topicloom.operators.ranking import row_numbers, string_numbers
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -29,8 +29,7 @@ def read_texts(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataF
 def read_corpus(spark: SparkSession, path: str, batch_size: int | None = None, encoding: str = "UTF-8") -> DataFrame:
     """doc_id (from 0, by path), path, text, and batch_id where batch_size is given. Files are read on the executors."""
     texts = read_texts(spark, path, encoding)
-    # ids follow the hash-free order of paths: numbered by the path's rank among all paths
-    ids = texts.select("path").distinct().orderBy("path").coalesce(1).select("path", (F.monotonically_increasing_id()).alias("doc_id"))
+    ids = string_numbers(texts, "path", "doc_id")
     docs = texts.join(ids, "path").select("doc_id", "path", "text")
     if batch_size is None:
         return docs
