@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows a task hands to Python at once; texts are long, so fewer than Spark's default.
-ARROW_ROWS = 1000
+#: Rows, and bytes, that a task hands to Python at once; texts are long, so fewer than Spark's default.
+ARROW_ROWS, ARROW_BYTES = 1000, 4 << 20
 #: Used only where the session names no spark.checkpoint.dir and runs in one process (tests).
 LOCAL_DIR = "/tmp/topicloom-checkpoints"
 
@@ -28,6 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 #: Bytes of a stored table to a task where an operator deals rows out itself, if the session's number of partitions gives larger tasks.
