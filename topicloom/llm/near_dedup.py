@@ -5,8 +5,8 @@
    bin is its value, an empty bin borrows from the first full bin of its own fixed
    random probe order (optimal densification).
 2. Rows of equal sets fall together first. What is linked from here on are distinct
-   sets (vertices, with numbers of their own), whatever ids their rows have; the row
-   with the smallest doc_id lends its text.
+   sets (vertices, numbered in the order of their smallest rows), whatever ids their
+   rows have; the row with the smallest doc_id lends its text.
 3. BANDS bands of ROWS bins make buckets; a bucket's smallest vertex is its hub and
    every other member a leaf. Only these star-shaped edges leave the buckets, so a
    bucket of n members gives n - 1 candidates.
@@ -14,10 +14,10 @@
    the hub doesn't confirm with all the hub's leaves. No link between two members
    of a bucket is lost; leaves that are linked through the hub need no more tests.
    Of a task's links those are kept that join what was apart (a spanning forest).
-   A hub with over CHUNK leaves is dealt out in chunks. There its leaves are sorted
-   into cells by their distance from the hub and their size: Jaccard distance is a
-   metric, so an unconfirmed leaf meets only the cells that the triangle inequality
-   and the ratio of sizes leave possible, block by block.
+   A hub with over CHUNK leaves is dealt out in chunks. There its leaves are laid out
+   by their distance from the hub and their size: Jaccard distance is a metric, so a
+   block of unconfirmed leaves meets only the chunks that the triangle inequality and
+   the ratio of sizes leave possible.
 5. Links become components by min-label propagation with pointer jumping.
 
 A pair at the threshold misses all buckets with probability
@@ -38,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from topicloom.llm._spark import THIN_IDS, cut, partitions, small_batches, text_key, without
@@ -279,18 +279,23 @@ def _blocks(texts: DataFrame, wanted: DataFrame, n_parts: int) -> DataFrame:
 def _far_leaves(texts: DataFrame, met: DataFrame, percent: int, n_parts: int) -> DataFrame:
     """Links (a, b) of the unconfirmed leaves of large hubs with all leaves of theirs. met: hub, doc, distance, size, odd."""
     cell = ["hub", "distance", "size"]
-    span = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
-    counts = cut(met.groupBy(*cell).agg(F.count("*").alias("n"), F.count_if("odd").alias("n_odd")))
-    chunks = counts.select(*cell, F.ceil(F.col("n") / CHUNK).alias("n_chunks"), F.ceil(F.col("n_odd") / CHUNK).alias("n_blocks"))
-    right = chunks.select("hub", F.col("distance").alias("d"), F.col("size").alias("s"), F.col("n_chunks").alias("many"))
-    near = (F.abs(F.col("distance") - F.col("d")) <= DISTANCES + 1) & (F.abs(F.col("size") - F.col("s")) <= SIZES + 1)
-    pairs = chunks.filter("n_blocks > 0").join(right, "hub").filter(near)
-    pairs = pairs.select(*cell, "d", "s", F.explode(span(F.col("n_blocks"))).alias("block"), "many").select(*cell, "d", "s", "block", F.explode(span(F.col("many"))).alias("part"))
-    pairs = cut(pairs.withColumn("chunk", F.xxhash64("distance", "size", "d", "s", "block", "part")))
-    placed = met.join(_bounded(chunks), cell)
-    place = lambda n: F.pmod(F.xxhash64("doc", F.lit(7)), F.col(n))
-    odd = placed.filter("odd").withColumn("block", place("n_blocks")).join(_bounded(pairs.select(*cell, "block", "chunk")), [*cell, "block"]).select("hub", "chunk", F.lit(0).alias("side"), "doc")
-    all_of = placed.withColumn("part", place("n_chunks")).join(_bounded(pairs.select("hub", F.col("d").alias("distance"), F.col("s").alias("size"), "part", "chunk")), [*cell, "part"]).select("hub", "chunk", F.lit(1).alias("side"), "doc")
+    counts = met.groupBy(*cell).agg(F.count("*").alias("n"), F.count_if("odd").alias("n_odd"))
+    order = Window.partitionBy("hub").orderBy("distance", "size").rowsBetween(Window.unboundedPreceding, -1)  # of a hub's cells
+    cells = cut(counts.select("*", *[F.coalesce(F.sum(c).over(order), F.lit(0)).alias(f"{c}_before") for c in ("n", "n_odd")]))
+    # neighbouring cells share a chunk, a full cell has several; a leaf's place in its cell is by hash
+    of = lambda c, place: F.floor((F.col(f"{c}_before") + place) / CHUNK).cast("long")
+
+    def ranges(c: str, name: str, d: str, z: str) -> DataFrame:
+        spread = cells.filter(F.col(c) > 0).select("hub", "distance", "size", F.explode(F.sequence(of(c, F.lit(0)), of(c, F.col(c) - 1))).alias(name))
+        return spread.groupBy("hub", name).agg(F.struct(F.min("distance").alias("lo"), F.max("distance").alias("hi")).alias(d), F.struct(F.min("size").alias("lo"), F.max("size").alias("hi")).alias(z))
+
+    near = lambda x, y, reach: (F.col(f"{x}.lo") - F.col(f"{y}.hi") <= reach) & (F.col(f"{y}.lo") - F.col(f"{x}.hi") <= reach)
+    pairs = ranges("n_odd", "block", "d", "z").join(ranges("n", "part", "e", "y"), "hub").filter(near("d", "e", DISTANCES + 1) & near("z", "y", SIZES + 1))
+    pairs = cut(pairs.select("hub", "block", "part", F.xxhash64("block", "part").alias("chunk")))
+    placed = met.join(_bounded(cells), cell)
+    place = lambda c: of(c, F.pmod(F.xxhash64("doc", F.lit(7)), F.col(c)))
+    odd = placed.filter("odd").withColumn("block", place("n_odd")).join(_bounded(pairs), ["hub", "block"]).select("hub", "chunk", F.lit(0).alias("side"), "doc")
+    all_of = placed.withColumn("part", place("n")).join(_bounded(pairs), ["hub", "part"]).select("hub", "chunk", F.lit(1).alias("side"), "doc")
     return _blocks(texts, odd.unionByName(all_of), n_parts).mapInArrow(_confirm_blocks(percent), "a long, b long")
 
 
@@ -302,8 +307,9 @@ def _grouped_rows(docs: DataFrame, percent: int) -> DataFrame:
     rows = docs.select(*text_key(), "text")
     told = cut(rows.mapInArrow(_describe, "_id long, _th long, n_shingles long, digest binary, keys array<long>"))
     sets = told.filter("digest is not null").groupBy("digest").agg(F.min(F.struct("_id", "_th")).alias("row"), F.first("keys").alias("keys"))
-    # numbers of vertices are read from the checkpoint only, so they stay as they are
-    sets = cut(sets.select("digest", F.col("row._id").alias("id"), F.col("row._th").alias("th"), "keys", F.monotonically_increasing_id().alias("vertex")))
+    sets = cut(sets.select("digest", F.col("row._id").alias("id"), F.col("row._th").alias("th"), "keys"))
+    # numbers follow the ids (an original is often older than its copies, so a good hub); they are read from the checkpoint only, so they stay as they are
+    sets = cut(sets.repartitionByRange(partitions(spark), "id", "th").sortWithinPartitions("id", "th").withColumn("vertex", F.monotonically_increasing_id()))
     buckets = sets.select("vertex", F.explode("keys").alias("key"))
     hubs = cut(buckets.groupBy("key").agg(F.min("vertex").alias("hub"), F.max("vertex").alias("last")).filter("hub < last").select("key", "hub"))
     stars = cut(buckets.join(hubs, "key").filter("vertex <> hub").select("hub", F.col("vertex").alias("doc")).distinct())
