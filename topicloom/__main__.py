@@ -88,7 +88,7 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> DataFrame:
         named = spark.createDataFrame([(n, x, y) for n, (x, y) in enumerate(a.pair)], "pair int, x string, y string")
         side = lambda c, name: docs.join(F.broadcast(named), F.col("path").endswith(F.concat(F.lit("/"), F.ltrim(F.col(c), F.lit("/"))))).select("pair", F.col("doc_id").alias(name))
         pairs = side("x", "a").join(side("y", "b"), "pair").select("a", "b")
-    return S.document_distance(pairs, S.topic_vectors(shares), a.metric).orderBy("a")
+    return S.document_distance(pairs, S.topic_vectors(shares), a.metric).orderBy("a", "b")
 
 
 def main() -> None:
