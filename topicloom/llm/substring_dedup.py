@@ -52,7 +52,7 @@ from topicloom.llm._words import roll as roll_again
 
 K = 13
 #: Bytes of text hashed together. Edges of one such block are pre-aggregated.
-BLOCK = 2 << 20
+BLOCK = 4 << 20
 #: Packets that a block sends at most; more buckets are reached in two steps.
 FAN = 1024
 #: Claims about a source are dealt out in stretches of so many places.
