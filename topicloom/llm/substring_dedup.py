@@ -519,11 +519,14 @@ def packed_paths(docs: DataFrame, k: int = K) -> DataFrame:
     rows = thinned(texts, "_id", losers, "id").dropDuplicates(["_id", "_th"])
     joined = lambda: rows.join(losers, (F.col("_id") == F.col("id")) & (F.col("_th") == F.col("th"))).select("id", "th", "text", "payload")
     told = cut(joined().mapInArrow(_paths(n_parts, k), "id long, th long, part int, payload binary"))
+    release(spark)
     paths = told.filter("part is null").select("id", "th", F.col("payload").alias("paths"))
     asked = told.filter("part is not null").select("part", "payload").repartition(n_parts, "part").sortWithinPartitions("part").mapInArrow(_ask, "src long, payload binary")
     ask = cut(asked.groupBy("src").agg(F.collect_list("payload").alias("asked")))  # bounded by the source's length
+    release(spark)
     sources = thinned(texts, "_id", ask, "src").join(ask, F.col("_id") == F.col("src")).select("src", "text", "asked")
     false = cut(sources.mapInArrow(_answers(k, False), _CLAIMS).distinct())
+    release(spark)
     if not false.isEmpty():  # of several texts of one id, one that bears the claim out is enough
         again = sources.join(false.select(F.col("src").alias("_s")).distinct(), F.col("src") == F.col("_s"), "left_semi").mapInArrow(_answers(k, True), _CLAIMS)
         false = cut(false.join(again.distinct(), ["src", "pos", "value"], "left_anti"))
