@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 
 U = np.uint64
-PIECE = 1 << 20
+PIECE = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INV = pow(_BASE, -1, 2**64)
 _STEP = U(0xD6E8FEB86659FD93)

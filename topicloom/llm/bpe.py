@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from topicloom.llm._spark import small_batches
+from topicloom.llm._spark import small_batches, tidy
 
 # Fixed value: the byte-level pre-tokenizer's pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -198,6 +198,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text") -> DataFram
     """One row per row of docs: doc_id, n_tokens, ids (array of token ids), and the two digests of encode_digests."""
     small_batches(docs.sparkSession)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:
@@ -219,6 +220,7 @@ def encode_digests(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, ids_sha256, decoded_sha256; the ids themselves stay in the task."""
     small_batches(docs.sparkSession)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:

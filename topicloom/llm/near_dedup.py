@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from topicloom.llm._spark import THIN_IDS, cut, partitions, small_batches, text_key, without
+from topicloom.llm._spark import THIN_IDS, cut, partitions, small_batches, text_key, tidy, without
 from topicloom.llm._words import U, as_bytes, hash_words, mix, roll, split_points
 
 SHINGLE = 5
@@ -92,6 +92,7 @@ def bands(s: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+@tidy
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n, digest, keys = [], [], []
@@ -112,6 +113,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+@tidy
 def _to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [s.tobytes() for s in shingle_sets(as_bytes(batch.column("text")))]
@@ -198,6 +200,7 @@ def _cells(inter: np.ndarray, centre: np.ndarray, sets: list[np.ndarray], percen
 def _confirm(percent: int):
     """Of a hub's chunk: its links, and of a large hub all leaves with their cells and whether the hub confirms them."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[list] = [[] for _ in range(6)]
 
@@ -236,6 +239,7 @@ def _confirm(percent: int):
 def _confirm_blocks(percent: int):
     """Of a block of unconfirmed leaves and a chunk of leaves: their links."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, _), rows in _grouped(batches, ("hub", "chunk")):
             odd, rest = ({d: s for side, d, s in rows if side == k} for k in (0, 1))

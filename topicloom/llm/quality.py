@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.llm._spark import cut, small_batches, text_key
+from topicloom.llm._spark import cut, small_batches, text_key, tidy
 from topicloom.llm._words import as_bytes, hash_words, split_points
 
 #: Labelled documents to fit on, at most.
@@ -287,6 +287,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted."""
     small_batches(docs.sparkSession)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = np.clip(model.scores(as_bytes(batch.column("text"))), 0.0, 1.0)
@@ -299,6 +300,7 @@ def keep_good(docs: DataFrame, model: Model) -> DataFrame:
     """docs whose score is at least 0.5; all columns stay."""
     small_batches(docs.sparkSession)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(model.scores(as_bytes(batch.column(batch.schema.get_field_index("text")))) >= 0.5))

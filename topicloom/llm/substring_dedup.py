@@ -46,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.llm._spark import Scratch, cut, partitions, release, small_batches, text_key, thinned
+from topicloom.llm._spark import Scratch, cut, partitions, release, small_batches, text_key, thinned, tidy
 from topicloom.llm._words import SECOND, U, as_bytes, hash_words, mix, roll, split_points
 from topicloom.llm._words import roll as roll_again
 
@@ -187,6 +187,7 @@ def _edges(fan: int, salts: int, n_parts: int, k: int):
         for p, blob in _dealt_edges(h, ids[doc], ths[doc], pos, (h % U(fan)).astype(np.int64)):
             yield p, EDGES, blob
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(held):
             ids, ths, texts = (sum((h[i] for h in held), []) for i in range(3))
@@ -219,6 +220,7 @@ def _split(fan: int, fine: int):
         rows = list(_dealt_edges(h, ids, ths, pos, (h // U(fan) % U(fine)).astype(np.int64) * fan + part))
         return pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([0] * len(rows), pa.int32()), pa.array([EDGES] * len(rows), pa.int32()), pa.array([b for _, b in rows], pa.binary())], ["part", "salt", "kind", "payload"])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, blobs, size = None, [], 0
         for batch in batches:
@@ -265,6 +267,7 @@ def _repeats(n_parts: int):
         rows = list(_dealt(i[lost], t[lost], rec, n_parts))
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], ["part", "payload"])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, blobs = None, []
         for batch in batches:
@@ -284,6 +287,7 @@ def _repeats(n_parts: int):
     return run
 
 
+@tidy
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of a part: a row per document with all its loser records."""
 
@@ -362,6 +366,7 @@ def _claims_of(texts: list[bytes], rec: np.ndarray, doc: np.ndarray, k: int) ->
 def _paths(n_parts: int, k: int):
     """A document's repeated edges, compacted into paths: a row per document; and packets of claims about sources, by part."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, sent = ["id", "th", "part", "payload"], _Sent()
         for batch in batches:
@@ -391,6 +396,7 @@ def _paths(n_parts: int, k: int):
     return run
 
 
+@tidy
 def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of a part's claims: the distinct ones of each stretch of a source."""
 
@@ -416,6 +422,7 @@ def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _answers(k: int, true: bool):
     """Of the claims about a source: those that its text bears out, or those that it doesn't."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, asked = as_bytes(batch.column("text")), batch.column("asked").to_pylist()
@@ -439,6 +446,7 @@ _CLAIMS = "src long, pos long, value long"
 def _ambiguous(false: np.ndarray, k: int):
     """First hashes of the edges whose claims are false."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, wrong = _distinct(false)[1], set(false.tolist())
         for batch in batches:
@@ -460,6 +468,7 @@ def _ambiguous(false: np.ndarray, k: int):
 def _occurrences(hashes: np.ndarray, k: int):
     """All windows with one of the first hashes, with their words."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, ths, texts = batch.column("_id"), batch.column("_th"), as_bytes(batch.column("text"))
@@ -541,6 +550,7 @@ def packed_paths(docs: DataFrame, k: int = K) -> DataFrame:
 def repeated_spans(docs: DataFrame, k: int = K) -> DataFrame:
     """Paths as rows: id, th (the row, see text_key), start and n (in edges), src, src_start. Edges decided by words are left out of the paths."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, t, blob, edges in zip(*(batch.column(c).to_pylist() for c in ("id", "th", "paths", "edges")), strict=True):
@@ -590,6 +600,7 @@ def _kept(text: bytes, paths: bytes | None, edges: list[dict] | None, k: int) ->
 def dedup_digests(docs: DataFrame, k: int = K) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, kept_sha256 (kept words joined by one space)."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, removed, sha = [], [], []
@@ -604,6 +615,7 @@ def dedup_digests(docs: DataFrame, k: int = K) -> DataFrame:
 def remove_repeats(docs: DataFrame, k: int = K) -> DataFrame:
     """docs with repeated words taken out of text; texts that lose nothing stay as they are, rows and other columns too."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []

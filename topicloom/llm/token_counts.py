@@ -25,7 +25,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from topicloom.llm._spark import small_batches
+from topicloom.llm._spark import small_batches, tidy
 
 MARK = "▁"
 STRETCH = 1 << 20
@@ -149,6 +149,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 4096, text: str = "tex
     """One row per row of docs: doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit)."""
     small_batches(docs.sparkSession)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = load(path)
         for batch in batches:

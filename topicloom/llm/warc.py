@@ -37,7 +37,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.llm._spark import cut, partitions, shared_dir, small_batches
+from topicloom.llm._spark import cut, partitions, shared_dir, small_batches, tidy
 
 #: Records this near are fetched by one read, of at most READ bytes; a task reads STRETCH of a file.
 GAP, READ, STRETCH = 1 << 16, 4 << 20, 32 << 20
@@ -85,6 +85,7 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def _writer(folder: str):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = None
         at, name = 0, f"{folder}/part-{uuid.uuid4().hex}.warc.gz"
@@ -135,6 +136,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
     return cut(rows.mapInArrow(_writer(folder), INDEX))
 
 
+@tidy
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def fetch(rows: list[dict]) -> pa.RecordBatch:
         fs, path = pafs.FileSystem.from_uri(rows[0]["file"])
