@@ -24,7 +24,8 @@ from __future__ import annotations
 
 import hashlib
 import struct
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 from itertools import groupby
 from typing import NamedTuple
 
@@ -64,12 +65,35 @@ class Aligned(NamedTuple):
     groups: list[bytes]
 
 
+class _Words:
+    """Ids of words as bytes, kept in two generations of about CACHE words; make: the ids of words that are new."""
+
+    def __init__(self, make: Callable[[list[str]], Iterable[bytes | None]]):
+        self.make, self.young, self.old = make, {}, {}
+
+    def ids(self, words: list[str]) -> bytes | None:
+        """None if one of the words has None."""
+        if need := set(words).difference(self.young):
+            if len(self.young) + len(need) > CACHE:
+                self.old, self.young = self.young, {}
+                need = set(words)
+            known = [w for w in need if w in self.old]
+            self.young.update(zip(known, map(self.old.__getitem__, known), strict=True))
+            new = list(need.difference(known))
+            self.young.update(zip(new, self.make(new), strict=True))
+        found = list(map(self.young.__getitem__, words))
+        return None if None in found else b"".join(found)
+
+
+def _bytes(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()
+
+
 class Aligner:
     """Byte-level BPE A and sentencepiece model B."""
 
     def __init__(self, path_a: str, path_b: str):
         self.a = ByteBpe(path_a)
-        self.a.split_special = None  # strings of special tokens are plain text
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         size = self.b.get_piece_size()
         pieces = [self.b.id_to_piece(i) for i in range(size)]
@@ -81,8 +105,8 @@ class Aligner:
         self.size_a, self.size_b = len(self.a.texts), size
         self.length_a, self.length_b = np.array([len(t) for t in self.a.texts]), np.array([len(t) for t in self.bytes_b])
         self.shown = np.array([f"{i}{c}" for i in range(self.size_a) for c in ",|"] + [f"{i}{c}" for i in range(size) for c in ",;"], "S")
-        self.young: dict[str, bytes | None] = {}
-        self.old: dict[str, bytes | None] = {}
+        self.words_a = _Words(lambda new: (_bytes(self.a.merge(w.encode())) for w in new))
+        self.words_b = _Words(self._new_b)
 
     def stretches(self, text: str) -> list[str]:
         """text in pieces of at least STRETCH characters, cut before a space where both tokenizers cut."""
@@ -93,40 +117,33 @@ class Aligner:
         return [*out, text[at:]]
 
     def _spelled(self, ids: list[int], text: str) -> bytes | None:
-        return np.array(ids, "<u4").tobytes() if b"".join(map(self.bytes_b.__getitem__, ids)) == text.encode() else None
+        return _bytes(ids) if b"".join(map(self.bytes_b.__getitem__, ids)) == text.encode() else None
 
-    def _learn(self, words: list[str]) -> None:
+    def _new_b(self, words: list[str]) -> Iterable[bytes | None]:
         """B ids of words without their first space; None for those that B doesn't spell."""
-        need = set(words)
-        if len(self.young) + len(need) > CACHE:
-            self.old, self.young = self.young, {}
-        rest = []
-        for w in need:
-            if w not in self.young:
-                if w in self.old:
-                    self.young[w] = self.old[w]
-                else:
-                    rest.append(w)
-        plain = [w for w in rest if w and " " not in w and MARK not in w]
-        odd = [w for w in rest if not w or " " in w or MARK in w]
-        if plain:  # merged together: a word's tokens start with the one token that has the mark
-            ids = np.array(self.b.encode(" ".join(plain), num_threads=1), "<u4")
-            starts = np.flatnonzero(self.marked[ids])
-            if len(starts) == len(plain):
-                raw, ends = ids.tobytes(), [*starts[1:].tolist(), len(ids)]
-                spelled = b"".join(map(self.bytes_b.__getitem__, ids.tolist())) == f" {' '.join(plain)}".encode()
-                for w, i, j in zip(plain, starts.tolist(), ends, strict=True):
-                    self.young[w] = raw[4 * i : 4 * j] if spelled else self._spelled(ids[i:j].tolist(), f" {w}")
-            else:
-                odd += plain
-        for w in odd:
-            self.young[w] = self._spelled(self._one(w), f" {w}")
+        plain = " ".join(words)
+        if "" in words or MARK in plain or plain.count(" ") >= len(words):
+            odd = [w for w in words if not w or " " in w or MARK in w]
+            rest = [w for w in words if w and " " not in w and MARK not in w]
+            made = dict(zip(rest, self._new_b(rest), strict=True)) if rest else {}
+            return [made[w] if w in made else self._spelled(self._one(w), f" {w}") for w in words] if odd else list(made.values())
+        # merged together: a word's tokens start with the one token that has the mark
+        found = self.b.encode(plain, num_threads=1)
+        ids = np.array(found, "<u4")
+        starts = np.flatnonzero(self.marked[ids]).tolist()
+        raw, ends = ids.tobytes(), [*starts[1:], len(found)]
+        if len(starts) == len(words) and b"".join(map(self.bytes_b.__getitem__, found)) == f" {plain}".encode():
+            return [raw[4 * i : 4 * j] for i, j in zip(starts, ends, strict=True)]
+        return [self._spelled(self._one(w), f" {w}") for w in words]
 
     def _one(self, word: str) -> list[int]:
         """B ids of a space and word, by themselves."""
         if word:
             return self.b.encode(word, num_threads=1)
-        return self.b.encode("a a", num_threads=1)[1:-1] or [self.b.piece_to_id(MARK)]
+        return [self.b.piece_to_id(MARK)]  # a lone mark, which the library cannot be asked for by itself
+
+    def encode_a(self, text: str) -> bytes:
+        return self.words_a.ids(self.a.pieces.findall(text))
 
     def encode_b(self, text: str) -> bytes | None:
         """B ids of text, which starts with a space; None where they don't spell it."""
@@ -135,16 +152,11 @@ class Aligner:
         words = text[1:].split(" ")
         if "" in words:
             words = [w[1:] for w in _RUNS.findall(text)]
-        try:
-            found = list(map(self.young.__getitem__, words))
-        except KeyError:
-            self._learn(words)
-            found = list(map(self.young.__getitem__, words))
-        return None if None in found else b"".join(found)
+        return self.words_b.ids(words)
 
     def align(self, texts: list[str]) -> tuple[list[int], Aligned]:
         """The numbers of the texts (each starts with a space) that both spell, and their alignment."""
-        coded = [(i, self.a.encode(t), b, len(t.encode())) for i, t in enumerate(texts) if (b := self.encode_b(t)) is not None]
+        coded = [(i, self.encode_a(t), b, len(t.encode())) for i, t in enumerate(texts) if (b := self.encode_b(t)) is not None]
         n_a, n_b = np.array([len(a) // 4 for _, a, _, _ in coded], np.int64), np.array([len(b) // 4 for _, _, b, _ in coded], np.int64)
         a, b = (np.frombuffer(b"".join(c[k] for c in coded), "<u4").astype(np.int64) for k in (1, 2))
         ends_a, ends_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
