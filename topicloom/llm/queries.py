@@ -78,6 +78,26 @@ def op10_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(_table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path
+
+    from topicloom.llm.token_alignment import align
+
+    return align(_table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("piece_bpe_32k.model"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from topicloom.llm.lexical_search import search
+
+    return search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from topicloom.llm.simhash_dedup import near_components
+
+    return near_components(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_document_fingerprints": op1_document_fingerprints,
@@ -90,6 +110,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html_extraction": op8_html_extraction,
         "op9_warc_round_trip": op9_warc_round_trip,
         "op10_bpe_encode_decode": op10_bpe_encode_decode,
+        "op11_token_alignment": op11_token_alignment,
+        "op12_lexical_search": op12_lexical_search,
+        "op13_simhash_near_dedup": op13_simhash_near_dedup,
     }
 
 
@@ -129,9 +152,23 @@ _FIVE = "list_sum(list_transform(range(0, 5), lambda j: (bits[5 * i + j + 1 : 5
 _OP9_SQL = _OP9_SQL.replace("v(bits, i)", _FIVE)
 
 
+_OP12_TERMS = r"regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+_OP12_SQL = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, {_OP12_TERMS.format("text")} AS a FROM documents),
+s AS MATERIALIZED (SELECT count(*) AS n_docs, sum(len(a))::BIGINT AS n_terms FROM d WHERE len(a) > 0),
+q AS MATERIALIZED (SELECT DISTINCT item_id, unnest({_OP12_TERMS.format("text")}) AS t FROM benchmark),
+p AS MATERIALIZED (SELECT doc_id, n, t, count(*)::BIGINT AS tf FROM (SELECT doc_id, len(a) AS n, unnest(a) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY 1, 2, 3),
+w AS MATERIALIZED (SELECT t, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, s GROUP BY 1),
+r AS (SELECT q.item_id, p.doc_id, sum(w.w * ((1000000000 * p.tf) // (1000 * p.tf + 8 * (10 + (90 * p.n * s.n_docs) // s.n_terms))))::BIGINT AS score FROM q JOIN p ON p.t = q.t JOIN w ON w.t = q.t, s GROUP BY 1, 2),
+o AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM r WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM o WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_substring_dedup": _OP2_SQL,
         "op6_minhash_near_dedup": _OP6_SQL,
         "op9_warc_round_trip": _OP9_SQL,
+        "op12_lexical_search": _OP12_SQL,
     }
