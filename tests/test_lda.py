@@ -154,20 +154,156 @@ def test_mllib_cross_check(spark, docs, params):
     assert len(top) == 2 and all(len(t) == 3 for t in top)
 
 
-def test_streaming_counts_each_batch_once(spark, tmp_path):
-    from topicloom.streaming.trainer import latest, text_stream, train_stream
+@pytest.fixture
+def vocab(spark):
+    return spark.createDataFrame(list(enumerate(WORDS)), "word_id int, word string")
+
+
+def _table(model):
+    return {(r["topic"], r["word_id"]): r["value"] for r in model.lambda_long().collect()}
+
+
+def test_stream_minibatches_do_not_depend_on_the_cuts(spark, docs, vocab, tmp_path):
+    """Files of 6 documents, minibatches of 8: the same lambda as fit_table's, also when a micro-batch is killed and replayed."""
+    from topicloom.streaming import trainer
+
+    p = L.LdaParams(num_topics=2, decay=1.0, total_docs=22, seed=3, perplexity=True)
+    lda, folder = L.OnlineLda(p), str(tmp_path / "states")
+    want = lda.fit_table(docs, vocab, 8)
+    assert len(want.perplexities) == 3
+    parts = [docs.filter((F.col("doc_id") >= i) & (F.col("doc_id") < i + 6)).select("doc_id", "text") for i in range(0, 22, 6)]
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("doc_id long, text string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    real, calls = trainer.Folders.commit, []
+
+    def dies(self, name, tables, meta):
+        calls.append(name)
+        if name == "state-000000000003" and calls.count(name) == 1:
+            raise RuntimeError("killed before its commit")
+        real(self, name, tables, meta)
+
+    trainer.Folders.commit = dies
+    try:
+        for _ in range(2):
+            query = trainer.train_stream(stream, lda, vocab, folder, str(tmp_path / "checkpoint"), 8)
+            try:
+                query.awaitTermination()
+            except Exception:
+                assert calls[-1] == "state-000000000003"
+    finally:
+        trainer.Folders.commit = real
+    assert calls.count("state-000000000003") == 2
+    state = trainer.StreamState(spark, folder)
+    assert state.model().num_updates == 2 and state.waiting().count() == 22 - 16
+    assert len([n for n in state.folders.names() if n.startswith("state-")]) == trainer.KEPT
+    got = trainer.finish(spark, lda, folder, 8)
+    assert got.num_updates == 3 and trainer.finish(spark, lda, folder, 8).num_updates == 3
+    np.testing.assert_allclose([v for _, v in sorted(_table(got).items())], [v for _, v in sorted(_table(want).items())], rtol=1e-9)
+    np.testing.assert_allclose(got.perplexities, want.perplexities, rtol=1e-9)
+    # a stream whose checkpoint is lost finds its commits and adds nothing
+    trainer.train_stream(stream, lda, vocab, folder, str(tmp_path / "other"), 8).awaitTermination()
+    assert state.model().num_updates == 3
+    want.close()
+
+
+def test_streaming_of_files(spark, vocab, tmp_path):
+    from topicloom.streaming.trainer import StreamState, text_stream, train_stream
 
     folder = tmp_path / "in"
     folder.mkdir()
     for i in range(5):
         (folder / f"{i}.txt").write_text(FRUIT if i % 2 else BEASTS)
     lda = L.OnlineLda(L.LdaParams(num_topics=2, total_docs=5))
-    for _ in range(2):
-        train_stream(text_stream(spark, str(folder), 2), lda, WORDS, str(tmp_path / "models"), str(tmp_path / "checkpoint")).awaitTermination()
-    assert latest(spark, str(tmp_path / "models")).num_updates == 3
-    # a replayed stream (its checkpoint lost) finds its versions and adds nothing
-    train_stream(text_stream(spark, str(folder), 2), lda, WORDS, str(tmp_path / "models"), str(tmp_path / "other")).awaitTermination()
-    assert latest(spark, str(tmp_path / "models")).num_updates == 3
+    train_stream(text_stream(spark, str(folder), 2), lda, vocab, str(tmp_path / "states"), str(tmp_path / "checkpoint"), 2).awaitTermination()
+    state = StreamState(spark, str(tmp_path / "states"))
+    assert state.model().num_updates == 2 and state.waiting().count() == 1
+
+
+def test_commits_are_whole_or_absent(spark, vocab, tmp_path):
+    from topicloom.sources.commit import STAGED, Folders
+
+    folders = Folders(spark, str(tmp_path / "kept"))
+    folders.commit("a", {"words": vocab}, {"n": 6})
+    assert folders.names() == ["a"] and folders.manifest("a") == {"n": 6} and folders.table("a", "words").count() == 6
+    folders.commit("a", {"words": vocab.limit(2)}, {"n": 2})
+    assert folders.manifest("a") == {"n": 2} and folders.table("a", "words").count() == 2
+    with pytest.raises(Exception):
+        folders.commit("b", {"words": vocab.selectExpr("word", "raise_error('no')")}, {})
+    assert folders.names() == ["a"]
+    part = next((tmp_path / "kept" / "a" / "words").glob("part-*.parquet"))
+    part.rename(tmp_path / "gone")  # a folder that lacks a file of its manifest is not committed
+    assert folders.names() == [] and folders.manifest("a") is None
+    (tmp_path / "kept" / f"{STAGED}x").mkdir()
+    folders.sweep()
+    assert not (tmp_path / "kept" / f"{STAGED}x").exists()
+
+
+def test_table_models_at_rest(spark, docs, vocab, params, tmp_path, monkeypatch):
+    table = L.OnlineLda(params).fit_table(docs, vocab, 8)
+    models.save_model(table, spark, str(tmp_path / "m"))
+    want = _table(table)
+    table.close()
+    got = models.load_table_model(spark, str(tmp_path / "m"))
+    assert _table(got) == want and got.num_updates == 3 and got.params == params and len(got.perplexities) == 3
+    assert got.top_words(2) == L.top_of(models.load_model(spark, str(tmp_path / "m")), 2)
+    got.close()  # its tables stay
+    assert isinstance(models.load(spark, str(tmp_path / "m")), L.LdaModel)
+    monkeypatch.setattr(models, "BROADCAST_BYTES", 10)
+    with pytest.raises(ValueError):
+        models.load_model(spark, str(tmp_path / "m"))
+    assert _table(models.load(spark, str(tmp_path / "m"))) == want
+    with pytest.raises(FileNotFoundError):
+        models.load_model(spark, str(tmp_path / "none"))
+
+
+def test_perplexity_of_a_table_equals_the_drivers(docs, params):
+    for compat in ("local", "distributed"):
+        p = L.replace(params, compat=compat)
+        a = L.OnlineLda(p).fit(docs, WORDS, 8)
+        b = L.OnlineLda(L.replace(p, strategy="join")).fit(docs, WORDS, 8)
+        np.testing.assert_allclose(b.perplexities, a.perplexities, rtol=1e-9)
+
+
+def test_a_word_of_every_document_stays_out_of_the_shuffle(spark):
+    """200 partitions, one word in all documents: no task gets over twice the median of the rows that are shuffled."""
+    from topicloom.operators import skew
+
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(kept, ("200", "false", "-1"), strict=True):
+            spark.conf.set(k, v)
+        rows = spark.range(40000).select(F.col("id").alias("doc_id"), F.explode(F.array(F.lit(0), (F.col("id") * 7919 % 20000 + 1).cast("int"))).alias("word_id"))
+        table = spark.range(20001).select(F.col("id").cast("int").alias("word_id"), (F.col("id") * 2).alias("value"))
+        frequent = skew.frequent_keys(rows, "word_id")
+        assert [r["word_id"] for r in frequent.collect()] == [0]
+        got = skew.spread_join(rows, table, "word_id")
+        assert got.count() == 80000 and got.filter("value <> 2 * word_id").isEmpty()
+        sizes = sorted(r["count"] for r in skew.without_keys(rows, frequent, "word_id").join(table, "word_id").groupBy(F.spark_partition_id()).count().collect())
+        assert len(sizes) == 200 and sizes[-1] <= 2 * sizes[100]
+        left = skew.spread_join(rows.withColumn("word_id", F.when(F.col("doc_id") < 5, None).otherwise(F.col("word_id"))), table.filter("word_id <> 0"), "word_id", "left")
+        assert left.count() == 80000 and left.filter("word_id = 0 and value is not null").isEmpty() and left.filter("word_id is null").count() == 10
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
+def test_frequent_words_of_the_joined_e_step(spark, monkeypatch):
+    """Words that many documents hold come by broadcast, the rest by join; the broadcast's bound may cut them, not the result."""
+    rng = np.random.default_rng(2)
+    texts = [" ".join(["apple"] * int(rng.integers(1, 4)) + list(rng.choice(WORDS[1:], 2))) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lda = L.OnlineLda(L.LdaParams(num_topics=3, seed=1))
+    m = lda.start(WORDS)
+    want = {r["doc_id"]: r["gamma"] for r in L.infer(lda.bags(docs, m), m.lam, lda.params, statistics=False).collect()}
+    bow = B.bag_of_words(docs, m.vocabulary(spark))
+    for bytes_ in (1 << 20, 24, 0):
+        monkeypatch.setattr(L, "BROADCAST_BYTES", bytes_)
+        frequent, ids, rows = L._frequent_rows(bow, m.lambda_rows(spark), 3)
+        assert 0 in ids and len(rows) == len(ids) == frequent.count()
+        got = {r["doc_id"]: r["gamma"] for r in L.infer_by_join(docs, bow, m.lambda_rows(spark), lda.params, statistics=False).collect()}
+        for i in want:
+            np.testing.assert_allclose(got[i], want[i], rtol=1e-9)
 
 
 def test_lambda_over_the_bound_is_joined(docs, params, model, monkeypatch):
@@ -206,7 +342,7 @@ def test_many_documents_at_once_equal_one_by_one():
     ids, counts = rng.integers(0, 50, len(doc)), rng.integers(1, 9, len(doc)).astype(float)
     beta, gamma0 = kernel.exp_expectation(lam), rng.gamma(100, 0.01, (6, 4))
     for max_iter in (0, 1, 100):
-        gamma, ss = kernel.vb_documents(counts, beta[:, ids].T, doc, gamma0, 0.25, max_iter, 0.001)
+        gamma, ss, _ = kernel.vb_documents(counts, beta[:, ids].T, doc, gamma0, 0.25, max_iter, 0.001)
         for d in range(6):
             g, s, _ = kernel.vb_document(counts[doc == d], beta[:, ids[doc == d]], gamma0[d], 0.25, max_iter, 0.001)
             np.testing.assert_allclose(gamma[d], g, rtol=1e-9)
@@ -220,7 +356,7 @@ def test_progress_is_logged_and_can_be_switched_off(docs, caplog):
     with caplog.at_level(logging.INFO, logger="topicloom"):
         L.OnlineLda(p).fit(docs, WORDS, 8)
     said = [r.getMessage() for r in caplog.records if r.name == "topicloom"]
-    assert sum(m.startswith("minibatch") for m in said) == 3 and sum(m.startswith("topic") for m in said) == 2
+    assert sum(m.startswith("update") for m in said) == 3 and sum(m.startswith("topic") for m in said) == 2
     caplog.clear()
     with caplog.at_level(logging.WARNING, logger="topicloom"):
         L.OnlineLda(p).fit(docs, WORDS, 8)

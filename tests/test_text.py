@@ -1,10 +1,14 @@
 from __future__ import annotations
 
+import itertools
+
 import pytest
 from pyspark.sql import functions as F
 
 from topicloom.functions import text as T
+from topicloom.functions import tagger
 from topicloom.functions.lemma import lemmas, lemmatizer
+from topicloom.functions.tagger import sentences, tag
 from topicloom.operators import bow as B
 from topicloom.operators import vocabulary as V
 from topicloom.operators.ranking import row_numbers, word_ids
@@ -31,6 +35,49 @@ def test_lemmas():
     assert lemmas(None) == []
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [  # Checked by hand: the same form under the tag that its neighbours give it.
+        ("She saw the old saw.", "she see the old saw ."),
+        ("He cut the wood with a saw.", "he cut the wood with a saw ."),
+        ("The leaves fall.", "the leaf fall ."),
+        ("He leaves the house at five.", "he leave the house at five ."),
+        ("I left the left glove.", "I leave the left glove ."),
+        ("Anna saw leaves on the trees. He leaves.", "Anna see leaf on the tree . he leave ."),
+        ("The wolves were hiding behind the shelves.", "the wolf be hide behind the shelf ."),
+        ("The men were running quickly, and the children stopped.", "the man be run quickly , and the child stop ."),
+        ("She wants to lead the teams.", "she want to lead the team ."),
+    ],
+)
+def test_lemmas_hang_on_context(text, want):
+    assert lemmas(text) == want.split()
+
+
+def test_sentences():
+    parts = sentences('Mr. Smith met Dr. A. Jones... Really?! "Why?" he asked. It cost 3.50 (net.) I')
+    assert [" ".join(p) for p in parts] == ["Mr . Smith met Dr . A . Jones ...", "Really ? !", '" Why ? "', "he asked .", "It cost 3.50 ( net . )", "I"]
+    assert sentences("") == [] and sentences(" .") == [["."]]
+
+
+def test_viterbi_against_all_paths():
+    """The tags of short sentences are those of the best of all paths; a batch of unequal lengths gives the same as one by one."""
+    few = ["She saw leaves", "The left saw", "leaves", "He leaves the"]
+    parts = [t.split() for t in few]
+    got = tag(parts)
+    assert got == [tag([p])[0] for p in parts]
+    for words, tags in zip(parts, got, strict=True):
+        weights = [tagger._known(w, i == 0) for i, w in enumerate(words)]
+        best = max(itertools.product(range(len(tagger.TAGS)), repeat=len(words)), key=lambda path: tagger._START[path[0]] + sum(w[t] for w, t in zip(weights, path, strict=True)) + sum(tagger._NEXT[a, b] for a, b in zip(path, path[1:], strict=False)))
+        assert tags == [tagger.TAGS[t] for t in best]
+
+
+def test_lemmas_of_long_and_odd_texts(spark):
+    long = "He leaves " * 3000
+    assert lemmas(long)[:4] == ["he", "leave", "he", "leave"] and len(lemmas(long)) == 6000
+    assert lemmas("\n\t ") == [] and lemmas("ÄÖ 漢字 3,000 x") == [*"ÄÖ漢字", "3,000", "x"]
+    assert [r[0] for r in spark.createDataFrame([("He left.",), (None,), ("",)], "t string").select(lemmatizer()(F.col("t"))).collect()] == [["he", "leave", "."], [], []]
+
+
 def test_bag_of_words_with_lemmatiser(spark):
     docs = spark.createDataFrame([(1, "I went to the store.  Then I went to the movies.")], "doc_id long, text string")
     words = ["i", "go", "to", "the", "store", "then", "movie"]

@@ -12,6 +12,7 @@ from topicloom.functions.text import DEFAULT_STOP_WORDS
 from topicloom.operators import lda as L
 from topicloom.operators import similarity as S
 from topicloom.operators import topics as P
+from topicloom.operators.shared import checkpoint
 from topicloom.operators.vocabulary import build_vocabulary
 from topicloom.sources import files, models
 
@@ -66,20 +67,32 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> DataFrame:
             vocab.select("word").coalesce(1).write.mode("overwrite").text(a.out)
         return vocab
     if a.command == "train":
-        words = files.read_vocabulary(spark, a.vocabulary) if a.vocabulary else [r["word"] for r in build_vocabulary(docs).orderBy("word_id").collect()]
-        params = L.LdaParams(num_topics=a.topics, total_docs=a.total_docs, decay=a.decay, learning_rate=a.learning_rate, max_iter=a.max_iter, convergence_threshold=a.threshold, seed=a.seed, perplexity=a.perplexity, strategy=a.strategy, log_every=a.log_every)
-        model = L.OnlineLda(params).fit(docs, words, a.batch_size)
-        for i, figure in enumerate(model.perplexities):
+        params = L.LdaParams(
+            num_topics=a.topics, total_docs=a.total_docs, decay=a.decay, learning_rate=a.learning_rate, max_iter=a.max_iter, convergence_threshold=a.threshold, seed=a.seed,
+            perplexity=a.perplexity, strategy=a.strategy, log_every=a.log_every,
+        )
+        lda = L.OnlineLda(params)
+        if a.strategy == "join":  # neither lambda nor the vocabulary comes to the driver
+            vocab = files.vocabulary_table(spark, a.vocabulary) if a.vocabulary else checkpoint(build_vocabulary(docs).select("word_id", "word"))
+            trained = lda.fit_table(docs, vocab, a.batch_size)
+        else:
+            words = files.read_vocabulary(spark, a.vocabulary) if a.vocabulary else [r["word"] for r in build_vocabulary(docs).orderBy("word_id").collect()]
+            trained = lda.fit(docs, words, a.batch_size)
+        for i, figure in enumerate(trained.perplexities):
             log.info("minibatch %d: per-word perplexity %.4f", i, figure)
-        models.save_model(model, spark, a.model)
-        return P.top_words(model.lambda_long(spark), model.vocabulary(spark))
-    model = models.load_model(spark, a.model)
+        models.save_model(trained, spark, a.model)
+        if a.strategy == "join":
+            trained.close()
+        model = models.load_table_model(spark, a.model)
+        return P.top_words(model.lambda_long(), model.vocab)
     if a.command == "coherence":
+        model = models.load_table_model(spark, a.model)
         vectors = P.learn_word_vectors(docs, min_count=a.min_count)
         if a.vectors:
             models.save_word_vectors(vectors, a.vectors)
             vectors = models.load_word_vectors(spark, a.vectors)
-        return P.coherence(P.top_words(model.lambda_long(spark), model.vocabulary(spark), normalise=False), vectors)
+        return P.coherence(P.top_words(model.lambda_long(), model.vocab, normalise=False), vectors)
+    model = models.load(spark, a.model)
     shares = L.OnlineLda(model.params).transform(docs, model)
     if a.command == "proportions":
         return docs.select("doc_id", "path").join(shares, "doc_id").orderBy("doc_id", shares["proportion"].desc())

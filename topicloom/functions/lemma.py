@@ -1,8 +1,8 @@
-"""A rule-based English lemmatiser: irregular forms, then suffix rules. Case is kept where the word is a name or "I".
+"""An English lemmatiser: sentences, tags by context, then the lemma of a word under its tag.
 
-It stands where a full part-of-speech lemmatiser would: the first word of a sentence
-loses its capital, other capitalised words are taken as names. Runs as an Arrow
-pandas UDF; pass another function of list[str] to lemmatise differently.
+It stands where a full part-of-speech lemmatiser would: the first word of a sentence loses its capital
+unless it is a name, names and "I" keep theirs. Runs as an Arrow pandas UDF over whole batches; pass
+another function of list[str] to lemmatise differently.
 """
 
 from __future__ import annotations
@@ -14,56 +14,84 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Irregular forms: lemma, then its forms.
-_IRREGULAR = """be am is are was were been being|have has had having|do does did done doing|go goes went gone going|say said|make made making|take took taken taking|come came coming|see saw seen|know knew known|get got gotten getting|give gave given giving|find found|think thought|tell told|become became becoming
-leave left leaving|feel felt|put putting|bring brought|begin began begun beginning|keep kept|hold held|write wrote written writing|stand stood|hear heard|let letting|mean meant|set setting|meet met|run ran running|pay paid|sit sat sitting|speak spoke spoken|lead led|grow grew grown|lose lost losing|fall fell fallen
-send sent|build built|understand understood|draw drew drawn|break broke broken|spend spent|cut cutting|rise rose risen|drive drove driven driving|buy bought|wear wore worn|choose chose chosen choosing|man men|woman women|child children|person people|foot feet|tooth teeth|mouse mice|movie movies|good better best|bad worse worst"""
-IRREGULAR = {form: entry.split()[0] for line in _IRREGULAR.split("\n") for entry in line.split("|") for form in entry.split()[1:]}
-_KEEP = frozenset("this his was is as its us bus gas news always perhaps thus during nothing something anything everything thing king ring spring string morning evening need feed seed speed red bed led used series species".split())
-_TOKEN = re.compile(r"[A-Za-z]+(?:[-'][A-Za-z]+)*|\d+(?:[.,]\d+)*|\.\.\.|[^\sA-Za-z0-9]")
-_END = frozenset(".!?")
-
-
-def lemma(word: str) -> str:
-    """Lemma of one lower-case word."""
-    if word in IRREGULAR:
-        return IRREGULAR[word]
-    if word in _KEEP or len(word) < 4 or not word.isalpha():
-        return word
+from topicloom.functions.tagger import _BE_HAVE_DO, _COMPARED, _WHOLE, PARTICIPLE, PAST, PLURAL, sentences, tag
+
+_VERBAL = frozenset(["base", "past", "part", "ing", "verbs", "be", "have", "modal"])
+
+
+def _without_s(word: str) -> str:
     for end, new in (("sses", "ss"), ("ches", "ch"), ("shes", "sh"), ("xes", "x"), ("ies", "y"), ("zzes", "zz")):
         if word.endswith(end):
             return word[: -len(end)] + new if len(word) > len(end) + 1 else word
     if word.endswith("s") and not word.endswith(("ss", "us", "is")):
         return word[:-1]
+    return word
+
+
+def _verb(word: str) -> str:
+    """The base of a verb's form."""
+    if word in _BE_HAVE_DO:
+        return _BE_HAVE_DO[word]
+    if word in PAST or word in PARTICIPLE:
+        return PAST.get(word) or PARTICIPLE[word]
+    if word in _WHOLE:
+        return word
+    if word in ("goes", "does"):
+        return word[:-2]
+    if word.endswith("s"):
+        return _without_s(word)
     for end in ("ing", "ied", "ed"):
-        if word.endswith(end) and re.search("[aeiouy]", word[: -len(end)]) and len(word) - len(end) >= 3:
-            stem = word[: -len(end)]
+        stem = word[: -len(end)]
+        if word.endswith(end) and re.search("[aeiouy]", stem) and len(stem) >= 2:
             if end == "ied":
                 return stem + "y"
-            if stem[-1] == stem[-2] and stem[-1] not in "lsz":
+            if len(stem) > 2 and stem[-1] == stem[-2] and stem[-1] not in "lsz":
                 return stem[:-1]
-            if re.search("(at|iz|is|us|iv|ng|nc|rg|ag|ov|as|os|bl|tl|[aeiou]r)$", stem) and not stem.endswith(("er", "or", "ng")) or stem.endswith(("ang", "rng")):
-                return stem + "e"
+            if stem + "e" in PAST.values() or re.search("(at|iz|is|us|iv|nc|rg|ag|ov|as|os|bl|tl|[aeiou]r)$", stem) and not stem.endswith(("er", "or")) or stem.endswith(("ang", "rng")):
+                return stem if stem in PAST.values() else stem + "e"
             return stem
     return word
 
 
-def lemmas(text: str | None) -> list[str]:
-    """Lemmas of a raw text's tokens, punctuation included."""
-    out, first = [], True
-    for token in _TOKEN.findall(text or ""):
-        if token != "I" and (first or token.islower() or token in ("The", "A", "An")):
-            token = lemma(token.lower()) if token[0].isalpha() else token
-        out.append(token)
-        first = token in _END or first and not token[0].isalnum()
+def lemma(word: str, tagged: str = "") -> str:
+    """Lemma of one lower-case word under its tag; without one, of the word as a verb's form or plural, whichever it looks like."""
+    if not word.isalpha():
+        return word
+    if not tagged:
+        tagged = "nouns" if word in PLURAL and word not in PAST else "verbs" if word.endswith(("ing", "ed")) or word in PAST or word in PARTICIPLE or word in _BE_HAVE_DO else "adj" if word in _COMPARED else "nouns"
+    if tagged in _VERBAL:
+        return _verb(word) if len(word) > 3 or word in PAST or word in PARTICIPLE or word in _BE_HAVE_DO else word
+    if tagged == "nouns":
+        return PLURAL.get(word) or (word if word in _WHOLE or len(word) < 4 else _without_s(word))
+    if tagged in ("adj", "adv"):
+        return _COMPARED.get(word, word)
+    return word
+
+
+def lemmas_of(texts: list[str]) -> list[list[str]]:
+    """Lemmas of the tokens of raw texts, punctuation included; all sentences are tagged together."""
+    parts, owners = [], []
+    for i, t in enumerate(texts):
+        own = sentences(t)
+        parts += own
+        owners += [i] * len(own)
+    out: list[list[str]] = [[] for _ in texts]
+    for i, words, tags in zip(owners, parts, tag(parts), strict=True):
+        for word, t in zip(words, tags, strict=True):
+            out[i].append(word if word == "I" or t == "name" or not word[0].isalpha() else lemma(word.lower(), t))
     return out
 
 
-def lemmatizer(function: Callable[[str], list[str]] = lemmas) -> Callable[[Column], Column]:
-    """A tokenizer (text column to array<string>) from a function of one text."""
+def lemmas(text: str | None) -> list[str]:
+    return lemmas_of([text or ""])[0]
+
+
+def lemmatizer(function: Callable[[str], list[str]] | None = None) -> Callable[[Column], Column]:
+    """A tokenizer (text column to array<string>), by tags over whole batches or by a function of one text."""
 
     @F.pandas_udf("array<string>")
     def apply(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: function(t or ""))
+        held = texts.fillna("").tolist()
+        return pd.Series(lemmas_of(held) if function is None else [function(t) for t in held])
 
     return apply

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.functions.special import digamma_col, dirichlet_expectation, lgamma, lgamma_col, log_sum_exp, log_sum_exp_col
+from topicloom.functions.special import digamma_col, lgamma, lgamma_col, log_sum_exp_col
 
 
 def expectation_rows(m: DataFrame, values: str, name: str) -> DataFrame:
@@ -64,40 +61,3 @@ def bound(bow: DataFrame, gamma: DataFrame, lambda_long: DataFrame, beta_rows: D
     score = (F.col("likelihood") + F.col("doc_prior")) * F.lit(float(total_docs)) / F.col("batch_size") + F.col("topic_prior")
     one = likelihood.crossJoin(prior).crossJoin(topics).crossJoin(words)  # four tables of one row
     return one.select(score.alias("score"), "batch_size", "n_words").withColumn("per_word_perplexity", F.exp(-F.col("score") * F.col("batch_size") / (F.lit(float(total_docs)) * F.col("n_words"))))
-
-
-def minibatch_perplexity(bags: DataFrame, gamma: DataFrame, lam: np.ndarray, params) -> float:
-    """Per-word perplexity of packed bags with their gamma under lambda (before its update)."""
-    import pandas as pd
-
-    from topicloom.operators.lda import BROADCAST_BYTES, LdaModel
-    from topicloom.operators.relational_estep import beta_from
-
-    if lam.nbytes > BROADCAST_BYTES:  # lambda is joined
-        long = LdaModel(lam, [], params).lambda_long(bags.sparkSession)
-        bow = bags.select("doc_id", F.explode(F.arrays_zip(F.col("word_ids").alias("word_id"), F.col("counts").alias("n"))).alias("w")).select("doc_id", "w.*")
-        beta = beta_from(topic_expectation(long)).select("word_id", "e_beta")
-        row = bound(bow, gamma, long, beta, alpha=params.alpha, eta=params.eta, k=lam.shape[0], v=lam.shape[1], total_docs=params.total_docs or gamma.count()).first()
-        return row["per_word_perplexity"] if row["n_words"] else math.nan
-    e_beta = bags.sparkSession.sparkContext.broadcast(dirichlet_expectation(lam))
-    alpha, k, v = params.alpha, lam.shape[0], lam.shape[1]
-
-    def run(parts):
-        for part in parts:
-            s, n = 0.0, 0
-            for ids, counts, g in zip(part["word_ids"], part["counts"], part["gamma"], strict=True):
-                g = np.asarray(g, float)
-                e = dirichlet_expectation(g)
-                if len(ids):
-                    s += float(np.asarray(counts, float) @ log_sum_exp(e[:, None] + e_beta.value[:, np.asarray(ids, int)], 0))
-                s += float(((alpha - g) * e).sum() + (lgamma(g) - lgamma(alpha)).sum() + lgamma(alpha * k) - lgamma(g.sum()))
-                n += int(np.sum(counts))
-            yield pd.DataFrame({"s": [s], "n": [n], "d": [len(part)]})
-
-    got = bags.join(gamma, "doc_id").mapInPandas(run, "s double, n long, d long").agg(F.sum("s"), F.sum("n"), F.sum("d")).first()
-    e_lam = e_beta.value
-    e_beta.destroy()
-    d = params.total_docs or got[2]
-    score = got[0] * d / got[2]
-    score += float(((params.eta - lam) * e_lam).sum() + (lgamma(lam) - lgamma(params.eta)).sum() + (lgamma(params.eta * v) - lgamma(lam.sum(1))).sum())
-    return math.exp(-score * got[2] / (d * got[1])) if got[1] else math.nan

@@ -38,13 +38,14 @@ def vb_document(counts: np.ndarray, beta: np.ndarray, gamma: np.ndarray, alpha:
     return gamma, np.outer(theta, counts / phi), passes
 
 
-def vb_documents(counts: np.ndarray, beta: np.ndarray, doc: np.ndarray, gamma: np.ndarray, alpha: float, max_iter: int, tol: float) -> tuple[np.ndarray, np.ndarray]:
+def vb_documents(counts: np.ndarray, beta: np.ndarray, doc: np.ndarray, gamma: np.ndarray, alpha: float, max_iter: int, tol: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Variational inference of many documents at once, each as by vb_document.
 
     counts, beta (n by K) and doc of their n words, by document; gamma: D by K. Documents that have converged are left
-    alone. Returns gamma, and the words' statistics theta_k * n_w / phi_w (n by K, without beta).
+    alone. Returns gamma, the words' statistics theta_k * n_w / phi_w (n by K, without beta), and each document's mean
+    absolute change of gamma in its last pass (0 without a pass).
     """
-    gamma = gamma.copy()
+    gamma, change = gamma.copy(), np.zeros(len(gamma))
     sizes = np.bincount(doc, minlength=len(gamma))
     gamma[sizes == 0] = alpha
     expect = lambda g: np.exp(digamma(g) - digamma(g.sum(1))[:, None])
@@ -57,14 +58,39 @@ def vb_documents(counts: np.ndarray, beta: np.ndarray, doc: np.ndarray, gamma: n
         starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
         phi = np.einsum("ij,ij->i", theta[live][at], b) + FLOOR
         new = theta[live] * np.add.reduceat((n / phi)[:, None] * b, starts) + alpha
-        moved = np.abs(new - gamma[live]).mean(1) >= tol
+        change[live] = np.abs(new - gamma[live]).mean(1)
+        moved = change[live] >= tol
         gamma[live], theta[live] = new, expect(new)
         if not moved.all():
             words = moved[at]
             live, n, b = live[moved], n[words], b[words]
             at = (np.cumsum(moved) - 1)[at[words]]
     weight = counts / (np.einsum("ij,ij->i", theta[doc], beta) + FLOOR)
-    return gamma, theta[doc] * weight[:, None]
+    return gamma, theta[doc] * weight[:, None], change
+
+
+def document_bounds(counts: np.ndarray, beta: np.ndarray, doc: np.ndarray, gamma: np.ndarray, alpha: float) -> np.ndarray:
+    """What each of many documents adds to the variational bound. beta: n by K, exp(E[log beta]) of the words, over the whole vocabulary."""
+    from topicloom.functions.special import lgamma
+
+    e_theta, k = dirichlet_expectation(gamma), gamma.shape[1]
+    phi = np.einsum("ij,ij->i", np.exp(e_theta)[doc], beta) + FLOOR
+    prior = ((alpha - gamma) * e_theta).sum(1) + (lgamma(gamma) - lgamma(alpha)).sum(1) + lgamma(alpha * k) - lgamma(gamma.sum(1))
+    return np.bincount(doc, counts * np.log(phi), len(gamma)) + prior
+
+
+def topic_bound(lam: np.ndarray, eta: float) -> float:
+    """What the topics (K by V) add to the variational bound."""
+    from topicloom.functions.special import lgamma
+
+    return float(((eta - lam) * dirichlet_expectation(lam)).sum() + (lgamma(lam) - lgamma(eta)).sum() + (lgamma(eta * lam.shape[1]) - lgamma(lam.sum(1))).sum())
+
+
+def per_word_perplexity(documents: float, topics: float, size: int, n_words: int, total_docs: int) -> float:
+    """From the bounds of a minibatch of size documents with n_words words; nan without words."""
+    if not n_words:
+        return float("nan")
+    return float(np.exp(-(documents * total_docs / size + topics) * size / (total_docs * n_words)))
 
 
 def start_gamma(seed: int, doc_id: int, k: int) -> np.ndarray:

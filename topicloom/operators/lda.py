@@ -19,21 +19,22 @@ documents nor on partitions, up to the last bits of sums.
 from __future__ import annotations
 
 import logging
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from topicloom.functions import text as T
 from topicloom.functions.special import digamma, dirichlet_expectation
 from topicloom.operators import bow as B
 from topicloom.operators import kernel
-from topicloom.operators.shared import Scratch
+from topicloom.operators.shared import Scratch, checkpoint
+from topicloom.operators.skew import frequent_keys, with_keys, without_keys
 
 BROADCAST_BYTES = 256 << 20
 #: Progress, and topics every log_every minibatches; switched by its level.
@@ -105,20 +106,32 @@ class LdaModel:
 
 @dataclass
 class TableModel:
-    """lambda as a table: rows (word_id, weights), vocab (word_id, word). close() removes its files."""
+    """lambda as a table: rows (word_id, weights), vocab (word_id, word). close() removes its files, if they are a run's own."""
 
     rows: DataFrame
     vocab: DataFrame
     params: LdaParams
     num_updates: int
-    scratch: Scratch
+    scratch: Scratch | None = None
+    perplexities: list[float] = field(default_factory=list)
 
     def lambda_long(self) -> DataFrame:
         """topic, word_id, value."""
         return self.rows.select(F.posexplode("weights").alias("topic", "value"), "word_id").select("topic", "word_id", "value")
 
+    def metadata(self) -> dict:
+        return {"num_updates": self.num_updates, "params": asdict(self.params), "perplexities": self.perplexities}
+
+    def top_words(self, n: int = 10) -> list[list[str]]:
+        """The top words of each topic, ties to the lower id; n rows a topic leave the tasks."""
+        from topicloom.operators.topics import top_words
+
+        got = top_words(self.lambda_long(), self.vocab, n, normalise=False).collect()
+        return [[r["word"] for r in got if r["topic"] == t] for t in range(self.params.num_topics)]
+
     def close(self) -> None:
-        self.scratch.drop()
+        if self.scratch:
+            self.scratch.drop()
 
 
 def start_rows(vocab: DataFrame, p: LdaParams) -> DataFrame:
@@ -210,39 +223,76 @@ def _list(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten(), sizes
 
 
-def _rows(doc_ids=None, gamma=None, words=None, sums=None) -> pa.RecordBatch:
-    n = len(doc_ids) if doc_ids is not None else len(words)
-    lists = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.ravel()))
-    none = [pa.nulls(n, t) for t in (pa.int64(), pa.list_(pa.float64()), pa.int32(), pa.list_(pa.float64()))]
-    columns = [doc_ids, lists(gamma), *none[2:]] if doc_ids is not None else [*none[:2], pa.array(words.astype(np.int32)), lists(sums)]
-    return pa.RecordBatch.from_arrays(columns, ["doc_id", "gamma", "word_id", "ss"])
+_ESTEP = "doc_id long, gamma array<double>, n_words long, change double, bound double, word_id int, ss array<double>"
+_NAMES = ["doc_id", "gamma", "n_words", "change", "bound", "word_id", "ss"]
 
 
-_ESTEP = "doc_id long, gamma array<double>, word_id int, ss array<double>"
+def _lists(m: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.ravel()))
+
+
+def _document_rows(ids: pa.Array, gamma: np.ndarray, n_words: np.ndarray, change: np.ndarray, bound: np.ndarray | None) -> pa.RecordBatch:
+    n = len(ids)
+    own = [ids, _lists(gamma), pa.array(n_words.astype(np.int64)), pa.array(change), pa.nulls(n, pa.float64()) if bound is None else pa.array(bound)]
+    return pa.RecordBatch.from_arrays([*own, pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.float64()))], _NAMES)
+
+
+def _word_rows(words: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+    n = len(words)
+    none = [pa.nulls(n, t) for t in (pa.int64(), pa.list_(pa.float64()), pa.int64(), pa.float64(), pa.float64())]
+    return pa.RecordBatch.from_arrays([*none, pa.array(words.astype(np.int32)), _lists(sums)], _NAMES)
+
+
+@dataclass(frozen=True)
+class Progress:
+    """What the job that trains tells of its minibatch: documents, words, mean last change of gamma, documents' part of the bound (None: not asked for)."""
+
+    size: int
+    n_words: int
+    change: float
+    bound: float | None
+
+    @staticmethod
+    def watch(rows: DataFrame) -> tuple[DataFrame, Observation]:
+        """rows of an E-step, and what is observed of them when a job first runs over them."""
+        seen = Observation()
+        told = [F.count("doc_id").alias("size"), F.sum("n_words").alias("n_words"), F.sum("change").alias("change"), F.sum("bound").alias("bound")]
+        return rows.observe(seen, *told), seen
+
+    @staticmethod
+    def of(seen: Observation) -> Progress:
+        got = seen.get
+        size = got["size"] or 0
+        return Progress(size, got["n_words"] or 0, (got["change"] or 0.0) / max(size, 1), got["bound"])
 
 
 def _infer_batches(batches: Iterator[pa.RecordBatch], p: LdaParams, k: int, statistics: bool, vectors) -> Iterator[pa.RecordBatch]:
-    """The E-step of a task. vectors: from (batch, word ids, documents of the words, number of documents) to beta of the words, n by K."""
+    """The E-step of a task.
+
+    vectors: from (batch, word ids, documents of the words, number of documents) to beta of the words, n by K, as the
+    variant normalises it and over the whole vocabulary.
+    """
     own, held = p.compat == "distributed", _Statistics(k)
     for batch in batches:
         values, sizes = _list(batch.column("word_ids"))
         words, counts = values.to_numpy(zero_copy_only=False).astype(np.int64), _list(batch.column("counts"))[0].to_numpy(zero_copy_only=False).astype(float)
         doc = np.repeat(np.arange(len(sizes)), sizes)
-        beta = vectors(batch, words, doc, len(sizes))
+        beta, whole = vectors(batch, words, doc, len(sizes))
         ids = batch.column("doc_id").to_pylist()
         starts = batch.column("gamma0").to_pylist() if "gamma0" in batch.schema.names else [None] * len(ids)
         gamma0 = np.stack([kernel.start_gamma(p.seed, 0 if own else int(d), k) if g is None else np.array(g, float) for d, g in zip(ids, starts, strict=True)]) if ids else np.zeros((0, k))
-        gamma, ss = kernel.vb_documents(counts, beta, doc, gamma0, p.alpha, p.max_iter, p.convergence_threshold)
+        gamma, ss, change = kernel.vb_documents(counts, beta, doc, gamma0, p.alpha, p.max_iter, p.convergence_threshold)
         if statistics:
             held.add(words, ss * beta)
-        yield _rows(batch.column("doc_id"), gamma)
+        bound = kernel.document_bounds(counts, whole, doc, gamma, p.alpha) if p.perplexity else None
+        yield _document_rows(batch.column("doc_id"), gamma, np.bincount(doc, counts, len(sizes)), change, bound)
     words, sums = held.total()
     if len(words):
-        yield _rows(words=words, sums=sums)
+        yield _word_rows(words, sums)
 
 
 def infer(bags: DataFrame, lam: np.ndarray, params: LdaParams, gamma0: DataFrame | None = None, statistics: bool = True) -> DataFrame:
-    """E-step of packed bags (doc_id, word_ids, counts): rows doc_id, gamma, and rows word_id, ss (per task; sum them by word).
+    """E-step of packed bags (doc_id, word_ids, counts): rows doc_id, gamma, n_words, change, bound, and rows word_id, ss (per task; sum them by word).
 
     gamma0 (doc_id, gamma) replaces the seeded draws. ss is already multiplied by beta. What was sent to the executors is
     the result's attribute `sent`, to be destroyed after its last use.
@@ -257,9 +307,11 @@ def infer(bags: DataFrame, lam: np.ndarray, params: LdaParams, gamma0: DataFrame
     if gamma0 is not None:
         bags = bags.join(gamma0.select("doc_id", F.col("gamma").alias("gamma0")), "doc_id", "left")
 
+    totals = digamma(lam.sum(1)) if own else None
+
     def vectors(_, words, doc, n_docs):
         rows = shared.value[words]
-        return _local_beta(rows, doc, n_docs) if own else rows
+        return (_local_beta(rows, doc, n_docs), np.exp(digamma(rows) - totals)) if own else (rows, rows)
 
     out = bags.mapInArrow(lambda batches: _infer_batches(batches, p, k, statistics, vectors), _ESTEP)
     out.sent = shared
@@ -272,24 +324,48 @@ def sum_statistics(rows: DataFrame, k: int) -> DataFrame:
     return rows.groupBy("word_id").agg(*sums).select("word_id", F.array(*[F.col(f"s{i}") for i in range(k)]).alias("ss"))
 
 
+def _frequent_rows(bow: DataFrame, lambda_rows: DataFrame, k: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """The words that many documents hold (a table), and their ids in order and lambda rows as numpy: so many as a broadcast may hold."""
+    frequent = frequent_keys(bow, "word_id")
+    most = max(1, BROADCAST_BYTES // (8 * k))
+    if frequent.count() > most:
+        frequent = checkpoint(frequent.orderBy(F.desc("n_rows"), "word_id").limit(most))
+    got = with_keys(lambda_rows, frequent, "word_id").select("word_id", "weights").toPandas().sort_values("word_id")
+    return frequent, got["word_id"].to_numpy(np.int64), np.stack(got["weights"].to_list()) if len(got) else np.zeros((0, k))
+
+
 def infer_by_join(docs: DataFrame, bow: DataFrame, lambda_rows: DataFrame, params: LdaParams, gamma0: DataFrame | None = None, statistics: bool = True) -> DataFrame:
     """The E-step for a lambda that fits nowhere: rows as of infer, from bow (doc_id, word_id, n) and (word_id, weights).
 
-    Each document meets the topic vectors of its own words; the normalisers are K sums; statistics are added up in the task.
+    Each document meets the topic vectors of its own words; the normalisers are K sums; statistics are added up in the
+    task. Words of very many documents are not shuffled to their lambda row: those rows, whose number is bounded by the
+    number of partitions, are sent to all tasks and met after documents are put together, so neither a hot word nor its vectors travel.
     """
     k, p, own = params.num_topics, params, params.compat == "distributed"
     sums = lambda_rows.agg(*[F.sum(F.col("weights")[i]) for i in range(k)]).first()
     totals = digamma(np.array([1.0 if x is None else x for x in sums], float))
-    words = bow.join(lambda_rows, "word_id").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("word_id", "n", "weights"))).alias("bag"))
+    frequent, hot_ids, hot_rows = _frequent_rows(bow, lambda_rows, k)
+    sent = bow.sparkSession.sparkContext.broadcast((hot_ids, hot_rows))
+    near = with_keys(bow, frequent, "word_id").select("doc_id", "word_id", "n", F.lit(None).cast("array<double>").alias("weights"))
+    far = without_keys(bow, frequent, "word_id").join(lambda_rows, "word_id").select("doc_id", "word_id", "n", "weights")
+    words = near.unionByName(far).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("word_id", "n", "weights"))).alias("bag"))
     all_docs = docs.select("doc_id").join(words, "doc_id", "left").select("doc_id", F.col("bag.word_id").alias("word_ids"), F.col("bag.n").alias("counts"), F.col("bag.weights").alias("weights"))
     if gamma0 is not None:
         all_docs = all_docs.join(gamma0.select("doc_id", F.col("gamma").alias("gamma0")), "doc_id", "left")
 
     def vectors(batch, words, doc, n_docs):
-        rows = _list(_list(batch.column("weights"))[0])[0].to_numpy(zero_copy_only=False).reshape(len(words), k)
-        return _local_beta(rows, doc, n_docs) if own else np.exp(digamma(rows) - totals)
-
-    return all_docs.mapInArrow(lambda batches: _infer_batches(batches, p, k, statistics, vectors), _ESTEP)
+        ids, hot = sent.value
+        shuffled = _list(batch.column("weights"))[0]
+        met = ~shuffled.is_null().to_numpy(zero_copy_only=False)
+        rows = np.empty((len(words), k))
+        rows[met] = _list(shuffled)[0].to_numpy(zero_copy_only=False).reshape(int(met.sum()), k)
+        rows[~met] = hot[np.searchsorted(ids, words[~met])]
+        whole = np.exp(digamma(rows) - totals)
+        return (_local_beta(rows, doc, n_docs) if own else whole), whole
+
+    out = all_docs.mapInArrow(lambda batches: _infer_batches(batches, p, k, statistics, vectors), _ESTEP)
+    out.sent = sent
+    return out
 
 
 def m_step_table(lambda_rows: DataFrame, ss: DataFrame, params: LdaParams, batch_size: int, updates: int) -> DataFrame:
@@ -322,26 +398,25 @@ class OnlineLda:
         return B.packed_bags(docs, B.bag_of_words(docs, vocab, self.tokenizer, len(model.vocab)))
 
     def partial_fit(self, model: LdaModel, bags: DataFrame, gamma0: DataFrame | None = None) -> LdaModel:
-        """One minibatch of packed bags."""
-        size = bags.count()
-        if not size:
-            return model
-        p = replace(self.params, total_docs=self.params.total_docs or size)
+        """One minibatch of packed bags, in one job: its size, words, change and bound are observed while it trains."""
+        p = self.params
         rows = infer(bags, model.lam, p, gamma0)
-        sent, figures = getattr(rows, "sent", None), list(model.perplexities)
-        if p.perplexity:
-            from topicloom.operators.evaluate import minibatch_perplexity
-
-            rows = rows.persist()
-            figures.append(minibatch_perplexity(bags, rows.filter("doc_id is not null").select("doc_id", "gamma"), model.lam, p))
+        sent = getattr(rows, "sent", None)
+        rows, seen = Progress.watch(rows)
         got = sum_statistics(rows.filter("word_id is not null"), model.num_topics).toPandas()
+        told = Progress.of(seen)
+        if sent is not None:
+            sent.destroy()
+        if not told.size:
+            return model
         ss = np.zeros_like(model.lam)
         if len(got):
             ss[:, got["word_id"].to_numpy(int)] = np.stack(got["ss"].to_list(), axis=1)
-        rows.unpersist()
-        if sent is not None:
-            sent.destroy()
-        lam = kernel.m_step(model.lam, ss, size, eta=p.eta, tau=p.decay, kappa=p.learning_rate, total_docs=p.total_docs, updates=model.num_updates, compat=p.compat)
+        total_docs, figures = p.total_docs or told.size, list(model.perplexities)
+        if p.perplexity:
+            figures.append(kernel.per_word_perplexity(told.bound, kernel.topic_bound(model.lam, p.eta), told.size, told.n_words, total_docs))
+        lam = kernel.m_step(model.lam, ss, told.size, eta=p.eta, tau=p.decay, kappa=p.learning_rate, total_docs=total_docs, updates=model.num_updates, compat=p.compat)
+        log.info("update %d: %d documents, %d words, mean change %.2g%s", model.num_updates + 1, told.size, told.n_words, told.change, f", perplexity {figures[-1]:.2f}" if p.perplexity else "")
         return LdaModel(lam, model.vocab, self.params, model.num_updates + 1, figures)
 
     def fit(self, docs: DataFrame, vocab: Iterable[str], batch_size: int = 100, lam: np.ndarray | None = None, gamma0: DataFrame | None = None) -> LdaModel:
@@ -350,14 +425,13 @@ class OnlineLda:
         if self.params.strategy == "join":
             spark = docs.sparkSession
             got = self.fit_table(docs, model.vocabulary(spark), batch_size, model.lambda_rows(spark), gamma0)
-            return LdaModel(rows_to_dense(got.rows, len(model.vocab)) if model.vocab else model.lam, model.vocab, self.params, got.num_updates)
+            lam = rows_to_dense(got.rows, len(model.vocab)) if model.vocab else model.lam
+            got.close()
+            return LdaModel(lam, model.vocab, self.params, got.num_updates, got.perplexities)
         with _minibatches(docs, self.bags(docs, model), batch_size) as batches:
-            for i, bags in enumerate(batches):
+            for bags in batches:
                 model = self.partial_fit(model, bags, gamma0)
-                log.info("minibatch %d: %d updates", i, model.num_updates)
-                if self.params.log_every and model.num_updates % self.params.log_every == 0:
-                    for topic, words in enumerate(top_of(model)):
-                        log.info("topic %d: %s", topic, " ".join(words))
+                self._log_topics(model.num_updates, lambda: top_of(model))
         return model
 
     def fit_table(self, docs: DataFrame, vocab: DataFrame, batch_size: int = 100, lambda_rows: DataFrame | None = None, gamma0: DataFrame | None = None) -> TableModel:
@@ -366,21 +440,44 @@ class OnlineLda:
         It starts from lambda_rows, or from draws of (seed, word_id). Each step's table is written in the shared folder
         and the one before removed, so a step never depends on more than the last.
         """
-        p, spark = self.params, docs.sparkSession
-        scratch = Scratch(spark)
+        scratch = Scratch(docs.sparkSession)
         n_words = vocab.count()
-        rows = scratch.save(start_rows(vocab, p) if lambda_rows is None else lambda_rows.select("word_id", "weights"), "lambda-0")
-        updates = 0
+        rows = scratch.save(start_rows(vocab, self.params) if lambda_rows is None else lambda_rows.select("word_id", "weights"), "lambda-0")
+        model = TableModel(rows, vocab, self.params, 0, scratch)
         with _minibatches(docs, B.packed_bags(docs, B.bag_of_words(docs, vocab, self.tokenizer, n_words)), batch_size) as batches:
             for bags in batches:
-                size = bags.count()
-                step = replace(p, total_docs=p.total_docs or size)
-                bow = bags.select("doc_id", F.explode(F.arrays_zip(F.col("word_ids").alias("word_id"), F.col("counts").alias("n"))).alias("w")).select("doc_id", "w.*")
-                ss = sum_statistics(infer_by_join(bags, bow, rows, step, gamma0).filter("word_id is not null"), p.num_topics)
-                rows = scratch.save(m_step_table(rows, ss, step, size, updates), f"lambda-{updates + 1}")
-                scratch.drop(f"lambda-{updates}")
-                updates += 1
-        return TableModel(rows, vocab, p, updates, scratch)
+                model = self.table_step(model, bags, n_words, gamma0)
+        return model
+
+    def table_step(self, model: TableModel, bags: DataFrame, n_words: int, gamma0: DataFrame | None = None) -> TableModel:
+        """One minibatch of packed bags with lambda as a table of n_words rows: statistics and the next lambda are written in model.scratch, the last ones removed."""
+        p, scratch, updates = self.params, model.scratch, model.num_updates
+        bow = bags.select("doc_id", F.explode(F.arrays_zip(F.col("word_ids").alias("word_id"), F.col("counts").alias("n"))).alias("w")).select("doc_id", "w.*")
+        rows = infer_by_join(bags, bow, model.rows, p, gamma0)
+        sent = rows.sent
+        rows, seen = Progress.watch(rows)
+        ss = scratch.save(sum_statistics(rows.filter("word_id is not null"), p.num_topics), f"statistics-{updates}")
+        told = Progress.of(seen)
+        sent.destroy()
+        if not told.size:
+            return model
+        step, figures = replace(p, total_docs=p.total_docs or told.size), list(model.perplexities)
+        if p.perplexity:
+            from topicloom.operators.evaluate import topic_terms
+
+            topics = topic_terms(model.lambda_long(), p.eta, n_words).agg(F.sum("prior")).first()[0] or 0.0
+            figures.append(kernel.per_word_perplexity(told.bound, topics, told.size, told.n_words, step.total_docs))
+        found = scratch.save(m_step_table(model.rows, ss, step, told.size, updates), f"lambda-{updates + 1}")
+        scratch.drop(f"statistics-{updates}"), scratch.drop(f"lambda-{updates}")
+        out = TableModel(found, model.vocab, p, updates + 1, scratch, figures)
+        log.info("update %d: %d documents, %d words, mean change %.2g%s", out.num_updates, told.size, told.n_words, told.change, f", perplexity {figures[-1]:.2f}" if p.perplexity else "")
+        self._log_topics(out.num_updates, out.top_words)
+        return out
+
+    def _log_topics(self, updates: int, tops: Callable[[], list[list[str]]]) -> None:
+        if self.params.log_every and updates % self.params.log_every == 0:
+            for topic, words in enumerate(tops()):
+                log.info("topic %d: %s", topic, " ".join(words))
 
     def transform(self, docs: DataFrame, model: LdaModel | TableModel, double: bool = False, gamma0: DataFrame | None = None) -> DataFrame:
         """doc_id, topic, proportion. double=True takes the Dirichlet expectation of lambda twice, as a known variant does."""

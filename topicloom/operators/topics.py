@@ -37,12 +37,20 @@ def top_words(lambda_long: DataFrame, vocab: DataFrame, n: int = 10, normalise:
     return best.join(vocab.select("word_id", "word"), "word_id").select("topic", "rank", "word_id", "word", name).orderBy("topic", "rank")
 
 
-def learn_word_vectors(docs: DataFrame, size: int = 100, min_count: int = 5, seed: int = 42, partitions: int | None = None, iterations: int | None = None) -> DataFrame:
-    """word, vector from Word2Vec over Treebank tokens of the raw texts.
+def learn_word_vectors(docs: DataFrame, size: int = 100, min_count: int = 5, seed: int = 42, partitions: int | None = None, iterations: int | None = None, engine: str = "mllib") -> DataFrame:
+    """word, vector over Treebank tokens of the raw texts.
 
+    engine "blocks" keeps the vectors in a table, whatever the vocabulary's size (see word_vectors). "mllib" is Spark's
+    Word2Vec, which holds vocabulary x size on the driver and in every task:
     partitions train side by side, by default as many as the session's cores; their vectors are averaged after each
     iteration, and an iteration sees each text once, so there are two of them where there are several partitions.
     """
+    if engine == "blocks":
+        from topicloom.operators.word_vectors import SkipGram, learn
+
+        return learn(docs, SkipGram(size=size, min_count=min_count, seed=seed, epochs=iterations or SkipGram.epochs))
+    if engine != "mllib":
+        raise ValueError("engine is 'mllib' or 'blocks'")
     from pyspark.ml.feature import Word2Vec
     from pyspark.ml.functions import vector_to_array
 

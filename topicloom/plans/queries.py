@@ -19,7 +19,7 @@ from topicloom.operators import relational_estep as R
 from topicloom.operators import similarity as S
 from topicloom.operators import topics as P
 from topicloom.operators import vocabulary as V
-from topicloom.operators.shared import shared_dir
+from topicloom.operators.shared import checkpoint, shared_dir
 
 K, BATCH, MODULUS = 5, 100, 9973
 ALPHA = ETA = 1.0 / K
@@ -378,10 +378,65 @@ def train_step_by_join(s, d):
     return _one_batch(s, d, "join").select("topic", "word_id", _r("value", 5).alias("value"))
 
 
+def _third(s, d) -> tuple[int, int]:
+    """Documents, and those of a minibatch of which there are three."""
+    n = _docs(s, d).count()
+    return n, max(1, -(-n // 3))
+
+
+def _closed(model: L.TableModel) -> DataFrame:
+    """A table model's lambda in long form, after its files have gone."""
+    rows = checkpoint(model.lambda_long())
+    model.close()
+    return rows.select("topic", "word_id", _r("value", 5).alias("value"))
+
+
+def train_three_steps(s, d):
+    """Three minibatches by doc_id from the fixed lambda and gammas, each step from the lambda of the one before; lambda on the driver."""
+    n, size = _third(s, d)
+    model = L.OnlineLda(L.replace(PARAMS, total_docs=n)).fit(_docs(s, d), _words(s, d), size, _fixed(s, d).lam, _gamma(s, d))
+    return model.lambda_long(s).select(F.col("topic").cast("int").alias("topic"), F.col("word_id").cast("int").alias("word_id"), _r("value", 5).alias("value"))
+
+
+def train_three_steps_by_join(s, d):
+    """The same with lambda as a table from start to end."""
+    n, size = _third(s, d)
+    lda = L.OnlineLda(L.replace(PARAMS, total_docs=n, strategy="join"))
+    return _closed(lda.fit_table(_docs(s, d), _vocab(s, d).select("word_id", "word"), size, P.collect_rows(_lambda(s, d)), _gamma(s, d)))
+
+
+def _streamed(s, d, parts: int) -> DataFrame:
+    """The documents as a stream of files, each a stretch of ids, one to a micro-batch."""
+    folder = f"{_folder(s)}/in"
+    rows = _docs(s, d)
+    low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
+    at = F.floor((F.col("doc_id") - F.lit(low or 0)) * parts / F.lit((high or 0) - (low or 0) + 1))
+    for i in range(parts):  # one after the other: the source takes files by their time
+        rows.filter(at == i).coalesce(1).write.mode("append").parquet(folder)
+    return s.readStream.schema("doc_id long, text string").option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def stream_three_steps(s, d):
+    """The same from a stream of four files: minibatches are a third of the documents, however the stream is cut."""
+    from topicloom.streaming.trainer import finish, train_stream
+
+    n, size = _third(s, d)
+    lda, folder, gamma = L.OnlineLda(L.replace(PARAMS, total_docs=n)), _folder(s), _gamma(s, d)
+    vocab = _vocab(s, d).select("word_id", "word")
+    train_stream(_streamed(s, d, 4), lda, vocab, f"{folder}/states", f"{folder}/checkpoint", size, P.collect_rows(_lambda(s, d)), gamma).awaitTermination()
+    return _closed(finish(s, lda, f"{folder}/states", size, gamma))
+
+
 def lemmatize_tokens(s, d):
     return _docs(s, d).select("doc_id", F.array_join(lemmatizer()(F.col("text")), " ").alias("lemmas"))
 
 
+def lemma_counts(s, d):
+    """Lemmas of each document: one for every token, whatever its sentence and tag; marks keep their form."""
+    w = lemmatizer()(F.col("text"))
+    return _docs(s, d).select("doc_id", w.alias("w")).select("doc_id", F.size("w").alias("n_lemmas"), F.size(F.filter("w", lambda x: x.isin(".", "!", "?", ","))).alias("n_marks"))
+
+
 def treebank_tokens(s, d):
     return _docs(s, d).select("doc_id", F.array_join(T.treebank_words(F.col("text")), " ").alias("tokens"))
 
@@ -391,6 +446,20 @@ def word2vec_coherence(s, d):
     return P.coherence(P.top_words(_lambda(s, d), _vocab(s, d), normalise=False), vectors)
 
 
+def skip_gram_pairs(s, d):
+    """What word vectors learn from: of each word, its pairs with words at most five places away, and with how many different ones."""
+    from topicloom.operators import word_vectors as W
+
+    pairs = W.pair_counts(_docs(s, d), _vocab(s, d), W.SkipGram.window, T.cleaned_words)
+    return pairs.groupBy(F.col("center").alias("word_id")).agg(F.sum("n").alias("n_pairs"), F.count("*").alias("n_contexts"), F.sum(F.col("n") * F.col("context")).alias("weighted"))
+
+
+def block_word_vectors(s, d):
+    """Coherence of the fixed topics under skip-gram vectors that are a table from start to end."""
+    vectors = P.learn_word_vectors(_docs(s, d), size=32, iterations=2, engine="blocks")
+    return P.coherence(P.top_words(_lambda(s, d), _vocab(s, d), normalise=False), vectors)
+
+
 def _folder(s) -> str:
     return f"{shared_dir(s)}/query-{uuid.uuid4().hex}"
 
@@ -429,20 +498,21 @@ def source_corpus(s, d):
 
 def source_word_list(s, d):
     """A word list written with blank lines and both kinds of line break, read as stop words."""
-    from topicloom.sources.files import read_word_list
+    from topicloom.sources.files import word_table
 
     folder = _folder(s)
     _vocab(s, d).select(F.concat(F.upper("word"), F.when(F.col("word_id") % 2 == 0, F.lit("\r")).otherwise(F.lit("\n"))).alias("value")).write.text(folder)
-    return s.createDataFrame([(w,) for w in read_word_list(s, folder)], "word string")
+    return word_table(s, folder)
 
 
 def model_round_trip(s, d):
-    from topicloom.sources.models import load_model, save_model
+    """A table model committed to the shared folder and read back; its tables never leave the tasks."""
+    from topicloom.sources.models import load_table_model, save_model
 
     folder = _folder(s)
-    save_model(_fixed(s, d), s, folder)
-    got = load_model(s, folder)
-    return got.lambda_long(s).join(got.vocabulary(s), "word_id").select("topic", "word", _r("value", 9).alias("value"))
+    save_model(L.TableModel(P.collect_rows(_lambda(s, d)), _vocab(s, d).select("word_id", "word"), PARAMS, 0), s, f"{folder}/model")
+    got = load_table_model(s, f"{folder}/model")
+    return got.lambda_long().join(got.vocab, "word_id").select("topic", "word", _r("value", 9).alias("value"))
 
 
 def word_vectors_round_trip(s, d):
@@ -459,25 +529,21 @@ def parallel_collection(s, d):
 
 
 def stream_train(s, d):
-    """Training from a stream of document files' rows: the table itself, in micro-batches."""
-    from topicloom.streaming.trainer import latest, train_stream
-
-    folder = f"{shared_dir(s)}/stream-{uuid.uuid4().hex}"
-    words = _words(s, d)
-    table = f"{folder}/in"
-    _docs(s, d).repartition(2, "doc_id").write.mode("overwrite").parquet(table)
-    stream = s.readStream.schema("doc_id long, text string").option("maxFilesPerTrigger", 1).parquet(table)
-    train_stream(stream, L.OnlineLda(_params(s, d)), words, f"{folder}/models", f"{folder}/checkpoint").awaitTermination()
-    model = latest(s, f"{folder}/models")
-    return P.top_words(model.lambda_long(s), model.vocabulary(s)).select("topic", "rank", "word", "probability")
+    """Training from a stream of the table itself, in minibatches of TRAIN_BATCH documents at every size; lambda is a table."""
+    from topicloom.streaming.trainer import finish, train_stream
+
+    folder, lda, vocab = _folder(s), L.OnlineLda(_params(s, d)), _vocab(s, d).select("word_id", "word")
+    train_stream(_streamed(s, d, 4), lda, vocab, f"{folder}/states", f"{folder}/checkpoint", TRAIN_BATCH).awaitTermination()
+    model = finish(s, lda, f"{folder}/states", TRAIN_BATCH)
+    return P.top_words(model.lambda_long(), model.vocab).select("topic", "rank", "word", "probability")
 
 
 _FUNCTIONS = [
     clean_tokens, token_positions, vocab_stats, vocab_filtered, vocabulary, vocab_ids_from_list, bag_of_words, packed_bags, doc_lengths, minibatch_assign, batch_word_totals, unique_words, used_docs,
     dirichlet_expectation_lambda, exp_elog_beta, dirichlet_expectation_gamma, phi_norm, gamma_one_iter, sstats_one_iter, mstep_local, mstep_distributed, mstep_zero_fill, join_words_lambda, lambda_rows_to_long,
     lambda_long_to_rows, topic_normalised, top_words_per_topic, topic_proportions_one_iter, threshold_proportions, doc_distance_pairs, doc_cosine_pairs, vector_cosine_pairs, vector_sums, log_sum_exp, perplexity_terms,
-    perplexity_topics, perplexity_bound, coherence, digamma_lgamma, lda_train_topics, lda_transform, lda_document_similarity, estep_converged, estep_by_join, lemmatize_tokens, treebank_tokens, word2vec_coherence, stream_train,
-    estep_statistics, transform_fixed_model, similarity_fixed_model, train_step, train_step_by_join, source_texts, source_lines, source_corpus, source_word_list, model_round_trip, word_vectors_round_trip, parallel_collection,
+    perplexity_topics, perplexity_bound, coherence, digamma_lgamma, lda_train_topics, lda_transform, lda_document_similarity, estep_converged, estep_by_join, lemmatize_tokens, lemma_counts, treebank_tokens, word2vec_coherence, stream_train,
+    estep_statistics, transform_fixed_model, similarity_fixed_model, train_step, train_step_by_join, skip_gram_pairs, block_word_vectors, train_three_steps, train_three_steps_by_join, stream_three_steps, source_texts, source_lines, source_corpus, source_word_list, model_round_trip, word_vectors_round_trip, parallel_collection,
 ]
 
 
@@ -534,6 +600,7 @@ def _passes() -> str:
     return f"it(pass, doc_id, {', '.join(g)}, done) AS ({start} UNION ALL {new})"
 
 
+_CTES["place"] = "SELECT doc_id, word_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS p FROM tok JOIN vocab USING (word)"
 _G = ", ".join(f"g{i}" for i in range(K))
 _CTES["brow"] = "SELECT word_id, " + ", ".join(f"exp(max(e_log) FILTER (WHERE topic = {i})) AS b{i}" for i in range(K)) + " FROM elog GROUP BY 1"
 _CTES["last"] = "SELECT doc_id, " + ", ".join(f"arg_max(g{i}, pass) AS g{i}" for i in range(K)) + " FROM it WHERE pass > 0 GROUP BY 1"
@@ -582,7 +649,10 @@ _MSTEP = "SELECT lam.word_id, lam.topic, round({keep!r}::DOUBLE * value + {step!
 _STEP = f"SELECT lam.topic, lam.word_id, round({1 - RHO_LOCAL!r}::DOUBLE * value + {RHO_LOCAL!r}::DOUBLE * (coalesce(ss, 0) + {ETA!r}::DOUBLE), 5) AS value FROM lam LEFT JOIN css s ON s.word_id = lam.word_id AND s.topic = lam.topic"
 _VEC = "(SELECT doc_id, list(proportion ORDER BY topic) AS v FROM thr GROUP BY 1)"
 
+_LEMMA_TOKENS = r"regexp_extract_all(coalesce(text, ''), '[A-Za-z]+(?:[-''][A-Za-z]+)*|\d+(?:[.,]\d+)*|\.\.\.|[^\s\x{A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{3000}A-Za-z0-9]')"
 _BODIES = {
+    "lemma_counts": f"SELECT doc_id, len(w)::INTEGER AS n_lemmas, len(list_filter(w, lambda x: x IN ('.', '!', '?', ',')))::INTEGER AS n_marks FROM (SELECT doc_id, {_LEMMA_TOKENS} AS w FROM documents)",
+    "skip_gram_pairs": "SELECT a.word_id, count(*) AS n_pairs, count(DISTINCT b.word_id) AS n_contexts, sum(b.word_id)::BIGINT AS weighted FROM place a JOIN place b ON b.doc_id = a.doc_id AND b.p BETWEEN a.p - 5 AND a.p + 5 AND b.p <> a.p GROUP BY 1",
     "clean_tokens": "SELECT doc_id, coalesce(array_to_string(ws, ' '), '') AS tokens FROM tw",
     "token_positions": "SELECT word, min(pos) AS first_pos, max(pos) AS last_pos, count(*) AS n FROM tok GROUP BY 1",
     "vocab_stats": "SELECT * FROM wc",
@@ -640,5 +710,30 @@ _BODIES = {
 }
 
 
+def _three_steps() -> str:
+    """Three minibatches, each a converged E-step (recursive) and an M-step on the lambda of the step before."""
+    import re
+
+    chained = ["lsum", "elog", "brow", "last", "conv", "ctheta", "cphi", "css"]
+    base = ["tw", "tok", "dc", "wc", "vocab", "bow", "gam", "lam"]
+    tables = [f"{n} AS MATERIALIZED ({_CTES[n]})" for n in base]
+    tables.append("part AS MATERIALIZED (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // (SELECT greatest(1, (count(*) + 2) // 3) FROM documents) AS i FROM documents)")
+    for i in range(3):
+        own = lambda text: re.sub(rf"\b({'|'.join([*chained, 'it'])})\b(?!\.[a-z_]+ AS it)", rf"\g<1>_{i}", re.sub(r"\blam\b", f"lam_{i}", text))  # noqa: B023, E731
+        of_part = lambda text: text.replace("FROM documents d", f"FROM (SELECT doc_id FROM part WHERE i = {i}) d").replace("FROM gam ", f"FROM (SELECT gam.* FROM gam JOIN part USING (doc_id) WHERE i = {i}) gam ")  # noqa: B023, E731
+        if not i:
+            tables.append("lam_0 AS MATERIALIZED (SELECT * FROM lam)")
+        for name in chained:
+            if name == "last":
+                tables.append(own(of_part(_passes())))
+            tables.append(f"{name}_{i} AS MATERIALIZED ({own(of_part(_CTES[name]))})")
+        rho = (PARAMS.decay + i) ** -PARAMS.learning_rate
+        scale = f"(SELECT count(*) FROM documents)::DOUBLE / (SELECT count(*) FROM part WHERE i = {i})"
+        step = f"SELECT l.topic, l.word_id, {1 - rho!r}::DOUBLE * value + {rho!r}::DOUBLE * ({scale} * coalesce(ss, 0) + {ETA!r}::DOUBLE) AS value FROM lam_{i} l LEFT JOIN css_{i} s ON s.word_id = l.word_id AND s.topic = l.topic"
+        tables.append(f"lam_{i + 1} AS MATERIALIZED ({step})")
+    return "WITH RECURSIVE " + ", ".join(tables) + " SELECT topic, word_id, round(value, 5) AS value FROM lam_3"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {name: _sql(body) for name, body in _BODIES.items()}
+    steps = _three_steps()
+    return {name: _sql(body) for name, body in _BODIES.items()} | {name: steps for name in ("train_three_steps", "train_three_steps_by_join", "stream_three_steps")}

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from topicloom.functions.text import join_lines
 from topicloom.operators.ranking import row_numbers, string_numbers
+from topicloom.operators.shared import checkpoint
+from topicloom.operators.vocabulary import vocabulary_from_list
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -46,10 +48,21 @@ def with_doc_ids(docs: DataFrame, key: str) -> DataFrame:
     return row_numbers(docs, key, "_place").withColumn("doc_id", F.col("_place") - 1).drop("_place")
 
 
+def word_table(spark: SparkSession, path: str) -> DataFrame:
+    """word: a list with one word per line, either kind of line break, blank lines dropped, in lower case, each once."""
+    words = spark.read.text(path).select(F.explode(F.split("value", "\r")).alias("w"))
+    return words.select(F.lower(F.trim("w")).alias("word")).filter("word <> ''").distinct()
+
+
 def read_word_list(spark: SparkSession, path: str) -> list[str]:
-    """A stop-word list: one word per line, either kind of line break, blank lines dropped, in lower case."""
-    rows = spark.read.text(path).select(F.lower(F.trim(F.regexp_replace("value", "\r", ""))).alias("w")).filter("w <> ''").distinct()
-    return sorted(r["w"] for r in rows.collect())
+    """A stop-word list on the driver, for one that is known to be short (see word_table)."""
+    return sorted(r["word"] for r in word_table(spark, path).collect())
+
+
+def vocabulary_table(spark: SparkSession, path: str) -> DataFrame:
+    """word_id, word of a vocabulary file with one word per line: ids are the places of first occurrence, without the driver."""
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r\n|\r|\n")).alias("pos", "w"))
+    return checkpoint(vocabulary_from_list(lines.select("pos", F.trim("w").alias("word")).filter("word <> ''")).select("word_id", "word"))
 
 
 def read_vocabulary(spark: SparkSession, path: str) -> list[str]:
