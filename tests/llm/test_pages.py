@@ -187,6 +187,30 @@ def test_tags_of_articles_are_only_a_hint(spark):
     assert same >= 0.99 * len(pages)
 
 
+def test_names_that_only_mention_a_part_take_nothing_away():
+    """The last word that is more than a shape says what a part is; inside an article density must agree, whatever the size."""
+    a, b = _paragraphs(5), _paragraphs(4, 2)
+    price = "The share price fell by two in the evening."
+    page = f'<body><article>{_p(a)}<div class="share-price"><p>{price}</p></div><section id="comment-on-the-budget">{_p(b)}</section></article><div class="google-ads"><p>Buy two.</p></div></body>'
+    assert html_text.main_text(page) == "\n".join([*a, price, *b])
+    # a part with a noisy name: poor in text it goes, dense as the article it stays, however small or large
+    box = '<div class="promo-box"><ul>' + "".join(f'<li><a href="/{i}">More of it {i}</a></li>' for i in range(3)) + "</ul></div>"
+    assert html_text.main_text(f"<body><article>{_p(a)}{box}{_p(b)}</article></body>") == "\n".join(a + b)
+    dense = f'<div class="promo-box">{_p([" ".join(b)])}</div>'
+    assert html_text.main_text(f"<body><article>{_p(a)}{dense}</article></body>") == "\n".join([*a, " ".join(b)])
+    assert html_text.main_text(f'<body><article>{_p(a)}<div class="post-comments">{_p(b)}</div></article></body>') == "\n".join(a)
+
+
+def test_a_constant_density_changes_the_result(monkeypatch):
+    """What is kept hangs on the formula: with the same density everywhere a poor part of the article is not told from its text."""
+    a = _paragraphs(5)
+    box = '<div class="promo-box"><ul>' + "".join(f'<li><a href="/{i}">More of it {i}</a></li>' for i in range(3)) + "</ul></div>"
+    pages = [f"<body><article>{_p(a)}{box}</article></body>", f"<body><div><ul>{MENU}</ul></div><div>{_p(a)}</div><div><ul>{MENU}</ul></div></body>"]
+    assert [html_text.main_text(p) for p in pages] == ["\n".join(a)] * 2
+    monkeypatch.setattr(html_text, "density", lambda *_: 1.0)
+    assert all(html_text.main_text(p) != "\n".join(a) for p in pages)
+
+
 def test_repeated_and_clashing_rows(spark):
     rows = [(1, "u", "<p>a", "t"), (1, "u", "<p>a", "t"), (None, None, None, None)]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()

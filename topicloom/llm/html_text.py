@@ -58,11 +58,15 @@ NOISE = frozenset(
 )
 #: Classes that begin or end so say how a page looks, not what an element is.
 BEFORE, AFTER = frozenset("has with without no".split()), frozenset("open closed".split())
+#: Words of names that say what shape an element has; they may follow the word that says what it is.
+SHAPE = frozenset(
+    "area article articles bar block body box button buttons col column container content count entry form group icon icons inline inner item items left line link links list main mobile module news outer page panel post posts region right row section site slot stories story text title top bottom unit wrap wrapper".split()
+)
 #: A "header" of these, or inside an article, is its heading.
 OF_TEXT = frozenset("entry post article story".split())
 COMMENTS = frozenset("comment comments".split())
-#: A part that only a name speaks against goes if it has at most this share of the marked text, or this share of its own text is links, or its density is under the threshold.
-SMALL_PART, LINK_PART = 0.25, 0.5
+#: A block of which this share is links is no running text.
+LINK_PART = 0.5
 #: The core is sought outside named parts if the text there is at least this share of the largest such part's.
 REST = 0.25
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
@@ -98,6 +102,14 @@ class Node:
 NAME, TAG, COMMENT = 1, 2, 3
 
 
+def _kind(words: list[str]) -> set[str]:
+    """The words of a name that may name a part: the last one that says more than a shape, and noisy words that are with it."""
+    said = words[:]
+    while len(said) > 1 and said[-1] in SHAPE and said[-1] not in NOISE:
+        said.pop()
+    return NOISE.intersection(said) if said[-1] in NOISE else set()
+
+
 def _named(tag: str, attrs: str, inside_article: bool) -> int:
     """Whether tag, class, id or role name a part that is seldom main text; an article is one only as a comment."""
     if tag in ("html", "body", "main", "#root") or tag == "article" and "comment" not in attrs.lower():
@@ -108,7 +120,9 @@ def _named(tag: str, attrs: str, inside_article: bool) -> int:
             words = re.findall("[a-z]+", name)
             if not words or len(words) > 1 and (words[0] in BEFORE or words[-1] in AFTER):
                 continue
-            noisy = (COMMENTS if tag == "article" else NOISE).intersection(words)
+            noisy = _kind(words)
+            if tag == "article":
+                noisy &= COMMENTS
             if noisy and not (noisy == {"header"} and (inside_article or OF_TEXT.intersection(words))):
                 said = max(said, COMMENT if COMMENTS & noisy else NAME)
     return said
@@ -239,8 +253,8 @@ def _core(nodes: list[Node]) -> Node:
     return max(clean or nodes, key=lambda n: n.density_sum)
 
 
-def _mark(root: Node, nodes: list[Node], core: Node) -> tuple[list[Node], float]:
-    """The outermost nodes whose subtrees are main text, in page order, and the threshold."""
+def _mark(root: Node, nodes: list[Node], core: Node) -> list[Node]:
+    """The outermost nodes whose subtrees are main text, in page order."""
     path = _path(core)
     threshold, holds = min(n.density for n in path), {id(n) for n in path}
     top: dict[int, Node] = {}
@@ -265,10 +279,10 @@ def _mark(root: Node, nodes: list[Node], core: Node) -> tuple[list[Node], float]
             found.append(n)
         else:
             stack.extend(reversed(n.nodes()))
-    return found, threshold
+    return found
 
 
-def _widen(found: list[Node], holds: set[int]) -> list[Node]:
+def _widen(found: list[Node], holds: set[int]) -> None:
     """Marks with the article or main around them, the blocks between them, and the headings above the first."""
     wide: list[Node] = []
     for n in found:
@@ -305,7 +319,6 @@ def _widen(found: list[Node], holds: set[int]) -> list[Node]:
                         x.marked = True
             break
         first = first.parent
-    return wide
 
 
 def main_blocks(root: Node) -> list[str]:
@@ -314,13 +327,12 @@ def main_blocks(root: Node) -> list[str]:
     if not nodes:
         return []
     core = _core(nodes)
-    found, threshold = _mark(root, nodes, core)
+    found = _mark(root, nodes, core)
     holds = {id(n) for n in _path(core)}
-    wide = _widen(found, holds)
-    total = sum(n.chars for n in wide)
+    _widen(found, holds)
     for n in nodes:
         if n.named and id(n) not in holds:
-            n.drop = n.named != NAME or n.chars <= SMALL_PART * total or n.link_chars >= LINK_PART * n.chars or n.density < threshold
+            n.drop = n.named != NAME or n.density < core.density
     out: list[str] = []
     stack = [root]
     while stack:
