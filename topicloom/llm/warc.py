@@ -121,7 +121,10 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
     spark = pages.sparkSession
     small_batches(spark)
     folder = folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    folder = folder if ":" in folder.split("/")[0] else f"file://{folder}"
+    if ":" not in folder.split("/")[0]:  # a path without a scheme is one of the cluster's default file system, as for Spark's own writers
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        folder = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+        folder = f"file://{folder.removeprefix('file:')}" if folder.startswith("file:/") and not folder.startswith("file://") else folder
     pages = pages.select("page_id", "url", "html", F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary")).alias("_sha"), F.octet_length(F.coalesce(F.col("html"), F.lit(""))).alias("_n"))
     twice = cut(pages.filter(F.col("_n") >= min_bytes).groupBy("_sha").agg(F.max("page_id").alias("_last"), F.count("*").alias("_rows")).filter("_rows > 1 and _last is not null").select("_sha", "_last"))
     earlier = F.col("page_id").isNull() | (F.col("page_id") < F.col("_last"))
