@@ -7,9 +7,9 @@
 3. Pigeonhole: cut the 64 bits into radius + 1 blocks. Two fingerprints that differ in at
    most radius bits agree on a whole block, so they meet in the bucket of that block
    and value, where their Hamming distance is verified.
-4. A bucket of over LIMIT fingerprints is cut again: its free bits make radius + 1 blocks,
-   and by the same argument close pairs share one. Buckets so narrow that they cannot hold
-   more than LIMIT fingerprints end this, after at most seven rounds.
+4. A bucket of over LIMIT fingerprints is cut again: the bits in which its own fingerprints differ
+   make radius + 1 blocks, and by the same argument close pairs share one. Each round fixes a
+   quarter of those bits, so after at most seven no bucket can hold more than LIMIT.
 5. Of a bucket of over SMALL fingerprints only a spanning forest of its links leaves the
    task (one link less than members), so no group emits its pairs. Links become
    components by min-label propagation.
@@ -94,11 +94,26 @@ def _describe(k: int):
     return run
 
 
-def blocks(fixed: int, radius: int) -> list[int]:
-    """The bits that fixed leaves free, cut into radius + 1 even blocks, each together with fixed (unsigned masks)."""
-    free = [i for i in range(64) if not fixed >> i & 1]
-    edges = [len(free) * j // (radius + 1) for j in range(radius + 2)]
-    return [fixed | sum(1 << i for i in free[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+def blocks(free: int, radius: int) -> list[int]:
+    """Masks (unsigned): all bits that are not free, with one of radius + 1 even blocks of the free ones each."""
+    bits = [i for i in range(64) if free >> i & 1]
+    edges = [len(bits) * j // (radius + 1) for j in range(radius + 2)]
+    return [(2**64 - 1 ^ free) | sum(1 << i for i in bits[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def _split(radius: int):
+    """Of rows (fp, free): the buckets (fixed bits, their value) of each block."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp, free = (batch.column(c).to_numpy().view(U) for c in ("fp", "free"))
+            each, at = np.unique(free, return_inverse=True)
+            fixed = np.array([blocks(int(f), radius) for f in each], U).reshape(len(each), radius + 1)[at]
+            value = fp[:, None] & fixed
+            yield pa.RecordBatch.from_arrays([pa.array(x.ravel().view(np.int64)) for x in (np.repeat(fp, radius + 1), fixed, value)], ["fp", "fixed", "value"])
+
+    return run
 
 
 def _signed(x: int) -> int:
@@ -172,17 +187,17 @@ def links(prints: DataFrame, radius: int = RADIUS, limit: int = LIMIT) -> DataFr
     spark = prints.sparkSession
     n_parts, bucket = partitions(spark), ["fixed", "value"]
     solve = lambda keys: keys.repartition(n_parts, *bucket).sortWithinPartitions(*bucket).mapInArrow(_link(radius), "a long, b long")
-    rows, masks, found = prints.select("fp", F.lit(0).cast("long").alias("fixed")), [0], None
+    rows, found = prints.select("fp", F.lit(-1).cast("long").alias("free")), None
     while True:
-        steps = [(_signed(m), _signed(x)) for m in masks for x in blocks(m, radius)]
-        masks = [x % 2**64 for _, x in steps]
-        table = spark.createDataFrame(steps, "fixed long, next long").repartition(1)
-        keys = rows.join(F.broadcast(table), "fixed").select("fp", F.col("next").alias("fixed"), F.col("fp").bitwiseAND(F.col("next")).alias("value"))
-        large = cut(keys.groupBy(*bucket).count().filter(F.col("count") > limit).select(*bucket))
+        keys = rows.mapInArrow(_split(radius), "fp long, fixed long, value long")
+        if found is not None:  # buckets of different rounds' paths may be the same one
+            keys = cut(keys.distinct())
+        sizes = keys.groupBy(*bucket).agg(F.count("*").alias("n"), F.bit_or("fp").bitwiseXOR(F.bit_and("fp")).alias("free"))
+        large = cut(sizes.filter(F.col("n") > limit).select(*bucket, "free"))
         n = large.count()
         if n:
             hint = F.broadcast(large) if n <= THIN_IDS else large
-            small, rows = keys.join(hint, bucket, "left_anti"), keys.join(hint, bucket, "left_semi").select("fp", "fixed")
+            small, rows = keys.join(hint, bucket, "left_anti"), cut(keys.join(hint, bucket).select("fp", "free").distinct())
         else:
             small = keys
         told = cut(solve(small).distinct())
