@@ -103,3 +103,27 @@ def test_log_sum_exp_of_large_numbers(spark):
     (got,) = spark.range(1).select(special.log_sum_exp_col(F.array(F.lit(1000.0), F.lit(1000.0)))).first()
     assert got == pytest.approx(1000 + math.log(2))
     assert float(special.log_sum_exp(np.array([1000.0, 1000.0]))) == pytest.approx(1000 + math.log(2))
+
+
+def test_gamma_draws_by_counter():
+    """Moments and quantiles of Gamma(100, 1/100); whole arrays equal one by one; ids, places, seeds and streams differ."""
+    from topicloom.functions.draws import gamma_draws
+
+    m = gamma_draws(7, 0, np.arange(-20000, 20000), 5)
+    assert m.mean() == pytest.approx(1.0, abs=1e-3) and m.var() == pytest.approx(0.01, rel=0.02)
+    z = (m - 1) / 0.1
+    assert (z**3).mean() == pytest.approx(2 / 100**0.5, abs=0.03) and (z**4).mean() == pytest.approx(3 + 6 / 100, abs=0.1)
+    want = np.random.default_rng(0).gamma(100, 0.01, 200_000)
+    np.testing.assert_allclose(np.quantile(m, [0.01, 0.25, 0.5, 0.75, 0.99]), np.quantile(want, [0.01, 0.25, 0.5, 0.75, 0.99]), atol=3e-3)
+    assert np.abs(np.corrcoef(m.T) - np.eye(5)).max() < 0.03 and abs(np.corrcoef(m[1:, 0], m[:-1, 0])[0, 1]) < 0.03
+    order = np.random.default_rng(1).permutation(len(m))
+    np.testing.assert_array_equal(gamma_draws(7, 0, np.arange(-20000, 20000)[order], 5), m[order])
+    np.testing.assert_array_equal(gamma_draws(7, 0, np.array([3]), 5)[0], m[20003])
+    assert len(np.unique(m)) == m.size
+    for other in (gamma_draws(8, 0, np.arange(5), 5), gamma_draws(7, 1, np.arange(5), 5)):
+        assert not np.isin(other, m).any()
+    low = gamma_draws(1, 0, np.arange(50000), 1, 1.0, 2.0)  # rejections are frequent
+    assert low.mean() == pytest.approx(2, rel=0.02) and low.var() == pytest.approx(4, rel=0.05)
+    assert gamma_draws(1, 0, np.zeros(0, np.int64), 3).shape == (0, 3)
+    with pytest.raises(ValueError):
+        gamma_draws(1, 0, np.arange(2), 1, 0.5)

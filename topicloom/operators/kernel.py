@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
+from topicloom.functions.draws import gamma_draws
 from topicloom.functions.special import digamma, dirichlet_expectation
 
 #: Added to a word's normaliser, so that an underflow is no division by zero.
@@ -93,13 +94,23 @@ def per_word_perplexity(documents: float, topics: float, size: int, n_words: int
     return float(np.exp(-(documents * total_docs / size + topics) * size / (total_docs * n_words)))
 
 
+def start_gammas(seed: int, doc_ids: np.ndarray, k: int) -> np.ndarray:
+    """Draws from Gamma(100, 1/100), a row for each document, that depend on the seed and the document alone."""
+    return gamma_draws(seed, 0, doc_ids, k)
+
+
 def start_gamma(seed: int, doc_id: int, k: int) -> np.ndarray:
-    """A draw from Gamma(100, 1/100) that depends on the seed and the document alone."""
-    return np.random.default_rng([seed, doc_id & (2**64 - 1)]).gamma(100.0, 0.01, k)
+    return start_gammas(seed, np.array([doc_id]), k)[0]
+
+
+def start_weights(seed: int, word_ids: np.ndarray, k: int) -> np.ndarray:
+    """Draws from Gamma(100, 1/100), a row for each word, that depend on the seed and the word alone."""
+    return gamma_draws(seed, 1, word_ids, k)
 
 
 def start_lambda(seed: int, k: int, v: int) -> np.ndarray:
-    return np.random.default_rng([seed, k, v]).gamma(100.0, 0.01, (k, v))
+    """K by V: the same draws."""
+    return start_weights(seed, np.arange(v), k).T.copy()
 
 
 def learning_rate(tau: float, updates: float, kappa: float) -> float:

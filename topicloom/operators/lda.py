@@ -139,9 +139,8 @@ def start_rows(vocab: DataFrame, p: LdaParams) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            draws = [np.random.default_rng([p.seed, p.num_topics, int(w)]).gamma(100.0, 0.01, p.num_topics) for w in batch.column("word_id").to_pylist()]
-            m = np.array(draws).reshape(len(draws), p.num_topics)
-            yield pa.RecordBatch.from_arrays([batch.column("word_id"), pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * p.num_topics), pa.array(m.ravel()))], ["word_id", "weights"])
+            m = kernel.start_weights(p.seed, batch.column("word_id").to_numpy(), p.num_topics)
+            yield pa.RecordBatch.from_arrays([batch.column("word_id"), _lists(m)], ["word_id", "weights"])
 
     return vocab.select(F.col("word_id").cast("int").alias("word_id")).mapInArrow(run, "word_id int, weights array<double>")
 
@@ -278,9 +277,12 @@ def _infer_batches(batches: Iterator[pa.RecordBatch], p: LdaParams, k: int, stat
         words, counts = values.to_numpy(zero_copy_only=False).astype(np.int64), _list(batch.column("counts"))[0].to_numpy(zero_copy_only=False).astype(float)
         doc = np.repeat(np.arange(len(sizes)), sizes)
         beta, whole = vectors(batch, words, doc, len(sizes))
-        ids = batch.column("doc_id").to_pylist()
-        starts = batch.column("gamma0").to_pylist() if "gamma0" in batch.schema.names else [None] * len(ids)
-        gamma0 = np.stack([kernel.start_gamma(p.seed, 0 if own else int(d), k) if g is None else np.array(g, float) for d, g in zip(ids, starts, strict=True)]) if ids else np.zeros((0, k))
+        ids = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        gamma0 = kernel.start_gammas(p.seed, np.zeros_like(ids) if own else ids, k)
+        if "gamma0" in batch.schema.names:
+            given = batch.column("gamma0")
+            there = given.is_valid().to_numpy(zero_copy_only=False)
+            gamma0[there] = _list(given)[0].to_numpy(zero_copy_only=False).reshape(-1, k)
         gamma, ss, change = kernel.vb_documents(counts, beta, doc, gamma0, p.alpha, p.max_iter, p.convergence_threshold)
         if statistics:
             held.add(words, ss * beta)
