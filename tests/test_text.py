@@ -29,6 +29,35 @@ def test_treebank(spark):
     assert one(spark, T.treebank_words, "They cannot go, don't (ask).") == ["they", "can", "not", "go", ",", "do", "n't", "-lrb-", "ask", "-rrb-", "."]
 
 
+# Tokens checked by hand against the Treebank's conventions.
+PENN = [
+    ("They can't go, won't they?", "they ca n't go , wo n't they ?"),
+    ('"Hello," said Mr. O\'Brien.', "`` hello , '' said mr. o'brien ."),
+    ("It costs $3.50 (about 10%).", "it costs $ 3.50 -lrb- about 10 % -rrb- ."),
+    ("The U.S. economy isn't John's.", "the u.s. economy is n't john 's ."),
+    ("I cannot; we're gonna wait...", "i can not ; we 're gon na wait ..."),
+    ("Dr. Smith's at 10:30 a.m. today", "dr. smith 's at 10:30 a.m. today"),
+    ("He left. The end. It was I. Then A. Jones came.", "he left . the end . it was i . then a. jones came ."),
+    ("the dogs' bowls -- state-of-the-art, and/or 1,000-page", "the dogs ' bowls -- state-of-the-art , and/or 1,000-page"),
+    ("see http://a.b/c?d=1, or x.y@z.org.", "see http://a.b/c?d=1 , or x.y@z.org ."),
+    ("the 21st of [May] {x}", "the 21st of -lsb- may -rsb- -lcb- x -rcb-"),
+    ('he ("she") said: "no"', "he -lrb- `` she '' -rrb- said : `` no ''"),
+    ("Größe 漢字 naïve’s DON’T", "größe 漢字 naïve ’s do n’t"),
+    ("cannots wannabe mannot", "cannots wannabe mannot"),
+    ("", ""),
+    ("  \n ", ""),
+]
+
+
+def test_penn_words(spark):
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(PENN)] + [(99, None)], "i int, t string").select("i", T.penn_words(F.col("t")).alias("w"), T.penn_pieces(F.col("t")).alias("p"), "t").collect()
+    got = {r["i"]: r for r in rows}
+    for i, (text, want) in enumerate(PENN):
+        assert got[i]["w"] == want.split(), text
+        assert "".join(got[i]["p"]) == "".join(text.split())  # nothing but white space is lost
+    assert got[99]["w"] == []
+
+
 def test_lemmas():
     # The expected lemmas of two short texts.
     assert lemmas("Today I went to the store. I also ran to the cinema.") == "today I go to the store . I also run to the cinema .".split()

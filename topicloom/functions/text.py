@@ -53,5 +53,44 @@ def treebank_words(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(t, F.lit(f"({pattern})"), 1), lambda w: F.lower(F.when(w == "(", "-lrb-").when(w == ")", "-rrb-").otherwise(w)))
 
 
+#: Shortened words that keep their point.
+_SHORT = "mr|mrs|ms|dr|prof|st|jr|sr|vs|etc|inc|ltd|co|corp|dept|gen|sen|rep|rev|gov|capt|col|lt|sgt|approx|fig|vol"
+_ALNUM = r"[\p{L}\p{N}]"
+#: Penn-Treebank tokens: at each place the first of these that fits, so a text is read once.
+_PENN = "|".join(
+    [
+        r"https?://[^\s<>\"]*[^\s<>\".,;:!?)\]]",
+        r"[A-Za-z0-9._+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+        r"(?:(?<![\p{L}])\p{L}\.(?=\p{L}\.))+\p{L}\.",  # U.S., e.g., a.m.
+        rf"(?<!{_ALNUM})(?i:{_SHORT})\.(?=,|\s+\S)",
+        rf"(?<!{_ALNUM})[\p{{Lu}}&&[^I]]\.(?=\s*\p{{Lu}}\p{{Ll}})",  # initials
+        rf"(?<!{_ALNUM})(?i:can(?=not(?!{_ALNUM}))|gon(?=na(?!{_ALNUM}))|got(?=ta(?!{_ALNUM}))|wan(?=na(?!{_ALNUM}))|gim(?=me(?!{_ALNUM}))|lem(?=me(?!{_ALNUM})))",
+        rf"(?i:n['’]t)(?!{_ALNUM})",
+        rf"['’](?i:s|m|d|ll|re|ve)(?!{_ALNUM})",
+        rf"\p{{L}}+(?=(?i:n['’]t)(?!{_ALNUM}))",
+        rf"\p{{N}}+(?:[.,:/]\p{{N}}+)*(?i:st|nd|rd|th)?(?:-{_ALNUM}+)*",
+        rf"\p{{L}}{_ALNUM}*(?:-{_ALNUM}+|['’](?!(?i:s|m|d|ll|re|ve|t)(?!{_ALNUM}))\p{{L}}+|[./]{_ALNUM}+)*",
+        r"\.\.\.+|--+|``|''|\S",
+    ]
+)
+_BRACKETS = {"(": "-lrb-", ")": "-rrb-", "[": "-lsb-", "]": "-rsb-", "{": "-lcb-", "}": "-rcb-"}
+
+
+def penn_pieces(text: Column) -> Column:
+    """The stretches of a raw text that are its Penn-Treebank tokens, as they are written; only white space lies between them."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({_PENN})"), 1)
+
+
+def penn_words(text: Column) -> Column:
+    """Penn-Treebank tokens of a raw text, each in lower case, by longest match in one reading.
+
+    Abbreviations, initials and acronyms keep their point; clitics and words that are written as two part; currency signs,
+    percent signs and marks stand alone; brackets have names; a double quote opens (``) after white space, a bracket or at the start, and closes ('') elsewhere.
+    """
+    opened = F.regexp_replace(text, r"(?<![^\s(\[{`'])\"(?=\S)", "``")
+    names = F.create_map(*[F.lit(x) for pair in (_BRACKETS | {'"': "''"}).items() for x in pair])
+    return F.transform(penn_pieces(opened), lambda w: F.coalesce(F.try_element_at(names, w), F.lower(w)))
+
+
 def has_letter(word: Column) -> Column:
     return word.rlike("[A-Za-z]")

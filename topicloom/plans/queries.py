@@ -441,6 +441,13 @@ def treebank_tokens(s, d):
     return _docs(s, d).select("doc_id", F.array_join(T.treebank_words(F.col("text")), " ").alias("tokens"))
 
 
+def penn_tokens(s, d):
+    """Penn-Treebank tokens of each document: how many, and all their characters; only white space may be lost."""
+    pieces = T.penn_pieces(F.col("text"))
+    rows = _docs(s, d).select("doc_id", F.array_join(pieces, "").alias("joined"), F.array_join(T.penn_words(F.col("text")), " ").alias("tokens"))
+    return rows.select("doc_id", F.length("joined").alias("n_chars"), F.md5(F.encode("joined", "UTF-8")).alias("digest"), (F.length("tokens") > 0).alias("some"))
+
+
 def word2vec_coherence(s, d):
     vectors = P.learn_word_vectors(_docs(s, d))
     return P.coherence(P.top_words(_lambda(s, d), _vocab(s, d), normalise=False), vectors)
@@ -542,7 +549,7 @@ _FUNCTIONS = [
     clean_tokens, token_positions, vocab_stats, vocab_filtered, vocabulary, vocab_ids_from_list, bag_of_words, packed_bags, doc_lengths, minibatch_assign, batch_word_totals, unique_words, used_docs,
     dirichlet_expectation_lambda, exp_elog_beta, dirichlet_expectation_gamma, phi_norm, gamma_one_iter, sstats_one_iter, mstep_local, mstep_distributed, mstep_zero_fill, join_words_lambda, lambda_rows_to_long,
     lambda_long_to_rows, topic_normalised, top_words_per_topic, topic_proportions_one_iter, threshold_proportions, doc_distance_pairs, doc_cosine_pairs, vector_cosine_pairs, vector_sums, log_sum_exp, perplexity_terms,
-    perplexity_topics, perplexity_bound, coherence, digamma_lgamma, lda_train_topics, lda_transform, lda_document_similarity, estep_converged, estep_by_join, lemmatize_tokens, lemma_counts, treebank_tokens, word2vec_coherence, stream_train,
+    perplexity_topics, perplexity_bound, coherence, digamma_lgamma, lda_train_topics, lda_transform, lda_document_similarity, estep_converged, estep_by_join, lemmatize_tokens, lemma_counts, penn_tokens, treebank_tokens, word2vec_coherence, stream_train,
     estep_statistics, transform_fixed_model, similarity_fixed_model, train_step, train_step_by_join, skip_gram_pairs, block_word_vectors, train_three_steps, train_three_steps_by_join, stream_three_steps, source_texts, source_lines, source_corpus, source_word_list, model_round_trip, word_vectors_round_trip, parallel_collection,
 ]
 
@@ -651,6 +658,7 @@ _VEC = "(SELECT doc_id, list(proportion ORDER BY topic) AS v FROM thr GROUP BY 1
 
 _LEMMA_TOKENS = r"regexp_extract_all(coalesce(text, ''), '[A-Za-z]+(?:[-''][A-Za-z]+)*|\d+(?:[.,]\d+)*|\.\.\.|[^\s\x{A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{3000}A-Za-z0-9]')"
 _BODIES = {
+    "penn_tokens": r"SELECT doc_id, length(t)::INTEGER AS n_chars, md5(t) AS digest, length(t) > 0 AS some FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[ \t\n\x0B\f\r]', '', 'g') AS t FROM documents)",
     "lemma_counts": f"SELECT doc_id, len(w)::INTEGER AS n_lemmas, len(list_filter(w, lambda x: x IN ('.', '!', '?', ',')))::INTEGER AS n_marks FROM (SELECT doc_id, {_LEMMA_TOKENS} AS w FROM documents)",
     "skip_gram_pairs": "SELECT a.word_id, count(*) AS n_pairs, count(DISTINCT b.word_id) AS n_contexts, sum(b.word_id)::BIGINT AS weighted FROM place a JOIN place b ON b.doc_id = a.doc_id AND b.p BETWEEN a.p - 5 AND a.p + 5 AND b.p <> a.p GROUP BY 1",
     "clean_tokens": "SELECT doc_id, coalesce(array_to_string(ws, ' '), '') AS tokens FROM tw",
