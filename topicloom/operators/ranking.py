@@ -28,31 +28,28 @@ def row_numbers(df: DataFrame, key: str, name: str = "row_number", ties: list[Co
     return dealt.withColumn("_i", inside).join(F.broadcast(before), "_r").withColumn(name, (F.col("_before") + F.col("_i")).cast("long")).drop("_r", "_i", "_before")
 
 
-def word_ids(counts: DataFrame, name: str = "word_id") -> DataFrame:
-    """counts (word, word_count, ...) with ids from 0 by descending count, then word.
+def _numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """rows with 0, 1, ... in an order of their own columns: dealt out by range, numbered inside a range, plus what lies before it.
 
-    Counts are ranked first, each with the number of words that have it; then, inside a count, first letters; then words.
-    A window holds the distinct counts, the heads of one count, or the words of one count and head.
+    Ranges are as many as shuffle partitions; their sizes are all that is brought together. Only many rows of one and the
+    same key would share a range.
     """
-    cells = counts.withColumn("_head", F.substring("word", 1, 2))
-    sizes = cells.groupBy("word_count", "_head").agg(F.count("*").alias("_n"))
-    totals = sizes.groupBy("word_count").agg(F.sum("_n").alias("_n"))
-    below = F.coalesce(F.sum("_n").over(Window.orderBy(F.desc("word_count")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy("word_count").orderBy("_head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("word_count", "_head", before.alias("_inside")).join(totals.select("word_count", below.alias("_below")), "word_count").select("word_count", "_head", (F.col("_inside") + F.col("_below")).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("word_count", "_head").orderBy("word"))
-    return cells.withColumn("_i", inside).join(offsets, ["word_count", "_head"]).withColumn(name, (F.col("_before") + F.col("_i") - 1).cast("int")).drop("_head", "_i", "_before")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # the ranges drawn for the sizes are those of the numbers, also after an executor is lost
+    dealt = checkpoint(rows.repartitionByRange(n, *order).withColumn("_r", F.spark_partition_id()))
+    sizes = dealt.groupBy("_r").agg(F.count("*").alias("_n"))
+    before = sizes.select(F.col("_r").alias("_p"), F.coalesce(F.sum("_n").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_r").orderBy(*order))
+    numbered = dealt.withColumn("_i", inside).join(F.broadcast(before), F.col("_r") == F.col("_p"))
+    return numbered.withColumn(name, (F.col("_before") + F.col("_i") - 1).cast("long")).drop("_r", "_p", "_i", "_before")
 
 
-def string_numbers(rows: DataFrame, key: str, name: str) -> DataFrame:
-    """The distinct strings of a column with 0, 1, ... in their order: dealt out by range, numbered inside a range, plus what lies before it.
+def word_ids(counts: DataFrame, name: str = "word_id") -> DataFrame:
+    """counts (word, word_count, ...) with ids from 0 by descending count, then word."""
+    held = checkpoint(counts)  # ranges are drawn from a sample, which would count twice
+    return _numbered(held, [F.desc("word_count"), F.col("word")], name).withColumn(name, F.col(name).cast("int"))
 
-    Ranges are as many as shuffle partitions; their sizes are all that is brought together.
-    """
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # the ranges drawn for the sizes are those of the numbers, also after an executor is lost
-    dealt = checkpoint(rows.select(key).distinct().repartitionByRange(n, key).withColumn("_r", F.spark_partition_id()))
-    sizes = dealt.groupBy("_r").agg(F.count("*").alias("_n"), F.min(key).alias("_first"))
-    before = sizes.select(F.col("_r").alias("_p"), F.coalesce(F.sum("_n").over(Window.orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_r").orderBy(key))
-    return dealt.withColumn("_i", inside).join(F.broadcast(before), F.col("_r") == F.col("_p")).select(key, (F.col("_before") + F.col("_i") - 1).alias(name))
+
+def string_numbers(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """The distinct strings of a column with 0, 1, ... in their order."""
+    return _numbered(checkpoint(rows.select(key).distinct()), [F.col(key)], name).select(key, name)
