@@ -30,6 +30,12 @@ def checkpoint(rows: DataFrame) -> DataFrame:
     return rows.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, if it is there."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(found, True)
+
+
 class Scratch:
     """Parquet tables that go with close()."""
 
@@ -45,5 +51,4 @@ class Scratch:
         return self.spark.read.parquet(f"{self.root}/{name}")
 
     def drop(self, name: str = "") -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        remove(self.spark, f"{self.root}/{name}".rstrip("/"))

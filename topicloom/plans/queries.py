@@ -19,7 +19,7 @@ from topicloom.operators import relational_estep as R
 from topicloom.operators import similarity as S
 from topicloom.operators import topics as P
 from topicloom.operators import vocabulary as V
-from topicloom.operators.shared import checkpoint, shared_dir
+from topicloom.operators.shared import checkpoint, remove, shared_dir
 
 K, BATCH, MODULUS = 5, 100, 9973
 ALPHA = ETA = 1.0 / K
@@ -365,7 +365,7 @@ def _one_batch(s, d, strategy: str) -> DataFrame:
     n = _docs(s, d).count()
     lda = L.OnlineLda(L.replace(PARAMS, total_docs=n, strategy=strategy))
     if strategy == "join":
-        return lda.fit_table(_docs(s, d), _vocab(s, d).select("word_id", "word"), max(n, 1), P.collect_rows(_lambda(s, d)), _gamma(s, d)).lambda_long()
+        return _closed(lda.fit_table(_docs(s, d), _vocab(s, d).select("word_id", "word"), max(n, 1), P.collect_rows(_lambda(s, d)), _gamma(s, d)))
     return lda.fit(_docs(s, d), _words(s, d), max(n, 1), _fixed(s, d).lam, _gamma(s, d)).lambda_long(s)
 
 
@@ -388,7 +388,7 @@ def _closed(model: L.TableModel) -> DataFrame:
     """A table model's lambda in long form, after its files have gone."""
     rows = checkpoint(model.lambda_long())
     model.close()
-    return rows.select("topic", "word_id", _r("value", 5).alias("value"))
+    return rows
 
 
 def train_three_steps(s, d):
@@ -402,12 +402,12 @@ def train_three_steps_by_join(s, d):
     """The same with lambda as a table from start to end."""
     n, size = _third(s, d)
     lda = L.OnlineLda(L.replace(PARAMS, total_docs=n, strategy="join"))
-    return _closed(lda.fit_table(_docs(s, d), _vocab(s, d).select("word_id", "word"), size, P.collect_rows(_lambda(s, d)), _gamma(s, d)))
+    rows = _closed(lda.fit_table(_docs(s, d), _vocab(s, d).select("word_id", "word"), size, P.collect_rows(_lambda(s, d)), _gamma(s, d)))
+    return rows.select("topic", "word_id", _r("value", 5).alias("value"))
 
 
-def _streamed(s, d, parts: int) -> DataFrame:
+def _streamed(s, d, folder: str, parts: int) -> DataFrame:
     """The documents as a stream of files, each a stretch of ids, one to a micro-batch."""
-    folder = f"{_folder(s)}/in"
     rows = _docs(s, d)
     low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
     at = F.floor((F.col("doc_id") - F.lit(low or 0)) * parts / F.lit((high or 0) - (low or 0) + 1))
@@ -423,8 +423,10 @@ def stream_three_steps(s, d):
     n, size = _third(s, d)
     lda, folder, gamma = L.OnlineLda(L.replace(PARAMS, total_docs=n)), _folder(s), _gamma(s, d)
     vocab = _vocab(s, d).select("word_id", "word")
-    train_stream(_streamed(s, d, 4), lda, vocab, f"{folder}/states", f"{folder}/checkpoint", size, P.collect_rows(_lambda(s, d)), gamma).awaitTermination()
-    return _closed(finish(s, lda, f"{folder}/states", size, gamma))
+    train_stream(_streamed(s, d, f"{folder}/in", 4), lda, vocab, f"{folder}/states", f"{folder}/checkpoint", size, P.collect_rows(_lambda(s, d)), gamma).awaitTermination()
+    rows = _closed(finish(s, lda, f"{folder}/states", size, gamma))
+    remove(s, folder)
+    return rows.select("topic", "word_id", _r("value", 5).alias("value"))
 
 
 def lemmatize_tokens(s, d):
@@ -540,9 +542,11 @@ def stream_train(s, d):
     from topicloom.streaming.trainer import finish, train_stream
 
     folder, lda, vocab = _folder(s), L.OnlineLda(_params(s, d)), _vocab(s, d).select("word_id", "word")
-    train_stream(_streamed(s, d, 4), lda, vocab, f"{folder}/states", f"{folder}/checkpoint", TRAIN_BATCH).awaitTermination()
+    train_stream(_streamed(s, d, f"{folder}/in", 4), lda, vocab, f"{folder}/states", f"{folder}/checkpoint", TRAIN_BATCH).awaitTermination()
     model = finish(s, lda, f"{folder}/states", TRAIN_BATCH)
-    return P.top_words(model.lambda_long(), model.vocab).select("topic", "rank", "word", "probability")
+    tops = checkpoint(P.top_words(model.lambda_long(), model.vocab).select("topic", "rank", "word", "probability"))
+    remove(s, folder)
+    return tops
 
 
 _FUNCTIONS = [
