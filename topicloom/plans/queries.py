@@ -20,6 +20,7 @@ from topicloom.operators import similarity as S
 from topicloom.operators import topics as P
 from topicloom.operators import vocabulary as V
 from topicloom.operators.shared import checkpoint, remove, shared_dir
+from topicloom.operators.skew import spread_join
 
 K, BATCH, MODULUS = 5, 100, 9973
 ALPHA = ETA = 1.0 / K
@@ -201,7 +202,7 @@ def mstep_zero_fill(s, d):
 
 
 def join_words_lambda(s, d):
-    met = _bow(s, d).join(P.collect_rows(_lambda(s, d)), "word_id")
+    met = spread_join(_bow(s, d), P.collect_rows(_lambda(s, d)), "word_id")
     sums = met.groupBy("doc_id").agg(*[F.sum(F.col("n") * F.col("weights")[i]).alias(f"s{i}") for i in range(K)])
     return _cells(sums.select("doc_id", F.array(*[F.col(f"s{i}") for i in range(K)]).alias("v")), "doc_id", "v", "weighted")
 
