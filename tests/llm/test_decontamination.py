@@ -2,7 +2,10 @@ from __future__ import annotations
 
 import random
 
+from pyspark.sql import functions as F
+
 from topicloom.llm import decontamination as D
+from topicloom.llm._skew import salted_join
 
 ITEM = "A train leaves the station at 40 miles per hour and meets Anna after 3 hours on the road to the old mill. How far is that?"
 OTHER = "Compute the area of a square garden whose fence is 12 meters long and give the answer in whole numbers please"
@@ -95,22 +98,29 @@ def test_against_brute_force(spark):
 
 
 def _by_hand(text, item, window=8, cover=13):
-    """Leaks of items without adjacent placeholders, by trying all pairs of windows."""
+    """Leaks of an item by trying all pairs of windows; runs of placeholders are one token."""
     is_name, is_number = (lambda w: w[:1].isupper()), (lambda w: w[:1].isdigit())
     t, i = text.split(), item.split()
     as_name = lambda ws, p: p > 0 and is_name(ws[p]) and (ws[p - 1][-1].islower() or ws[p - 1][-1].isdigit())
 
     def template(ws, kind):
-        return [chr(2) if kind and is_number(w) else chr(1) if kind == 2 and as_name(ws, p) else w.lower() for p, w in enumerate(ws)]
+        """Tokens, and the places where they start and the last one ends."""
+        tokens, starts = [], []
+        for p, w in enumerate(ws):
+            token = chr(2) if kind and is_number(w) else chr(1) if kind == 2 and as_name(ws, p) else w.lower()
+            if not (tokens and token in (chr(1), chr(2)) and token == tokens[-1]):
+                tokens.append(token)
+                starts.append(p)
+        return tokens, [*starts, len(ws)]
 
     found = []
     for kind in (0, 1, 2):
-        a, b = template(t, kind), template(i, kind)
+        (a, at), (b, bt) = template(t, kind), template(i, kind)
         for q in range(len(b) - window + 1):
             slots = sum(x in (chr(1), chr(2)) for x in b[q : q + window])
             if kind and (2 * slots > window or not slots or kind == 2 and chr(1) not in b[q : q + window]):
                 continue
-            found += [(p - q, q, kind, tuple(b[q : q + window])) for p in range(len(a) - window + 1) if a[p : p + window] == b[q : q + window]]
+            found += [(at[p] - bt[q], kind, tuple(b[q : q + window]), at[p : p + window + 1], bt[q : q + window + 1]) for p in range(len(a) - window + 1) if a[p : p + window] == b[q : q + window]]
     diagonals = sorted({d for d, *_ in found})
     chains, now = [], []
     for d in diagonals:
@@ -124,18 +134,23 @@ def _by_hand(text, item, window=8, cover=13):
         sides = []
         for side in (0, 1):
             cells = {}
-            for d, q, kind, w in rows:
+            for _, kind, w, there_at, here_at in rows:
                 for j, x in enumerate(w):
-                    same, word = cells.get(q + j + side * d, (False, False))
-                    cells[q + j + side * d] = (same or kind == 0, word or kind == 0 or x not in (chr(1), chr(2)))
+                    for k in range(here_at[j], here_at[j + 1]):
+                        place = (there_at[j], k - here_at[j]) if side else k  # a slot counts as many words as the item has in it
+                        same, word = cells.get(place, (False, False))
+                        cells[place] = (same or kind == 0, word or kind == 0 or x not in (chr(1), chr(2)))
             sides.append((len(cells), sum(s for s, _ in cells.values()), sum(w for _, w in cells.values())))
         covered, exact, words = (min(s[k] for s in sides) for k in range(3))
         there, back = {}, {}
-        for d, q, kind, w in rows:
+        for _, kind, w, there_at, here_at in rows:
             for j, x in enumerate(w):
                 if kind and x in (chr(1), chr(2)):
-                    there.setdefault((x, i[q + j].lower()), set()).add(t[q + d + j].lower())
-                    back.setdefault((x, t[q + d + j].lower()), set()).add(i[q + j].lower())
+                    mine = [v.lower() for v in i[here_at[j] : here_at[j + 1]]]
+                    theirs = [v.lower() for v in t[there_at[j] : there_at[j + 1]]]
+                    for m, o in zip(mine, theirs, strict=True) if len(mine) == len(theirs) else [(" ".join(mine), " ".join(theirs))]:
+                        there.setdefault((x, m), set()).add(o)
+                        back.setdefault((x, o), set()).add(m)
         odd = any(len(v) > 1 for v in [*there.values(), *back.values()])
         if exact >= need or covered >= need and 2 * words >= need and not odd:
             return True
@@ -170,6 +185,75 @@ def test_against_brute_force_with_placeholders(spark):
     assert leaked(spark, texts, items) == want and 15 < len(want) < 60
 
 
+def test_against_brute_force_with_runs_of_placeholders(spark):
+    """Adjacent names and numbers; runs keep or change their length."""
+    rng = random.Random(19)
+    low = [w for w in {"".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(60)} if w not in D.UNITS.split()]
+    low.sort()
+    people, others, items, texts = ["Anna", "Boris", "Clara", "David"], ["Emma", "Frank", "Greta", "Hans"], [], []
+    for _ in range(10):
+        ws = [rng.choice(low)]
+        while len(ws) < 26:
+            run = [rng.choice(people) for _ in range(rng.randint(1, 3))] if rng.random() < 0.5 else [str(rng.randint(2, 9)) for _ in range(rng.randint(1, 3))]
+            ws += [*run, *[rng.choice(low) for _ in range(3)]]
+        items.append(" ".join(ws))
+    for _ in range(90):
+        ws = rng.choice(items).split()
+        a, n = rng.randrange(6), rng.choice([12, 14, 15, 18, 20])
+        swap, how, piece = {}, rng.random(), []
+        for w in ws[a : a + n]:
+            if w[0].isdigit() or w[0].isupper():
+                pick = str(rng.randint(10, 99)) if w[0].isdigit() else rng.choice(others)
+                w = w if how < 0.1 else swap.setdefault(w, pick) if how < 0.7 else pick
+                piece += [w, w] if how > 0.9 and rng.random() < 0.1 else [w]
+            else:
+                piece.append(w)
+        texts.append(" ".join([*[rng.choice(low) for _ in range(12)], *piece, *[rng.choice(low) for _ in range(12)]]))
+    want = {(d, k) for d, t in enumerate(texts) for k, i in enumerate(items) if _by_hand(t, i)}
+    assert leaked(spark, texts, items) == want and 15 < len(want) < 80
+
+
+def test_names_inside_runs_are_held_against_the_same_names_alone(spark):
+    item = "Anna has 3 apples , Tom has 5 pears and Eve has 7 plums so how many fruits have Anna , Tom and Eve"
+    swap = lambda a, b, c: item.replace("Anna", a).replace("Tom", b).replace("Eve", c)
+    head, tail = swap("Maria", "Paul", "Lea").rsplit(" have ", 1)
+    texts = [f"{head} have {tail}", f"{head} have Paul , Paul and Lea", f"{head} have Zoe , Zoe and Lea"]
+    assert leaked(spark, [f"{FILL}. So {t} {FILL}" for t in texts], [item]) == {(0, 0)}
+
+
+def test_numbers_in_words(spark):
+    item = "a farmer who owns twelve sheep buys five more and walks 120 km in 2 hours to bring the whole flock home"
+    texts = [
+        item.replace("twelve", "thirty").replace("five", "nine"), item.replace("twelve", "Twenty-One").replace("five", "9"),
+        item.replace("120 km in 2 hours", "ninety miles in three hours"), item.replace("twelve", "five").replace("2 hours", "five hours"), item.replace("twelve", "one hundred and six"),
+    ]
+    assert leaked(spark, [f"{FILL}. {t} {FILL}" for t in texts], [item]) == {(0, 0), (1, 0), (2, 0), (4, 0)}
+
+
+def test_equal_hashes_of_other_words_are_no_match(spark, monkeypatch):
+    """With one hash for all windows the words alone decide."""
+    monkeypatch.setattr(D, "_windows", lambda hashes, size: F.when(F.size(hashes) >= size, F.transform(F.sequence(F.lit(0), F.size(hashes) - size), lambda i: F.lit(7).cast("long"))))
+    new = ITEM.replace("40 miles", "65 miles").replace("Anna", "Boris")
+    assert leaked(spark, [ITEM, new, FILL, OTHER]) == {(0, 0), (1, 0), (3, 1)}
+
+
+def test_a_window_that_all_documents_share(spark, monkeypatch):
+    """The rows of a hot window meet the items in several tasks, none lost and none twice."""
+    monkeypatch.setattr(D, "BROADCAST_ROWS", 0)
+    texts = [f"{FILL} {i}. {ITEM}" for i in range(60)]
+    assert leaked(spark, texts) == {(i, 0) for i in range(60)}
+    rows = spark.range(4000).select(F.when(F.col("id") % 10 < 7, 1).otherwise(F.col("id")).alias("key"), "id")
+    table = spark.createDataFrame([(1, "a"), (1, "b"), (38, "c"), (None, "d")], "key long, v string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # it would put small partitions into one task
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    got = salted_join(rows, table, "key", ["id"])
+    assert got.groupBy("v").count().orderBy("v").collect() == [("a", 2800), ("b", 2800), ("c", 1)]
+    parts = got.filter("key = 1").groupBy(F.spark_partition_id()).count().collect()
+    spark.conf.unset("spark.sql.adaptive.enabled")
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(parts) > 1
+
+
 def test_copies_dense_in_placeholders(spark):
     """Word for word copies are leaks however many of their tokens are placeholders; other values in them are none."""
     items = ["What is 12 * 7 + 3", "add 11 12 13 14 15 16 17 18 19 20 21 22 23", "the guests were Anna Boris Clara David Emma Frank Greta Hans Irene Jonas"]

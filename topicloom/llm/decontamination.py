@@ -1,9 +1,10 @@
 """Benchmark decontamination by templates: typed placeholders, window hashes, slot consistency.
 
 Texts become tokens without punctuation and in lower case, and templates in which
-numbers, the units after them and names (capitalised words inside a sentence, also
-after a line break, a quote or a bracket) are placeholders of their type; a run of
-numbers or of names is one placeholder. White space is made one blank first. A second
+numbers (in digits or in words), the units after them and names (capitalised words
+inside a sentence, also after a line break, a quote or a bracket) are placeholders of
+their type; a run of numbers or of names is one placeholder. White space is made one
+blank first. A second
 template has no names, for copies in another case; an item's first word, which may stand
 inside a sentence of the document, is taken both as a word and as a name that must be
 the same. Windows of WINDOW template tokens of the benchmark (SHORT of items with
@@ -13,7 +14,10 @@ whatever they hold. Windows of one document and item that lie on one diagonal, o
 diagonals at most SHIFT words apart (a word more or less), belong to one occurrence. It
 is a leak if it covers COVER tokens (all of a shorter item), half as many of them
 outside placeholders, and its slots are consistent: one value of the item stands for
-one value of the document throughout, and the other way round. So an item with new
+one value of the document throughout, and the other way round. Runs of equally many
+names, or of numbers in digits, are compared word by word, so a name inside a run is held
+against the same name alone; other runs, and a number in words, are one value. Matches by
+hash are held against the words: all outside placeholders must be equal. So an item with new
 numbers or names is caught, a text that shares its phrases with changing values is not,
 unless windows of plain words cover COVER tokens of the item.
 
@@ -22,10 +26,11 @@ they leak where they are a whole line of a document.
 
 Everything is DataFrame operations. All sizes and templates of a document are made in
 one pass: each token is hashed once, and a window's hash is one of its tokens' hashes.
-The benchmark's windows are broadcast up to BROADCAST_ROWS of them (about 40 bytes
+The benchmark's windows are broadcast up to BROADCAST_ROWS of them (some 300 bytes
 each); beyond that their hashes alone thin the documents' windows, up to
-BROADCAST_HASHES (8 bytes each), and then a shuffle joins. Matches are pre-reduced to
-the pairs of windows; no text is shuffled.
+BROADCAST_HASHES (8 bytes each), and then a shuffle joins, in which the rows of a window
+that is common in documents are dealt to several tasks. Matches are pre-reduced to the
+pairs of windows; of a text no more than the words of its matching windows is shuffled.
 
 Defined results: null and blank texts have no windows; repeated rows count once; rows
 that share an id count by their texts; a null doc_id is reported as null; an empty
@@ -38,6 +43,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from topicloom.llm._skew import salted_join
 from topicloom.llm._spark import cut, text_key, without
 
 WINDOW, COVER = 8, 13
@@ -55,6 +61,9 @@ UNITS = (
     "mm cm m km inch inches ft foot feet yard yards mile miles mg g kg t ton tons tonne tonnes oz lb lbs pound pounds ml cl l liter liters litre litres gallon gallons ms s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years "
     "usd eur gbp dollar dollars euro euros cent cents yen percent degree degrees celsius fahrenheit kelvin hz khz mhz ghz w kw mw watt watts v volt volts j kj kcal calorie calories n pa kpa bar mph kmh kb mb gb tb bit bits byte bytes"
 )
+_DIGITS = "one|two|three|four|five|six|seven|eight|nine"
+#: Numbers in words, without hyphens.
+NUMBER_WORDS = f"(?:twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety)(?:{_DIGITS})?|zero|{_DIGITS}|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen|hundred|thousand|million|billion"
 
 
 def tokens_of(text: Column) -> tuple[Column, Column, Column]:
@@ -66,7 +75,7 @@ def tokens_of(text: Column) -> tuple[Column, Column, Column]:
     named = F.regexp_replace(text, r"(?=\p{Lu}\p{Ll})(?<=[\p{Ll}\p{Nd},;:)\]\"'\u2019\u201D\u00BB] [\"'(\[\u2018\u201C\u00AB]?)", _NAME)
     marked = F.regexp_replace(F.lower(named), r"[^a-z0-9\x01 \p{L}\p{N}]+", "")
     marked = F.trim(F.regexp_replace(marked, "  +", " "))
-    numbers = F.regexp_replace(marked, r"(?=\p{Nd})(?<![^ ])\p{Nd}[^ ]*", _NUMBER)
+    numbers = F.regexp_replace(marked, rf"(?=[\p{{Nd}}\x01befhmnostz])(?<![^ ])(?:\p{{Nd}}[^ ]*|\x01?(?:{NUMBER_WORDS})(?![^ ]))", _NUMBER)
     numbers = F.regexp_replace(numbers, rf"(?<=\x02 )\x01?(?:{'|'.join(UNITS.split())})(?![^ ])", _UNIT)
     numbers = F.regexp_replace(numbers, r"(?<=[\x02\x04] )\x02", _JOINED)
     names = F.regexp_replace(numbers, r"\x01[^ ]*", _NAME)
@@ -81,9 +90,9 @@ def _joined(column: str) -> list[Column]:
     return [F.when(some, F.filter(column, lambda x: x != _JOINED)).otherwise(F.col(column)).alias(f"c{column}"), F.when(some, starts).alias(f"s{column}")]
 
 
-def _starts(at: str, places: str) -> Column:
+def _starts(at: str, places: str, size: str = "size") -> Column:
     """Places of the tokens of a window among the plain ones (p), and of the token after it."""
-    span = F.sequence(F.col(at), F.col(at) + F.col("size"))
+    span = F.sequence(F.col(at), F.col(at) + F.col(size))
     return F.when(F.col(places).isNull(), span).otherwise(F.transform(span, lambda i: F.coalesce(F.get(places, i), F.size("p"))))
 
 
@@ -92,6 +101,13 @@ def _values(starts: str) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(starts) - 1), lambda i: F.array_join(F.slice("p", F.element_at(starts, i) + 1, F.element_at(starts, i + 1) - F.element_at(starts, i)), " "))
 
 
+def _slot_pairs() -> Column:
+    """What a slot's values dw (document) and iw (item) must be consistent in: each of their words, or the runs as a whole."""
+    d, i = F.split("dw", " "), F.split("iw", " ")
+    apart = (F.size(d) == F.size(i)) & ((F.col("tw") == _NAME) | ~F.concat_ws(" ", "dw", "iw").rlike(r"(?:^| )\P{Nd}"))
+    return F.when(apart, F.zip_with(d, i, lambda x, y: F.struct(x.alias("dw"), y.alias("iw")))).otherwise(F.array(F.struct("dw", "iw")))
+
+
 def _is_slot(token: Column) -> Column:
     return token.isin(_NAME, _NUMBER, _UNIT)
 
@@ -107,29 +123,28 @@ def _windows(hashes: str, size: int) -> Column:
 
 
 def _wanted(items: DataFrame, window: int, short: int) -> DataFrame:
-    """The windows of the items: hash, kind, size, item_id, ipos, n_tokens, fixed, iat (see _starts), for templates the words iw and tokens tw.
+    """The windows of the items: hash, kind, size, item_id, ipos, n_tokens, fixed, iat (see _starts), the words iw and for templates the tokens tw.
 
     All windows of plain words (kind 0), and those with numbers (1) or names (2) that are not mostly placeholders (of a
     short item: windows of an item that is not). An item's first word is a name or not by what stands before it: in a
     fixed window it is one, but must be the same.
     """
-    n, no_words = F.size("p"), F.lit(None).cast("array<string>")
-    out = None
+    n, out = F.size("p"), None
     for kind, column, fixed in ((0, "p", False), (1, "t1", False), (2, "t2", False), (2, "b2", True)):
         rows = items.filter((F.element_at("b2", 1) == _NAME) & (F.element_at("t2", 1) != _NAME)) if fixed else items
         rows = rows.select("item_id", "p", n.alias("n_tokens"), *_joined(column)).withColumnsRenamed({f"c{column}": "c", f"s{column}": "s"}).withColumn("h", _hashes("c"))
         for size in dict.fromkeys((window, short)):
             some = rows.filter(F.size("c") >= size if size == window else F.size("c").between(size, window - 1)).withColumn("size", F.lit(size))
-            some = some.select("*", F.posexplode(_windows("h", size)).alias("k", "hash")).withColumn("iat", _starts("k", "s"))
+            some = some.select("*", F.posexplode(_windows("h", size)).alias("k", "hash")).withColumn("iat", _starts("k", "s")).withColumn("iw", _values("iat"))
             if kind:
-                some = some.withColumns({"iw": _values("iat"), "tw": F.slice("c", F.col("k") + 1, F.col("size"))})
+                some = some.withColumn("tw", F.slice("c", F.col("k") + 1, F.col("size")))
                 if fixed:
                     some = some.filter("k = 0").withColumn("tw", F.concat(F.slice("iw", 1, 1), F.slice("tw", 2, size)))
                 slots = F.filter("tw", _is_slot)
                 whole = F.size(slots) if size == window else F.size(F.filter("c", _is_slot))
                 some = some.filter((F.array_contains(slots, _NAME) if kind == 2 else F.size(slots) > 0) & (F.size(slots) < F.col("size")) & (2 * whole <= (F.col("size") if size == window else F.size("c"))))
             else:
-                some = some.withColumns({"iw": no_words, "tw": no_words})
+                some = some.withColumn("tw", F.lit(None).cast("array<string>"))
             some = some.select("hash", F.lit(kind).alias("kind"), "size", "item_id", F.col("iat")[0].alias("ipos"), "n_tokens", F.lit(fixed).alias("fixed"), "iat", "iw", "tw")
             out = some if out is None else out.unionByName(some)
     return out
@@ -165,22 +180,28 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cover: in
         found = cut(wanted.select("hash").distinct())
         hashes = F.broadcast(found) if found.count() <= BROADCAST_HASHES else None
     base = docs.select(*text_key(), plain.alias("p"), numbers.alias("t1"), names.alias("t2"))
-    # a template that equals the one before has no windows of its own; plain windows take no words along
+    # a template that equals the one before has no windows of its own
     base = base.select("_id", "_th", "p", (F.col("t1") != F.col("p")).alias("d1"), (F.col("t2") != F.col("t1")).alias("d2"), *_joined("t1"), *_joined("t2"))
     tokens = {0: F.col("p"), 1: F.when(F.col("d1"), F.col("ct1")), 2: F.when(F.col("d2"), F.col("ct2"))}
     starts = {0: F.lit(None).cast("array<int>"), 1: F.col("st1"), 2: F.col("st2")}
-    words = {0: F.lit(None).cast("array<string>"), 1: F.col("p"), 2: F.col("p")}
-    branches = [F.struct(F.lit(size).alias("z"), _hashes(tokens[kind]).alias("h"), starts[kind].alias("s"), words[kind].alias("p")) for kind, size in sorted(kinds)]
+    branches = [F.struct(F.lit(size).alias("z"), _hashes(tokens[kind]).alias("h"), starts[kind].alias("s"), "p") for kind, size in sorted(kinds)]
     places = base.select("_id", "_th", F.explode(F.array(*branches)).alias("b")).select("_id", "_th", "b.*").filter(F.size("h") >= F.col("z"))
     sizes = {size for _, size in kinds}
     of_size = _windows("h", window) if sizes == {window} else _windows("h", short) if sizes == {short} else F.when(F.col("z") == window, _windows("h", window)).otherwise(_windows("h", short))
-    places = places.select("_id", "_th", "p", "s", F.posexplode(of_size).alias("k", "hash"))
-    if hashes is not None:
-        places = places.join(hashes, "hash", "left_semi")
-    met = places.join(wanted, "hash").withColumn("dat", _starts("k", "s")).withColumn("dw", F.when(F.col("kind") > 0, _values("dat"))).withColumn("diagonal", F.col("dat")[0] - F.col("ipos"))
+    places = places.select("_id", "_th", "z", "p", "s", F.posexplode(of_size).alias("k", "hash"))
+    words = {"dat": _starts("k", "s", "z"), "dw": _values("dat")}
+    if n_wanted <= BROADCAST_ROWS:
+        met = places.join(wanted, "hash").withColumn("dat", words["dat"]).withColumn("dw", words["dw"])
+    else:
+        if hashes is not None:
+            places = places.join(hashes, "hash", "left_semi")
+        places = places.withColumn("dat", words["dat"]).select("_id", "_th", "k", "hash", "dat", words["dw"].alias("dw"))
+        met = salted_join(cut(places) if hashes is not None else places, wanted, "hash", ["_id", "_th", "k"])
+    # a hash says that windows may be equal; the words decide
+    equal = F.forall(F.arrays_zip("dw", "iw", "tw"), lambda c: (c["dw"] == c["iw"]) | _is_slot(c["tw"]))
+    met = met.withColumn("tw", F.coalesce("tw", "iw")).filter((F.size("dw") == F.size("iw")) & equal).withColumn("diagonal", F.col("dat")[0] - F.col("ipos"))
     pair = ["_id", "_th", "item_id", "n_tokens"]
     matches = cut(met.select(*pair, "kind", "fixed", "diagonal", "ipos", "dat", "iat", "dw", "iw", "tw").dropDuplicates([*pair, "kind", "fixed", "diagonal", "ipos"]))
-    matches = matches.filter(~F.col("fixed") | (F.col("dw")[0] == F.col("iw")[0]))
 
     # occurrences: each diagonal alone, and neighbouring ones together
     order = Window.partitionBy(*pair).orderBy("diagonal")
@@ -190,11 +211,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cover: in
     matches = cut(matches.join(chains, [*pair, "diagonal"]).withColumn("part", F.explode(both)))
     where = [*pair, "part"]
     # a place of the item and one of the document count once, so that repeats in one do not fill the other
-    cell = F.flatten(F.transform(F.sequence(F.lit(0), F.size("iat") - 2), lambda j: F.transform(F.sequence(F.get("iat", j), F.get("iat", j + 1) - 1), lambda i: F.struct(i.alias("at"), (F.get("dat", j).cast("long") * 2**20 + i - F.get("iat", j)).alias("there"), F.coalesce(~_is_slot(F.get("tw", j)), F.lit(True)).alias("word")))))
+    cell = F.flatten(F.transform(F.sequence(F.lit(0), F.size("iat") - 2), lambda j: F.transform(F.sequence(F.get("iat", j), F.get("iat", j + 1) - 1), lambda i: F.struct(i.alias("at"), (F.get("dat", j).cast("long") * 2**20 + i - F.get("iat", j)).alias("there"), (~_is_slot(F.get("tw", j))).alias("word")))))
     cells = matches.select(*where, (F.col("kind") == 0).alias("same"), F.explode(cell).alias("c"))
     sides = [cells.groupBy(*where, F.col(f"c.{c}").alias("at")).agg(F.bool_or("same").alias("same"), F.bool_or("c.word").alias("word")).groupBy(*where).agg(F.count("*").alias("n"), F.count_if("same").alias("e"), F.count_if("word").alias("w")) for c in ("at", "there")]
     covered = sides[0].unionByName(sides[1]).groupBy(*where).agg(F.min("n").alias("covered"), F.min("e").alias("exact"), F.min("w").alias("words"))
-    slots = cut(matches.filter("kind > 0").select(*where, F.explode(F.arrays_zip("dw", "iw", "tw")).alias("c")).select(*where, "c.*").filter(_is_slot(F.col("tw"))).distinct())
+    slots = cut(matches.filter("kind > 0").select(*where, F.explode(F.arrays_zip("dw", "iw", "tw")).alias("c")).select(*where, "c.*").filter(_is_slot(F.col("tw"))).select(*where, "tw", F.inline(_slot_pairs())).distinct())
     twice = slots.groupBy(*where, "tw", "iw").count().select(*where, "count").unionByName(slots.groupBy(*where, "tw", "dw").count().select(*where, "count"))
     odd = twice.groupBy(*where).agg((F.max("count") > 1).alias("odd"))
     need = F.least(F.lit(cover), F.col("n_tokens"))
