@@ -232,7 +232,7 @@ def test_numbers_in_words(spark):
 
 def test_equal_hashes_of_other_words_are_no_match(spark, monkeypatch):
     """With one hash for all windows the words alone decide."""
-    monkeypatch.setattr(D, "_windows", lambda hashes, size: F.when(F.size(hashes) >= size, F.transform(F.sequence(F.lit(0), F.size(hashes) - size), lambda i: F.lit(7).cast("long"))))
+    monkeypatch.setattr(D, "_window_hash", lambda i, size: F.lit(7).cast("long"))
     new = ITEM.replace("40 miles", "65 miles").replace("Anna", "Boris")
     assert leaked(spark, [ITEM, new, FILL, OTHER]) == {(0, 0), (1, 0), (3, 1)}
 

@@ -30,7 +30,8 @@ The benchmark's windows are broadcast up to BROADCAST_ROWS of them (some 300 byt
 each); beyond that their hashes alone thin the documents' windows, up to
 BROADCAST_HASHES (8 bytes each), and then a shuffle joins, in which the rows of a window
 that is common in documents are dealt to several tasks. Matches are pre-reduced to the
-pairs of windows; of a text no more than the words of its matching windows is shuffled.
+pairs of windows. Those of plain words are held against the texts that have any, in a
+second reading; where too many documents have some for a broadcast, these texts are shuffled.
 
 Defined results: null and blank texts have no windows; repeated rows count once; rows
 that share an id count by their texts; a null doc_id is reported as null; an empty
@@ -44,7 +45,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicloom.llm._skew import salted_join
-from topicloom.llm._spark import cut, text_key, without
+from topicloom.llm._spark import cut, text_key, thinned, without
 
 WINDOW, COVER = 8, 13
 #: Windows of items with fewer than WINDOW tokens; items with fewer than this must be a whole line.
@@ -90,15 +91,15 @@ def _joined(column: str) -> list[Column]:
     return [F.when(some, F.filter(column, lambda x: x != _JOINED)).otherwise(F.col(column)).alias(f"c{column}"), F.when(some, starts).alias(f"s{column}")]
 
 
-def _starts(at: str, places: str, size: str = "size") -> Column:
-    """Places of the tokens of a window among the plain ones (p), and of the token after it."""
-    span = F.sequence(F.col(at), F.col(at) + F.col(size))
-    return F.when(F.col(places).isNull(), span).otherwise(F.transform(span, lambda i: F.coalesce(F.get(places, i), F.size("p"))))
+def _starts() -> Column:
+    """Places of the tokens of a window among the plain ones, and of the token after it (see _windows)."""
+    span = F.sequence(F.lit(0), F.col("size"))
+    return F.when(F.col("starts").isNull(), F.transform(span, lambda j: F.col("at") + j)).otherwise(F.transform(span, lambda j: F.coalesce(F.get("starts", j), F.col("at") + F.size("words"))))
 
 
 def _values(starts: str) -> Column:
     """The words of each token of a window."""
-    return F.transform(F.sequence(F.lit(1), F.size(starts) - 1), lambda i: F.array_join(F.slice("p", F.element_at(starts, i) + 1, F.element_at(starts, i + 1) - F.element_at(starts, i)), " "))
+    return F.transform(F.sequence(F.lit(1), F.size(starts) - 1), lambda i: F.array_join(F.slice("words", F.element_at(starts, i) - F.col("at") + 1, F.element_at(starts, i + 1) - F.element_at(starts, i)), " "))
 
 
 def _slot_pairs() -> Column:
@@ -116,10 +117,23 @@ def _hashes(tokens) -> Column:
     return F.transform(tokens, lambda x: F.xxhash64(x))
 
 
-def _windows(hashes: str, size: int) -> Column:
-    """Hashes of all windows of size tokens, in order, from those of the tokens."""
-    one = lambda i: F.xxhash64(*[F.get(F.col(hashes), i + j) for j in range(size)])
-    return F.when(F.size(hashes) >= size, F.transform(F.sequence(F.lit(0), F.size(hashes) - size), one))
+def _window_hash(i: Column, size: int) -> Column:
+    return F.xxhash64(*[F.get(F.col("h"), i + j) for j in range(size)])
+
+
+def _windows(size: int) -> Column:
+    """All windows of size tokens (h: their hashes, s: their places in the plain tokens p), in order: hash, at, words, starts.
+
+    A window takes its own words along and no others, so rows stay in proportion to the texts; words is null where p is,
+    starts where each token is one word.
+    """
+
+    def one(i: Column) -> Column:
+        at = F.coalesce(F.get("s", i), i)
+        end = F.coalesce(F.get("s", i + size), F.when(F.col("s").isNull(), i + size).otherwise(F.size("p")))
+        return F.struct(_window_hash(i, size).alias("hash"), at.alias("at"), F.slice("p", at + 1, end - at).alias("words"), F.slice("s", i + 1, size + 1).alias("starts"))
+
+    return F.when(F.size("h") >= size, F.transform(F.sequence(F.lit(0), F.size("h") - size), one))
 
 
 def _wanted(items: DataFrame, window: int, short: int) -> DataFrame:
@@ -135,7 +149,7 @@ def _wanted(items: DataFrame, window: int, short: int) -> DataFrame:
         rows = rows.select("item_id", "p", n.alias("n_tokens"), *_joined(column)).withColumnsRenamed({f"c{column}": "c", f"s{column}": "s"}).withColumn("h", _hashes("c"))
         for size in dict.fromkeys((window, short)):
             some = rows.filter(F.size("c") >= size if size == window else F.size("c").between(size, window - 1)).withColumn("size", F.lit(size))
-            some = some.select("*", F.posexplode(_windows("h", size)).alias("k", "hash")).withColumn("iat", _starts("k", "s")).withColumn("iw", _values("iat"))
+            some = some.select("*", F.posexplode(_windows(size)).alias("k", "w")).select("*", "w.*").withColumn("iat", _starts()).withColumn("iw", _values("iat"))
             if kind:
                 some = some.withColumn("tw", F.slice("c", F.col("k") + 1, F.col("size")))
                 if fixed:
@@ -180,28 +194,32 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cover: in
         found = cut(wanted.select("hash").distinct())
         hashes = F.broadcast(found) if found.count() <= BROADCAST_HASHES else None
     base = docs.select(*text_key(), plain.alias("p"), numbers.alias("t1"), names.alias("t2"))
-    # a template that equals the one before has no windows of its own
+    # a template that equals the one before has no windows of its own; plain windows, the most, take no words along
     base = base.select("_id", "_th", "p", (F.col("t1") != F.col("p")).alias("d1"), (F.col("t2") != F.col("t1")).alias("d2"), *_joined("t1"), *_joined("t2"))
     tokens = {0: F.col("p"), 1: F.when(F.col("d1"), F.col("ct1")), 2: F.when(F.col("d2"), F.col("ct2"))}
     starts = {0: F.lit(None).cast("array<int>"), 1: F.col("st1"), 2: F.col("st2")}
-    branches = [F.struct(F.lit(size).alias("z"), _hashes(tokens[kind]).alias("h"), starts[kind].alias("s"), "p") for kind, size in sorted(kinds)]
+    words = {0: F.lit(None).cast("array<string>"), 1: F.col("p"), 2: F.col("p")}
+    branches = [F.struct(F.lit(size).alias("z"), _hashes(tokens[kind]).alias("h"), starts[kind].alias("s"), words[kind].alias("p")) for kind, size in sorted(kinds)]
     places = base.select("_id", "_th", F.explode(F.array(*branches)).alias("b")).select("_id", "_th", "b.*").filter(F.size("h") >= F.col("z"))
     sizes = {size for _, size in kinds}
-    of_size = _windows("h", window) if sizes == {window} else _windows("h", short) if sizes == {short} else F.when(F.col("z") == window, _windows("h", window)).otherwise(_windows("h", short))
-    places = places.select("_id", "_th", "z", "p", "s", F.posexplode(of_size).alias("k", "hash"))
-    words = {"dat": _starts("k", "s", "z"), "dw": _values("dat")}
+    of_size = _windows(window) if sizes == {window} else _windows(short) if sizes == {short} else F.when(F.col("z") == window, _windows(window)).otherwise(_windows(short))
+    places = places.select("_id", "_th", F.explode(of_size).alias("w")).select("_id", "_th", "w.*")
     if n_wanted <= BROADCAST_ROWS:
-        met = places.join(wanted, "hash").withColumn("dat", words["dat"]).withColumn("dw", words["dw"])
+        met = places.join(wanted, "hash")
+    elif hashes is not None:
+        met = salted_join(cut(places.join(hashes, "hash", "left_semi")), wanted, "hash", ["_id", "_th", "at"])
     else:
-        if hashes is not None:
-            places = places.join(hashes, "hash", "left_semi")
-        places = places.withColumn("dat", words["dat"]).select("_id", "_th", "k", "hash", "dat", words["dw"].alias("dw"))
-        met = salted_join(cut(places) if hashes is not None else places, wanted, "hash", ["_id", "_th", "k"])
+        met = salted_join(places, wanted, "hash", ["_id", "_th", "at"])
+    met = met.withColumn("dat", _starts()).withColumn("dw", _values("dat"))
+    met = met.withColumn("diagonal", F.col("dat")[0] - F.col("ipos"))
+    pair = ["_id", "_th", "item_id", "n_tokens"]
+    matches = cut(met.select(*pair, "kind", "fixed", "diagonal", "ipos", "dat", "iat", "dw", "iw", F.coalesce("tw", "iw").alias("tw")).dropDuplicates([*pair, "kind", "fixed", "diagonal", "ipos"]))
     # a hash says that windows may be equal; the words decide
     equal = F.forall(F.arrays_zip("dw", "iw", "tw"), lambda c: (c["dw"] == c["iw"]) | _is_slot(c["tw"]))
-    met = met.withColumn("tw", F.coalesce("tw", "iw")).filter((F.size("dw") == F.size("iw")) & equal).withColumn("diagonal", F.col("dat")[0] - F.col("ipos"))
-    pair = ["_id", "_th", "item_id", "n_tokens"]
-    matches = cut(met.select(*pair, "kind", "fixed", "diagonal", "ipos", "dat", "iat", "dw", "iw", "tw").dropDuplicates([*pair, "kind", "fixed", "diagonal", "ipos"]))
+    templates, same = matches.filter("kind > 0").filter((F.size("dw") == F.size("iw")) & equal), matches.filter("kind = 0")
+    texts = thinned(docs.select(*text_key(), "text"), "_id", same, "_id").select("_id", "_th", plain.alias("p"))
+    same = texts.join(same, ["_id", "_th"]).filter(F.slice("p", F.col("dat")[0] + 1, F.size("iw")) == F.col("iw"))
+    matches = cut(templates.unionByName(same.select(*templates.columns)))
 
     # occurrences: each diagonal alone, and neighbouring ones together
     order = Window.partitionBy(*pair).orderBy("diagonal")
