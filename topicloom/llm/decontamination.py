@@ -218,7 +218,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cover: in
     equal = F.forall(F.arrays_zip("dw", "iw", "tw"), lambda c: (c["dw"] == c["iw"]) | _is_slot(c["tw"]))
     templates, same = matches.filter("kind > 0").filter((F.size("dw") == F.size("iw")) & equal), matches.filter("kind = 0")
     texts = thinned(docs.select(*text_key(), "text"), "_id", same, "_id").select("_id", "_th", plain.alias("p"))
-    same = texts.join(same, ["_id", "_th"]).filter(F.slice("p", F.col("dat")[0] + 1, F.size("iw")) == F.col("iw"))
+    # word by word: a slice would copy all words of a text for each match
+    alike = F.forall(F.sequence(F.lit(0), F.size("iw") - 1), lambda j: F.get("p", F.col("dat")[0] + j) == F.get("iw", j))
+    same = texts.join(same, ["_id", "_th"]).filter(alike)
     matches = cut(templates.unionByName(same.select(*templates.columns)))
 
     # occurrences: each diagonal alone, and neighbouring ones together
