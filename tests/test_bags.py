@@ -1,0 +1,67 @@
+"""Bags that are counted where the documents lie."""
+
+from __future__ import annotations
+
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from topicloom.functions import text as T
+from topicloom.operators import bow as B
+from topicloom.operators import relational_estep as R
+from topicloom.operators import vocabulary as V
+
+TEXTS = ["Alpha beta\r\nalpha", None, "", "\n", " al'pha  BETA9 é日 beta\tgamma\n", "İK   beta alpha", "x" * 5000 + " gamma"]
+
+
+@pytest.fixture(scope="module")
+def vocab(spark):
+    return spark.createDataFrame([(2, "alpha"), (0, "beta"), (1, "gamma")], "word_id int, word string")
+
+
+def _docs(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bytes_and_columns_give_the_same_words(spark):
+    rows = _docs(spark, list(enumerate(TEXTS))).select("text", T.cleaned_words(F.col("text")).alias("w")).collect()
+    assert [[w.decode() for w in T.cleaned_bytes(r["text"] and r["text"].encode())] for r in rows] == [r["w"] or [] for r in rows]
+
+
+@pytest.mark.parametrize("tokenizer", [T.cleaned_words, T.treebank_words])
+@pytest.mark.parametrize("ids", [range(7), [3, 3, None, 1, 1, 3, None]])
+def test_counts_in_place_are_those_of_a_grouping(spark, vocab, monkeypatch, tokenizer, ids):
+    docs = _docs(spark, list(zip(ids, TEXTS)))
+    key = lambda r: tuple(str(x) for x in r)
+    want = sorted(map(tuple, V._grouped_counts(docs, tokenizer).collect()), key=key)
+    assert sorted(map(tuple, V.document_counts(docs, tokenizer).collect()), key=key) == want
+    total, held = Counter(), Counter()
+    for _, w, n in want:
+        total[w] += n
+        held[w] += 1
+    assert {r["word"]: (r["word_count"], r["doc_freq"]) for r in V.word_counts(docs, tokenizer).collect()} == {w: (total[w], held[w]) for w in total}
+    monkeypatch.setattr(B, "HELD", 2)
+    number = {"alpha": 2, "beta": 0, "gamma": 1}
+    assert sorted(map(tuple, B.bag_of_words(docs, vocab, tokenizer).collect()), key=key) == sorted(((i, number[w], n) for i, w, n in want if w in number), key=key)
+    got = [(r["doc_id"], r["word_ids"], r["counts"]) for r in B.bags(docs, vocab, tokenizer).collect()]
+    packed = B.packed_bags(docs, B.bag_of_words(docs, vocab, tokenizer))
+    assert sorted(got, key=key) == sorted(((r["doc_id"], r["word_ids"], r["counts"]) for r in packed.collect()), key=key)
+
+
+def test_no_shuffle_of_words(spark, vocab):
+    docs = _docs(spark, list(enumerate(TEXTS)))
+    assert "Exchange" not in _plan(B.bag_of_words(docs, vocab)) and "Exchange" not in _plan(V.document_counts(docs))
+    assert "Exchange" not in _plan(B.bags(docs, vocab))
+
+
+def test_words_meet_gamma_without_being_shuffled(spark, vocab):
+    docs = _docs(spark, list(enumerate(TEXTS)))
+    gamma = docs.select("doc_id", F.array(F.lit(1.0), F.lit(2.0)).alias("gamma"))
+    beta = vocab.select("word_id", F.array(F.lit(0.25), F.lit(0.5)).alias("beta"))
+    rows = lambda df: sorted((r["doc_id"], r["word_id"], r["n"], round(r["phi"], 9)) for r in df.collect())
+    assert rows(R.phi_norms(B.bags(docs, vocab), gamma, beta, 3)) == rows(R.phi_norms(B.bag_of_words(docs, vocab), gamma, beta, 3))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.functions.arrays import dot
+from topicloom.operators.bow import unpacked
 from topicloom.operators.evaluate import expectation_rows
 from topicloom.operators.kernel import FLOOR
 
@@ -22,9 +23,11 @@ def phi_norms(bow: DataFrame, gamma: DataFrame, beta_rows: DataFrame, n_words: i
     """doc_id, word_id, n, phi, theta, beta: the normaliser of each word of each document.
 
     n_words, the rows of beta_rows where known: up to BROADCAST_WORDS they are broadcast, else joined by a shuffle.
+    bow may be packed bags: then documents, not their words, are shuffled to meet gamma.
     """
     known = F.broadcast(beta_rows) if n_words is not None and n_words <= BROADCAST_WORDS else beta_rows
-    met = bow.join(known, "word_id").join(theta_rows(gamma), "doc_id")
+    theta = theta_rows(gamma)
+    met = (unpacked(bow.join(theta, "doc_id"), "theta") if "word_ids" in bow.columns else bow.join(theta, "doc_id")).join(known, "word_id")
     return met.select("doc_id", "word_id", "n", (dot(F.col("theta"), F.col("beta")) + FLOOR).alias("phi"), "theta", "beta")
 
 
