@@ -11,26 +11,44 @@ from topicloom.operators.shared import checkpoint
 from topicloom.operators.vocabulary import vocabulary_from_list
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """path, line: one row per line (no order is implied)."""
+def pack_texts(rows: DataFrame, folder: str) -> None:
+    """Writes (path, text) as a packed corpus: JSON lines, a file of the corpus to each, as many real files as rows has partitions.
+
+    A real file for each text costs a listing, an opening and a rename for each, most of them on the driver.
+    """
+    rows.select("path", F.coalesce("text", F.lit("")).alias("text")).write.json(folder)
+
+
+def _packed(spark: SparkSession, folder: str) -> DataFrame:
+    """path, text; a line that can't be read is an error, whatever its length."""
+    return spark.read.schema("path string, text string").option("mode", "FAILFAST").option("maxStringLen", 2**31 - 1).json(folder)
+
+
+def read_lines(spark: SparkSession, path: str, packed: bool = False) -> DataFrame:
+    """path, line: one row per line (no order is implied), of files or of a packed corpus (see pack_texts)."""
+    if packed:
+        lines = F.split(F.regexp_replace("text", r"(\r\n|\r|\n)\z", ""), r"\r\n|\r|\n", -1)
+        return _packed(spark, path).filter("text <> ''").select("path", F.explode(lines).alias("line"))
     return spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line"))
 
 
-def read_texts(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+def read_texts(spark: SparkSession, path: str, encoding: str = "UTF-8", packed: bool = False) -> DataFrame:
     """path, text: one row per file, lines joined by a space. Hidden files are skipped.
 
-    UTF-8 goes through the text reader; other encodings are decoded from binary files.
+    UTF-8 goes through the text reader; other encodings are decoded from binary files. packed: see pack_texts; there an empty text has a row, too.
     """
-    if encoding.upper().replace("_", "-") in ("UTF-8", "UTF8"):
+    if packed:
+        rows = _packed(spark, path)
+    elif encoding.upper().replace("_", "-") in ("UTF-8", "UTF8"):
         rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     else:
         rows = spark.read.format("binaryFile").load(path).select("path", F.decode("content", encoding).alias("text"))
     return rows.select("path", join_lines(F.col("text")).alias("text"))
 
 
-def read_corpus(spark: SparkSession, path: str, batch_size: int | None = None, encoding: str = "UTF-8") -> DataFrame:
+def read_corpus(spark: SparkSession, path: str, batch_size: int | None = None, encoding: str = "UTF-8", packed: bool = False) -> DataFrame:
     """doc_id (from 0, by path), path, text, and batch_id where batch_size is given. Files are read on the executors."""
-    texts = read_texts(spark, path, encoding)
+    texts = read_texts(spark, path, encoding, packed)
     ids = string_numbers(texts, "path", "doc_id")
     docs = texts.join(ids, "path").select("doc_id", "path", "text")
     if batch_size is None:
