@@ -7,9 +7,9 @@ task is shuffled, not one per document. Training writes the bags once, by miniba
 the shared folder, and each step reads its own.
 
 Two strategies: "broadcast" keeps lambda (K by V doubles) on the driver and sends each
-minibatch exp(E[log beta]), checked against BROADCAST_BYTES (above it, each document is
+minibatch exp(E[log beta]), checked against BROADCAST_BYTES (above it, each chunk of documents is
 brought the topic vectors of its own words by a shuffle join); "join" keeps lambda as a
-table of a row per word that no machine holds whole: the E-step joins it, the M-step is
+table of a row per word that no machine holds whole: the E-step joins it by chunks of documents, the M-step is
 a join with the statistics, and each step's table is written in the shared folder.
 
 Draws depend on (seed, doc_id) only, so results depend neither on the order of
@@ -25,6 +25,7 @@ from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -224,6 +225,7 @@ def _list(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 _ESTEP = "doc_id long, gamma array<double>, n_words long, change double, bound double, word_id int, ss array<double>"
 _NAMES = ["doc_id", "gamma", "n_words", "change", "bound", "word_id", "ss"]
+_ESTEP_ARROW = pa.schema(list(zip(_NAMES, [pa.int64(), pa.list_(pa.float64()), pa.int64(), pa.float64(), pa.float64(), pa.int32(), pa.list_(pa.float64())], strict=True)))
 
 
 def _lists(m: np.ndarray) -> pa.ListArray:
@@ -301,9 +303,8 @@ def infer(bags: DataFrame, lam: np.ndarray, params: LdaParams, gamma0: DataFrame
     """
     spark = bags.sparkSession
     if lam.nbytes > BROADCAST_BYTES:
-        bow = bags.select("doc_id", F.explode(F.arrays_zip(F.col("word_ids").alias("word_id"), F.col("counts").alias("n"))).alias("w")).select("doc_id", "w.*")
         rows = LdaModel(lam, [], params).lambda_rows(spark)
-        return infer_by_join(bags, bow, rows, replace(params, num_topics=lam.shape[0]), gamma0, statistics)
+        return infer_by_join(bags, bags, rows, replace(params, num_topics=lam.shape[0]), gamma0, statistics)
     k, p, own = lam.shape[0], params, params.compat == "distributed"
     shared = spark.sparkContext.broadcast(np.ascontiguousarray((lam if own else _beta(lam)).T))
     if gamma0 is not None:
@@ -336,38 +337,87 @@ def _frequent_rows(bow: DataFrame, lambda_rows: DataFrame, k: int) -> tuple[Data
     return frequent, got["word_id"].to_numpy(np.int64), np.stack(got["weights"].to_list()) if len(got) else np.zeros((0, k))
 
 
+#: Words of documents (distinct in each) that a chunk of the joined E-step holds, and those that are inferred at once.
+CHUNK_WORDS, PART_WORDS = 1 << 19, 1 << 16
+_CHUNK = "chunk long, words array<int>, packet binary"
+
+
+def _chunks(size: int, part_size: int):
+    """Packed bags as chunks of whole documents: a number, the distinct words, the rows in Arrow's format by parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, done, held, n = TaskContext.get().partitionId() << 32, 0, [], 0
+
+        def passed() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for part in held:
+                    out.write_batch(part)
+            words = np.unique(np.concatenate([_list(part.column("word_ids"))[0].to_numpy(zero_copy_only=False) for part in held])).astype(np.int32)
+            row = [pa.array([first + done], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), pa.array(words, pa.int32())), pa.array([sink.getvalue().to_pybytes()], pa.binary())]
+            return pa.RecordBatch.from_arrays(row, ["chunk", "words", "packet"])
+
+        for batch in batches:
+            ends = np.cumsum(_list(batch.column("word_ids"))[1] + 1)  # a document without words has a place too
+            at = 0
+            while at < len(batch):
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + part_size, "right")))
+                held.append(batch.slice(at, to - at))
+                n += int(ends[to - 1] - (ends[at - 1] if at else 0))
+                at = to
+                if n >= size:
+                    yield passed()
+                    held, n, done = [], 0, done + 1
+        if held:
+            yield passed()
+
+    return run
+
+
+def _known(batch: pa.RecordBatch, ids: np.ndarray) -> pa.RecordBatch:
+    """A batch of packed bags without the words that are not in ids (in order)."""
+    values, sizes = _list(batch.column("word_ids"))
+    there = np.isin(values.to_numpy(zero_copy_only=False), ids)
+    if there.all():
+        return batch
+    doc = np.repeat(np.arange(len(sizes)), sizes)[there]
+    ends, kept = pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(sizes)))]), pa.int32()), pa.array(there)
+    lists = {name: pa.ListArray.from_arrays(ends, _list(batch.column(name))[0].filter(kept)) for name in ("word_ids", "counts")}
+    return pa.RecordBatch.from_arrays([lists.get(name, batch.column(name)) for name in batch.schema.names], batch.schema.names)
+
+
 def infer_by_join(docs: DataFrame, bow: DataFrame, lambda_rows: DataFrame, params: LdaParams, gamma0: DataFrame | None = None, statistics: bool = True) -> DataFrame:
     """The E-step for a lambda that fits nowhere: rows as of infer, from bow (doc_id, word_id, n) and (word_id, weights).
 
-    Each document meets the topic vectors of its own words; the normalisers are K sums; statistics are added up in the
-    task. Words of very many documents are not shuffled to their lambda row: those rows, whose number is bounded by the
-    number of partitions, are sent to all tasks and met after documents are put together, so neither a hot word nor its vectors travel.
+    bow may be packed bags of all docs (doc_id, word_ids, counts), which are not shuffled for it. Documents are put together
+    in chunks, written once in the shared folder; a chunk is brought the lambda row of each of its distinct words by a join,
+    however many of its documents hold the word, and infers its documents by parts. So a word's rows in that join are the
+    chunks that hold it, no more, and what is shuffled grows with chunks and their vocabularies, not with
+    documents and theirs. The normalisers are K sums; statistics are added up in the chunk.
     """
     k, p, own = params.num_topics, params, params.compat == "distributed"
     sums = lambda_rows.agg(*[F.sum(F.col("weights")[i]) for i in range(k)]).first()
     totals = digamma(np.array([1.0 if x is None else x for x in sums], float))
-    frequent, hot_ids, hot_rows = _frequent_rows(bow, lambda_rows, k)
-    sent = bow.sparkSession.sparkContext.broadcast((hot_ids, hot_rows))
-    near = with_keys(bow, frequent, "word_id").select("doc_id", "word_id", "n", F.lit(None).cast("array<double>").alias("weights"))
-    far = without_keys(bow, frequent, "word_id").join(lambda_rows, "word_id").select("doc_id", "word_id", "n", "weights")
-    words = near.unionByName(far).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("word_id", "n", "weights"))).alias("bag"))
-    all_docs = docs.select("doc_id").join(words, "doc_id", "left").select("doc_id", F.col("bag.word_id").alias("word_ids"), F.col("bag.n").alias("counts"), F.col("bag.weights").alias("weights"))
+    bags = (bow if "word_ids" in bow.columns else B.packed_bags(docs, bow)).select("doc_id", "word_ids", "counts")
     if gamma0 is not None:
-        all_docs = all_docs.join(gamma0.select("doc_id", F.col("gamma").alias("gamma0")), "doc_id", "left")
-
-    def vectors(batch, words, doc, n_docs):
-        ids, hot = sent.value
-        shuffled = _list(batch.column("weights"))[0]
-        met = ~shuffled.is_null().to_numpy(zero_copy_only=False)
-        rows = np.empty((len(words), k))
-        rows[met] = _list(shuffled)[0].to_numpy(zero_copy_only=False).reshape(int(met.sum()), k)
-        rows[~met] = hot[np.searchsorted(ids, words[~met])]
-        whole = np.exp(digamma(rows) - totals)
-        return (_local_beta(rows, doc, n_docs) if own else whole), whole
-
-    out = all_docs.mapInArrow(lambda batches: _infer_batches(batches, p, k, statistics, vectors), _ESTEP)
-    out.sent = sent
-    return out
+        bags = bags.join(gamma0.select("doc_id", F.col("gamma").alias("gamma0")), "doc_id", "left")
+    chunks = checkpoint(bags.mapInArrow(_chunks(CHUNK_WORDS, PART_WORDS), _CHUNK))  # their numbers hold for both sides of the join
+    asked = chunks.select(F.col("chunk").alias("of"), F.explode("words").alias("word_id")).join(lambda_rows.select("word_id", "weights"), "word_id")
+
+    def run(packets: pa.Table, met: pa.Table) -> pa.Table:
+        ids = met.column("word_id").to_numpy().astype(np.int64)
+        order = np.argsort(ids)
+        ids, found = ids[order], met.column("weights").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, k)[order]
+        whole = np.exp(digamma(found) - totals)
+
+        def vectors(_, words, doc, n_docs):
+            at = np.searchsorted(ids, words)
+            return (_local_beta(found[at], doc, n_docs), whole[at]) if own else (whole[at], whole[at])
+
+        parts = (_known(part, ids) for packet in packets.column("packet") for part in pa.ipc.open_stream(packet.as_buffer()))
+        return pa.Table.from_batches(list(_infer_batches(parts, p, k, statistics, vectors))).cast(_ESTEP_ARROW)
+
+    return chunks.select("chunk", "packet").groupBy("chunk").cogroup(asked.select("of", "word_id", "weights").groupBy("of")).applyInArrow(run, _ESTEP)
 
 
 def m_step_table(lambda_rows: DataFrame, ss: DataFrame, params: LdaParams, batch_size: int, updates: int) -> DataFrame:
@@ -490,13 +540,9 @@ class OnlineLda:
     def table_step(self, model: TableModel, bags: DataFrame, n_words: int, gamma0: DataFrame | None = None) -> TableModel:
         """One minibatch of packed bags with lambda as a table of n_words rows: statistics and the next lambda are written in model.scratch, the last ones removed."""
         p, scratch, updates = self.params, model.scratch, model.num_updates
-        bow = bags.select("doc_id", F.explode(F.arrays_zip(F.col("word_ids").alias("word_id"), F.col("counts").alias("n"))).alias("w")).select("doc_id", "w.*")
-        rows = infer_by_join(bags, bow, model.rows, p, gamma0)
-        sent = rows.sent
-        rows, seen = Progress.watch(rows)
+        rows, seen = Progress.watch(infer_by_join(bags, bags, model.rows, p, gamma0))
         ss = scratch.save(sum_statistics(rows.filter("word_id is not null"), p.num_topics), f"statistics-{updates}")
         told = Progress.of(seen)
-        sent.destroy()
         if not told.size:
             return model
         step, figures = replace(p, total_docs=p.total_docs or told.size), list(model.perplexities)
@@ -542,7 +588,7 @@ class OnlineLda:
     def transform(self, docs: DataFrame, model: LdaModel | TableModel, double: bool = False, gamma0: DataFrame | None = None) -> DataFrame:
         """doc_id, topic, proportion. double=True takes the Dirichlet expectation of lambda twice, as a known variant does."""
         if isinstance(model, TableModel):
-            return proportions(infer_by_join(docs, B.bag_of_words(docs, model.vocab, self.tokenizer), model.rows, self.params, gamma0, False).select("doc_id", "gamma"))
+            return proportions(infer_by_join(docs, B.bags(docs, model.vocab, self.tokenizer), model.rows, self.params, gamma0, False).select("doc_id", "gamma"))
         lam = _beta(model.lam) if double else model.lam
         return proportions(infer(self.bags(docs, model), lam, self.params, gamma0, statistics=False).select("doc_id", "gamma"))
 
