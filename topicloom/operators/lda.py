@@ -38,6 +38,8 @@ from topicloom.operators.shared import Scratch, checkpoint
 from topicloom.operators.skew import frequent_keys, with_keys, without_keys
 
 BROADCAST_BYTES = 256 << 20
+#: A lambda that fit_rows keeps on the driver: its large minibatches take it there several times over, as dense matrices, statistics and broadcasts.
+DRIVER_BYTES = 16 << 20
 #: Progress, and topics every log_every minibatches; switched by its level.
 log = logging.getLogger("topicloom")
 
@@ -454,7 +456,7 @@ class OnlineLda:
         rows = infer(bags, model.lam, self.params, gamma0)
         sent = getattr(rows, "sent", None)
         rows, seen = Progress.watch(rows)
-        got = sum_statistics(rows.filter("word_id is not null"), model.num_topics).toPandas()
+        got = sum_statistics(rows.filter("word_id is not null"), model.num_topics).toArrow()
         told = Progress.of(seen)
         if sent is not None:
             sent.destroy()
@@ -462,7 +464,7 @@ class OnlineLda:
             return model
         ss = np.zeros_like(model.lam)
         if len(got):
-            ss[:, got["word_id"].to_numpy(int)] = np.stack(got["ss"].to_list(), axis=1)
+            ss[:, got.column("word_id").to_numpy()] = got.column("ss").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, model.num_topics).T
         return self._updated(model, told, ss)
 
     def _updated(self, model: LdaModel, told: Progress, ss: np.ndarray) -> LdaModel:
@@ -535,6 +537,14 @@ class OnlineLda:
                 self._log_topics(model.num_updates, lambda: top_of(model))
         return model
 
+    def fit_rows(self, docs: DataFrame, vocab: DataFrame, batch_size: int, lambda_rows: DataFrame, gamma0: DataFrame | None = None) -> LdaModel | TableModel:
+        """fit from lambda_rows, without collecting what the driver should not hold: large minibatches of a lambda over DRIVER_BYTES leave it a table. vocab: word_id, word."""
+        n_words = vocab.count()
+        if batch_size > SMALL_BATCH and 8 * self.params.num_topics * n_words > DRIVER_BYTES:
+            return self.fit_table(docs, vocab, batch_size, lambda_rows, gamma0)
+        words = vocab.orderBy("word_id").select("word").toArrow().column("word").to_pylist()
+        return self.fit(docs, words, batch_size, rows_to_dense(lambda_rows, n_words) if n_words else None, gamma0)
+
     def fit_table(self, docs: DataFrame, vocab: DataFrame, batch_size: int = 100, lambda_rows: DataFrame | None = None, gamma0: DataFrame | None = None) -> TableModel:
         """Strategy "join": lambda is a table (word_id, weights) from start to end. vocab: word_id, word.
 
